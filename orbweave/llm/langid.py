@@ -1,6 +1,6 @@
 """Language identification by compression.
 
-Each language's raw-content zstandard dictionary is made of whole sample texts of that language. A text is compressed
+Each language's raw-content zstandard dictionary is made of whole lower-cased sample texts of that language. A text, lower-cased, is compressed
 with every dictionary; the language whose dictionary gives the fewest bytes is predicted. The margin is the share of
 bytes that the best saves against the second best; a margin below ``min_margin`` is rejected as too narrow.
 
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 SAMPLE_BYTES, SAMPLE_TEXT, LANGUAGES = 400_000, 6_000, 64
 #: Texts drawn for a language before the bytes are bounded (in expectation).
 DRAWN = 600
-LEVEL = 3
+LEVEL = 9
 #: Below this share of bytes saved a text is rejected.
 MIN_MARGIN = 0.004
 
@@ -53,7 +53,7 @@ def fit(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> dict[str, bytes]:
     for k in sorted(counts):
         kept, size, seen = [], 0, set()
         for r in sorted((r for r in rows if r["lang"] == k), key=lambda r: (r["h"], r["text"])):
-            raw = r["text"].encode("utf-8", "surrogatepass")
+            raw = r["text"].lower().encode("utf-8", "surrogatepass")
             if size + len(raw) <= sample_bytes and raw not in seen:
                 kept.append(raw)
                 seen.add(raw)
@@ -76,7 +76,7 @@ class Classifier:
         """Language, score from 0 to 1, margin, and whether it is rejected for having no letters."""
         if not text or not self.coders or not LETTER.search(text):
             return "und", 0.0, 0.0, True
-        raw = text.encode("utf-8", "surrogatepass")
+        raw = text.lower().encode("utf-8", "surrogatepass")
         sizes = [len(c.compress(raw)) for c in self.coders]
         best = min(range(len(sizes)), key=lambda i: sizes[i])
         if len(sizes) == 1:
