@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from orbweave.llm import bpe, langid, line_dedup, media, mixing, warc
+from orbweave.llm import bpe, langid, line_dedup, media, mixing, ngram_join, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
+    "op2_ngram_jaccard": ngram_join.op2_ngram_jaccard,
     "op3_audio": media.op3_audio,
     "op5_byte_bpe": bpe.op5_byte_bpe,
     "op6_langid": langid.op6_langid,
