@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orbweave.llm import bpe, langid, line_dedup, media, mixing, ngram_join, warc
+from orbweave.llm import bpe, langid, line_dedup, media, mixing, ngram_join, spotsigs, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -10,12 +10,14 @@ QUERIES = {
     "op3_audio": media.op3_audio,
     "op5_byte_bpe": bpe.op5_byte_bpe,
     "op6_langid": langid.op6_langid,
+    "op7_spotsigs": spotsigs.op7_spotsigs,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op10_mix": mixing.op10_mix,
 }
 
 ORACLES: dict[str, str] = {
     "op1_warc": warc.ORACLE,
+    "op7_spotsigs": spotsigs.op7_spotsigs,
     "op8_line_dedup": line_dedup.ORACLE,
     "op10_mix": mixing.ORACLE,
 }
