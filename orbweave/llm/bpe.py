@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding by corpus-level merge replay.
 
 The distinct pre-tokens of a block of texts form one symbol sequence with word boundaries. An inverted index maps
-the rank of each adjacent pair to the positions where it stands. The lowest rank is applied first, leftmost position
-first; only the two touched neighbours enter the index anew. Each pre-token's ids are kept for the blocks that follow,
+the rank of each adjacent pair to the positions where it stands. Merges are applied in rank order, leftmost position
+first, to all words at once; only the two touched neighbours enter the index anew. Each pre-token's ids are kept for the blocks that follow,
 so a frequent word is replayed once per Python worker.
 
 Nulls and empty texts give no tokens. A null doc_id stays null. Repeated rows and ties give equal rows. Extra columns
@@ -14,7 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterable, Iterator
-from heapq import heapify, heappop, heappush
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +22,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 #: Characters of text whose matches are held at once.
-BLOCK_CHARS = 1_000_000
+BLOCK_CHARS = 3_000_000
 #: Pre-tokens whose ids a Python worker keeps, and the longest that it keeps.
-KEPT_WORDS, KEPT_LENGTH = 300_000, 64
+KEPT_WORDS, KEPT_LENGTH = 500_000, 64
+#: Neighbouring ranks that share a list of positions; the rank of a pair that forms no token.
+RANKS_A_SLOT, NONE = 64, 1 << 40
 
 SCHEMA = "doc_id long, n_tokens long, ids binary, decoded_sha256 string"
 
@@ -36,78 +38,81 @@ class MergeReplay:
         self.ranks = ranks
         self.pattern = regex.compile(pattern)
         self.token = {r: t for t, r in ranks.items()}
-        self.single = [ranks[bytes([b])] for b in range(256)]
-        self.pairs: dict[tuple[int, int], int] = {}
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.base = max(ranks.values()) + 2
+        pairs = {ranks[t[:i]] * self.base + ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
+        self.keys = np.array(sorted(pairs), np.int64)
+        self.forms = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
         self.kept: dict[str, bytes] = {}
 
-    def pair_rank(self, a: int, b: int) -> int:
-        """Rank of the token that the pair forms; -1 if it forms none."""
-        key = (a, b)
-        r = self.pairs.get(key)
-        if r is None:
-            if len(self.pairs) > 1_000_000:
-                self.pairs.clear()
-            r = self.pairs[key] = self.ranks.get(self.token[a] + self.token[b], -1)
-        return r
-
-    def replay(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of every word."""
-        ids: list[int] = []
-        after: list[int] = []
-        before: list[int] = []
-        starts: list[int] = []
-        single = self.single
-        for w in words:
-            at = len(ids)
-            starts.append(at)
-            ids += [single[b] for b in w]
-            n = len(w)
-            before += [-1, *range(at, at + n - 1)] if n else []
-            after += [*range(at + 1, at + n), -1] if n else []
-        rank_of = self.pair_rank
-        index: dict[int, list[int]] = {}
-        for p, q in enumerate(after):
-            if q >= 0 and (r := rank_of(ids[p], ids[q])) >= 0:
-                index.setdefault(r, []).append(p)  # ascending, so already a heap
-        queue = list(index)
-        heapify(queue)
-        while queue:
-            r = queue[0]
-            positions = index[r]
-            if not positions:
-                heappop(queue)
-                del index[r]
-                continue
-            p = heappop(positions)
-            q = after[p]
-            if ids[p] < 0 or q < 0 or rank_of(ids[p], ids[q]) != r:
-                continue  # a neighbour was merged meanwhile
-            ids[p], ids[q] = r, -1
-            after[p] = n = after[q]
-            if n >= 0:
-                before[n] = p
-                if (s := rank_of(r, ids[n])) >= 0:
-                    if s in index:
-                        heappush(index[s], p)
-                    else:
-                        index[s] = [p]
-                        heappush(queue, s)
-            b = before[p]
-            if b >= 0 and (s := rank_of(ids[b], r)) >= 0:
+    def pair_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of the tokens that pairs form; NONE where they form none."""
+        key = a * self.base + b
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.forms[at], NONE)
+
+    def replay(self, words: list[bytes]) -> list[bytes]:
+        """Ids of every word, as little-endian unsigned 32-bit integers.
+
+        The index maps a slot of RANKS_A_SLOT neighbouring ranks to positions of pairs. The lowest slot that has any
+        is taken; there each word applies its lowest pair, the leftmost of equals, which is the lowest of the word.
+        """
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        n = int(sizes.sum())
+        if not n:
+            return [b""] * len(words)
+        # Position n stands for the outside of a word.
+        ids = np.append(self.single[np.frombuffer(b"".join(words), np.uint8)], self.base - 1)
+        word = np.repeat(np.arange(len(words)), sizes)
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        ends = np.cumsum(sizes)[sizes > 0]
+        after[ends - 1] = before[np.append(0, ends[:-1])] = after[n] = before[n] = n
+        rank = np.append(self.pair_rank(ids[:n], ids[after[:n]]), NONE)
+        index: dict[int, list[np.ndarray]] = {}
+        queue: list[int] = []
+
+        def put(positions: np.ndarray) -> None:
+            slot = rank[positions] // RANKS_A_SLOT
+            order = np.argsort(slot, kind="stable")
+            positions, slot = positions[order], slot[order]
+            cuts = np.flatnonzero(np.diff(slot)) + 1
+            for s, part in zip(slot[np.append(0, cuts)].tolist(), np.split(positions, cuts), strict=True) if len(slot) else ():
                 if s in index:
-                    heappush(index[s], b)
+                    index[s].append(part)
                 else:
-                    index[s] = [b]
+                    index[s] = [part]
                     heappush(queue, s)
-        out = []
-        for w, p in zip(words, starts, strict=True):
-            one = []
-            if w:
-                while p >= 0:
-                    one.append(ids[p])
-                    p = after[p]
-            out.append(one)
-        return out
+
+        put(np.flatnonzero(rank < NONE))
+        while queue:
+            slot = queue[0]
+            p = np.unique(np.concatenate(index[slot]))
+            p = p[rank[p] // RANKS_A_SLOT == slot]  # others were touched meanwhile
+            if not len(p):
+                heappop(queue)
+                del index[slot]
+                continue
+            r, w = rank[p], word[p]
+            first = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
+            lowest = np.repeat(np.minimum.reduceat(r, first), np.diff(np.append(first, len(p))))
+            at = np.flatnonzero(r == lowest)
+            at = at[np.append(True, w[at][1:] != w[at][:-1])]
+            index[slot] = [np.delete(p, at)]
+            p, r = p[at], r[at]
+            q, b = after[p], before[p]
+            x = after[q]
+            ids[p], ids[q], rank[q] = r, -1, NONE
+            after[p], before[x] = x, p
+            rank[p] = self.pair_rank(r, ids[x])
+            rank[b] = self.pair_rank(ids[b], r)
+            ids[n], rank[n] = self.base - 1, NONE
+            touched = np.concatenate([p, b])
+            put(touched[rank[touched] < NONE])
+        left = ids[:n] >= 0
+        counts = np.bincount(word[left], minlength=len(words)) * 4
+        packed = ids[:n][left].astype("<u4").tobytes()
+        stops = np.cumsum(counts)
+        return [packed[a:b] for a, b in zip((stops - counts).tolist(), stops.tolist(), strict=True)]
 
     def encode_block(self, texts: list[str]) -> Iterator[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
@@ -121,7 +126,7 @@ class MergeReplay:
             kept.clear()
             new = {w for words in found for w in words}
         order = list(new)
-        table = {w: np.asarray(i, "<u4").tobytes() for w, i in zip(order, self.replay([w.encode("utf-8", "surrogatepass") for w in order]), strict=True)}
+        table = dict(zip(order, self.replay([w.encode("utf-8", "surrogatepass") for w in order]), strict=True))
         long = {w: i for w, i in table.items() if len(w) > KEPT_LENGTH}
         kept.update((w, i) for w, i in table.items() if len(w) <= KEPT_LENGTH)
         for words in found:
