@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orbweave.llm import bpe, langid, line_dedup, media, mixing, ngram_join, spotsigs, warc
+from orbweave.llm import bpe, chat, langid, line_dedup, media, mixing, ngram_join, spotsigs, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_langid": langid.op6_langid,
     "op7_spotsigs": spotsigs.op7_spotsigs,
     "op8_line_dedup": line_dedup.op8_line_dedup,
+    "op9_quotes": chat.op9_quotes,
     "op10_mix": mixing.op10_mix,
 }
 
@@ -19,5 +20,6 @@ ORACLES: dict[str, str] = {
     "op1_warc": warc.ORACLE,
     "op7_spotsigs": spotsigs.op7_spotsigs,
     "op8_line_dedup": line_dedup.ORACLE,
+    "op9_quotes": chat.ORACLE,
     "op10_mix": mixing.ORACLE,
 }
