@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once (a longer text is a block of its own).
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 17
 
 U = np.uint64
 _rng = np.random.default_rng(20240229)
