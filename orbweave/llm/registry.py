@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from orbweave.llm import bpe, chat, langid, line_dedup, media, mixing, ngram_join, spotsigs, warc
+from orbweave.llm import bpe, chat, langid, line_dedup, lm, media, mixing, ngram_join, spotsigs, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_ngram_jaccard": ngram_join.op2_ngram_jaccard,
     "op3_audio": media.op3_audio,
+    "op4_pseudo_likelihood": lm.op4_pseudo_likelihood,
     "op5_byte_bpe": bpe.op5_byte_bpe,
     "op6_langid": langid.op6_langid,
     "op7_spotsigs": spotsigs.op7_spotsigs,
