@@ -366,3 +366,22 @@ def along_curve(df: DataFrame, code: Column, partitions: int | None = None) -> D
     out = df.withColumn("__code", code)
     out = out.repartitionByRange(partitions, "__code") if partitions else out.repartitionByRange("__code")
     return out.sortWithinPartitions("__code").drop("__code")
+
+
+def energy_deposit(index: SpatialIndex, rays: DataFrame, shape: Shape, start: float = 1.0, gain: bool = True, id: str = "id") -> DataFrame:
+    """(value_id, deposit): what rays of energy ``start`` leave in the values that they cross, in the order of crossing.
+
+    Crossing a length L deposits energy * (1 - exp(-L)), which the ray gains, or loses with ``gain`` off. The product
+    of the factors before a crossing is a running sum of logarithms.
+    """
+    q, qc = _side(rays, "q_")
+    hits = index.query(rays, shape, ordered_intersects(), id, keep_values=[c for c in index.df.columns if c != index.id], keep=())
+    q = q.select(qc(id).alias("query_id"), *(x.alias(f"__o{i}") for i, x in enumerate(shape(qc).o)), *(x.alias(f"__d{i}") for i, x in enumerate(shape(qc).d)))
+    met = hits.join(q, "query_id")
+    ray = G.Ray([F.col(f"__o{i}") for i in range(3)], [F.col(f"__d{i}") for i in range(3)])
+    met = met.withColumn("__length", G.overlap_distance(ray, index.shape(F.col))[0])
+    factor = F.lit(2.0) - F.exp(-F.col("__length")) if gain else F.exp(-F.col("__length"))
+    before = Window.partitionBy("query_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    energy = F.exp(F.coalesce(F.sum(F.ln(factor)).over(before), F.lit(0.0))) * start
+    met = met.withColumn("__deposit", energy * (F.lit(1.0) - F.exp(-F.col("__length"))))
+    return met.groupBy("value_id").agg(F.sum("__deposit").alias("deposit"))
