@@ -114,14 +114,27 @@ def parents(messages: DataFrame) -> DataFrame:
 
 
 def threads(nodes: DataFrame) -> DataFrame:
-    """(conv_id, turn, parent_turn) to (conv_id, turn, thread, depth): the first message above, and the steps to it."""
-    up = materialize(nodes.select("conv_id", "turn", F.coalesce("parent_turn", "turn").alias("top"), F.col("parent_turn").isNotNull().cast("int").alias("depth")), "threads")
+    """(conv_id, turn, parent_turn) to (conv_id, turn, thread, depth): the first message above, and the steps to it.
+
+    Each round only takes the messages whose pointer hasn't reached the top, so the work is that of their depths.
+    """
+    start = nodes.select("conv_id", "turn", F.coalesce("parent_turn", "turn").alias("top"), F.col("parent_turn").isNotNull().cast("int").alias("depth"), F.col("parent_turn").isNull().alias("done"))
+    active, at_top = materialize(start, "threads"), []
     for _ in range(ROUNDS):
-        above = up.select("conv_id", F.col("turn").alias("top"), F.col("top").alias("next"), F.col("depth").alias("more"))
-        up = materialize(up.join(above, ["conv_id", "top"]).select("conv_id", "turn", F.col("next").alias("top"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("moved")), "threads")
-        if not up.where("moved").limit(1).count():
+        at_top.append(active.where("done"))
+        climbing = active.where("NOT done")
+        if climbing.isEmpty():
             break
-    return up.select("conv_id", "turn", F.col("top").alias("thread"), "depth")
+        above = climbing
+        for part in at_top:
+            above = above.unionByName(part)
+        above = above.select("conv_id", F.col("turn").alias("top"), F.col("top").alias("next"), F.col("depth").alias("more"), F.col("done").alias("arrived"))
+        met = climbing.join(above, ["conv_id", "top"])
+        active = materialize(met.select("conv_id", "turn", F.col("next").alias("top"), (F.col("depth") + F.col("more")).alias("depth"), F.col("arrived").alias("done")), "threads")
+    out = at_top[0]
+    for part in at_top[1:]:
+        out = out.unionByName(part)
+    return out.select("conv_id", "turn", F.col("top").alias("thread"), "depth")
 
 
 def link_quotes(messages: DataFrame) -> DataFrame:
