@@ -177,11 +177,13 @@ def train(docs: DataFrame, net: Network, place: np.ndarray) -> Network:
         own, seen = Network(flat.copy()), 0
         for batch in batches:
             for _, word, bounds in blocks(batch.column(0)):
+                if not len(word):
+                    continue
                 p = place[buckets(word)]
                 near = neighbours(p, bounds)
                 # Every TRAIN_EVERY-th word of each text, from a first one that the text's first word chooses.
                 inside = np.arange(len(p)) - np.repeat(bounds[:-1], np.diff(bounds))
-                first = word[np.minimum(bounds[:-1], max(len(word) - 1, 0))] % U(TRAIN_EVERY) if len(word) else np.zeros(0, np.uint64)
+                first = word[np.minimum(bounds[:-1], len(word) - 1)] % U(TRAIN_EVERY)
                 chosen = np.flatnonzero(inside % TRAIN_EVERY == np.repeat(first.astype(np.int64), np.diff(bounds)))
                 chosen = np.random.default_rng(SEED + len(p)).permutation(chosen)
                 for at in range(0, len(chosen), BATCH):
