@@ -5,11 +5,13 @@ Equal sets form one class, which its smallest doc_id stands for; only representa
 
 1. *Order.* A count-min table of fixed size over all n-grams of all documents gives each n-gram a level: 0 unless it
    is far more frequent than the table's noise. The global order is (level, hash), rare n-grams first.
-2. *First links.* Representatives that share one of their EARLY smallest hashes and stand next to each other there
-   are compared; components of the links are labels. This needs linear work in groups of any size.
+2. *First links.* Among the representatives that share one of their EARLY smallest hashes, each is compared with its
+   neighbour and with the plainest of its like; components of the links are labels. This is linear work in groups of
+   any size.
 3. *All others.* The prefix of n - ceil(0.75 n) + 1 n-grams in the global order must share an n-gram with that of any
-   set that links (prefix filter). N-grams whose holders all carry one label are skipped; the remaining pairs with
-   different labels are compared, so no link between components is lost, and none within one is needed.
+   set that links (prefix filter), at positions that leave room for the overlap (position filter). N-grams whose
+   holders all carry one label are skipped; the remaining pairs with different labels are compared, so no link between
+   components is lost, and none within one is needed.
 4. *Comparison.* Pairs that a 256-bit one-bit minhash rules out are dropped (a pair at the threshold is lost with a
    probability below 1e-11). For the rest, both whole texts meet, the partners' n-gram sets go into a trie in hash
    order, and the other set walks it: shared beginnings are counted once, and a subtree whose remaining length cannot
@@ -42,7 +44,9 @@ LOW_OF, HIGH_OF = 75, 100
 #: Smallest hashes that find the first links.
 EARLY = 8
 #: Slots of the count-min table and the blocks that it is summed in.
-SLOTS, TABLE_BLOCKS = 1 << 21, 32
+SLOTS, TABLE_BLOCKS = 1 << 22, 64
+#: Most rows of ids and labels (8 or 16 bytes each) that are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
 #: One-bit minhashes, and the equal ones below which a pair is not compared.
 BITS, LEAST_EQUAL = 256, 184
 
@@ -166,7 +170,7 @@ def levels(table: np.ndarray) -> np.ndarray:
     return np.where(table > noise + 6 * np.sqrt(noise) + 16, np.log2(np.maximum(table, 1)).astype(np.uint8) + 1, 0).astype(np.uint8)
 
 
-SETS = "doc_id long, n_shingles long, k1 long, k2 long, s0 long, s1 long, s2 long, s3 long, early array<long>, prefix array<long>"
+SETS = "doc_id long, n_shingles long, k1 long, k2 long, rare long, s0 long, s1 long, s2 long, s3 long, early array<long>, prefix array<long>"
 
 
 def gram_rows(docs: DataFrame, level: np.ndarray) -> DataFrame:
@@ -178,14 +182,16 @@ def gram_rows(docs: DataFrame, level: np.ndarray) -> DataFrame:
         for whole in batches:
             for at in range(0, len(whole), 512):
                 batch = whole.slice(at, 512)
-                size, key, bits, early, prefix = [], [], [], [], []
+                size, key, rare, bits, early, prefix = [], [], [], [], [], []
                 for g in gram_sets(batch.column("text"), WORDS):
                     n = len(g)
                     size.append(n)
                     key.append([int(np.add.reduce(mix(g))), int(np.bitwise_xor.reduce(mix(g ^ U(0x5851F42D4C957F2D)))) if n else 0])
                     early.append(g[:EARLY].view(np.int64))
+                    own = level[(g & U(len(level) - 1)).astype(np.int64)]
+                    rare.append(int((own == 0).sum()))
                     if n:
-                        order = np.argsort(level[(g & U(len(level) - 1)).astype(np.int64)], kind="stable")
+                        order = np.argsort(own, kind="stable")
                         prefix.append(g[order[: n - -(-LOW_OF * n // HIGH_OF) + 1]].view(np.int64))
                         bits.append(signature(g))
                     else:
@@ -194,7 +200,7 @@ def gram_rows(docs: DataFrame, level: np.ndarray) -> DataFrame:
                 keys = np.array(key, np.uint64).reshape(-1, 2).view(np.int64)
                 sig = np.array(bits, np.int64).reshape(-1, 4)
                 lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in part])]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *part]), pa.int64())) for part in (early, prefix)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(size, pa.int64()), *(pa.array(keys[:, i]) for i in range(2)), *(pa.array(sig[:, i]) for i in range(4)), *lists], [x.split()[0] for x in SETS.split(", ")])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(size, pa.int64()), *(pa.array(keys[:, i]) for i in range(2)), pa.array(rare, pa.int64()), *(pa.array(sig[:, i]) for i in range(4)), *lists], [x.split()[0] for x in SETS.split(", ")])
 
     return docs.select("doc_id", "text").mapInArrow(run, SETS)
 
@@ -226,30 +232,54 @@ def _pairs_table(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 
 
 def neighbour_pairs(sets: DataFrame) -> DataFrame:
-    """Pairs that stand next to each other among the holders of one of their smallest hashes."""
+    """Pairs among the holders of one of their smallest hashes: linear in their number.
+
+    Holders are in order of their smallest hash, so that copies of one text come together, then of their share of rare
+    n-grams. Each is paired with the next one, with the first of those that share the smallest hash, and with the one
+    of all that has the smallest share of rare n-grams: a plain copy is like most others.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in _runs(batches, ["token", "node", "n"]):
-            t, v, n = x["token"], x["node"], x["n"]
-            ok = (t[1:] == t[:-1]) & (v[1:] != v[:-1]) & _fits(n[1:], n[:-1])
-            yield _pairs_table(v[:-1][ok], v[1:][ok])
-
-    # The second smallest hash brings copies of one text next to each other in the groups of frequent n-grams.
-    rows = sets.select(F.explode("early").alias("token"), F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.element_at("early", 1).alias("e1"), F.element_at("early", -1).alias("e2"))
-    rows = rows.repartition("token").sortWithinPartitions("token", "e1", "e2", "n", "node")
+        held = []
+        for x in _runs(batches, ["token", "e1", "share", "node", "n"]):
+            t, e, v, n = x["token"], x["e1"], x["node"], x["n"]
+            here = np.arange(len(t))
+            new = np.concatenate([[True], t[1:] != t[:-1]])
+            head = np.concatenate([[True], (t[1:] != t[:-1]) | (e[1:] != e[:-1])])
+            group = np.cumsum(new) - 1
+            order = np.lexsort((v, n, x["share"], group))
+            plain = order[np.flatnonzero(np.concatenate([[True], np.diff(group[order]) > 0]))][group]
+            top = np.maximum.accumulate(np.where(head, here, 0))
+            at = np.concatenate([here[~new], here[~head], here])
+            to = np.concatenate([here[~new] - 1, top[~head], plain])
+            ok = (v[at] != v[to]) & _fits(n[at], n[to])
+            held.append((v[at[ok]], v[to[ok]]))
+            if sum(len(h[0]) for h in held) > 1 << 20:
+                yield _pairs_table(*map(np.concatenate, zip(*held, strict=True)))
+                held = []
+        if held:
+            yield _pairs_table(*map(np.concatenate, zip(*held, strict=True)))
+
+    share = F.floor(F.col("rare") * 1000 / F.col("n_shingles"))
+    rows = sets.select(F.explode("early").alias("token"), F.element_at("early", 1).alias("e1"), share.alias("share"), F.col("n_shingles").alias("n"), F.col("doc_id").alias("node"))
+    rows = rows.repartition("token").sortWithinPartitions("token", "e1", "share", "n", "node")
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
 def label_pairs(sets: DataFrame) -> DataFrame:
-    """Pairs with different labels that share an n-gram of their prefixes."""
+    """Pairs with different labels that share an n-gram of their prefixes which can be their first common one.
+
+    After the first common n-gram, the rest of either set must still hold the required overlap (position filter).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in _runs(batches, ["token", "label", "n", "node"]):
-            t, w, n, v = x["token"], x["label"], x["n"], x["node"]
+        out_a, out_b, held = [], [], 0
+        for x in _runs(batches, ["token", "label", "sizes", "node"]):
+            t, w, v = x["token"], x["label"], x["node"]
+            n, left = x["sizes"] >> 32, x["sizes"] & 0xFFFFFFFF
             start = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
             stop = np.concatenate([start[1:], [len(t)]])
             mixed = w[stop - 1] != w[start]  # sorted by label
-            out_a, out_b, held = [], [], 0
             for s, e in zip(start[mixed].tolist(), stop[mixed].tolist(), strict=True):
                 # Against the holders of later labels, for one holder after the other.
                 later = s + np.searchsorted(w[s:e], w[s:e], "right")
@@ -257,18 +287,21 @@ def label_pairs(sets: DataFrame) -> DataFrame:
                     j = later[i - s]
                     if j == e:
                         break
-                    hit = j + np.flatnonzero(_fits(n[i], n[j:e]))
-                    out_a.append(np.full(len(hit), v[i]))
-                    out_b.append(v[hit])
-                    held += len(hit)
+                    need = -(-LOW_OF * (n[i] + n[j:e]) // (HIGH_OF + LOW_OF))
+                    hit = j + np.flatnonzero((left[i] >= need) & (left[j:e] >= need))
+                    if len(hit):
+                        out_a.append(np.full(len(hit), v[i]))
+                        out_b.append(v[hit])
+                        held += len(hit)
                     if held > 1 << 20:
                         yield _pairs_table(np.concatenate(out_a), np.concatenate(out_b))
                         out_a, out_b, held = [], [], 0
-            if held:
-                yield _pairs_table(np.concatenate(out_a), np.concatenate(out_b))
+        if held:
+            yield _pairs_table(np.concatenate(out_a), np.concatenate(out_b))
 
-    rows = sets.select(F.explode("prefix").alias("token"), "label", F.col("n_shingles").alias("n"), F.col("doc_id").alias("node"))
-    rows = rows.repartition("token").sortWithinPartitions("token", "label", "n", "node")
+    rows = sets.select(F.posexplode("prefix").alias("pos", "token"), "label", "n_shingles", F.col("doc_id").alias("node"))
+    rows = rows.select("token", "label", F.shiftleft("n_shingles", 32).bitwiseOR(F.col("n_shingles") - F.col("pos")).alias("sizes"), "node")
+    rows = rows.repartition("token").sortWithinPartitions("token", "label", "node")
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -281,9 +314,15 @@ def likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.where(equal >= LEAST_EQUAL).select("a", "b")
 
 
+def small(table: DataFrame) -> DataFrame:
+    """A written table of ids, to be broadcast if it has at most BROADCAST_IDS rows and to be joined by a shuffle otherwise."""
+    return F.broadcast(table) if table.count() <= BROADCAST_IDS else table
+
+
 def linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole texts link, with the overlap."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    ends = small(materialize(ends, "pair-ends"))
     texts = docs.select("doc_id", "text").join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     texts = materialize(texts, "pair-texts")
     # A text with very many partners is spread: each part of its partners meets a copy of it.
@@ -333,13 +372,15 @@ def classes_and_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     slim = sets.select("doc_id", "n_shingles", "k1", "k2").withColumn("key", key)
     members = slim.join(reps.withColumn("key", key), ["key", "k1", "k2", "n_shingles"], "left")
     members = materialize(members.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), "members")
-    ids = members.where("doc_id = rep AND n_shingles > 0").select("doc_id").distinct()
-    alone = materialize(sets.join(ids, "doc_id", "left_semi"), "representatives")
+    ids = materialize(members.where("doc_id = rep AND n_shingles > 0").select("doc_id").distinct(), "ids")
+    alone = sets.join(small(ids), "doc_id", "left_semi")
+    if ids.count() > BROADCAST_IDS:
+        alone = materialize(alone, "representatives")
     release(spark)
     first = materialize(linked(materialize(likely(neighbour_pairs(alone), alone), "pairs"), docs), "links")
     labels = connected_components(first.select("a", "b"))
     release(spark)
-    marked = alone.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    marked = alone.join(small(labels.withColumnRenamed("node", "doc_id")), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
     rest = materialize(likely(label_pairs(marked), alone), "pairs")
     release(spark)
     more = materialize(linked(rest, docs), "links")

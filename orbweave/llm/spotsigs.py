@@ -184,7 +184,7 @@ def similar(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     need = F.ceil(F.lit(THRESHOLD) * F.col("n"))
     both = lambda items: F.flatten(F.transform(F.array("part", F.col("part") - 1), lambda p: F.transform(items, lambda s: F.xxhash64(s, p))))
     sets = reps.select("doc_id", F.col("n").alias("n_shingles"), "n", "fingerprint", part.alias("part"), sigs.alias("sigs"))
-    sets = sets.select("doc_id", "n_shingles", both(F.slice("sigs", 1, ngram_join.EARLY)).alias("early"), both(F.slice("sigs", F.lit(1), (F.col("n") - need + 1).cast("int"))).alias("prefix"))
+    sets = sets.select("doc_id", "n_shingles", both(F.slice("sigs", 1, ngram_join.EARLY)).alias("early"), F.lit(0).cast("long").alias("rare"), both(F.slice("sigs", F.lit(1), (F.col("n") - need + 1).cast("int"))).alias("prefix"))
     first = _alike(ngram_join.neighbour_pairs(sets), reps)
     labels = connected_components(first.select("a", "b"))
     marked = sets.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
