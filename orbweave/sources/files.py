@@ -120,3 +120,27 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(x[0], dtype=np.int64)), pa.array(x[1 : 1 + x[0]].astype(np.int64))], ["id", "label"])
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "id long, label long")
+
+
+def write_vtk(mesh: DataFrame, path: str, values: str | None = None) -> None:
+    """A triangle mesh (columns of MESH) as a legacy VTK text file, with ``values`` as data of the triangles.
+
+    One text file takes one writer: the driver streams the rows in order of id, once for each section.
+    """
+    spark = mesh.sparkSession
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    n = mesh.count()
+    rows = lambda *columns: mesh.orderBy("id").select(*columns).toLocalIterator()
+    put = lambda text: out.write(bytearray(text.encode()))
+    try:
+        put(f"# vtk DataFile Version 3.0\nmesh\nASCII\nDATASET POLYDATA\nPOINTS {3 * n} double\n")
+        for r in rows(*MESH):
+            put("".join(f"{r[i]!r} {r[i + 1]!r} {r[i + 2]!r}\n" for i in (0, 3, 6)))
+        put(f"POLYGONS {n} {4 * n}\n" + "".join(f"3 {3 * i} {3 * i + 1} {3 * i + 2}\n" for i in range(n)))
+        if values:
+            put(f"CELL_DATA {n}\nSCALARS {values} double 1\nLOOKUP_TABLE default\n")
+            for r in rows(values):
+                put(f"{float(r[0])!r}\n")
+    finally:
+        out.close()
