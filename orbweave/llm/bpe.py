@@ -22,9 +22,9 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 #: Characters of text whose matches are held at once.
-BLOCK_CHARS = 3_000_000
-#: Pre-tokens whose ids a Python worker keeps, and the longest that it keeps.
-KEPT_WORDS, KEPT_LENGTH = 500_000, 64
+BLOCK_CHARS = 1_000_000
+#: Pre-tokens beyond which a Python worker begins a new table of ids (the one before is kept too), and the longest kept.
+KEPT_WORDS, KEPT_LENGTH = 100_000, 64
 #: Neighbouring ranks that share a list of positions; the rank of a pair that forms no token.
 RANKS_A_SLOT, NONE = 64, 1 << 40
 
@@ -43,7 +43,8 @@ class MergeReplay:
         pairs = {ranks[t[:i]] * self.base + ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
         self.keys = np.array(sorted(pairs), np.int64)
         self.forms = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
-        self.kept: dict[str, bytes] = {}
+        self.kept: dict[str, bytes] = {}  # of the latest blocks
+        self.older: dict[str, bytes] = {}  # of those before
 
     def pair_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Ranks of the tokens that pairs form; NONE where they form none."""
@@ -120,17 +121,18 @@ class MergeReplay:
         new: set[str] = set()
         for words in found:
             new.update(words)
-        kept = self.kept
-        new = {w for w in new if w not in kept}
-        if len(kept) + len(new) > KEPT_WORDS:
-            kept.clear()
-            new = {w for words in found for w in words}
-        order = list(new)
-        table = dict(zip(order, self.replay([w.encode("utf-8", "surrogatepass") for w in order]), strict=True))
-        long = {w: i for w, i in table.items() if len(w) > KEPT_LENGTH}
-        kept.update((w, i) for w, i in table.items() if len(w) <= KEPT_LENGTH)
+        kept, older = self.kept, self.older
+        new -= kept.keys()
+        kept.update((w, older[w]) for w in new & older.keys())
+        order = list(new - older.keys())
+        table = zip(order, self.replay([w.encode("utf-8", "surrogatepass") for w in order]), strict=True)
+        long = {}
+        for w, ids in table:
+            (kept if len(w) <= KEPT_LENGTH else long)[w] = ids
         for words in found:
             yield b"".join([kept[w] if w in kept else long[w] for w in words]) if long else b"".join(map(kept.__getitem__, words))
+        if len(kept) > KEPT_WORDS:
+            self.kept, self.older = {}, kept
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         block: list[str] = []
