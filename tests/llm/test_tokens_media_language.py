@@ -36,7 +36,7 @@ def test_bpe_equals_the_library(tok):
 
 
 def test_bpe_keeps_few_words(monkeypatch, tok):
-    monkeypatch.setattr(bpe, "KEPT_WORDS", 3)
+    monkeypatch.setattr(bpe, "KEPT_WORDS", 3)  # so tables are begun anew all the time
     monkeypatch.setattr(bpe, "BLOCK_CHARS", 5)
     coder = bpe.MergeReplay(bpe.load().ranks, bpe.load().pattern.pattern)
     texts = ["one two three", "two three four", "w" * 90, "one"]
