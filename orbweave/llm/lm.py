@@ -3,13 +3,14 @@
 A bidirectional window network predicts every word of a document from the REACH words on either side; the sum of the
 log-probabilities scores the document. Words are hashed to VOCABULARY buckets. The hidden layer is the tanh of the
 position-scaled sum of the neighbours' vectors; the output is a softmax over classes of buckets and one within the
-class. Classes hold buckets of neighbouring frequency.
+class. Classes hold buckets of neighbouring frequency. A word has the share of its bucket's probability that it has
+of the bucket's words, by exact counts of all words (64-bit hashes).
 
-Bucket counts come from every word of every document. The network is trained in numpy, in one pass over the corpus:
-each partition trains a copy from the same beginning on one word in TRAIN_EVERY of each of its documents, and the
-copies are averaged, weighted by the words that they saw. What is gathered is one copy of the parameters for each
+Counts come from every word of every document. The network is trained in numpy, in one pass over the corpus: each
+partition trains a copy from the same beginning on every word of each of its documents, and the copies are averaged, weighted by the words that they saw. What is gathered is one copy of the parameters for each
 partition, so it grows with the corpus; they are summed block by block in two steps, so no task and not the driver
-gets more than a bounded part. The averaged parameters have a fixed size and are broadcast for scoring.
+gets more than a bounded part. The averaged parameters have a fixed size and are broadcast for scoring. The table of
+word counts grows with the vocabulary: the HEAD most frequent words are broadcast, all others are joined.
 
 Null and empty texts have no words: score 0 and a null mean. A null doc_id stays null. Repeated rows get equal
 scores. A text of one word is predicted from the padding alone. Very long texts are scored whole, in blocks. Extra
@@ -28,15 +29,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbweave.llm.shingles import U, blocks
+from orbweave.plans.shared import materialize, splittable_join
 
 CLASSES, IN_CLASS, HIDDEN, REACH = 64, 64, 24, 2
 VOCABULARY = CLASSES * IN_CLASS
-TRAIN_EVERY, BATCH, RATE = 16, 512, 0.4
+BATCH, RATE = 512, 0.4
 #: Parameters are summed in blocks of so many.
 PART = 8192
 SEED = 20240311
 #: Words that are scored at once.
 AT_ONCE = 1 << 14
+#: Words whose counts are broadcast for scoring, and distinct words that a task counts before it sends them on.
+HEAD, COUNTED = 1 << 16, 1 << 20
 
 OFFSETS = [*range(-REACH, 0), *range(1, REACH + 1)]
 
@@ -65,13 +69,13 @@ class Network:
         """Log-probability of each place (class * IN_CLASS + member) given its neighbours."""
         h = self.hidden(near)
         group, member = place // IN_CLASS, place % IN_CLASS
-        out = _log_softmax(h @ self.of_class + self.class_bias)[np.arange(len(place)), group]
+        out = _log_softmax_at(h @ self.of_class + self.class_bias, group)
         order = np.argsort(group, kind="stable")
         cuts = np.searchsorted(group[order], np.arange(CLASSES + 1))
         for c in range(CLASSES):
             rows = order[cuts[c] : cuts[c + 1]]
             if len(rows):
-                out[rows] += _log_softmax(h[rows] @ self.of_member[c] + self.member_bias[c])[np.arange(len(rows)), member[rows]]
+                out[rows] += _log_softmax_at(h[rows] @ self.of_member[c] + self.member_bias[c], member[rows])
         return out
 
     def step(self, near: np.ndarray, place: np.ndarray, rate: float) -> None:
@@ -79,27 +83,36 @@ class Network:
         n = len(place)
         h = self.hidden(near)
         group, member = place // IN_CLASS, place % IN_CLASS
-        error = -np.exp(_log_softmax(h @ self.of_class + self.class_bias))
+        error = -_softmax(h @ self.of_class + self.class_bias)
         error[np.arange(n), group] += 1
         back = error @ self.of_class.T
         self.of_class += rate / n * (h.T @ error)
         self.class_bias += rate / n * error.sum(0)
+        # Rows in order of class, so that each class is a slice.
         order = np.argsort(group, kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            rows = order[cuts[c] : cuts[c + 1]]
-            if not len(rows):
-                continue
-            error = -np.exp(_log_softmax(h[rows] @ self.of_member[c] + self.member_bias[c]))
-            error[np.arange(len(rows)), member[rows]] += 1
-            back[rows] += error @ self.of_member[c].T
-            self.of_member[c] += rate / len(rows) * (h[rows].T @ error)
-            self.member_bias[c] += rate / len(rows) * error.sum(0)
+        cuts = np.searchsorted(group[order], np.arange(CLASSES + 1)).tolist()
+        some = [(c, cuts[c], cuts[c + 1]) for c in range(CLASSES) if cuts[c] < cuts[c + 1]]
+        sorted_h, within = h[order], np.empty((n, IN_CLASS), np.float32)
+        for c, i, j in some:
+            np.dot(sorted_h[i:j], self.of_member[c], out=within[i:j])
+        within += self.member_bias[group[order]]
+        error = -_softmax(within)
+        error[np.arange(n), member[order]] += 1
+        inner = np.empty_like(sorted_h)
+        for c, i, j in some:
+            np.dot(error[i:j], self.of_member[c].T, out=inner[i:j])
+            self.of_member[c] += rate / (j - i) * (sorted_h[i:j].T @ error[i:j])
+        present, first, size = (np.array(x) for x in zip(*((c, i, j - i) for c, i, j in some), strict=True))
+        self.member_bias[present] += (rate / size[:, None] * np.add.reduceat(error, first)).astype(np.float32)
+        back[order] += inner
         back *= 1 - h * h
         self.bias += rate / n * back.sum(0)
         for k in range(len(OFFSETS)):
             seen = self.vector[near[:, k]]
-            np.add.at(self.vector, near[:, k], rate / 8 * back * self.scale[k])
+            by = np.argsort(near[:, k], kind="stable")
+            node = near[by, k]
+            first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+            self.vector[node[first]] += np.add.reduceat((rate / 8 * back * self.scale[k])[by], first)
             self.scale[k] += rate / n * (back * seen).sum(0)
 
 
@@ -110,9 +123,16 @@ SHAPES = {
 SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
+def _softmax(x: np.ndarray) -> np.ndarray:
+    x = np.exp(x - x.max(1, keepdims=True))
+    return x / x.sum(1, keepdims=True)
+
+
+def _log_softmax_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The logarithm of each row's softmax at one place."""
     x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+    own = x[np.arange(len(x)), at]
+    return own - np.log(np.exp(x, out=x).sum(1))
 
 
 def beginning(counts: np.ndarray, place: np.ndarray) -> Network:
@@ -148,6 +168,30 @@ def bucket_counts(docs: DataFrame) -> np.ndarray:
     return out
 
 
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n): how often each word hash stands in all texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def send() -> pa.RecordBatch:
+            word, at = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+            n = np.bincount(at, weights=np.concatenate([h[1] for h in held])).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], ["word", "n"])
+
+        held, size = [], 0
+        for batch in batches:
+            for _, word, _ in blocks(batch.column(0)):
+                held.append(np.unique(word, return_counts=True))
+                size += len(held[-1][0])
+                if size > COUNTED:
+                    yield send()
+                    held, size = [], 0
+        if size:
+            yield send()
+
+    counted = docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return materialize(counted, "word-counts")
+
+
 def places(counts: np.ndarray) -> np.ndarray:
     """Place by bucket: buckets in order of frequency, cut into classes."""
     place = np.empty(VOCABULARY, np.int64)
@@ -181,11 +225,7 @@ def train(docs: DataFrame, net: Network, place: np.ndarray) -> Network:
                     continue
                 p = place[buckets(word)]
                 near = neighbours(p, bounds)
-                # Every TRAIN_EVERY-th word of each text, from a first one that the text's first word chooses.
-                inside = np.arange(len(p)) - np.repeat(bounds[:-1], np.diff(bounds))
-                first = word[np.minimum(bounds[:-1], len(word) - 1)] % U(TRAIN_EVERY)
-                chosen = np.flatnonzero(inside % TRAIN_EVERY == np.repeat(first.astype(np.int64), np.diff(bounds)))
-                chosen = np.random.default_rng(SEED + len(p)).permutation(chosen)
+                chosen = np.random.default_rng(SEED + len(p)).permutation(len(p))
                 for at in range(0, len(chosen), BATCH):
                     rows = chosen[at : at + BATCH]
                     own.step(near[rows], p[rows], RATE)
@@ -208,41 +248,76 @@ def train(docs: DataFrame, net: Network, place: np.ndarray) -> Network:
     return Network(np.concatenate([got[i] for i in range(parts)])[:SIZE].astype(np.float32))
 
 
-SCORES = "doc_id long, n_words long, log_likelihood double, mean_log_likelihood double"
-
-
-def score(docs: DataFrame, net: Network, place: np.ndarray) -> DataFrame:
-    """doc_id, n_words, the sum of the words' log-probabilities, and their mean."""
-    shipped = docs.sparkSession.sparkContext.broadcast((net.flat, place))
+def score(docs: DataFrame, net: Network, place: np.ndarray, counts: np.ndarray | None = None, words: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_words, the sum of the words' log-probabilities, and their mean.
+
+    With ``counts`` of buckets and ``words`` (see ``word_counts``), probabilities are those of words, a word that wasn't
+    counted being taken as seen once; otherwise they are those of buckets.
+    """
+    head, share = [], np.zeros(VOCABULARY)
+    if words is not None:
+        words = words.withColumn("level", F.floor(F.log2(F.col("n").cast("double")) * 16))
+        lowest, sum_ = 1 << 20, 0
+        for r in sorted(words.groupBy("level").count().collect(), key=lambda r: -r["level"]):  # at most 16 * 63 rows
+            sum_ += r["count"]
+            if sum_ > HEAD:
+                break
+            lowest = r["level"]
+        head = words.where(F.col("level") >= lowest).collect()  # at most HEAD rows
+        share = np.round(-np.log(np.maximum(counts, 1)), 3)
+    known = np.array([r["word"] for r in head], np.int64).view(np.uint64)
+    order = np.argsort(known)
+    gain = np.round(np.log(np.array([r["n"] for r in head], float)), 3)[order]
+    shipped = docs.sparkSession.sparkContext.broadcast((net.flat, place, share, known[order], gain))
+    split = words is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, place = shipped.value
-        net = Network(flat)
+        flat, place, share, known, gain = shipped.value
+        net, row = Network(flat), TaskContext.get().partitionId() << 40
         for batch in batches:
-            sizes, sums = [], []
+            sizes, sums, others, other_sizes = [], [], [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
             for _, word, bounds in blocks(batch.column("text")):
-                p = place[buckets(word)]
+                bucket = buckets(word)
+                p = place[bucket]
                 near = neighbours(p, bounds)
                 each = [net.log_probability(near[at : at + AT_ONCE], p[at : at + AT_ONCE]) for at in range(0, len(p), AT_ONCE)]
                 # Rounded, so that a document's score doesn't depend on what shares its block.
-                each = np.round(np.concatenate([np.zeros(0), *each]), 3)
+                each = np.round(np.concatenate([np.zeros(0), *each]), 3) + share[bucket]
+                if split:
+                    found = np.zeros(len(word), bool)
+                    if len(known):
+                        at = np.minimum(np.searchsorted(known, word), len(known) - 1)
+                        found = known[at] == word
+                        each += np.where(found, gain[at], 0)
+                    others.append(word[~found])
+                    other_sizes.append(np.diff(np.concatenate([[0], np.cumsum(~found)])[bounds]))
                 total = np.concatenate([[0.0], np.cumsum(each)])
                 sizes.append(np.diff(bounds))
                 sums.append(np.round(total[bounds[1:]] - total[bounds[:-1]], 3))
             n, s = np.concatenate([np.zeros(0, np.int64), *sizes]), np.concatenate([np.zeros(0), *sums])
-            mean = pa.array(np.round(s / np.maximum(n, 1), 6), pa.float64(), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(s, pa.float64()), mean], [x.split()[0] for x in SCORES.split(", ")])
-
-    return docs.select("doc_id", "text").mapInArrow(run, SCORES)
-
-
-def fit(docs: DataFrame) -> tuple[Network, np.ndarray]:
-    counts = bucket_counts(docs)
+            cuts = np.cumsum(np.concatenate(other_sizes)) if split else np.zeros(len(n) + 1)
+            rest = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(np.concatenate(others).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(len(n))), batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(s, pa.float64()), rest], ["row", "doc_id", "n_words", "s", "rest"])
+            row += len(n)
+
+    scored = docs.select("doc_id", "text").mapInArrow(run, "row long, doc_id long, n_words long, s double, rest array<long>")
+    if words is not None:
+        scored = materialize(scored, "scored")
+        more = splittable_join(scored.select("row", F.explode("rest").alias("word")), words.where("n > 1").select("word", "n"), "word")
+        more = more.groupBy("row").agg(F.sum(F.round(F.log(F.col("n").cast("double")), 3)).alias("more"))
+        scored = scored.drop("rest").join(more, "row", "left").withColumn("s", F.round(F.col("s") + F.coalesce("more", F.lit(0.0)), 3))
+    mean = F.when(F.col("n_words") > 0, F.round(F.col("s") / F.col("n_words"), 6))
+    return scored.select("doc_id", "n_words", F.col("s").alias("log_likelihood"), mean.alias("mean_log_likelihood"))
+
+
+def fit(docs: DataFrame, counts: np.ndarray | None = None) -> tuple[Network, np.ndarray]:
+    counts = bucket_counts(docs) if counts is None else counts
     place = places(counts)
     return train(docs, beginning(counts, place), place), place
 
 
 def op4_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    net, place = fit(docs)
-    return score(docs, net, place)
+    counts = bucket_counts(docs)
+    net, place = fit(docs, counts)
+    return score(docs, net, place, counts, word_counts(docs))

@@ -156,3 +156,42 @@ def test_lm_table(spark):
     empty = table(spark, [])
     net, place = lm.fit(empty)
     assert lm.score(empty, net, place).count() == 0
+
+
+def test_every_word_is_trained_on(spark, monkeypatch):
+    texts = [f"w{i}" for i in range(40)] + ["a b c", None, ""]
+    seen = []
+    monkeypatch.setattr(lm.Network, "step", lambda self, near, place, rate: seen.append(len(place)))
+    monkeypatch.setattr(lm.TaskContext, "get", lambda: type("T", (), {"partitionId": lambda self: 0})())
+
+    class Docs:  # runs the function of the partitions here
+        sparkSession = spark
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):
+            self.rows = [b.column("seen")[0].as_py() for b in run([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])])]
+            return spark.createDataFrame([], schema)
+
+    docs, counts = Docs(), np.ones(lm.VOCABULARY)
+    lm.train(docs, lm.beginning(counts, lm.places(counts)), lm.places(counts))
+    assert sum(seen) == 43 and docs.rows == [43]
+
+
+def test_words_split_the_probability_of_their_bucket(spark, monkeypatch):
+    monkeypatch.setattr(lm, "HEAD", 5)
+    texts = [" ".join(f"word{j % 97}" for j in range(i, 3 * i)) for i in range(60)] + [f"rare{i} word1" for i in range(6000)] + [None, ""]
+    docs = table(spark, texts, [(None, "word1 word2", None, None, None)] * 2)
+    counts, words = lm.bucket_counts(docs), lm.word_counts(docs)
+    net, place = lm.fit(docs, counts)
+    plain = {r["doc_id"]: r for r in lm.score(docs, net, place).collect()}
+    got = lm.score(docs, net, place, counts, words).collect()
+    n = {r["word"]: r["n"] for r in words.collect()}
+    assert sum(n.values()) == counts.sum() and len(n) > lm.VOCABULARY
+    assert len(got) == len(texts) + 2 and sum(r["doc_id"] is None for r in got) == 2
+    for r in got:
+        text = texts[r["doc_id"]] if r["doc_id"] is not None else "word1 word2"
+        word = np.concatenate([np.zeros(0, np.uint64), *(w for _, w, _ in lm.blocks(pa.array([text], pa.string())))])
+        more = sum(np.log(n[int(w)] / counts[b]) for w, b in zip(word.view(np.int64), lm.buckets(word), strict=True))
+        assert r["log_likelihood"] == pytest.approx(plain[r["doc_id"]]["log_likelihood"] + more, abs=0.002 * len(word) + 0.002)
