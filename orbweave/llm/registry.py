@@ -19,7 +19,6 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op1_warc": warc.ORACLE,
-    "op7_spotsigs": spotsigs.op7_spotsigs,
     "op8_line_dedup": line_dedup.ORACLE,
     "op9_quotes": chat.ORACLE,
     "op10_mix": mixing.ORACLE,

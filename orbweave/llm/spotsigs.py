@@ -182,9 +182,10 @@ def similar(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sigs = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.substring(F.col("fingerprint"), (i * 8 + 1).cast("int"), F.lit(8)))
     part = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(THRESHOLD)) + F.lit(1e-9))
     need = F.ceil(F.lit(THRESHOLD) * F.col("n"))
-    both = lambda items: F.flatten(F.transform(F.array("part", F.col("part") - 1), lambda p: F.transform(items, lambda s: F.xxhash64(s, p))))
-    sets = reps.select("doc_id", F.col("n").alias("n_shingles"), "n", "fingerprint", part.alias("part"), sigs.alias("sigs"))
-    sets = sets.select("doc_id", "n_shingles", both(F.slice("sigs", 1, ngram_join.EARLY)).alias("early"), F.lit(0).cast("long").alias("rare"), both(F.slice("sigs", F.lit(1), (F.col("n") - need + 1).cast("int"))).alias("prefix"))
+    inside = lambda items: F.transform(items, lambda s: F.xxhash64(s, "part"))
+    # A row for each partition that a set enters, so that places in a prefix count from its beginning.
+    sets = reps.select("doc_id", F.col("n").alias("n_shingles"), "n", F.explode(F.array(part, part - 1)).alias("part"), sigs.alias("sigs"))
+    sets = sets.select("doc_id", "n_shingles", inside(F.slice("sigs", 1, ngram_join.EARLY)).alias("early"), F.lit(0).cast("long").alias("rare"), inside(F.slice("sigs", F.lit(1), (F.col("n") - need + 1).cast("int"))).alias("prefix"))
     first = _alike(ngram_join.neighbour_pairs(sets), reps)
     labels = connected_components(first.select("a", "b"))
     marked = sets.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))

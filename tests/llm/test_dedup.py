@@ -221,3 +221,29 @@ def test_similar_equals_brute_force(spark):
                 label[max(x, y)] = min(x, y)
     assert {x[0]: x[1] for x in comp.collect()} == {i: root(i) for i in sets}
     assert all(spotsigs.jaccard(sets[a], sets[b]) == j for a, b, j in links.collect())
+
+
+def test_similar_across_length_partitions_in_a_large_group(spark):
+    import zlib
+
+    r = random.Random(3)
+    spots = sorted({"the " + " ".join(words(r, 2)) for _ in range(3000)}, key=lambda s: zlib.crc32(s.encode()))
+    common, own = spots[:8], spots[8:]  # all documents share the signatures that come first
+    r.shuffle(own)
+    rows = []
+    for f in range(60):
+        mine = own[f * 40 : f * 40 + 40]
+        rows += [(f, " ".join(common + mine[:12])), (100 + f, " ".join(common + mine[20:34])), (200 + f, " ".join(common + mine[:16]))]
+    sets = {i: spotsigs.signatures(t) for i, t in rows}
+    assert {len(s) for s in sets.values()} == {20, 22, 24}
+    want = {(a, b) for a in sets for b in sets if a < b and spotsigs.jaccard(sets[a], sets[b]) >= spotsigs.THRESHOLD}
+    assert len(want) == 60
+    comp, links = spotsigs.similar(spark.createDataFrame(rows, SCHEMA))
+    assert {(x["a"], x["b"]) for x in links.collect()} == want
+    assert {x["doc_id"]: x["component_id"] for x in comp.collect()} == {i: i - 200 if i >= 200 else i for i in sets}
+
+
+def test_no_query_is_its_own_oracle():
+    from orbweave.llm import registry
+
+    assert all(isinstance(sql, str) for sql in registry.ORACLES.values())
