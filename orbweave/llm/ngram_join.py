@@ -11,11 +11,15 @@ Equal sets form one class, which its smallest doc_id stands for; only representa
 3. *All others.* The prefix of n - ceil(0.75 n) + 1 n-grams in the global order must share an n-gram with that of any
    set that links (prefix filter), at positions that leave room for the overlap (position filter). N-grams whose
    holders all carry one label are skipped; the remaining pairs with different labels are compared, so no link between
-   components is lost, and none within one is needed.
+   labels is lost.
 4. *Comparison.* Pairs that a 256-bit one-bit minhash rules out are dropped (a pair at the threshold is lost with a
    probability below 1e-11). For the rest, both whole texts meet, the partners' n-gram sets go into a trie in hash
    order, and the other set walks it: shared beginnings are counted once, and a subtree whose remaining length cannot
-   reach the required overlap is left. The overlap is exact.
+   cannot reach the required overlap is left. The overlap is exact.
+5. *Links within a label.* Components need none beyond the first ones, but the join does: the sets of a label are dealt
+   into blocks of about BLOCK, and every two blocks meet in a cell, where the sets of one walk the trie of the other.
+   Each text goes to one cell for each block of its label. The links of a group of near copies grow with its square;
+   links per document are counted in the cells, so that only counts leave them.
 
 Sets are written once with their prefixes, and each phase that follows reads them. Nothing but counts reaches the
 driver. An empty or null text has an empty set and links with nothing. A null doc_id is counted but linked with
@@ -47,6 +51,8 @@ EARLY = 8
 SLOTS, TABLE_BLOCKS = 1 << 22, 64
 #: Most rows of ids and labels (8 or 16 bytes each) that are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
+#: Sets of a label that are compared at once with as many others.
+BLOCK = 256
 #: One-bit minhashes, and the equal ones below which a pair is not compared.
 BITS, LEAST_EQUAL = 256, 184
 
@@ -359,11 +365,64 @@ def linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return met.mapInArrow(run, "a long, b long, overlap long")
 
 
+def within(labels: DataFrame, docs: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """All links (a, b, overlap) of nodes with one label; or with ``sizes`` (node, size), parts of (node, n): the sizes of its partners."""
+    blocks = labels.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).alias("k"))
+    nodes = splittable_join(labels, blocks, "label").withColumn("own", F.pmod(F.xxhash64("node"), "k"))
+    nodes = splittable_join(nodes, sizes, "node") if sizes is not None else nodes.withColumn("size", F.lit(1).cast("long"))
+    nodes = materialize(nodes.withColumnRenamed("node", "doc_id"), "label-blocks")
+    texts = docs.select("doc_id", "text").join(small(nodes), "doc_id").dropDuplicates(["doc_id"])
+    cell = lambda x, y, side: F.struct(x.alias("x"), y.alias("y"), F.lit(side).alias("side"))
+    own = F.col("own")
+    cells = F.concat(F.transform(F.sequence(F.lit(0).cast("long"), own), lambda i: cell(i, own, 0)), F.transform(F.sequence(own, F.col("k") - 1), lambda i: cell(own, i, 1)))
+    met = texts.select("label", "doc_id", "size", "text", F.explode(cells).alias("cell")).select("label", "cell.*", "doc_id", "size", "text")
+    counting = sizes is not None
+    names = ["node", "n"] if counting else ["a", "b", "overlap"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, trie, found, counts = None, GramTrie(), [], {}
+
+        def send() -> pa.RecordBatch:
+            rows = list(counts.items()) if counting else found
+            out = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(len(names))], names)
+            found.clear()
+            counts.clear()
+            return out
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("label", "x", "y", "side", "doc_id", "size")]
+            for label, x, y, side, a, size, g in zip(*columns, gram_sets(batch.column("text"), WORDS), strict=True):
+                if (label, x, y) != key:
+                    key, trie = (label, x, y), GramTrie()
+                if not len(g):
+                    continue
+                if side == 0:
+                    trie.add(g, (a, size))
+                    continue
+                for (b, other), n in trie.search(g):
+                    if x == y and b <= a:  # in the cell of a block with itself, both ways are found
+                        continue
+                    if counting:
+                        counts[a] = counts.get(a, 0) + other
+                        counts[b] = counts.get(b, 0) + size
+                    else:
+                        found.append((min(a, b), max(a, b), n))
+                if len(found) + len(counts) > 1 << 18:
+                    yield send()
+        yield send()
+
+    met = met.repartition("label", "x", "y").sortWithinPartitions("label", "x", "y", "side")
+    return met.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
+
 def classes_and_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(doc_id, n_shingles, rep) for every row; (a, b, overlap) links of representatives; (node, label) of their components.
+    """(doc_id, n_shingles, rep) for every row; all (a, b, overlap) links of representatives; (node, label) of their components."""
+    members, first, labels, more = _joined(docs)
+    return members, materialize(within(labels, docs), "links").unionByName(more), connected_components(first.unionByName(more).select("a", "b"))
 
-    The links join all components; links within one that is joined already aren't looked for.
-    """
+
+def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(doc_id, n_shingles, rep) for every row; first links of representatives; (node, label) of their components; all links between different labels."""
     spark = docs.sparkSession
     sets = materialize(gram_rows(docs, levels(count_table(docs))), "gram-sets")
     key = F.xxhash64("k1", "k2", "n_shingles")
@@ -383,20 +442,36 @@ def classes_and_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     marked = alone.join(small(labels.withColumnRenamed("node", "doc_id")), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
     rest = materialize(likely(label_pairs(marked), alone), "pairs")
     release(spark)
-    more = materialize(linked(rest, docs), "links")
-    links = first.unionByName(more)
-    return members, links, connected_components(links.select("a", "b"))
+    return members, first, labels, materialize(linked(rest, docs), "links")
+
+
+def _with_components(members: DataFrame, first: DataFrame, more: DataFrame) -> DataFrame:
+    labels = connected_components(first.unionByName(more).select("a", "b"))
+    out = splittable_join(members, labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
+    return out.withColumn("component_id", F.coalesce("label", "rep"))
 
 
 def components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text)."""
-    members, _, labels = classes_and_links(docs)
-    out = splittable_join(members, labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_id"))
+    members, first, _, more = _joined(docs)
+    return _with_components(members, first, more).select("doc_id", "n_shingles", "component_id")
+
+
+def components_and_links(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, and n_links: how many other documents each row's document links with."""
+    members, first, labels, more = _joined(docs)
+    alike = members.where("n_shingles > 0 AND doc_id IS NOT NULL").select("rep", "doc_id").distinct()
+    sizes = materialize(alike.groupBy(F.col("rep").alias("node")).agg(F.count("*").alias("size")), "class-sizes")
+    ways = more.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("l")).select(F.col("l.a").alias("to"), F.col("l.b").alias("node"))
+    across = splittable_join(ways, sizes, "node").select(F.col("to").alias("node"), F.col("size").alias("n"))
+    parts = within(labels, docs, sizes).unionByName(across).unionByName(sizes.select("node", (F.col("size") - 1).alias("n")))
+    counts = materialize(parts.groupBy("node").agg(F.sum("n").alias("n_links")), "link-counts")
+    out = splittable_join(_with_components(members, first, more), counts.withColumnRenamed("node", "rep"), "rep", "left")
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return components_and_links(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def brute_force(rows: list[tuple[int, str | None]]) -> dict[int, tuple[int, int]]:

@@ -247,3 +247,36 @@ def test_no_query_is_its_own_oracle():
     from orbweave.llm import registry
 
     assert all(isinstance(sql, str) for sql in registry.ORACLES.values())
+
+
+def all_links(sets):
+    """Pairs of ids (a < b) whose sets link, with the overlap."""
+    ids, out = sorted(i for i in sets if len(sets[i])), {}
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            n = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+            if 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n):
+                out[a, b] = n
+    return out
+
+
+def test_all_links_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    r = random.Random(12)
+    base, rows = words(r, 100), families(6, 6, 7) + ODD
+    for i in range(120):  # near copies, many of which link with many others
+        w = base[:]
+        for _ in range(r.randrange(0, 4)):
+            w[r.randrange(len(w))] = f"e{r.randrange(10**6)}"
+        rows.append((2000 + i, " ".join(w)))
+    rows += [(3000, rows[0][1]), (None, rows[0][1]), (None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    sets = dict(zip([i for i, _ in rows if i is not None], shingles.gram_sets([t for i, t in rows if i is not None], 5), strict=True))
+    want = all_links(sets)
+    members, links, _ = ngram_join.classes_and_links(docs)
+    reps = {x["rep"] for x in members.collect()}
+    assert sorted(tuple(x) for x in links.collect()) == sorted((a, b, n) for (a, b), n in want.items() if a in reps and b in reps)
+    got = ngram_join.components_and_links(docs).collect()
+    ends = [i for pair in want for i in pair]
+    assert sorted((x["doc_id"], x["n_links"]) for x in got if x["doc_id"] is not None) == sorted((i, ends.count(i)) for i in sets)
+    assert [x["n_links"] for x in got if x["doc_id"] is None] == [0, 0] and len(got) == len(rows)
