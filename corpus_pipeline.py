@@ -27,10 +27,15 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group that links by shared word 5-grams; rows that repeat it go too."""
+    """The first document of each group that links by shared word 5-grams.
+
+    Rows without doc_id link with nothing and all stay as documents of their own. Rows that share a doc_id are one
+    document of the join and stay or go together. Of rows that repeat both doc_id and text, one stays.
+    """
     labels = ngram_join.components(docs)
     first = labels.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    docs = docs.select(*COLUMNS)
+    return docs.join(first, "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL")).dropDuplicates(["doc_id", "text"])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -156,3 +156,13 @@ def test_pipeline(spark):
     assert set(kept[3]) <= set(kept[2]) and set(kept[4]) == set(kept[3])
     for i, x in kept[4].items():
         assert bpe.load().decode(x["ids"]).decode() == kept[3][i]["text"]
+
+
+def test_near_duplicates_keep_rows_without_ids_and_other_texts(spark):
+    import corpus_pipeline as cp
+
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, long), (2, long + " end"), (None, "p q r"), (None, "s t u"), (None, "s t u"), (5, "a b c d e f"), (5, "g h i j k l"), (5, "a b c d e f")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(x["doc_id"], x["text"]) for x in cp.near_duplicates(spark, docs, "").collect()]
+    assert sorted(got, key=str) == sorted({(i, t) for i, t in rows if i != 2}, key=str)
