@@ -13,6 +13,34 @@ from pyspark.sql import functions as F
 QUERY_BLOCK = 2048
 
 
+def _best(square: np.ndarray, p: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, digits: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and distances of the k best values for each query, by (distance, id); infinite beyond the values there are.
+
+    The matrix product cancels for near vectors, so every value that may be among the best within the rounding of
+    ``square`` and of ``digits`` is measured again, however many tie.
+    """
+    k = min(k, len(x))
+    error = 4 * np.finfo(float).eps * (x.shape[1] + 4) * ((p**2).sum(1) + (x**2).sum(1).max())
+    far = np.sqrt(np.maximum(np.partition(square, k - 1, axis=1)[:, k - 1], 0) + error) + (10.0**-digits if digits is not None else 0)
+    keep = square <= (far**2 + error)[:, None] * (1 + 1e-12)
+    near, dist = np.zeros((len(p), k), np.int64), np.full((len(p), k), np.inf)
+    ends = np.cumsum(keep.sum(1))
+    step = max(1, (1 << 22) // max(1, x.shape[1]))  # pairs that are measured at once, or one query's
+    at = 0
+    while at < len(p):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + step, "right")))
+        row, col = np.nonzero(keep[at:to])
+        exact = np.sqrt(((p[at + row] - x[col]) ** 2).sum(1))
+        exact = np.round(exact, digits) if digits is not None else exact
+        order = np.lexsort((ids[col], exact, row))
+        row, col, exact = row[order], col[order], exact[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        some = place < k
+        near[at + row[some], place[some]], dist[at + row[some], place[some]] = ids[col[some]], exact[some]
+        at = to
+    return near, dist
+
+
 def nearest_vectors(queries: DataFrame, values: DataFrame, k: int, digits: int | None = None, id: str = "id", vector: str = "embedding", value_blocks: int | None = None) -> DataFrame:
     """(query_id, value_id, distance, place): the k nearest values of each query, exactly, by Euclidean distance.
 
@@ -53,12 +81,9 @@ def nearest_vectors(queries: DataFrame, values: DataFrame, k: int, digits: int |
                     for at in range(0, len(points), QUERY_BLOCK):
                         p = points[at : at + QUERY_BLOCK]
                         square = (p**2).sum(1)[:, None] - 2 * p @ x[part].T + (x[part] ** 2).sum(1)
-                        # The product cancels for near vectors, so those that may be among the best are measured again.
-                        keep = min(len(part), 2 * k + 8)
-                        some = np.argpartition(square, keep - 1, axis=1)[:, :keep]
-                        exact = np.sqrt(((p[:, None, :] - x[part][some]) ** 2).sum(2))
-                        near.append(ids[part][some])
-                        dist.append(np.round(exact, digits) if digits is not None else exact)
+                        found = _best(square, p, x[part], ids[part], k, digits)
+                        near.append(found[0])
+                        dist.append(found[1])
                     near, dist = np.concatenate(near), np.concatenate(dist)
                     if best is not None:
                         near, dist = np.concatenate([best[0], near], 1), np.concatenate([best[1], dist], 1)

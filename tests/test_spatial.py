@@ -143,3 +143,16 @@ def test_vectors(spark):
         got.setdefault(r["query_id"], []).append(r["value_id"])
     d = np.linalg.norm(x[:, None] - x[None], axis=2)
     assert got == {i: np.argsort(d[i], kind="stable")[:6].tolist() for i in range(0, 300, 20)}
+
+
+def test_nearest_vectors_of_equal_values(spark):
+    import numpy as np
+
+    ids = list(range(300))
+    np.random.default_rng(4).shuffle(ids)
+    v = spark.createDataFrame([(i, [1.0, 2.0, 3.0 + (i >= 280)]) for i in ids], "id long, embedding array<double>")
+    for digits in (None, 6):
+        got = nearest_vectors(v.where("id IN (7, 290)"), v, 4, digits, value_blocks=2).orderBy("query_id", "place").collect()
+        assert [(r["query_id"], r["value_id"], r["distance"]) for r in got] == [(q, lo + i, 0.0) for q, lo in ((7, 0), (290, 280)) for i in range(4)]
+    few = nearest_vectors(v.where("id = 3"), v.where("id < 2"), 4, value_blocks=3).orderBy("place").collect()
+    assert [r["value_id"] for r in few] == [0, 1]
