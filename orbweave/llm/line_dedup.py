@@ -1,83 +1,114 @@
 """Line dedup with a log-template tree of fixed depth.
 
-A line goes down the tree by its token count, then by its leading tokens, to the template that holds its remaining
-tokens; tokens with a digit are variable fields, generalised to ``<*>`` at every level. A template recurs if it
-stands in MIN_DOCS documents, or in MIN_DOCS_LONG if it has LONG tokens or more. Its first line (lowest doc_id, then
-position) stays and all others are dropped. A document of which more than WHOLE of the tokens would go is a copy
-rather than a carrier of boilerplate and is left as it is, for document-level deduplication.
-
-Only DataFrame functions run. Templates are 128-bit hashes, so what is shuffled for a line doesn't depend on its
-length; documents are counted for each template after a first aggregation by template and document, and the join
-back is one that adaptive execution can split, so a line that stands in a third of all documents does not meet in one
-task. Texts are joined once, with the positions to drop.
-
-Null texts stay null. Empty texts and lines of fewer than MIN_TOKENS tokens are kept. A null doc_id comes first in
-order. Rows that repeat both doc_id and text count as one document and are treated alike. Extra columns are kept. An
-empty table gives an empty table.
+A line goes down the tree by its token count, then by its DEPTH leading tokens, to a leaf; tokens with a digit are
+variable fields, ``<*>`` at every level. In a leaf, a token is fixed if it holds its position in LEAF_DOCS texts and
+in LEAF_SHARE of the leaf's; where at least FIXED_SHARE of a line's positions below the lead are fixed, the others
+become ``<*>``. Lines that then are equal share a template, so a name or a title that varies is generalised although
+it has no digit. Other lines are templates of their own.
+
+A template recurs if it stands in as many texts as TIERS asks for its length, or LEAF_DOCS if its leaf generalised it.
+Its first line (lowest doc_id, then position) stays, all others are dropped. Equal texts are one text here: a line
+recurs in different texts, and copies of a whole text are treated alike. Lines of which more than half of the tokens
+are variable are never dropped.
+
+Only DataFrame functions run. Lines are grouped by 64-bit hashes of their template within leaves (token count and a
+64-bit hash of the lead), and texts are told apart by 64-bit hashes, so what is shuffled for a line doesn't depend on
+its length. Texts are counted for each template after a first aggregation by template and text. Tokens are only
+compared for leaves that have several templates and enough texts, over distinct templates. Joins back are ones that
+adaptive execution can split, so a line that stands in a third of all documents does not meet in one task.
+
+Null texts stay null; empty texts stay empty. A null doc_id comes first in order. A document may lose all its lines
+and is empty then. Extra columns are kept, whatever their names; ``lines_dropped`` is replaced. An empty table gives
+an empty table.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbweave.plans.shared import materialize
+from orbweave.plans.shared import materialize, splittable_join
 
-MIN_TOKENS, LONG = 5, 20
-MIN_DOCS, MIN_DOCS_LONG = 10, 3
+#: (least tokens, least texts): long lines recur from two texts on, very short ones from a hundred.
+TIERS = ((20, 2), (5, 10), (1, 100))
 #: Leading tokens of which each is a level of the tree.
 DEPTH = 3
-#: Share of tokens.
-WHOLE = 0.6
+#: Texts, and share of a leaf's texts, in which a fixed token holds its position; share of positions that are fixed.
+LEAF_DOCS, LEAF_SHARE, FIXED_SHARE = 10, 0.2, 0.7
 
-SPACE = r"[ \t\r\f]+"
 #: From the start of a token that has a digit to its end.
 VARIABLE = r"(?<![^ \t\r\f])[^ \t\r\f0-9]*+[0-9][^ \t\r\f]*"
+MISSING = -(1 << 63)
+LEAF = ["tokens", "lead"]
 
 
 def generalised(line: Column) -> Column:
     """The line with single spaces and its variable fields as ``<*>``."""
     masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, VARIABLE, "<*>")).otherwise(line)
-    return F.trim(F.regexp_replace(masked, SPACE, " "))
+    plain = F.trim(F.translate(masked, "\t\r\f", "   "))
+    return F.when(plain.contains("  "), F.regexp_replace(plain, " +", " ")).otherwise(plain)
 
 
 def _tokens(text: Column) -> Column:
     """Token count of text with single spaces."""
-    return F.when(text == "", 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1)
+    return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1
 
 
 def template_lines(docs: DataFrame) -> DataFrame:
-    """A row for each line that is long enough: document (doc_id, text_hash), position, and its way down the tree."""
-    lines = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    lines = lines.withColumn("t", generalised(F.col("line"))).withColumn("tokens", _tokens(F.col("t"))).where(F.col("tokens") >= MIN_TOKENS)
-    lead = F.substring_index("t", " ", DEPTH)
-    return lines.select("doc_id", "text_hash", "pos", "tokens", F.xxhash64(lead).alias("lead"), F.xxhash64("t", F.lit(8)).alias("template"))
+    """A row for each line that may recur: doc_id d, text h, position, and its way down the tree."""
+    lines = docs.where(F.col("text").isNotNull()).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(MISSING)).alias("d"), F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    lines = lines.withColumn("t", generalised(F.col("line"))).where("t <> ''").withColumn("tokens", _tokens(F.col("t")))
+    fields = F.when(F.col("t").contains("<*>"), F.size(F.filter(F.split("t", " "), lambda x: x == "<*>"))).otherwise(0)
+    lines = lines.where(fields * 2 <= F.col("tokens"))
+    return lines.select("d", "h", "pos", "tokens", F.xxhash64(F.substring_index("t", " ", DEPTH)).alias("lead"), F.xxhash64("t").alias("template"), "t")
+
+
+def _counted(lines: DataFrame, *keys: str) -> DataFrame:
+    """For each group of lines the number of texts, and its first line."""
+    by_text = lines.groupBy(*keys, "h").agg(F.min("d").alias("d"), F.min("pos").alias("pos"))
+    return by_text.groupBy(*keys).agg(F.count("*").alias("docs"), F.min(F.struct("d", "h", "pos")).alias("first"))
+
+
+def leaf_templates(lines: DataFrame, templates: DataFrame) -> DataFrame:
+    """(tokens, lead, template, shape) of the lines that their leaf generalises; lines of one shape share a template."""
+    leaves = templates.where(F.col("tokens") > DEPTH).groupBy(*LEAF).agg(F.sum("docs").alias("n"), F.count("*").alias("k")).where((F.col("k") > 1) & (F.col("n") >= LEAF_DOCS))
+    some = templates.join(leaves.select(*LEAF, "n"), LEAF).select(*LEAF, "template", "docs", "n", "first")
+    # The tokens of each distinct template, from its first line.
+    text = lines.join(some, [*LEAF, "template"]).where("d = first.d AND h = first.h AND pos = first.pos").dropDuplicates([*LEAF, "template"])
+    token = text.select(*LEAF, "template", "docs", "n", F.posexplode(F.split("t", " ")).alias("p", "token")).where((F.col("p") >= DEPTH) & (F.col("token") != "<*>"))
+    place = [*LEAF, "p", "token"]
+    fixed = token.groupBy(*place, "n").agg(F.sum("docs").alias("held")).where((F.col("held") >= LEAF_DOCS) & (F.col("held") >= F.lit(LEAF_SHARE) * F.col("n")))
+    kept = token.join(fixed.select(*place), place, "left_semi")
+    shapes = kept.groupBy(*LEAF, "template").agg(F.count("*").alias("k"), F.array_sort(F.collect_list(F.struct("p", "token"))).alias("parts"))
+    below = F.col("tokens") - DEPTH
+    shapes = shapes.where((F.col("k") >= F.lit(FIXED_SHARE) * below) & (F.col("k") < below))
+    return shapes.select(*LEAF, "template", F.xxhash64("parts").alias("shape"))
 
 
 def recurring(lines: DataFrame) -> DataFrame:
-    """Leaf templates that recur, with their first line."""
-    leaf = ["tokens", "lead", "template"]
-    by_doc = lines.groupBy(*leaf, "doc_id", "text_hash").agg(F.min("pos").alias("pos"))
-    found = by_doc.groupBy(*leaf).agg(F.count("*").alias("docs"), F.min(F.struct("doc_id", "text_hash", "pos")).alias("first"))
-    return found.where((F.col("docs") >= MIN_DOCS) | ((F.col("docs") >= MIN_DOCS_LONG) & (F.col("tokens") >= LONG)))
+    """(tokens, lead, template, first): the templates that recur, with the first line of what they are generalised to."""
+    templates = materialize(_counted(lines, *LEAF, "template"), "templates")
+    shapes = materialize(leaf_templates(lines, templates), "leaf-templates")
+    wide = _counted(lines.join(shapes, [*LEAF, "template"]), *LEAF, "shape").where(F.col("docs") >= LEAF_DOCS)
+    wide = shapes.join(wide, [*LEAF, "shape"]).select(*LEAF, "template", F.col("first").alias("wide"))
+    often = reduce(lambda a, b: a | b, ((F.col("tokens") >= least) & (F.col("docs") >= docs) for least, docs in TIERS))
+    found = templates.join(wide, [*LEAF, "template"], "left").where(often | F.col("wide").isNotNull())
+    return found.select(*LEAF, "template", F.coalesce("wide", "first").alias("first"))
 
 
 def drop_recurring_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with text without the dropped lines, and lines_dropped."""
+    docs = docs.drop("lines_dropped")
     lines = materialize(template_lines(docs), "template-lines")
-    found = recurring(lines)
-    # The salt-free extra key makes both inputs exchanges of the join, which can be split.
-    extra = F.xxhash64("template", "lead", "tokens")
-    hits = lines.withColumn("k", extra).join(found.withColumn("k", extra), ["tokens", "lead", "template", "k"])
-    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash")) & (F.col("pos") == F.col("first.pos"))
-    missing = -(1 << 63)
-    drops = hits.where(~same).groupBy(F.coalesce("doc_id", F.lit(missing)).alias("d"), F.col("text_hash").alias("h")).agg(F.collect_list("pos").alias("drop"), F.sum("tokens").alias("gone"))
-    keyed = docs.withColumns({"d": F.coalesce("doc_id", F.lit(missing)), "h": F.xxhash64("text")})
-    joined = keyed.join(drops, ["d", "h"], "left")
-    total = _tokens(F.trim(F.regexp_replace("text", r"[ \t\r\f\n]+", " ")))
-    drops_it = F.col("drop").isNotNull() & (F.col("gone") <= WHOLE * total)
-    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("drop", i))
-    out = joined.withColumn("lines_dropped", F.when(drops_it, F.size("drop")).otherwise(0))
+    key = F.xxhash64("template", *LEAF)
+    hits = lines.withColumn("k", key).join(recurring(lines).withColumn("k", key), [*LEAF, "template", "k"])
+    gone = hits.where("NOT (h = first.h AND pos = first.pos)")
+    drops = gone.groupBy(F.col("h").alias("__h")).agg(F.collect_set("pos").alias("__drop"))
+    joined = splittable_join(docs.withColumn("__h", F.xxhash64("text")), drops, "__h", "left")
+    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__drop", i))
+    out = joined.withColumn("lines_dropped", F.when(F.col("text").isNull() | F.col("__drop").isNull(), 0).otherwise(F.size("__drop")))
     return out.withColumn("text", F.when(F.col("lines_dropped") > 0, F.array_join(kept, "\n")).otherwise(F.col("text"))).select(*docs.columns, "lines_dropped")
 
 
@@ -87,19 +118,23 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = rf"""
-WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
-s AS (SELECT doc_id, text, string_split(text, chr(10)) a FROM d),
-e AS (SELECT doc_id, text, unnest(a) line, unnest(range(len(a))) pos FROM s),
-t AS (SELECT doc_id, text, pos, line, trim(regexp_replace(regexp_replace(line, '[^ \t\r\f0-9]*[0-9][^ \t\r\f]*', '<*>', 'g'), '[ \t\r\f]+', ' ', 'g'), ' ') t FROM e),
-l AS (SELECT *, length(t) - length(replace(t, ' ', '')) + 1 tokens FROM t WHERE t <> ''),
-c AS (SELECT * FROM l WHERE tokens >= {MIN_TOKENS}),
-r AS (SELECT t, tokens, count(DISTINCT (doc_id, text)) docs, min((doc_id, pos)) first FROM c GROUP BY t, tokens),
-f AS (SELECT * FROM r WHERE docs >= {MIN_DOCS} OR (docs >= {MIN_DOCS_LONG} AND tokens >= {LONG})),
-g AS (SELECT c.doc_id, c.text, list(c.pos) drops, sum(c.tokens) gone FROM c JOIN f USING (t) WHERE (c.doc_id, c.pos) <> f.first GROUP BY ALL),
-w AS (SELECT doc_id, text, trim(regexp_replace(text, '[ \t\r\f\n]+', ' ', 'g'), ' ') flat FROM d),
-n AS (SELECT doc_id, text, CASE WHEN flat = '' THEN 0 ELSE length(flat) - length(replace(flat, ' ', '')) + 1 END total FROM w),
-k AS (SELECT g.doc_id, g.text, drops FROM g JOIN n ON g.doc_id = n.doc_id AND g.text = n.text WHERE gone <= {WHOLE} * total),
-u AS (SELECT doc_id, text, len(drops)::INT lines_dropped, array_to_string([line FOR line, i IN string_split(text, chr(10)) IF NOT list_contains(drops, i - 1)], chr(10)) clean FROM k)
+WITH d AS (SELECT text, min(doc_id) d FROM documents WHERE text IS NOT NULL GROUP BY text),
+s AS (SELECT d, string_split(text, chr(10)) a FROM d),
+e AS (SELECT d, unnest(a) line, unnest(range(len(a))) pos FROM s),
+t AS (SELECT d, pos, trim(regexp_replace(regexp_replace(line, '[^ \t\r\f0-9]*[0-9][^ \t\r\f]*', '<*>', 'g'), '[ \t\r\f]+', ' ', 'g'), ' ') t FROM e),
+l AS (SELECT d, pos, t, string_split(t, ' ') a FROM t WHERE t <> ''),
+c AS (SELECT d, pos, t, len(a) tokens, array_to_string(a[1:{DEPTH}], ' ') lead FROM l WHERE 2 * len([x FOR x IN a IF x = '<*>']) <= len(a)),
+r AS (SELECT t, tokens, lead, count(DISTINCT d) docs, min((d, pos)) first FROM c GROUP BY t, tokens, lead),
+f AS (SELECT tokens, lead, sum(docs) n FROM r WHERE tokens > {DEPTH} GROUP BY tokens, lead HAVING count(*) > 1 AND sum(docs) >= {LEAF_DOCS}),
+k AS (SELECT r.t, tokens, lead, docs, n, unnest(string_split(r.t, ' ')) token, unnest(range(tokens)) p FROM r JOIN f USING (tokens, lead)),
+b AS (SELECT * FROM k WHERE p >= {DEPTH} AND token <> '<*>'),
+m AS (SELECT tokens, lead, p, token FROM b GROUP BY tokens, lead, p, token, n HAVING sum(docs) >= {LEAF_DOCS} AND sum(docs) >= {LEAF_SHARE}::DOUBLE * n),
+g AS (SELECT t, tokens, lead, list((p, token) ORDER BY p) parts FROM b JOIN m USING (tokens, lead, p, token) GROUP BY t, tokens, lead HAVING count(*) >= {FIXED_SHARE}::DOUBLE * (tokens - {DEPTH}) AND count(*) < tokens - {DEPTH}),
+w AS (SELECT g.tokens, g.lead, parts, min((d, pos)) first FROM c JOIN g ON c.t = g.t GROUP BY g.tokens, g.lead, parts HAVING count(DISTINCT d) >= {LEAF_DOCS}),
+x AS (SELECT r.t, coalesce(w.first, r.first) first FROM r LEFT JOIN g ON g.t = r.t LEFT JOIN w ON w.tokens = g.tokens AND w.lead = g.lead AND w.parts = g.parts
+      WHERE w.first IS NOT NULL OR {" OR ".join(f"r.tokens >= {n} AND r.docs >= {k}" for n, k in TIERS)}),
+z AS (SELECT c.d, list(c.pos) drops FROM c JOIN x ON x.t = c.t WHERE (c.d, c.pos) <> x.first GROUP BY c.d),
+u AS (SELECT d.text, len(drops)::INT lines_dropped, array_to_string([line FOR line, i IN string_split(d.text, chr(10)) IF NOT list_contains(drops, i - 1)], chr(10)) clean FROM d JOIN z ON z.d = d.d)
 SELECT o.doc_id, coalesce(u.clean, o.text) AS text, coalesce(u.lines_dropped, 0)::INT lines_dropped, length(coalesce(u.clean, o.text)) n_chars
-FROM documents o LEFT JOIN u ON o.doc_id = u.doc_id AND o.text = u.text
+FROM documents o LEFT JOIN u ON o.text = u.text
 """
