@@ -1,26 +1,28 @@
 """Document fingerprints: SpotSigs.
 
 A signature is a common word (the anchor) with the chain of the CHAIN content words that follow it; punctuation and
-case don't count and other common words are passed over. A fingerprint is the set of the signatures' 32-bit hashes in
-order, as hex. A text with words but without any full chain has one signature, its whole word sequence. Sets are
+case don't count and other common words are passed over. A fingerprint is the set of the signatures' 64-bit hashes in
+order, as hex. A text with words but without any full chain has one signature, its whole word sequence; so has every
+text in a language without anchors here, which then is like another one only if their words are equal. Sets are
 partitioned by length so that only neighbouring partitions can hold similar ones, and compared by Jaccard with two
 prunings: sets whose lengths differ too much, and a merge that stops once the rest cannot reach the threshold.
 
 Null and empty texts have no signatures and the empty fingerprint; two empty fingerprints are alike (1). The next
-document is the next one by (doc_id, text), nulls first, and the first after the last; an only document follows
-itself. Extra columns are not carried. Very long texts are fingerprinted whole. An empty table gives an empty table.
+document is the next one by doc_id, nulls first, among equal ones by the text's xxhash64 and then by text, and the
+first after the last; an only document follows itself. Extra columns are not carried. Very long texts are
+fingerprinted whole. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import re
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbweave.llm import ngram_join
@@ -37,13 +39,17 @@ ANCHORS = frozenset(
 CHAIN = 2
 #: Similarity for near duplicates.
 THRESHOLD = 0.75
-#: Cells of the doc_id histogram for each partition.
-CELLS = 16
+#: Hexadecimal digits of a signature.
+DIGITS = 16
+#: Rank error of the doc_id quantiles: one part in so many of a partition.
+ACCURACY = 50
+MISSING = -(1 << 63)
 
 _WORD = re.compile(r"\w+")
+_md5 = hashlib.md5
 
 
-def signatures(text: str | None) -> list[int]:
+def signatures(text: str | None) -> list[str]:
     """Hashes of a text's signatures, sorted and distinct."""
     words = _WORD.findall((text or "").lower())
     content, spots = [], []
@@ -56,19 +62,18 @@ def signatures(text: str | None) -> list[int]:
     found = {" ".join((w, *content[i : i + CHAIN])) for w, i in spots if i <= last}
     if not found and words:
         found = {" ".join(words)}
-    return sorted({zlib.crc32(s.encode("utf-8", "surrogatepass")) for s in found})
+    return sorted({_md5(s.encode("utf-8", "surrogatepass"), usedforsecurity=False).hexdigest()[:DIGITS] for s in found})
 
 
-def to_hex(sigs: list[int]) -> str:
-    return "".join([f"{s:08x}" for s in sigs])
+def to_hex(sigs: list[str]) -> str:
+    return "".join(sigs)
 
 
-def from_hex(fingerprint: str) -> list[int]:
-    raw = bytes.fromhex(fingerprint)
-    return [int.from_bytes(raw[i : i + 4]) for i in range(0, len(raw), 4)]
+def from_hex(fingerprint: str) -> list[str]:
+    return [fingerprint[i : i + DIGITS] for i in range(0, len(fingerprint), DIGITS)]
 
 
-def jaccard(a: list[int], b: list[int], threshold: float = 0.0) -> float:
+def jaccard(a: list[str], b: list[str], threshold: float = 0.0) -> float:
     """Jaccard similarity of sorted sets; 0 where pruning shows it to be below ``threshold``."""
     if not a or not b:
         return float(not a and not b)
@@ -94,35 +99,47 @@ def jaccard(a: list[int], b: list[int], threshold: float = 0.0) -> float:
     return out if out >= threshold else 0.0
 
 
+def _bounds(keyed: DataFrame, partitions: int) -> list[tuple[int, int]]:
+    """Lower bounds (key, text hash) of ranges with about equal numbers of rows; a key that fills several ranges is cut by its texts' hashes."""
+    shares = [i / partitions for i in range(1, partitions)]
+    cuts = keyed.agg(F.percentile_approx("key", shares, ACCURACY * partitions)).first()[0] if shares else None
+    out = [(MISSING, MISSING)]
+    for key, group in itertools.groupby(cuts or []):
+        n = len(list(group))
+        out += [(key, MISSING + i * ((1 << 64) // n)) for i in range(n)]
+    return sorted(set(out))
+
+
 def with_next(docs: DataFrame, partitions: int) -> DataFrame:
     """Rows of (doc_id, text) dealt by ranges of doc_id: each range also gets the first row of the next range as a guest.
 
-    The ranges come from a histogram of doc_id with a fixed number of cells; texts are shuffled once.
+    The ranges come from quantiles of doc_id; one number pair a range reaches the driver. Texts are shuffled once.
     """
-    missing = -(1 << 63)
-    keyed = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(missing)).alias("key"))
-    low, high = keyed.where("doc_id IS NOT NULL").agg(F.min("key"), F.max("key")).first()
-    cells = CELLS * partitions
-    cell = F.lit(0) if low is None or low == high else F.coalesce(F.width_bucket(F.col("key").cast("double"), F.lit(float(low)), F.lit(float(high)), F.lit(cells)), F.lit(0)).cast("int")
-    cell = F.when(F.col("doc_id").isNull(), 0).otherwise(cell)
-    counts = sorted(tuple(r) for r in keyed.groupBy(cell.alias("cell")).agg(F.count("*"), F.min("key")).collect())  # at most `cells` + 2 rows
-    total = max(1, sum(c[1] for c in counts))
-    range_of, firsts, seen = [0] * (cells + 2), {}, 0
-    for c, n, first in counts:
-        r = min(partitions - 1, seen * partitions // total)
-        range_of[c] = r
-        firsts.setdefault(r, first)
-        seen += n
+    keyed = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(MISSING)).alias("key"))
+    bounds = _bounds(keyed, partitions)
+    keyed = keyed.withColumn("th", F.xxhash64("text"))
+    ids = lambda values: F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+    # The last bound that isn't above a row, by halving steps.
+    n, steps = len(bounds), max(1, (len(bounds) - 1).bit_length())
+    key, text_hash = ids(k for k, _ in bounds), ids(h for _, h in bounds)
+
+    def step(at: Column, i: Column) -> Column:
+        to = at + F.element_at(F.array(*(F.lit(1 << (steps - 1 - j)) for j in range(steps))), i)
+        place = F.least(to, F.lit(n - 1)) + 1
+        k, h = F.element_at(key, place), F.element_at(text_hash, place)
+        return F.when((to < n) & ((k < F.col("key")) | ((k == F.col("key")) & (h <= F.col("th")))), to).otherwise(at)
+
+    placed = keyed.withColumn("own", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(0), step))
+    firsts = {r["own"]: (r["f"]["key"], r["f"]["th"]) for r in placed.groupBy("own").agg(F.min(F.struct("key", "th")).alias("f")).collect()}  # at most `partitions` rows
     order = sorted(firsts)
     before = {r: order[i - 1] for i, r in enumerate(order)}
-    ids = lambda values: F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
-    placed = keyed.withColumn("own", F.element_at(ids(range_of), cell + 1))
-    first = F.element_at(ids([firsts.get(r, 0) for r in range(partitions)]), (F.col("own") + 1).cast("int"))
-    guest = F.struct(F.element_at(ids([before.get(r, 0) for r in range(partitions)]), (F.col("own") + 1).cast("int")).alias("range"), F.lit(True).alias("guest"))
+    of = lambda values: F.element_at(ids(values), F.col("own") + 1)
+    is_first = (F.col("key") == of(firsts.get(r, (0, 0))[0] for r in range(n))) & (F.col("th") == of(firsts.get(r, (0, 0))[1] for r in range(n)))
+    guest = F.struct(of(before.get(r, 0) for r in range(n)).cast("int").alias("range"), F.lit(True).alias("guest"))
     own = F.struct(F.col("own").alias("range"), F.lit(False).alias("guest"))
-    dealt = placed.withColumn("to", F.explode(F.when(F.col("key") == first, F.array(own, guest)).otherwise(F.array(own))))
-    dealt = dealt.select("doc_id", "text", "key", "to.range", "to.guest")
-    return dealt.repartitionById(partitions, F.col("range").cast("int")).sortWithinPartitions("range", "guest", "key", "text")
+    dealt = placed.withColumn("to", F.explode(F.when(is_first, F.array(own, guest)).otherwise(F.array(own))))
+    dealt = dealt.select("doc_id", "text", "key", "th", "to.range", "to.guest")
+    return dealt.repartitionById(max(n, partitions), F.col("range")).sortWithinPartitions("range", "guest", "key", "th", "text")
 
 
 PAIRS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -179,13 +196,13 @@ def similar(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     prints = materialize(fingerprints(docs), "fingerprints")
     some = prints.where("n_signatures > 0 AND doc_id IS NOT NULL")
     reps = materialize(some.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"), F.first("n_signatures").alias("n")), "representatives")
-    sigs = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.substring(F.col("fingerprint"), (i * 8 + 1).cast("int"), F.lit(8)))
+    sigs = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.substring(F.col("fingerprint"), (i * DIGITS + 1).cast("int"), F.lit(DIGITS)))
     part = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(THRESHOLD)) + F.lit(1e-9))
     need = F.ceil(F.lit(THRESHOLD) * F.col("n"))
     inside = lambda items: F.transform(items, lambda s: F.xxhash64(s, "part"))
     # A row for each partition that a set enters, so that places in a prefix count from its beginning.
     sets = reps.select("doc_id", F.col("n").alias("n_shingles"), "n", F.explode(F.array(part, part - 1)).alias("part"), sigs.alias("sigs"))
-    sets = sets.select("doc_id", "n_shingles", inside(F.slice("sigs", 1, ngram_join.EARLY)).alias("early"), F.lit(0).cast("long").alias("rare"), inside(F.slice("sigs", F.lit(1), (F.col("n") - need + 1).cast("int"))).alias("prefix"))
+    sets = sets.select("doc_id", "n_shingles", inside(F.slice("sigs", 1, ngram_join.EARLY)).alias("early"), F.lit(0).cast("long").alias("rare"), inside(F.slice("sigs", F.lit(1), (F.col("n") - need + 1).cast("int"))).alias("prefix"), F.array().cast("array<long>").alias("hot"))
     first = _alike(ngram_join.neighbour_pairs(sets), reps)
     labels = connected_components(first.select("a", "b"))
     marked = sets.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
@@ -212,3 +229,45 @@ def _alike(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return edit_fingerprints(docs, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spotsigs_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, component_id: what fingerprints link that are at least THRESHOLD alike."""
+    return similar(spark.read.parquet(f"{sf_dir}/documents.parquet"))[0]
+
+
+def _signatures_sql(texts: str) -> str:
+    """CTEs from ``texts`` (doc_id, kind, t) to f (doc_id, kind, sorted list of signatures l)."""
+    anchors = ", ".join(f"'{w}'" for w in sorted(ANCHORS))
+    chain = " ".join(f"JOIN c c{i} ON c{i}.doc_id = m.doc_id AND c{i}.kind = m.kind AND c{i}.n = m.n + {i}" for i in range(1, CHAIN + 1))
+    return f"""{texts},
+w AS (SELECT doc_id, kind, regexp_extract_all(lower(t), '[\\p{{L}}\\p{{N}}_]+') ws FROM u),
+l AS (SELECT doc_id, kind, unnest(ws) word, unnest(range(len(ws))) p FROM w),
+a AS (SELECT *, word IN ({anchors}) anchor FROM l),
+m AS (SELECT *, count(*) FILTER (NOT anchor) OVER (PARTITION BY doc_id, kind ORDER BY p ROWS UNBOUNDED PRECEDING) n FROM a),
+c AS (SELECT doc_id, kind, n, word FROM m WHERE NOT anchor),
+h AS (SELECT m.doc_id, m.kind, list(DISTINCT substr(md5(concat_ws(' ', m.word, {", ".join(f"c{i}.word" for i in range(1, CHAIN + 1))})), 1, {DIGITS})) g FROM m {chain} WHERE m.anchor GROUP BY m.doc_id, m.kind),
+f AS (SELECT w.doc_id, w.kind, CASE WHEN g IS NOT NULL THEN list_sort(g) WHEN len(ws) > 0 THEN [substr(md5(array_to_string(ws, ' ')), 1, {DIGITS})] ELSE [] END l FROM w LEFT JOIN h USING (doc_id, kind))"""
+
+
+def _alike_sql(x: str, y: str) -> str:
+    same = f"len(list_intersect({x}, {y}))"
+    return f"CASE WHEN len({x}) = 0 OR len({y}) = 0 THEN (len({x}) = len({y}))::INT::DOUBLE ELSE {same}::DOUBLE / (len({x}) + len({y}) - {same}) END"
+
+
+ORACLE = _signatures_sql("""
+WITH o AS (SELECT doc_id, coalesce(text, '') t, row_number() OVER (ORDER BY doc_id) r, count(*) OVER () n FROM documents),
+x AS (SELECT a.doc_id, b.doc_id next_id, a.t, left(a.t, length(a.t) - length(a.t) // 2) || left(b.t, length(a.t) // 2) e FROM o a JOIN o b ON b.r = a.r % a.n + 1),
+u AS (SELECT doc_id, 0 kind, t FROM x UNION ALL SELECT doc_id, 1 kind, e FROM x)""") + f"""
+SELECT x.doc_id, length(x.t) n_chars, sha256(x.e) edited_sha256, array_to_string(s.l, '') fingerprint, array_to_string(c.l, '') edited_fingerprint, {_alike_sql("s.l", "c.l")} near_edited, {_alike_sql("s.l", "y.l")} near_next
+FROM x JOIN f s ON s.doc_id = x.doc_id AND s.kind = 0 JOIN f c ON c.doc_id = x.doc_id AND c.kind = 1 JOIN f y ON y.doc_id = x.next_id AND y.kind = 0
+"""
+
+NEAR_ORACLE = _signatures_sql("WITH RECURSIVE u AS (SELECT doc_id, 0 kind, coalesce(text, '') t FROM documents)") + f""",
+q AS (SELECT l, min(doc_id) rep, len(l) n FROM f WHERE len(l) > 0 GROUP BY l),
+i AS (SELECT rep, n, unnest(l) g FROM q),
+b AS (SELECT a.rep x, b.rep y FROM i a JOIN i b ON a.g = b.g AND a.rep <> b.rep GROUP BY a.rep, b.rep, a.n, b.n HAVING count(*)::DOUBLE / (a.n + b.n - count(*)) >= {THRESHOLD}),
+r(id, label) AS (SELECT rep, rep FROM q UNION SELECT b.y, r.label FROM r JOIN b ON b.x = r.id),
+z AS (SELECT id, min(label) label FROM r GROUP BY id)
+SELECT f.doc_id, coalesce(z.label, f.doc_id) component_id FROM f LEFT JOIN q ON q.l = f.l LEFT JOIN z ON z.id = q.rep
+"""
