@@ -5,17 +5,19 @@ Equal sets form one class, which its smallest doc_id stands for; only representa
 
 1. *Order.* A count-min table of fixed size over all n-grams of all documents gives each n-gram a level: 0 unless it
    is far more frequent than the table's noise. The global order is (level, hash), rare n-grams first.
-2. *First links.* Among the representatives that share one of their EARLY smallest hashes, each is compared with its
-   neighbour and with the plainest of its like; components of the links are labels. This is linear work in groups of
-   any size.
+2. *First links.* Among the representatives of like size that share one of their EARLY smallest hashes, each is
+   compared with its neighbour and with the plainest of its like; components of the links are labels. This is linear
+   work in groups of any size.
 3. *All others.* The prefix of n - ceil(0.75 n) + 1 n-grams in the global order must share an n-gram with that of any
    set that links (prefix filter), at positions that leave room for the overlap (position filter). N-grams whose
    holders all carry one label are skipped; the remaining pairs with different labels are compared, so no link between
-   labels is lost.
+   labels is lost. The holders of an n-gram that very many documents have are dealt into blocks, of which every two
+   meet in a task of their own.
 4. *Comparison.* Pairs that a 256-bit one-bit minhash rules out are dropped (a pair at the threshold is lost with a
-   probability below 1e-11). For the rest, both whole texts meet, the partners' n-gram sets go into a trie in hash
+   probability below 1e-11; ``sketched=False`` compares them all). For the rest, both whole texts meet, the partners' n-gram sets go into a trie in hash
    order, and the other set walks it: shared beginnings are counted once, and a subtree whose remaining length cannot
-   cannot reach the required overlap is left. The overlap is exact.
+   reach the required overlap is left. The overlap is exact. A trie holds at most TRIE_SETS sets; further ones go into
+   the next.
 5. *Links within a label.* Components need none beyond the first ones, but the join does: the sets of a label are dealt
    into blocks of about BLOCK, and every two blocks meet in a cell, where the sets of one walk the trie of the other.
    Each text goes to one cell for each block of its label. The links of a group of near copies grow with its square;
@@ -23,8 +25,8 @@ Equal sets form one class, which its smallest doc_id stands for; only representa
 
 Sets are written once with their prefixes, and each phase that follows reads them. Nothing but counts reaches the
 driver. An empty or null text has an empty set and links with nothing. A null doc_id is counted but linked with
-nothing and has a null component. Rows that repeat a doc_id are one node. Extra columns are not carried. An empty
-table gives an empty table.
+nothing and has a null component. Rows that repeat a doc_id are one node, whose text is the smallest of theirs; each
+row's own set is counted. Extra columns are not carried. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -51,8 +53,10 @@ EARLY = 8
 SLOTS, TABLE_BLOCKS = 1 << 22, 64
 #: Most rows of ids and labels (8 or 16 bytes each) that are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
-#: Sets of a label that are compared at once with as many others.
-BLOCK = 256
+#: Sets of a label that are compared at once with as many others, and sets of a trie.
+BLOCK, TRIE_SETS = 256, 4096
+#: N-grams of at least 2 ** (HOT - 1) documents have their holders dealt into blocks, twice as many for each level above.
+HOT = 13
 #: One-bit minhashes, and the equal ones below which a pair is not compared.
 BITS, LEAST_EQUAL = 256, 184
 
@@ -171,16 +175,16 @@ def count_table(docs: DataFrame, slots: int = SLOTS) -> np.ndarray:
 
 
 def levels(table: np.ndarray) -> np.ndarray:
-    """Level by slot: 0 up to the noise, then the binary logarithm of the count."""
+    """Level by slot: 0 up to the noise, then the binary logarithm of the count beyond it, and 1."""
     noise = float(np.median(table))
-    return np.where(table > noise + 6 * np.sqrt(noise) + 16, np.log2(np.maximum(table, 1)).astype(np.uint8) + 1, 0).astype(np.uint8)
+    return np.where(table > noise + 6 * np.sqrt(noise) + 16, np.log2(np.maximum(table - noise, 1)).astype(np.uint8) + 1, 0).astype(np.uint8)
 
 
-SETS = "doc_id long, n_shingles long, k1 long, k2 long, rare long, s0 long, s1 long, s2 long, s3 long, early array<long>, prefix array<long>"
+SETS = "doc_id long, n_shingles long, k1 long, k2 long, rare long, s0 long, s1 long, s2 long, s3 long, early array<long>, prefix array<long>, hot array<long>"
 
 
 def gram_rows(docs: DataFrame, level: np.ndarray) -> DataFrame:
-    """A row for each document: set size, the set's 128-bit key, its signature, smallest hashes and prefix."""
+    """A row for each document: set size, the set's 128-bit key, its signature, smallest hashes and prefix, and the levels of the prefix's last n-grams that are hot."""
     shipped = docs.sparkSession.sparkContext.broadcast(level)  # SLOTS bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +192,7 @@ def gram_rows(docs: DataFrame, level: np.ndarray) -> DataFrame:
         for whole in batches:
             for at in range(0, len(whole), 512):
                 batch = whole.slice(at, 512)
-                size, key, rare, bits, early, prefix = [], [], [], [], [], []
+                size, key, rare, bits, early, prefix, hot = [], [], [], [], [], [], []
                 for g in gram_sets(batch.column("text"), WORDS):
                     n = len(g)
                     size.append(n)
@@ -198,14 +202,18 @@ def gram_rows(docs: DataFrame, level: np.ndarray) -> DataFrame:
                     rare.append(int((own == 0).sum()))
                     if n:
                         order = np.argsort(own, kind="stable")
-                        prefix.append(g[order[: n - -(-LOW_OF * n // HIGH_OF) + 1]].view(np.int64))
+                        order = order[: n - -(-LOW_OF * n // HIGH_OF) + 1]
+                        prefix.append(g[order].view(np.int64))
+                        last = own[order]
+                        hot.append(last[last >= HOT].astype(np.int64))
                         bits.append(signature(g))
                     else:
                         prefix.append(g.view(np.int64))
+                        hot.append(prefix[-1])
                         bits.append(np.zeros(4, np.int64))
                 keys = np.array(key, np.uint64).reshape(-1, 2).view(np.int64)
                 sig = np.array(bits, np.int64).reshape(-1, 4)
-                lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in part])]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *part]), pa.int64())) for part in (early, prefix)]
+                lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in part])]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *part]), pa.int64())) for part in (early, prefix, hot)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(size, pa.int64()), *(pa.array(keys[:, i]) for i in range(2)), pa.array(rare, pa.int64()), *(pa.array(sig[:, i]) for i in range(4)), *lists], [x.split()[0] for x in SETS.split(", ")])
 
     return docs.select("doc_id", "text").mapInArrow(run, SETS)
@@ -267,7 +275,10 @@ def neighbour_pairs(sets: DataFrame) -> DataFrame:
             yield _pairs_table(*map(np.concatenate, zip(*held, strict=True)))
 
     share = F.floor(F.col("rare") * 1000 / F.col("n_shingles"))
-    rows = sets.select(F.explode("early").alias("token"), F.element_at("early", 1).alias("e1"), share.alias("share"), F.col("n_shingles").alias("n"), F.col("doc_id").alias("node"))
+    # Sets that can link are of one class of sizes or of two neighbouring ones, so each enters its own and the next.
+    size = F.floor(F.log("n_shingles") / F.lit(float(np.log(HIGH_OF / LOW_OF))) + F.lit(1e-9))
+    rows = sets.select(F.explode("early").alias("token"), F.element_at("early", 1).alias("e1"), share.alias("share"), F.col("n_shingles").alias("n"), F.col("doc_id").alias("node"), size.alias("size"))
+    rows = rows.withColumn("size", F.explode(F.array(F.col("size"), F.col("size") + 1))).withColumn("token", F.xxhash64("token", "size")).drop("size")
     rows = rows.repartition("token").sortWithinPartitions("token", "e1", "share", "n", "node")
     return rows.mapInArrow(run, "a long, b long").distinct()
 
@@ -276,13 +287,14 @@ def label_pairs(sets: DataFrame) -> DataFrame:
     """Pairs with different labels that share an n-gram of their prefixes which can be their first common one.
 
     After the first common n-gram, the rest of either set must still hold the required overlap (position filter).
+    Holders of hot n-grams meet in cells of two blocks each; the top bits of ``sizes`` tell the blocks of a cell apart.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out_a, out_b, held = [], [], 0
         for x in _runs(batches, ["token", "label", "sizes", "node"]):
             t, w, v = x["token"], x["label"], x["node"]
-            n, left = x["sizes"] >> 32, x["sizes"] & 0xFFFFFFFF
+            n, left, side = (x["sizes"] >> 32) & 0xFFFFFFF, x["sizes"] & 0xFFFFFFFF, x["sizes"] >> 60
             start = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
             stop = np.concatenate([start[1:], [len(t)]])
             mixed = w[stop - 1] != w[start]  # sorted by label
@@ -294,7 +306,7 @@ def label_pairs(sets: DataFrame) -> DataFrame:
                     if j == e:
                         break
                     need = -(-LOW_OF * (n[i] + n[j:e]) // (HIGH_OF + LOW_OF))
-                    hit = j + np.flatnonzero((left[i] >= need) & (left[j:e] >= need))
+                    hit = j + np.flatnonzero((left[i] >= need) & (left[j:e] >= need) & ((side[j:e] != side[i]) | (side[i] == 0)))
                     if len(hit):
                         out_a.append(np.full(len(hit), v[i]))
                         out_b.append(v[hit])
@@ -305,14 +317,24 @@ def label_pairs(sets: DataFrame) -> DataFrame:
         if held:
             yield _pairs_table(np.concatenate(out_a), np.concatenate(out_b))
 
-    rows = sets.select(F.posexplode("prefix").alias("pos", "token"), "label", "n_shingles", F.col("doc_id").alias("node"))
-    rows = rows.select("token", "label", F.shiftleft("n_shingles", 32).bitwiseOR(F.col("n_shingles") - F.col("pos")).alias("sizes"), "node")
+    size = lambda pos: F.shiftleft(F.col("n_shingles"), 32).bitwiseOR(F.col("n_shingles") - pos)
+    cool = F.size("prefix") - F.size("hot")
+    some = sets.select(F.posexplode(F.slice("prefix", F.lit(1), cool)).alias("pos", "token"), "label", "n_shingles", F.col("doc_id").alias("node"))
+    rows = some.select("token", "label", size(F.col("pos")).alias("sizes"), "node")
+    some = sets.where(F.size("hot") > 0).select(F.posexplode(F.arrays_zip(F.slice("prefix", cool + 1, F.size("hot")).alias("token"), F.col("hot").alias("level"))).alias("pos", "h"), cool.alias("cool"), "label", "n_shingles", F.col("doc_id").alias("node"))
+    some = some.withColumn("blocks", F.expr(f"shiftleft(2L, cast(h.level as int) - {HOT})")).withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
+    some = some.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    side = F.when(F.col("other") == F.col("own"), 0).when(F.col("other") > F.col("own"), 1).otherwise(2).cast("long")
+    cell = F.xxhash64("h.token", F.least("own", "other"), F.greatest("own", "other"))
+    rows = rows.unionByName(some.select(cell.alias("token"), "label", size(F.col("cool") + F.col("pos")).bitwiseOR(F.shiftleft(side, 60)).alias("sizes"), "node"))
     rows = rows.repartition("token").sortWithinPartitions("token", "label", "node")
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs whose signatures agree in LEAST_EQUAL bits."""
+def likely(pairs: DataFrame, sets: DataFrame, sketched: bool = True) -> DataFrame:
+    """Pairs whose signatures agree in LEAST_EQUAL bits; without ``sketched`` all."""
+    if not sketched:
+        return pairs.select("a", "b")
     signs = sets.select("doc_id", *(f"s{i}" for i in range(4)))
     for side in "ab":
         pairs = splittable_join(pairs, signs.select(F.col("doc_id").alias(side), *(F.col(f"s{i}").alias(f"{side}{i}") for i in range(4))), side)
@@ -338,7 +360,7 @@ def linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     probes = splittable_join(pairs.select("a", "part").distinct(), texts.withColumnRenamed("doc_id", "a"), "a").select("a", "part", F.lit(0).alias("side"), F.lit(None).cast("long").alias("b"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, probe, trie, found = None, None, GramTrie(), []
+        key, probe, trie, held, found = None, None, GramTrie(), 0, []
 
         def finish() -> None:
             if probe is not None and len(probe):
@@ -349,11 +371,15 @@ def linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             for a, part, side, b, g in zip(*(batch.column(k).to_pylist() for k in ("a", "part", "side", "b")), grams, strict=True):
                 if (a, part) != key:
                     finish()
-                    key, probe, trie = (a, part), None, GramTrie()
+                    key, probe, trie, held = (a, part), None, GramTrie(), 0
                 if side == 0:
                     probe = g
                 elif len(g):
+                    if held == TRIE_SETS:  # the probe came before its partners
+                        finish()
+                        trie, held = GramTrie(), 0
                     trie.add(g, b)
+                    held += 1
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(3)], ["a", "b", "overlap"])
                 found = []
@@ -415,16 +441,24 @@ def within(labels: DataFrame, docs: DataFrame, sizes: DataFrame | None = None) -
     return met.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
-def classes_and_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def classes_and_links(docs: DataFrame, sketched: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(doc_id, n_shingles, rep) for every row; all (a, b, overlap) links of representatives; (node, label) of their components."""
-    members, first, labels, more = _joined(docs)
+    docs, members, first, labels, more = _joined(docs, sketched)
     return members, materialize(within(labels, docs), "links").unionByName(more), connected_components(first.unionByName(more).select("a", "b"))
 
 
-def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(doc_id, n_shingles, rep) for every row; first links of representatives; (node, label) of their components; all links between different labels."""
+def _joined(docs: DataFrame, sketched: bool = True) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Documents with one text for each node; (doc_id, n_shingles, rep) for every row; first links of representatives; (node, label) of their components; all links between different labels."""
     spark = docs.sparkSession
-    sets = materialize(gram_rows(docs, levels(count_table(docs))), "gram-sets")
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    level = levels(count_table(docs))
+    sets = every = materialize(gram_rows(docs, level), "gram-sets")
+    several = sets.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("k1").alias("x"), F.max("k1").alias("y"), F.min("k2").alias("u"), F.max("k2").alias("v")).where("x <> y OR u <> v")
+    several = materialize(several.select("doc_id"), "repeated-ids")
+    if not several.isEmpty():
+        one = materialize(docs.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts-of-repeated-ids")
+        docs = docs.join(several, "doc_id", "left_anti").unionByName(one)
+        sets = materialize(sets.join(several, "doc_id", "left_anti").unionByName(gram_rows(one, level)), "gram-sets")
     key = F.xxhash64("k1", "k2", "n_shingles")
     some = sets.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "n_shingles", "k1", "k2")
     reps = some.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"))
@@ -436,13 +470,16 @@ def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame
     if ids.count() > BROADCAST_IDS:
         alone = materialize(alone, "representatives")
     release(spark)
-    first = materialize(linked(materialize(likely(neighbour_pairs(alone), alone), "pairs"), docs), "links")
+    first = materialize(linked(materialize(likely(neighbour_pairs(alone), alone, sketched), "pairs"), docs), "links")
     labels = connected_components(first.select("a", "b"))
     release(spark)
     marked = alone.join(small(labels.withColumnRenamed("node", "doc_id")), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    rest = materialize(likely(label_pairs(marked), alone), "pairs")
+    rest = materialize(likely(label_pairs(marked), alone, sketched), "pairs")
     release(spark)
-    return members, first, labels, materialize(linked(rest, docs), "links")
+    if sets is not every:  # every row has its own size, and the class of its node
+        nodes = members.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("rep"))
+        members = materialize(every.select("doc_id", "n_shingles").join(nodes, "doc_id", "left"), "members")
+    return docs, members, first, labels, materialize(linked(rest, docs), "links")
 
 
 def _with_components(members: DataFrame, first: DataFrame, more: DataFrame) -> DataFrame:
@@ -451,15 +488,15 @@ def _with_components(members: DataFrame, first: DataFrame, more: DataFrame) -> D
     return out.withColumn("component_id", F.coalesce("label", "rep"))
 
 
-def components(docs: DataFrame) -> DataFrame:
+def components(docs: DataFrame, sketched: bool = True) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text)."""
-    members, first, _, more = _joined(docs)
+    _, members, first, _, more = _joined(docs, sketched)
     return _with_components(members, first, more).select("doc_id", "n_shingles", "component_id")
 
 
-def components_and_links(docs: DataFrame) -> DataFrame:
+def components_and_links(docs: DataFrame, sketched: bool = True) -> DataFrame:
     """doc_id, n_shingles, component_id, and n_links: how many other documents each row's document links with."""
-    members, first, labels, more = _joined(docs)
+    docs, members, first, labels, more = _joined(docs, sketched)
     alike = members.where("n_shingles > 0 AND doc_id IS NOT NULL").select("rep", "doc_id").distinct()
     sizes = materialize(alike.groupBy(F.col("rep").alias("node")).agg(F.count("*").alias("size")), "class-sizes")
     ways = more.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("l")).select(F.col("l.a").alias("to"), F.col("l.b").alias("node"))
@@ -474,12 +511,29 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components_and_links(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+ORACLE = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, '{"".join(map(chr, range(65, 91)))}', '{"".join(map(chr, range(97, 123)))}'), '[^\x20\x09-\x0D]+') a FROM documents),
+d AS (SELECT doc_id, CASE WHEN a IS NULL OR len(a) = 0 THEN []::VARCHAR[] WHEN len(a) < {WORDS} THEN [array_to_string(a, ' ')]
+      ELSE list_distinct([array_to_string(a[i:i + {WORDS - 1}], ' ') FOR i IN range(1, len(a) - {WORDS - 2})]) END g FROM w),
+i AS (SELECT doc_id, len(g) n, unnest(g) s FROM d),
+l AS (SELECT a.doc_id x, b.doc_id y FROM i a JOIN i b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING {HIGH_OF} * count(*) >= {LOW_OF} * (a.n + b.n - count(*))),
+r(id, label) AS (SELECT doc_id, doc_id FROM d UNION SELECT l.y, r.label FROM r JOIN l ON l.x = r.id),
+c AS (SELECT id, min(label) component_id FROM r GROUP BY id),
+k AS (SELECT x, count(*) n_links FROM l GROUP BY x)
+SELECT d.doc_id, len(g) n_shingles, component_id, coalesce(n_links, 0) n_links FROM d JOIN c ON c.id = d.doc_id LEFT JOIN k ON k.x = d.doc_id
+"""
+
+
 def brute_force(rows: list[tuple[int, str | None]]) -> dict[int, tuple[int, int]]:
     """doc_id to (n_shingles, component_id) by comparing all pairs; for tests."""
     import re
 
-    sets = {}
+    sets, one = {}, {}
     for i, text in rows:
+        if text is not None:
+            one[i] = min(text, one.get(i, text))
+    for i, _ in rows:
+        text = one.get(i)
         low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
         w = re.findall(r"[^\x20\x09-\x0D]+", low)
         sets[i] = {tuple(w[j : j + WORDS]) for j in range(max(1, len(w) - WORDS + 1))} if w else set()

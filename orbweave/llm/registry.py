@@ -15,11 +15,15 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_quotes": chat.op9_quotes,
     "op10_mix": mixing.op10_mix,
+    "spotsigs_near_duplicates": spotsigs.spotsigs_near_duplicates,
 }
 
 ORACLES: dict[str, str] = {
     "op1_warc": warc.ORACLE,
+    "op2_ngram_jaccard": ngram_join.ORACLE,
+    "op7_spotsigs": spotsigs.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
     "op9_quotes": chat.ORACLE,
     "op10_mix": mixing.ORACLE,
+    "spotsigs_near_duplicates": spotsigs.NEAR_ORACLE,
 }
