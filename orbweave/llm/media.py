@@ -3,8 +3,10 @@
 A text's UTF-8 bytes, padded with zero bytes to a positive multiple of 64, are the unsigned 8-bit samples of a mono
 WAV file. The files are a binary column of a Parquet table in the shared folder. Reading them back gives the payload
 and, after polyphase resampling from 16 to 12 kHz, overlapped log-mel filterbanks and active segments: a segment
-holds the frames above a low energy threshold around one above a high threshold (hysteresis). Filterbanks are cut
-into windows of fixed shape, kept as Arrow fixed-shape tensors with the time span of each window.
+holds the frames above a low energy threshold around one above a high threshold (hysteresis). The last frame is
+filled up with zeros, so every sample counts. Filterbanks are cut into windows of fixed shape, stored as Arrow
+fixed-shape tensors of 16-bit floats with the time span of each window and the active frames; the feature is derived
+from the stored tensors.
 
 Null and empty texts give 64 zero bytes. A null doc_id stays null. Equal texts give equal values, wherever they stand.
 Very long texts are one file; resampling and framing run over blocks of it. Extra columns are not carried. An empty
@@ -30,6 +32,8 @@ WINDOW = 16  # frames in a tensor
 HIGH_DB, LOW_DB = 0.5, -0.5  # against the file's mean frame energy
 ALIGN = 64
 BLOCK_FRAMES = 4096
+#: Seconds from frame to frame.
+STEP = HOP * DOWN / (RATE * UP)
 
 
 def to_wav(payload: bytes, rate: int = RATE) -> bytes:
@@ -89,8 +93,8 @@ def resample(x: np.ndarray) -> np.ndarray:
 
 def log_mel(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Log-mel energies and the energy in dB, a row for each frame."""
-    if len(y) < FRAME:
-        y = np.concatenate([y, np.zeros(FRAME - len(y), np.float32)])
+    whole = max(0, -(-(len(y) - FRAME) // HOP)) * HOP + FRAME
+    y = np.concatenate([y, np.zeros(whole - len(y), np.float32)])
     frames = np.lib.stride_tricks.sliding_window_view(y, FRAME)[::HOP]
     mels, power = [], []
     for at in range(0, len(frames), BLOCK_FRAMES):
@@ -119,20 +123,26 @@ def analyse(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def tensors(mel: np.ndarray, active: np.ndarray) -> pa.RecordBatch:
-    """Windows of WINDOW frames as fixed-shape tensors (the last padded with zeros), with spans in seconds."""
+    """Windows of WINDOW frames as fixed-shape tensors (the last padded with zeros), with spans in seconds and 1 for each active frame."""
     n = -(-len(mel) // WINDOW)
-    full = np.zeros((n * WINDOW, MELS), np.float32)
+    full = np.zeros((n * WINDOW, MELS), np.float16)
     full[: len(mel)] = mel
-    step = HOP * DOWN / (RATE * UP)
-    on = np.zeros(n * WINDOW, bool)
+    on = np.zeros(n * WINDOW, np.uint8)
     for a, b in active:
-        on[a:b] = True
+        on[a:b] = 1
     start = np.arange(n) * WINDOW
     return pa.RecordBatch.from_arrays([
-        pa.FixedShapeTensorArray.from_numpy_ndarray(full.reshape(n, WINDOW, MELS)),
-        pa.array(start * step), pa.array(np.minimum(start + WINDOW, len(mel)) * step),
-        pa.array(on.reshape(n, WINDOW).mean(1)),
-    ], ["log_mel", "start_s", "end_s", "active_share"])
+        pa.FixedShapeTensorArray.from_numpy_ndarray(full.reshape(n, WINDOW, MELS)), pa.FixedShapeTensorArray.from_numpy_ndarray(on.reshape(n, WINDOW)),
+        pa.array(start * STEP), pa.array(np.minimum(start + WINDOW, len(mel)) * STEP),
+    ], ["log_mel", "active", "start_s", "end_s"])
+
+
+def frames_of(stored: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Log-mel frames and segments of stored tensors."""
+    n = round(stored.column("end_s")[-1].as_py() / STEP)
+    mel = stored.column("log_mel").to_numpy_ndarray().reshape(-1, MELS)[:n].astype(np.float32)
+    edge = np.diff(np.concatenate([[0], stored.column("active").to_numpy_ndarray().reshape(-1)[:n].astype(np.int8), [0]]))
+    return mel, np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)], 1)
 
 
 def to_ipc(batch: pa.RecordBatch) -> bytes:
@@ -159,26 +169,39 @@ def encode_media(docs: DataFrame) -> DataFrame:
     return materialize(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, media binary"), "media")
 
 
-FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+STORED = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
+FEATURES = STORED + ", feature string"
 
 
-def media_features(media: DataFrame, with_tensors: bool = False) -> DataFrame:
-    """The columns of FEATURES for each stored file; ``with_tensors`` adds ``log_mel``, an Arrow IPC stream of fixed-shape tensors and their time spans."""
+def store_tensors(media: DataFrame) -> DataFrame:
+    """The columns of STORED for each file, read back, and ``log_mel``: an Arrow IPC stream of its tensors and their time spans, in a table of the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(6 + with_tensors)]
+            out: list[list] = [[] for _ in range(6)]
             for stored in batch.column("media"):
                 file = stored.as_buffer().to_pybytes()
                 payload = from_wav(file)
-                mel, active = analyse(payload)
-                row = [len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ALIGN:]), len(file), hashlib.sha256(file).hexdigest(), describe(mel, active)]
-                for column, value in zip(out, row + [to_ipc(tensors(mel, active))] * with_tensors, strict=True):
+                row = [len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ALIGN:]), len(file), hashlib.sha256(file).hexdigest(), to_ipc(tensors(*analyse(payload)))]
+                for column, value in zip(out, row, strict=True):
                     column.append(value)
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, k) for c, k in zip(out, kinds, strict=False))], [x.split()[0] for x in (FEATURES + ", log_mel binary" * with_tensors).split(", ")])
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], [x.split()[0] for x in STORED.split(", ")] + ["log_mel"])
+
+    return materialize(media.mapInArrow(run, STORED + ", log_mel binary"), "tensors")
+
+
+def media_features(media: DataFrame, with_tensors: bool = False) -> DataFrame:
+    """The columns of FEATURES for each stored file; ``with_tensors`` keeps ``log_mel``."""
+    names = [x.split()[0] for x in FEATURES.split(", ")] + ["log_mel"] * with_tensors
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [describe(*frames_of(pa.ipc.open_stream(x.as_buffer()).read_next_batch())) for x in batch.column("log_mel")]
+            batch = batch.append_column("feature", pa.array(found, pa.string()))
+            yield batch.select(names)
 
-    return media.mapInArrow(run, FEATURES + ", log_mel binary" * with_tensors)
+    return store_tensors(media).mapInArrow(run, FEATURES + ", log_mel binary" * with_tensors)
 
 
 def op3_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
