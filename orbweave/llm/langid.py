@@ -20,9 +20,9 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bounds of what is fitted: sample bytes kept for a language, bytes of the longest sample text, languages.
-SAMPLE_BYTES, SAMPLE_TEXT, LANGUAGES = 400_000, 6_000, 64
-#: Texts drawn for a language before the bytes are bounded (in expectation).
+#: Bounds of what is fitted: sample bytes kept for a language, and bytes of the longest sample text.
+SAMPLE_BYTES, SAMPLE_TEXT = 400_000, 6_000
+#: Different texts drawn for a language before the bytes are bounded (in expectation).
 DRAWN = 600
 LEVEL = 9
 #: Below this share of bytes saved a text is rejected.
@@ -37,24 +37,31 @@ def is_held_out(doc_id: Column | str) -> Column:
 
 
 def fit(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> dict[str, bytes]:
-    """Dictionary content by language, from whole texts of labelled rows that aren't held out.
+    """Dictionary content by language, from texts of labelled rows that aren't held out.
 
-    The sample is bounded: about DRAWN texts of at most SAMPLE_TEXT bytes for each of the LANGUAGES most frequent
-    languages, drawn by the hash of doc_id, of which the first ``sample_bytes`` bytes are kept.
+    The sample is bounded: about DRAWN different texts of at most SAMPLE_TEXT bytes for each language, drawn by their
+    hash, of which the first ``sample_bytes`` bytes are kept. A language that has longer texts only is learned from
+    as many characters of the beginnings of texts drawn likewise. Every language of a learnable row is learned.
     """
-    learn = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out("doc_id") & (F.octet_length("text") <= SAMPLE_TEXT) & (F.octet_length("text") > 0))
-    counts = {r["lang"]: r["n"] for r in learn.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
-    if not counts:
+    learn = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out("doc_id") & (F.octet_length("text") > 0))
+    draw = F.xxhash64("text")
+    learn = learn.select("lang", draw.alias("h"), (F.octet_length("text") <= SAMPLE_TEXT).alias("short"), "text")
+    kinds = learn.groupBy("lang", "short").agg(F.approx_count_distinct("h").alias("n")).collect()  # two rows a language
+    has_short = {r["lang"] for r in kinds if r["short"]}
+    used = [r for r in kinds if r["short"] or r["lang"] not in has_short]
+    if not used:
         return {}
-    draw = F.xxhash64("doc_id", F.lit(6))
-    chosen = reduce(lambda a, b: a | b, ((F.col("lang") == k) & (F.abs(draw % 1_000_000) < max(1, int(1e6 * min(1.0, DRAWN / n)))) for k, n in counts.items()))
-    rows = learn.where(chosen).select("lang", draw.alias("h"), "text").collect()  # bounded: DRAWN x LANGUAGES x SAMPLE_TEXT
+    wanted = lambda r: DRAWN if r["short"] else max(1, sample_bytes // SAMPLE_TEXT)
+    share = lambda r: max(1, int(1e6 * min(1.0, wanted(r) / max(1, r["n"]))))
+    chosen = reduce(lambda a, b: a | b, ((F.col("lang") == r["lang"]) & (F.col("short") == r["short"]) & (F.pmod("h", F.lit(1_000_000)) < share(r)) for r in used))
+    # Equal texts are drawn once; their number has a bound in each language, whatever repeats.
+    rows = learn.where(chosen).select("lang", "h", F.substring("text", 1, SAMPLE_TEXT).alias("text")).groupBy("lang", "h").agg(F.min("text").alias("text")).collect()
     out = {}
-    for k in sorted(counts):
+    for k in sorted({r["lang"] for r in used}):
         kept, size, seen = [], 0, set()
         for r in sorted((r for r in rows if r["lang"] == k), key=lambda r: (r["h"], r["text"])):
             raw = r["text"].lower().encode("utf-8", "surrogatepass")
-            if size + len(raw) <= sample_bytes and raw not in seen:
+            if (size + len(raw) <= sample_bytes or not kept) and raw not in seen:
                 kept.append(raw)
                 seen.add(raw)
                 size += len(raw)
@@ -93,7 +100,7 @@ def identify(docs: DataFrame, samples: dict[str, bytes], min_margin: float = MIN
     added = _parse_datatype_string(FIELDS)
     docs = docs.drop(*added.names)
     schema = type(added)([*docs.schema.fields, *added.fields])
-    shipped = docs.sparkSession.sparkContext.broadcast(samples)  # at most LANGUAGES x SAMPLE_BYTES
+    shipped = docs.sparkSession.sparkContext.broadcast(samples)  # SAMPLE_BYTES a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         say = Classifier(shipped.value, level)
