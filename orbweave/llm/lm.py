@@ -6,14 +6,16 @@ position-scaled sum of the neighbours' vectors; the output is a softmax over cla
 class. Classes hold buckets of neighbouring frequency. A word has the share of its bucket's probability that it has
 of the bucket's words, by exact counts of all words (64-bit hashes).
 
-Counts come from every word of every document. The network is trained in numpy, in one pass over the corpus: each
-partition trains a copy from the same beginning on every word of each of its documents, and the copies are averaged, weighted by the words that they saw. What is gathered is one copy of the parameters for each
-partition, so it grows with the corpus; they are summed block by block in two steps, so no task and not the driver
-gets more than a bounded part. The averaged parameters have a fixed size and are broadcast for scoring. The table of
+Counts come from every word of every document. The network is trained in numpy, in one pass over the corpus: rows are
+dealt by a hash of (text, doc_id) into groups of about WORDS_A_COPY words, each of which trains a copy from the same
+beginning on every word of each of its documents, in order of that hash. The copies are averaged, weighted by the
+words that they saw. Groups depend on the rows alone, so the result doesn't depend on files or partitions. What is
+gathered is one copy of the parameters for each group, so it grows with the corpus; they are summed block by block,
+FAN_IN at a time, so no task and not the driver gets more than a bounded part. The averaged parameters have a fixed size and are broadcast for scoring. The table of
 word counts grows with the vocabulary: the HEAD most frequent words are broadcast, all others are joined.
 
 Null and empty texts have no words: score 0 and a null mean. A null doc_id stays null. Repeated rows get equal
-scores. A text of one word is predicted from the padding alone. Very long texts are scored whole, in blocks. Extra
+scores, but for the rounding of 32-bit floats in blocks (0.001 a word). A text of one word is predicted from the padding alone. Very long texts are scored whole, in blocks. Extra
 columns are not carried. On an empty table the network keeps its beginning.
 """
 
@@ -33,12 +35,16 @@ from orbweave.plans.shared import materialize, splittable_join
 
 CLASSES, IN_CLASS, HIDDEN, REACH = 64, 64, 24, 2
 VOCABULARY = CLASSES * IN_CLASS
-BATCH, RATE = 512, 0.4
+BATCH, RATE = 1024, 0.6
+#: Words that train a copy, about; copies that are summed at once.
+WORDS_A_COPY, FAN_IN = 4_000_000, 256
+#: Words that are held between two rounds of training steps, about.
+HELD = 1 << 16
 #: Parameters are summed in blocks of so many.
 PART = 8192
 SEED = 20240311
 #: Words that are scored at once.
-AT_ONCE = 1 << 14
+AT_ONCE = 1 << 12
 #: Words whose counts are broadcast for scoring, and distinct words that a task counts before it sends them on.
 HEAD, COUNTED = 1 << 16, 1 << 20
 
@@ -80,40 +86,50 @@ class Network:
 
     def step(self, near: np.ndarray, place: np.ndarray, rate: float) -> None:
         """One step of stochastic gradient ascent."""
-        n = len(place)
-        h = self.hidden(near)
-        group, member = place // IN_CLASS, place % IN_CLASS
-        error = -_softmax(h @ self.of_class + self.class_bias)
-        error[np.arange(n), group] += 1
-        back = error @ self.of_class.T
-        self.of_class += rate / n * (h.T @ error)
-        self.class_bias += rate / n * error.sum(0)
+        n, rate = len(place), np.float32(rate)
         # Rows in order of class, so that each class is a slice.
-        order = np.argsort(group, kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(CLASSES + 1)).tolist()
+        order = np.argsort((place // IN_CLASS).astype(np.uint8), kind="stable")
+        near, place, row = near[order], place[order], np.arange(n)
+        group, member = place // IN_CLASS, place % IN_CLASS
+        cuts = np.searchsorted(group, np.arange(CLASSES + 1)).tolist()
         some = [(c, cuts[c], cuts[c + 1]) for c in range(CLASSES) if cuts[c] < cuts[c + 1]]
-        sorted_h, within = h[order], np.empty((n, IN_CLASS), np.float32)
+        seen = [self.vector[near[:, k]] for k in range(len(OFFSETS))]
+        total = seen[0] * self.scale[0]
+        for k in range(1, len(OFFSETS)):
+            total += seen[k] * self.scale[k]
+        total += self.bias
+        h = np.tanh(total, out=total)
+        error = h @ self.of_class
+        error += self.class_bias
+        np.negative(_softmax(error), out=error)
+        error[row, group] += 1
+        back = error @ self.of_class.T
+        self.of_class += rate / np.float32(n) * (h.T @ error)
+        self.class_bias += rate / np.float32(n) * error.sum(0)
+        error = np.empty((n, IN_CLASS), np.float32)
         for c, i, j in some:
-            np.dot(sorted_h[i:j], self.of_member[c], out=within[i:j])
-        within += self.member_bias[group[order]]
-        error = -_softmax(within)
-        error[np.arange(n), member[order]] += 1
-        inner = np.empty_like(sorted_h)
+            np.dot(h[i:j], self.of_member[c], out=error[i:j])
+            error[i:j] += self.member_bias[c]
+        np.negative(_softmax(error), out=error)
+        error[row, member] += 1
         for c, i, j in some:
-            np.dot(error[i:j], self.of_member[c].T, out=inner[i:j])
-            self.of_member[c] += rate / (j - i) * (sorted_h[i:j].T @ error[i:j])
-        present, first, size = (np.array(x) for x in zip(*((c, i, j - i) for c, i, j in some), strict=True))
-        self.member_bias[present] += (rate / size[:, None] * np.add.reduceat(error, first)).astype(np.float32)
-        back[order] += inner
+            own, part = error[i:j], rate / np.float32(j - i)
+            back[i:j] += own @ self.of_member[c].T
+            self.of_member[c] += part * (h[i:j].T @ own)
+            self.member_bias[c] += part * own.sum(0)
         back *= 1 - h * h
-        self.bias += rate / n * back.sum(0)
+        self.bias += rate / np.float32(n) * back.sum(0)
+        # The four neighbours of a word at once: gradients of equal vectors are summed first.
+        flat = near.T.ravel()
+        by = np.argsort(flat.astype(np.uint16), kind="stable")
+        node = flat[by]
+        first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+        change = np.empty((len(OFFSETS), n, HIDDEN), np.float32)
         for k in range(len(OFFSETS)):
-            seen = self.vector[near[:, k]]
-            by = np.argsort(near[:, k], kind="stable")
-            node = near[by, k]
-            first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
-            self.vector[node[first]] += np.add.reduceat((rate / 8 * back * self.scale[k])[by], first)
-            self.scale[k] += rate / n * (back * seen).sum(0)
+            np.multiply(back, self.scale[k] * (rate / np.float32(8)), out=change[k])
+            seen[k] *= back
+            self.scale[k] += rate / np.float32(n) * seen[k].sum(0)
+        self.vector[node[first]] += np.add.reduceat(change.reshape(-1, HIDDEN)[by], first)
 
 
 SHAPES = {
@@ -124,8 +140,11 @@ SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(1, keepdims=True))
-    return x / x.sum(1, keepdims=True)
+    """Row by row, in place."""
+    x -= x.max(1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(1, keepdims=True)
+    return x
 
 
 def _log_softmax_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -211,38 +230,60 @@ def neighbours(place: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(docs: DataFrame, net: Network, place: np.ndarray) -> Network:
-    """The weighted mean of the copies that the partitions train."""
+def train(docs: DataFrame, net: Network, place: np.ndarray, words: int, words_a_copy: int = WORDS_A_COPY) -> Network:
+    """The weighted mean of the copies that groups of documents train; ``words`` is how many there are in all."""
     start, shipped = net.flat, docs.sparkSession.sparkContext.broadcast((net.flat, place))  # SIZE floats
-    parts = -(-SIZE // PART)
+    parts, groups = -(-SIZE // PART), max(1, -(-words // words_a_copy))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, place = shipped.value
-        own, seen = Network(flat.copy()), 0
+        own, seen, group = Network(flat.copy()), 0, 0
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def steps() -> int:
+            p = np.concatenate([h[0] for h in held])
+            near = np.concatenate([h[1] for h in held])
+            chosen = np.random.default_rng(SEED + len(p)).permutation(len(p))
+            for at in range(0, len(chosen), BATCH):
+                rows = chosen[at : at + BATCH]
+                own.step(near[rows], p[rows], RATE)
+            held.clear()
+            return len(chosen)
+
+        size = 0
         for batch in batches:
-            for _, word, bounds in blocks(batch.column(0)):
-                if not len(word):
-                    continue
+            group = batch.column("group")[0].as_py() if len(batch) else group
+            for _, word, bounds in blocks(batch.column("text")):
                 p = place[buckets(word)]
                 near = neighbours(p, bounds)
-                chosen = np.random.default_rng(SEED + len(p)).permutation(len(p))
-                for at in range(0, len(chosen), BATCH):
-                    rows = chosen[at : at + BATCH]
-                    own.step(near[rows], p[rows], RATE)
-                seen += len(chosen)
+                # Cut at ends of texts only, wherever a batch or a block ends.
+                for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    held.append((p[i:j], near[i:j]))
+                    size += j - i
+                    if size >= HELD:
+                        seen, size = seen + steps(), 0
+        if size:
+            seen += steps()
         if seen:
             weighted = np.pad(own.flat.astype(np.float64) * seen, (0, parts * PART - SIZE)).reshape(parts, PART)
-            share = TaskContext.get().partitionId() % 61
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(parts)), pa.array(np.full(parts, share)), pa.array(np.full(parts, seen, np.int64)), pa.array([w.astype(np.float32).tobytes() for w in weighted], pa.binary())], ["part", "share", "seen", "total"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(parts)), pa.array(np.full(parts, group, np.int64)), pa.array(np.full(parts, seen, np.int64)), pa.array([w.tobytes() for w in weighted], pa.binary())], ["part", "group", "seen", "total"])
 
     def add(key: tuple, rows: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(t.as_buffer(), np.float32).astype(np.float64) for t in rows.column("total"))
-        own = {"part": key[0].as_py(), "share": key[1].as_py() if len(key) > 1 else 0, "seen": sum(rows.column("seen").to_pylist()), "total": total.astype(np.float32).tobytes()}
-        return pa.Table.from_pylist([own], pa.schema([("part", pa.int64()), ("share", pa.int64()), ("seen", pa.int64()), ("total", pa.binary())]))
-
-    schema = "part long, share long, seen long, total binary"
-    summed = docs.select("text").mapInArrow(run, schema).groupBy("part", "share").applyInArrow(add, schema).groupBy("part").applyInArrow(add, schema)
-    got = {r["part"]: np.frombuffer(bytes(r["total"]), np.float32) / r["seen"] for r in summed.collect()}  # SIZE floats
+        rows = rows.sort_by("group")  # one order of sums
+        total = sum(np.frombuffer(t.as_buffer(), np.float64) for t in rows.column("total"))
+        own = {"part": key[0].as_py(), "group": key[1].as_py(), "seen": sum(rows.column("seen").to_pylist()), "total": total.tobytes()}
+        return pa.Table.from_pylist([own], pa.schema([("part", pa.int64()), ("group", pa.int64()), ("seen", pa.int64()), ("total", pa.binary())]))
+
+    schema = "part long, group long, seen long, total binary"
+    order = F.xxhash64("text", "doc_id")
+    dealt = docs.where("text <> ''").select("text", order.alias("order"), F.pmod(order, F.lit(groups)).cast("int").alias("group"))
+    summed = dealt.repartitionById(groups, "group").sortWithinPartitions("order", "text").select("group", "text").mapInArrow(run, schema)
+    while True:
+        groups = -(-groups // FAN_IN)
+        summed = summed.groupBy("part", F.floor(F.col("group") / FAN_IN).alias("to")).applyInArrow(add, schema)
+        if groups == 1:
+            break
+    got = {r["part"]: np.frombuffer(bytes(r["total"]), np.float64) / r["seen"] for r in summed.collect()}  # SIZE floats
     if not got:
         return Network(start)
     return Network(np.concatenate([got[i] for i in range(parts)])[:SIZE].astype(np.float32))
@@ -310,10 +351,10 @@ def score(docs: DataFrame, net: Network, place: np.ndarray, counts: np.ndarray |
     return scored.select("doc_id", "n_words", F.col("s").alias("log_likelihood"), mean.alias("mean_log_likelihood"))
 
 
-def fit(docs: DataFrame, counts: np.ndarray | None = None) -> tuple[Network, np.ndarray]:
+def fit(docs: DataFrame, counts: np.ndarray | None = None, words_a_copy: int = WORDS_A_COPY) -> tuple[Network, np.ndarray]:
     counts = bucket_counts(docs) if counts is None else counts
     place = places(counts)
-    return train(docs, beginning(counts, place), place), place
+    return train(docs, beginning(counts, place), place, int(counts.sum()), words_a_copy), place
 
 
 def op4_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
