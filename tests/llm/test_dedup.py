@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+import xxhash
 
 from orbweave.llm import line_dedup, ngram_join, shingles, spotsigs
 
@@ -107,37 +108,62 @@ def test_join_without_rows_or_ids(spark):
 def drop_by_hand(rows):
     """The same rule over dictionaries."""
     import re
+    from collections import Counter, defaultdict
 
     def template(line):
-        t = " ".join(w for w in re.split(r"[ \t\r\f]+", line) if w)
-        return " ".join("<*>" if re.search("[0-9]", w) else w for w in t.split(" ")) if t else ""
-
-    docs, where = sorted({r for r in rows if r[1] is not None}, key=lambda r: (r[0] is not None, r[0] or 0)), {}
-    for d, text in docs:
+        return tuple("<*>" if re.search("[0-9]", w) else w for w in re.split(r"[ \t\r\f]+", line) if w)
+
+    key = lambda d: (d is not None, d or 0)
+    owner = {}
+    for d, text in rows:
+        if text is not None:
+            owner[text] = min(owner.get(text, key(d)), key(d))
+    where, leaves = defaultdict(list), defaultdict(list)
+    for text in sorted(owner, key=owner.get):
         for p, line in enumerate(text.split("\n")):
             t = template(line)
-            if len(t.split(" ")) >= line_dedup.MIN_TOKENS and t:
-                where.setdefault(t, []).append((d, text, p))
-    gone = {}
+            if t and 2 * t.count("<*>") <= len(t):
+                where[t].append((text, p))
+    texts_of = lambda at: len({x for x, _ in at})
+    for t in where:
+        leaves[len(t), t[: line_dedup.DEPTH]].append(t)
+    shape = {}
+    for (size, _), members in leaves.items():
+        n = sum(texts_of(where[t]) for t in members)
+        if len(members) < 2 or n < line_dedup.LEAF_DOCS:
+            continue
+        held = Counter()
+        for t in members:
+            for p in range(line_dedup.DEPTH, size):
+                held[p, t[p]] += texts_of(where[t])
+        for t in members:
+            fixed = tuple((p, t[p]) for p in range(line_dedup.DEPTH, size) if t[p] != "<*>" and held[p, t[p]] >= max(line_dedup.LEAF_DOCS, line_dedup.LEAF_SHARE * n))
+            if line_dedup.FIXED_SHARE * (size - line_dedup.DEPTH) <= len(fixed) < size - line_dedup.DEPTH:
+                shape[t] = (size, t[: line_dedup.DEPTH], fixed)
+    wide = defaultdict(list)
+    for t, g in shape.items():
+        wide[g] += where[t]
+    wide = {g: min(at, key=lambda x: (owner[x[0]], x[1])) for g, at in wide.items() if texts_of(at) >= line_dedup.LEAF_DOCS}
+    gone = defaultdict(set)
     for t, at in where.items():
-        n, size = len({(d, x) for d, x, _ in at}), len(t.split(" "))
-        if n >= line_dedup.MIN_DOCS or n >= line_dedup.MIN_DOCS_LONG and size >= line_dedup.LONG:
-            for d, x, p in at[1:]:
-                gone.setdefault((d, x), []).append((p, size))
+        first = wide.get(shape.get(t))
+        if first is None and any(len(t) >= least and texts_of(at) >= docs for least, docs in line_dedup.TIERS):
+            first = at[0]
+        if first is not None:
+            for x, p in at:
+                if (x, p) != first:
+                    gone[x].add(p)
     out = []
     for d, x in rows:
-        drop = gone.get((d, x), [])
-        if drop and sum(s for _, s in drop) <= line_dedup.WHOLE * len((x or "").split()):
-            lost = {p for p, _ in drop}
-            out.append((d, "\n".join(line for p, line in enumerate(x.split("\n")) if p not in lost), len(lost)))
-        else:
-            out.append((d, x, 0))
+        lost = gone.get(x, ())
+        out.append((d, "\n".join(line for p, line in enumerate(x.split("\n")) if p not in lost) if lost else x, len(lost)))
     return sorted(out, key=str)
 
 
 def test_lines(spark):
     r = random.Random(4)
-    shared, short = " ".join(words(r, 55)).replace("1", "q"), "Contact us at number {} for more details today"
+    shared, short = " ".join(words(r, 55)).translate(str.maketrans("0123456789", "qrstuvwxyz")), "Contact us at number {} for more details today"
+    names = ["Ann", "Bob", "Cy", "Di", "Ed", "Flo", "Gus"]
     rows = []
     for i in range(40):
         lines = [" ".join("w" + c for c in r.choices("abcdefghijklmnopq", k=30)) for _ in range(6)]
@@ -145,26 +171,40 @@ def test_lines(spark):
             lines.insert(r.randrange(6), shared)
         if i % 3 == 0:
             lines.insert(0, short.format(i))
+        if i % 2 == 0:
+            lines.append(f"This was posted by {names[i % 7]} in our section about garden and home")
+        if i in (5, 6):
+            lines.append("a passage of more than twenty words that stands in two documents only and that is long enough to be taken for a shared one")
+        lines.append("the same lead but " + " ".join(r.choices("abcdefgh", k=6)))
         rows.append((i, "\n".join(lines)))
     rows += [(100 + i, rows[1][1]) for i in range(4)] + [(None, None), (None, "a b"), (200, ""), (201, "\n\n"), (202, "z " * 20_000), (1, rows[1][1])]
+    rows += [(300 + i, f"Yes it is\nonly {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}x{'uvwxyz'[i % 6]} here\n1 2 3 4 5 a") for i in range(110)]
     got = sorted((tuple(x) for x in line_dedup.drop_recurring_lines(spark.createDataFrame(rows, SCHEMA)).select("doc_id", "text", "lines_dropped").collect()), key=str)
     assert got == drop_by_hand(rows)
     texts = {d: t for d, t, _ in got}
     assert sum(shared in (t or "") for t in texts.values()) == 1 and shared in texts[0]
-    assert texts[100] == rows[1][1], "copies of whole documents are left to document-level deduplication"
+    assert "posted by Ann" in texts[0] and not any("posted by" in (texts[i] or "") for i in range(2, 40)), "a name without a digit is a variable field"
+    assert "passage of more than" in texts[5] and "passage of more than" not in texts[6]
+    assert texts[100] == texts[1], "copies of a whole text are treated alike"
+    assert sum("Yes it is" in (t or "") for t in texts.values()) == 1 and all("same lead" in texts[i] for i in range(40))
+    assert all("1 2 3 4 5 a" in texts[300 + i] for i in range(110)), "mostly variable"
 
 
 def test_lines_without_rows_and_with_clashing_columns(spark):
     assert line_dedup.drop_recurring_lines(spark.createDataFrame([], SCHEMA)).count() == 0
-    odd = spark.createDataFrame([(1, "a b c d e f", 7, 8)], "doc_id long, text string, tokens int, template int")
-    assert [tuple(r) for r in line_dedup.drop_recurring_lines(odd).collect()] == [(1, "a b c d e f", 7, 8, 0)]
+    line = " ".join("abcdefghijklmnopqrstuvwxyz")
+    odd = spark.createDataFrame([(i, line + f"\n{i}", i, i + 1, i + 2, i + 3, 9) for i in range(2)], "doc_id long, text string, d int, h int, gone int, `drop` int, lines_dropped int")
+    got = line_dedup.drop_recurring_lines(odd)
+    assert got.columns == ["doc_id", "text", "d", "h", "gone", "drop", "lines_dropped"]
+    assert sorted(tuple(r) for r in got.collect()) == [(0, line + "\n0", 0, 1, 2, 3, 0), (1, "1", 1, 2, 3, 4, 1)]
 
 
 # -- SpotSigs ------------------------------------------------------------------------------------------------------------------
 
 
 def by_hand(rows):
-    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, 42 if r[1] is None else signed(xxhash.xxh64_intdigest(r[1].encode(), seed=42)), r[1] or ""))
     out = []
     for i, (d, t) in enumerate(rows):
         t, following = t or "", rows[(i + 1) % len(rows)][1] or ""
@@ -193,7 +233,18 @@ def test_spot_signatures_and_pruning():
         a, b = (sorted(r.sample(range(60), r.randrange(1, 50))) for _ in range(2))
         j = len(set(a) & set(b)) / len(set(a) | set(b))
         assert spotsigs.jaccard(a, b) == j and spotsigs.jaccard(a, b, 0.6) == (j if j >= 0.6 else 0)
-    assert spotsigs.from_hex(spotsigs.to_hex([1, 2**32 - 1])) == [1, 2**32 - 1]
+    sigs = spotsigs.signatures("the quick brown fox is a red animal")
+    assert sigs == sorted(hashlib.md5(s.encode()).hexdigest()[:16] for s in ("the quick brown", "is red animal", "a red animal"))
+    assert spotsigs.from_hex(spotsigs.to_hex(sigs)) == sigs
+
+
+def test_ranges_hold_outliers_and_hot_ids(spark):
+    rows = [(i, f"the w{i} x{i}") for i in range(4000)] + [(2**62, "a b"), (-(2**62), "c d")] + [(7, f"the hot{i} text{i}") for i in range(3000)] + [(None, f"the lost{i} t{i}") for i in range(2000)]
+    random.Random(1).shuffle(rows)
+    dealt = spotsigs.with_next(spark.createDataFrame(rows, SCHEMA), 8).rdd.glom().map(len).collect()
+    assert len(dealt) == 8 and max(dealt) < 2500 and sum(dealt) <= len(rows) + 8
+    got = spotsigs.edit_fingerprints(spark.createDataFrame(rows, SCHEMA), 8)
+    assert sorted(r[0] for r in got.where("doc_id IS NOT NULL").select("doc_id").collect()) == sorted(i for i, _ in rows if i is not None) and got.count() == len(rows)
 
 
 def test_similar_equals_brute_force(spark):
@@ -224,10 +275,8 @@ def test_similar_equals_brute_force(spark):
 
 
 def test_similar_across_length_partitions_in_a_large_group(spark):
-    import zlib
-
     r = random.Random(3)
-    spots = sorted({"the " + " ".join(words(r, 2)) for _ in range(3000)}, key=lambda s: zlib.crc32(s.encode()))
+    spots = sorted({"the " + " ".join(words(r, 2)) for _ in range(3000)}, key=lambda s: hashlib.md5(s.encode()).hexdigest())
     common, own = spots[:8], spots[8:]  # all documents share the signatures that come first
     r.shuffle(own)
     rows = []
@@ -280,3 +329,30 @@ def test_all_links_equal_brute_force(spark, monkeypatch):
     ends = [i for pair in want for i in pair]
     assert sorted((x["doc_id"], x["n_links"]) for x in got if x["doc_id"] is not None) == sorted((i, ends.count(i)) for i in sets)
     assert [x["n_links"] for x in got if x["doc_id"] is None] == [0, 0] and len(got) == len(rows)
+
+
+def test_repeated_ids_are_one_node_whatever_the_order(spark):
+    r = random.Random(21)
+    a, b = words(r, 60), words(r, 60)
+    near = lambda w: " ".join([*w[:-1], "end"])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a)), (3, near(b)), (1, None), (None, near(a))]
+    want = ngram_join.brute_force([x for x in rows if x[0]])
+    for order in (rows, rows[::-1]):
+        got = ngram_join.components_and_links(spark.createDataFrame(order, SCHEMA)).collect()
+        assert {x["doc_id"]: x["component_id"] for x in got if x["doc_id"]} == {i: c for i, (_, c) in want.items()}
+        assert sorted((x["doc_id"] or 0, x["n_shingles"], x["n_links"]) for x in got) == [(0, 56, 0), (1, 0, 1), (1, 56, 1), (1, 56, 1), *sorted([(2, 56, int(want[2][1] == 1)), (3, 56, int(want[3][1] == 1))])]
+
+
+def test_sketches_blocks_and_small_tries_lose_nothing(spark, monkeypatch):
+    rows = families(31, 8, 8)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    want = sorted(tuple(x) for x in ngram_join.components_and_links(docs).collect())
+    monkeypatch.setattr(ngram_join, "HOT", 2)
+    monkeypatch.setattr(ngram_join, "TRIE_SETS", 2)
+    monkeypatch.setattr(ngram_join, "levels", lambda table: np.where(table > 1, np.log2(np.maximum(table, 1)).astype(np.uint8) + 1, 0).astype(np.uint8))
+    assert sorted(tuple(x) for x in ngram_join.components_and_links(docs, sketched=False).collect()) == want
+    all_first = lambda sets: docs.sparkSession.createDataFrame([], "a long, b long")
+    monkeypatch.setattr(ngram_join, "neighbour_pairs", all_first)  # so that every link comes from the prefixes
+    assert sorted(tuple(x) for x in ngram_join.components_and_links(docs).collect()) == want
+    members, n = ngram_join.brute_force(rows), {i: len(x) for i, x in zip([i for i, _ in rows], shingles.gram_sets([t for _, t in rows], 5), strict=True)}
+    assert [(i, n[i], members[i][1]) for i, *_ in want] == [x[:3] for x in want]

@@ -70,6 +70,25 @@ def test_passages():
     assert chat.unquoted(text) == "Hi\nanswer"
     assert chat.passages(None) == [] and chat.unquoted("") == "" and chat.keys(" \n") == []
     assert chat.quote("b", "> x\na") == ">> x\n> a\nb" and chat.quote(None, None) == ""
+    for own in ("> mine\nown line\n", "\n\n  > x", " > y\n z", ">", "", "\n"):
+        mail = chat.quote(own, chat.quote("before\n> as such\n", chat.quote("\n> first", None)))
+        assert chat.unquoted(mail) == own
+        assert [t for level, t in chat.passages(mail) if level == 1] == ["before\n> as such\n"] and [t for level, t in chat.passages(mail) if level == 2] == ["\n> first"]
+
+
+def test_links_to_another_conversation_than_the_first(spark):
+    rows = [(1, 3, "u", "> the passage\nanswer"), (1, 5, "u", "the passage"), (2, 0, "u", "the passage"), (3, 1, "u", "the passage"), (3, 0, "u", "> the passage\nwhat")]
+    got = {(x["conv_id"], x["turn"]): (x["parent_conv"], x["parent_turn"]) for x in chat.link_quotes(spark.createDataFrame(rows, MESSAGES)).collect()}
+    assert got[1, 3] == (2, 0) and got[3, 0] == (1, 5)
+
+
+def test_mail_keeps_own_lines_and_clashing_columns(spark):
+    rows = [(1, 0, "u", "> a quoted line of mine\nown line\n", "x"), (1, 1, "u", "\nanswer\n", "y"), (1, 2, "u", " > third", "z"), (None, 0, "u", "> n", "w"), (2, 0, None, None, "v")]
+    mail = chat.as_mail(spark.createDataFrame(rows, MESSAGES + ", q1 string"))
+    got = {x["q1"]: x for x in chat.link_quotes(mail).collect()}
+    assert {k: x["text"] for k, x in got.items()} == {q: t or "" for *_, t, q in rows}
+    assert [got[k]["parent_turn"] for k in "xyzwv"] == [None, 0, 1, None, None]
+    assert chat.link_quotes(chat.as_mail(spark.createDataFrame([], MESSAGES))).count() == 0
 
 
 MESSAGES = "conv_id long, turn long, role string, text string"
@@ -150,9 +169,9 @@ def test_pipeline(spark):
         docs = docs.cache()
         kept.append({x["doc_id"]: x for x in docs.collect()})
     assert 200 not in kept[0] and 201 not in kept[0] and {*range(60)} <= set(kept[0])
-    assert set(kept[1]) == set(kept[0])
+    assert set(kept[1]) <= set(kept[0]) and {*range(60)} <= set(kept[1])
     want = ngram_join.brute_force([(i, x["text"]) for i, x in kept[1].items()])
-    assert set(kept[2]) == {i for i, (_, c) in want.items() if c == i} and not {*range(100, 105)} & set(kept[2])
+    assert set(kept[2]) == {i for i, (_, c) in want.items() if c == i} and len({*range(100, 105)} & set(kept[2])) <= 1
     assert set(kept[3]) <= set(kept[2]) and set(kept[4]) == set(kept[3])
     for i, x in kept[4].items():
         assert bpe.load().decode(x["ids"]).decode() == kept[3][i]["text"]
@@ -166,3 +185,25 @@ def test_near_duplicates_keep_rows_without_ids_and_other_texts(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = [(x["doc_id"], x["text"]) for x in cp.near_duplicates(spark, docs, "").collect()]
     assert sorted(got, key=str) == sorted({(i, t) for i, t in rows if i != 2}, key=str)
+
+
+def test_stages_on_odd_tables(spark):
+    import corpus_pipeline as cp
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, component_id int, label int, h int, d int, copy int"
+    text = " ".join("word" + c for c in "abcdefghijklmnopqrstuvwxyz")
+    rows = [(None, None, None, None, None), (None, "some text of its own", "en", "s", 1), (1, "", "en", "s", 0), (2, text, "en", "s", 1), (2, text, "en", "s", 1), (3, text + "\n", "en", None, 1), (4, "w " * 30_000, "en", "s", 1)]
+    odd = spark.createDataFrame([(*r, 1, 2, 3, 4, 5) for r in rows], schema)
+    none = spark.createDataFrame([], schema)
+    for name, stage in cp.STAGES:
+        got = stage(spark, odd, "")
+        assert stage(spark, none, "").count() == 0
+        if name != "byte_bpe":
+            assert got.columns == cp.COLUMNS
+        ids = [x["doc_id"] for x in got.collect()]
+        if name == "line_dedup":
+            assert len(ids) == 6 and 3 not in ids, "its only line stands in two texts"
+        if name == "ngram_jaccard":
+            assert sorted(ids, key=str) == [1, 2, 4, None, None]
+        if name == "byte_bpe":
+            assert len(ids) == len(rows)

@@ -67,6 +67,13 @@ def test_media_round_trip(spark):
         t = pa.ipc.open_stream(r["log_mel"]).read_all()
         assert t.schema.field("log_mel").type.shape == [media.WINDOW, media.MELS]
         assert t.column("end_s")[-1].as_py() <= len(payload) / media.RATE + media.FRAME / 12_000
+        assert t.schema.field("active").type.shape == [media.WINDOW]
+        # The stored tensors hold the frames, from which the feature follows; the last frame reaches the last sample.
+        mel, active = media.analyse(payload)
+        back, segments = media.frames_of(pa.ipc.open_stream(r["log_mel"]).read_next_batch())
+        assert np.array_equal(back, mel.astype(np.float16).astype(np.float32)) and np.array_equal(segments, active)
+        assert r["feature"] == media.describe(back, active)
+        assert (len(mel) - 1) * media.HOP + media.FRAME >= len(media.resample(np.zeros(len(payload), np.float32)))
     assert got[7]["feature"] == got[8]["feature"] and got[0]["feature"] == got[1]["feature"]
     assert media.media_features(media.encode_media(table(spark, []))).count() == 0
 
@@ -115,6 +122,55 @@ def test_language_id_edges(spark):
     assert langid.fit(table(spark, [])) == {} and langid.identify(table(spark, []), samples).count() == 0
 
 
+def slow_features(payload):
+    """Frames by the definitions, one output at a time."""
+    x = (np.frombuffer(payload, np.uint8).astype(float) - 128) / 128
+    taps = media.PHASES.astype(float)
+    y = [sum(taps[n * media.DOWN % media.UP][j] * x[n * media.DOWN // media.UP - j] for j in range(media.TAPS) if 0 <= n * media.DOWN // media.UP - j < len(x)) for n in range(len(x) * media.UP // media.DOWN)]
+    frames = []
+    while not frames or len(frames) * media.HOP + media.FRAME - media.HOP < len(y):
+        at = len(frames) * media.HOP
+        frames.append([y[i] if i < len(y) else 0.0 for i in range(at, at + media.FRAME)])
+    power = [np.abs(np.fft.fft(np.array(f) * media.HANN)[: media.FRAME // 2 + 1]) ** 2 for f in frames]
+    db = [10 * np.log10(p.sum() + 1e-6) for p in power]
+    level, on, segments = [v - np.mean(db) for v in db], None, []
+    for i, v in enumerate([*level, -np.inf]):
+        if v > media.LOW_DB and on is None:
+            on = i
+        elif v <= media.LOW_DB and on is not None:
+            if max(level[on:i]) > media.HIGH_DB:
+                segments.append([on, i])
+            on = None
+    return np.array([10 * np.log10(p @ media.BANK + 1e-6) for p in power]), segments
+
+
+@pytest.mark.parametrize("n", [0, 1, 700, 1700])
+def test_features_equal_the_slow_form(n):
+    r = random.Random(n)
+    payload = media.pad(bytes(r.choices(b"the quick brown fox \xc3\xa9", k=n)))
+    mel, segments = media.analyse(payload)
+    want, wanted = slow_features(payload)
+    assert mel.shape == want.shape and np.abs(mel - want).max() < 0.05 and segments.tolist() == wanted
+
+
+def test_every_language_is_learned_and_copies_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(langid, "DRAWN", 20)
+    alphabet = "abcdefghijklmnopqrst"
+    word = lambda r, k: "".join(r.choice(alphabet[k % 17 : k % 17 + 4]) for _ in range(6))
+    rows = []
+    for k in range(80):
+        r = random.Random(k)
+        rows += [(len(rows) + j, " ".join(word(r, k) for _ in range(12)), f"l{k:02d}", "s", 1) for j in range(5)]
+    rows += [(10_000 + j, " ".join(f"long{j}text" for _ in range(1200)), "only_long", "s", 1) for j in range(40)]
+    rows += [(7, "the same text again", "hot", "s", 1)] * 3000
+    docs = spark.createDataFrame(rows, SCHEMA)
+    samples = langid.fit(docs)
+    learnable = {r[2] for r in rows if zlib.crc32(str(r[0]).encode()) % 5}
+    assert set(samples) == learnable and {"only_long"} <= set(samples)
+    assert samples.get("hot", b"the same text again") == b"the same text again"
+    assert len(samples["only_long"]) <= langid.SAMPLE_BYTES + langid.SAMPLE_TEXT
+
+
 def test_scores_are_log_probabilities():
     counts = np.arange(lm.VOCABULARY)[::-1]
     place = lm.places(counts)
@@ -159,26 +215,80 @@ def test_lm_table(spark):
 
 
 def test_every_word_is_trained_on(spark, monkeypatch):
-    texts = [f"w{i}" for i in range(40)] + ["a b c", None, ""]
+    texts = [f"w{i}" for i in range(40)] + ["a b c", ""]
     seen = []
     monkeypatch.setattr(lm.Network, "step", lambda self, near, place, rate: seen.append(len(place)))
-    monkeypatch.setattr(lm.TaskContext, "get", lambda: type("T", (), {"partitionId": lambda self: 0})())
 
     class Docs:  # runs the function of the partitions here
         sparkSession = spark
 
-        def select(self, *_):
+        def chained(self, *_):
             return self
 
+        where = select = repartitionById = sortWithinPartitions = chained
+
         def mapInArrow(self, run, schema):
-            self.rows = [b.column("seen")[0].as_py() for b in run([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])])]
+            batch = pa.RecordBatch.from_arrays([pa.array([0] * len(texts)), pa.array(texts, pa.string())], ["group", "text"])
+            self.rows = [b.column("seen")[0].as_py() for b in run([batch.slice(0, 7), batch.slice(7)])]
             return spark.createDataFrame([], schema)
 
     docs, counts = Docs(), np.ones(lm.VOCABULARY)
-    lm.train(docs, lm.beginning(counts, lm.places(counts)), lm.places(counts))
+    lm.train(docs, lm.beginning(counts, lm.places(counts)), lm.places(counts), 43)
     assert sum(seen) == 43 and docs.rows == [43]
 
 
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm, "FAN_IN", 3)
+    r = random.Random(5)
+    texts = [" ".join(r.choice("abcdefgh") * r.randrange(1, 4) for _ in range(r.randrange(60))) for _ in range(300)] + ["again and again"] * 50
+    docs, got = table(spark, texts), []
+    for n in (1, 16):
+        dealt = docs.repartition(n)
+        counts = lm.bucket_counts(dealt)
+        net, place = lm.fit(dealt, counts, 700)
+        got.append({x["doc_id"]: x["log_likelihood"] for x in lm.score(dealt, net, place, counts, lm.word_counts(dealt)).collect()})
+    assert got[0].keys() == got[1].keys() and all(abs(got[0][i] - got[1][i]) <= 0.002 * len(texts[i].split()) + 1e-9 for i in got[0])
+    start = lm.beginning(counts, place)
+    before = {x["doc_id"]: x["log_likelihood"] for x in lm.score(docs, start, place, counts, lm.word_counts(docs)).collect()}
+    assert sum(got[0].values()) > sum(before.values()), "training raises the likelihood"
+
+
+def slow_log_probability(net, near, place):
+    """Of one word, by the definition."""
+    h = np.tanh(net.bias.astype(float) + sum(net.vector[node].astype(float) * net.scale[k] for k, node in enumerate(near)))
+    c, m = divmod(int(place), lm.IN_CLASS)
+    upper, lower = h @ net.of_class + net.class_bias, h @ net.of_member[c] + net.member_bias[c]
+    return upper[c] - np.log(np.exp(upper).sum()) + lower[m] - np.log(np.exp(lower).sum())
+
+
+def test_scores_equal_the_slow_form():
+    r = np.random.default_rng(3)
+    net = lm.Network(r.normal(0, 0.5, lm.SIZE).astype(np.float32))
+    place, near = r.integers(0, lm.VOCABULARY, 200), r.integers(0, lm.VOCABULARY + 1, (200, len(lm.OFFSETS)))
+    want = [slow_log_probability(net, near[i], place[i]) for i in range(200)]
+    assert np.allclose(net.log_probability(near, place), want, atol=1e-3)
+
+
+def test_a_step_follows_the_gradient():
+    r = np.random.default_rng(4)
+    flat = r.normal(0, 0.3, lm.SIZE).astype(np.float32)
+    near, place = r.integers(0, lm.VOCABULARY + 1, (1, len(lm.OFFSETS))), r.integers(0, lm.VOCABULARY, 1)
+    net = lm.Network(flat.copy())
+    net.step(near, place, 1e-2)
+    value = lambda f: slow_log_probability(lm.Network(f), near[0], place[0])
+    change, at = lm.Network(net.flat - flat), 0
+    for name, shape in lm.SHAPES.items():
+        size, moved = int(np.prod(shape)), getattr(change, name).ravel()
+        rate = 1e-2 / 8 if name == "vector" else 1e-2
+        for i in np.argsort(-np.abs(moved))[:3]:
+            up, down = flat.astype(float), flat.astype(float)
+            up[at + i] += 1e-4
+            down[at + i] -= 1e-4
+            slope = (value(up) - value(down)) / 2e-4
+            assert moved[i] / rate == pytest.approx(slope, rel=0.05, abs=2e-3), name
+        at += size
+
+
 def test_words_split_the_probability_of_their_bucket(spark, monkeypatch):
     monkeypatch.setattr(lm, "HEAD", 5)
     texts = [" ".join(f"word{j % 97}" for j in range(i, 3 * i)) for i in range(60)] + [f"rare{i} word1" for i in range(6000)] + [None, ""]
