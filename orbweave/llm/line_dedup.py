@@ -38,6 +38,9 @@ DEPTH = 3
 #: Texts, and share of a leaf's texts, in which a fixed token holds its position; share of positions that are fixed.
 LEAF_DOCS, LEAF_SHARE, FIXED_SHARE = 10, 0.2, 0.7
 
+#: Most rows of a table of templates (up to 80 bytes each) that is broadcast; larger ones are joined by a shuffle.
+BROADCAST_TEMPLATES = 100_000
+
 #: From the start of a token that has a digit to its end.
 VARIABLE = r"(?<![^ \t\r\f])[^ \t\r\f0-9]*+[0-9][^ \t\r\f]*"
 MISSING = -(1 << 63)
@@ -65,6 +68,12 @@ def template_lines(docs: DataFrame) -> DataFrame:
     return lines.select("d", "h", "pos", "tokens", F.xxhash64(F.substring_index("t", " ", DEPTH)).alias("lead"), F.xxhash64("t").alias("template"), "t")
 
 
+def _small(table: DataFrame, name: str) -> DataFrame:
+    """``table``, written, to be broadcast if it has at most BROADCAST_TEMPLATES rows."""
+    table = materialize(table, name)
+    return F.broadcast(table) if table.count() <= BROADCAST_TEMPLATES else table
+
+
 def _counted(lines: DataFrame, *keys: str) -> DataFrame:
     """For each group of lines the number of texts, and its first line."""
     by_text = lines.groupBy(*keys, "h").agg(F.min("d").alias("d"), F.min("pos").alias("pos"))
@@ -74,7 +83,7 @@ def _counted(lines: DataFrame, *keys: str) -> DataFrame:
 def leaf_templates(lines: DataFrame, templates: DataFrame) -> DataFrame:
     """(tokens, lead, template, shape) of the lines that their leaf generalises; lines of one shape share a template."""
     leaves = templates.where(F.col("tokens") > DEPTH).groupBy(*LEAF).agg(F.sum("docs").alias("n"), F.count("*").alias("k")).where((F.col("k") > 1) & (F.col("n") >= LEAF_DOCS))
-    some = templates.join(leaves.select(*LEAF, "n"), LEAF).select(*LEAF, "template", "docs", "n", "first")
+    some = _small(templates.join(leaves.select(*LEAF, "n"), LEAF).select(*LEAF, "template", "docs", "n", "first"), "leaf-lines")
     # The tokens of each distinct template, from its first line.
     text = lines.join(some, [*LEAF, "template"]).where("d = first.d AND h = first.h AND pos = first.pos").dropDuplicates([*LEAF, "template"])
     token = text.select(*LEAF, "template", "docs", "n", F.posexplode(F.split("t", " ")).alias("p", "token")).where((F.col("p") >= DEPTH) & (F.col("token") != "<*>"))
@@ -90,12 +99,12 @@ def leaf_templates(lines: DataFrame, templates: DataFrame) -> DataFrame:
 def recurring(lines: DataFrame) -> DataFrame:
     """(tokens, lead, template, first): the templates that recur, with the first line of what they are generalised to."""
     templates = materialize(_counted(lines, *LEAF, "template"), "templates")
-    shapes = materialize(leaf_templates(lines, templates), "leaf-templates")
+    shapes = _small(leaf_templates(lines, templates), "leaf-templates")
     wide = _counted(lines.join(shapes, [*LEAF, "template"]), *LEAF, "shape").where(F.col("docs") >= LEAF_DOCS)
     wide = shapes.join(wide, [*LEAF, "shape"]).select(*LEAF, "template", F.col("first").alias("wide"))
     often = reduce(lambda a, b: a | b, ((F.col("tokens") >= least) & (F.col("docs") >= docs) for least, docs in TIERS))
     found = templates.join(wide, [*LEAF, "template"], "left").where(often | F.col("wide").isNotNull())
-    return found.select(*LEAF, "template", F.coalesce("wide", "first").alias("first"))
+    return _small(found.select(*LEAF, "template", F.coalesce("wide", "first").alias("first")), "recurring")
 
 
 def drop_recurring_lines(docs: DataFrame) -> DataFrame:
@@ -103,7 +112,8 @@ def drop_recurring_lines(docs: DataFrame) -> DataFrame:
     docs = docs.drop("lines_dropped")
     lines = materialize(template_lines(docs), "template-lines")
     key = F.xxhash64("template", *LEAF)
-    hits = lines.withColumn("k", key).join(recurring(lines).withColumn("k", key), [*LEAF, "template", "k"])
+    found = recurring(lines)
+    hits = lines.withColumn("k", key).join(found.withColumn("k", key), [*LEAF, "template", "k"])
     gone = hits.where("NOT (h = first.h AND pos = first.pos)")
     drops = gone.groupBy(F.col("h").alias("__h")).agg(F.collect_set("pos").alias("__drop"))
     joined = splittable_join(docs.withColumn("__h", F.xxhash64("text")), drops, "__h", "left")
