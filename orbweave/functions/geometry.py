@@ -86,6 +86,15 @@ def greatest(xs: Sequence[Column]) -> Column:
     return xs[0] if len(xs) == 1 else F.greatest(*xs)
 
 
+def let(values: dict[str, Column], body: Callable[[Callable[[str], Column]], Column]) -> Column:
+    """``body`` over values that are computed once, whatever the number of times it uses them.
+
+    Column expressions are trees, so what is used ten times is otherwise computed and compiled ten times.
+    """
+    one = F.array(F.struct(*(v.alias(k) for k, v in values.items())))
+    return F.element_at(F.transform(one, lambda s: body(s.getField)), 1)
+
+
 # -- geometries ------------------------------------------------------------------------------------------------------
 
 
@@ -400,17 +409,35 @@ def _closest_on_triangle(p: Point, t: Triangle) -> Point:
     """By the Voronoi regions of corners, edges and face."""
     ab, ac = sub(t.b, t.a), sub(t.c, t.a)
     ap, bp, cp = sub(p.at, t.a), sub(p.at, t.b), sub(p.at, t.c)
-    d1, d2, d3, d4, d5, d6 = dot(ab, ap), dot(ac, ap), dot(ab, bp), dot(ac, bp), dot(ab, cp), dot(ac, cp)
-    va, vb, vc = d3 * d6 - d5 * d4, d5 * d2 - d1 * d6, d1 * d4 - d3 * d2
-    on_ab, on_ac, on_bc = F.try_divide(d1, d1 - d3), F.try_divide(d2, d2 - d6), F.try_divide(d4 - d3, (d4 - d3) + (d5 - d6))
-    v, w = F.try_divide(vb, va + vb + vc), F.try_divide(vc, va + vb + vc)
-    bc = sub(t.c, t.b)
-    return Point([
-        F.when((d1 <= 0) & (d2 <= 0), a).when((d3 >= 0) & (d4 <= d3), b).when((d6 >= 0) & (d5 <= d6), c)
-        .when((vc <= 0) & (d1 >= 0) & (d3 <= 0), a + s * on_ab).when((vb <= 0) & (d2 >= 0) & (d6 <= 0), a + u * on_ac)
-        .when((va <= 0) & (d4 - d3 >= 0) & (d5 - d6 >= 0), b + e * on_bc).otherwise(a + s * v + u * w)
-        for a, b, c, s, u, e in zip(t.a, t.b, t.c, ab, ac, bc, strict=True)
-    ])
+    dots = {f"d{i + 1}": dot(u, v) for i, (u, v) in enumerate(itertools.product((ap, bp, cp), (ab, ac)))}
+
+    def weights(g: Callable[[str], Column]) -> Column:
+        d1, d2, d3, d4, d5, d6 = (g(f"d{i}") for i in range(1, 7))
+        va, vb, vc = d3 * d6 - d5 * d4, d5 * d2 - d1 * d6, d1 * d4 - d3 * d2
+        zero, one = F.lit(0.0), F.lit(1.0)
+        on_bc = F.try_divide(d4 - d3, (d4 - d3) + (d5 - d6))
+        at = lambda v, w, kind: F.struct(v.alias("v"), w.alias("w"), F.lit(kind).alias("kind"))
+        return (
+            F.when((d1 <= 0) & (d2 <= 0), at(zero, zero, 0)).when((d3 >= 0) & (d4 <= d3), at(one, zero, 1)).when((d6 >= 0) & (d5 <= d6), at(zero, one, 2))
+            .when((vc <= 0) & (d1 >= 0) & (d3 <= 0), at(F.try_divide(d1, d1 - d3), zero, 3)).when((vb <= 0) & (d2 >= 0) & (d6 <= 0), at(zero, F.try_divide(d2, d2 - d6), 4))
+            .when((va <= 0) & (d4 - d3 >= 0) & (d5 - d6 >= 0), at(zero, on_bc, 5)).otherwise(at(F.try_divide(vb, va + vb + vc), F.try_divide(vc, va + vb + vc), 6))
+        )
+
+    w = let(dots, weights)
+    on = [f"{n}{i}" for n in ("a", "b", "c") for i in range(p.dim)]
+    corners = dict(zip(on, [*t.a, *t.b, *t.c], strict=True))
+
+    def place(g: Callable[[str], Column]) -> Column:
+        k, v, u = g("w").getField("kind"), g("w").getField("v"), g("w").getField("w")
+        out = []
+        for i in range(p.dim):
+            a, b, c = g(f"a{i}"), g(f"b{i}"), g(f"c{i}")
+            on_edge = F.when(k == 3, a + (b - a) * v).when(k == 4, a + (c - a) * u).when(k == 5, b + (c - b) * u)
+            out.append(F.when(k == 0, a).when(k == 1, b).when(k == 2, c).when(k <= 5, on_edge).otherwise(a + (b - a) * v + (c - a) * u).alias(f"x{i}"))
+        return F.struct(*out)
+
+    at = let(corners | {"w": w}, place)
+    return Point([at.getField(f"x{i}") for i in range(p.dim)])
 
 
 @_rule(_DISTANCE, Point, Point)
@@ -435,7 +462,9 @@ def _(a: Sphere, b: Sphere) -> Column:
 
 @_rule(_DISTANCE, Point, Triangle)
 def _(p: Point, t: Triangle) -> Column:
-    return norm(sub(p.at, closest_point(p, t).at))
+    closest = F.struct(*(x.alias(f"x{i}") for i, x in enumerate(closest_point(p, t).at)))
+    at = {f"p{i}": x for i, x in enumerate(p.at)} | {"c": closest}
+    return let(at, lambda g: norm([g(f"p{i}") - g("c").getField(f"x{i}") for i in range(p.dim)]))
 
 
 @_rule(_DISTANCE, Point, Segment)
@@ -458,8 +487,7 @@ def _inner_side(p: Point, face: Triangle, opposite: Vector) -> Column:
 @_rule(_DISTANCE, Point, Tetrahedron)
 def _(p: Point, t: Tetrahedron) -> Column:
     parts = [F.when(_inner_side(p, f, o) >= 0, F.lit(INF)).otherwise(distance(p, f)) for f, o in _faces(t)]
-    out = F.least(*parts)
-    return F.when(out == INF, F.lit(0.0)).otherwise(out)
+    return let({"v": F.least(*parts)}, lambda g: F.when(g("v") == INF, F.lit(0.0)).otherwise(g("v")))
 
 
 @_rule(_DISTANCE, Box, Box)
@@ -477,22 +505,23 @@ def _(s: Sphere, b: Box) -> Column:
     return F.greatest(distance(Point(s.c), b) - s.r, F.lit(0.0))
 
 
+def _entry(lo: Column, hi: Column) -> Column:
+    return let({"lo": lo, "hi": hi}, lambda g: F.when((g("lo") <= g("hi")) & (g("hi") >= 0), F.greatest(g("lo"), F.lit(0.0))).otherwise(F.lit(INF)))
+
+
 @_rule(_DISTANCE, Ray, Box)
 def _(r: Ray, b: Box) -> Column:
-    lo, hi = ray_box(r, b)
-    return F.when((lo <= hi) & (hi >= 0), F.greatest(lo, F.lit(0.0))).otherwise(F.lit(INF))
+    return _entry(*ray_box(r, b))
 
 
 @_rule(_DISTANCE, Ray, Sphere)
 def _(r: Ray, s: Sphere) -> Column:
-    lo, hi = ray_sphere(r, s)
-    return F.when((lo <= hi) & (hi >= 0), F.greatest(lo, F.lit(0.0))).otherwise(F.lit(INF))
+    return _entry(*ray_sphere(r, s))
 
 
 @_rule(_DISTANCE, Ray, Triangle)
 def _(r: Ray, t: Triangle) -> Column:
-    lo, hi = ray_triangle(r, t)
-    return F.when((lo <= hi) & (hi >= 0), F.greatest(lo, F.lit(0.0))).otherwise(F.lit(INF))
+    return _entry(*ray_triangle(r, t))
 
 
 # -- rays ------------------------------------------------------------------------------------------------------------
@@ -524,24 +553,43 @@ def ray_triangle(r: Ray, t: Triangle, eps: float = 1e-12) -> tuple[Column, Colum
 
     Along the line, the inward side of each edge is a linear function; in the plane the three give an interval.
     """
-    n = cross(sub(t.b, t.a), sub(t.c, t.a))
-    size = dot(n, n)
-    slope, height = dot(n, r.d), dot(n, sub(t.a, r.o))
-    flat = slope * slope <= F.lit(eps) * size
     corners = t.corners
-    hit = F.try_divide(height, slope)
-    base, rate = [], []
-    for i in range(3):
-        edge = sub(corners[(i + 1) % 3], corners[i])
-        base.append(dot(cross(edge, sub(r.o, corners[i])), n))
-        rate.append(dot(cross(edge, r.d), n))
-    through = _all([u + w * hit >= F.lit(-eps) * size for u, w in zip(base, rate, strict=True)])
-    in_plane = height * height <= F.lit(eps) * size
-    bound = [F.try_divide(-u, w) for u, w in zip(base, rate, strict=True)]
-    lo = F.greatest(*(F.when(w > 0, x).when((w == 0) & (u < 0), F.lit(INF)).otherwise(F.lit(-INF)) for u, w, x in zip(base, rate, bound, strict=True)))
-    hi = F.least(*(F.when(w < 0, x).when((w == 0) & (u < 0), F.lit(-INF)).otherwise(F.lit(INF)) for u, w, x in zip(base, rate, bound, strict=True)))
-    meets = F.when(flat, in_plane & (lo <= hi)).otherwise(through) & (size > 0)
-    return F.when(meets, F.when(flat, lo).otherwise(hit)).otherwise(F.lit(INF)), F.when(meets, F.when(flat, hi).otherwise(hit)).otherwise(F.lit(-INF))
+    names = [f"{n}{i}" for n in "odabc" for i in range(3)]
+    got = lambda g, n: [g(f"{n}{i}") for i in range(3)]
+
+    def planes(g: Callable[[str], Column]) -> Column:
+        a, b, c = (got(g, n) for n in "abc")
+        return F.struct(*(x.alias(f"n{i}") for i, x in enumerate(cross(sub(b, a), sub(c, a)))))
+
+    def sides(g: Callable[[str], Column]) -> Column:
+        o, d, v = got(g, "o"), got(g, "d"), [got(g, n) for n in "abc"]
+        n = [g("plane").getField(f"n{i}") for i in range(3)]
+        out = {"size": dot(n, n), "slope": dot(n, d), "height": dot(n, sub(v[0], o))}
+        for i in range(3):
+            edge = sub(v[(i + 1) % 3], v[i])
+            out |= {f"u{i}": dot(cross(edge, sub(o, v[i])), n), f"w{i}": dot(cross(edge, d), n)}
+        return F.struct(*(x.alias(k) for k, x in out.items()))
+
+    def interval(g: Callable[[str], Column]) -> Column:
+        s = g("s").getField
+        size, slope, height, u, w = s("size"), s("slope"), s("height"), [s(f"u{i}") for i in range(3)], [s(f"w{i}") for i in range(3)]
+        bound = [F.try_divide(-x, y) for x, y in zip(u, w, strict=True)]
+        lo = F.greatest(*(F.when(y > 0, x).when((y == 0) & (v < 0), F.lit(INF)).otherwise(F.lit(-INF)) for v, y, x in zip(u, w, bound, strict=True)))
+        hi = F.least(*(F.when(y < 0, x).when((y == 0) & (v < 0), F.lit(-INF)).otherwise(F.lit(INF)) for v, y, x in zip(u, w, bound, strict=True)))
+        return F.struct((slope * slope <= F.lit(eps) * size).alias("flat"), (height * height <= F.lit(eps) * size).alias("in_plane"), F.try_divide(height, slope).alias("hit"), lo.alias("lo"), hi.alias("hi"))
+
+    def ends(g: Callable[[str], Column]) -> Column:
+        s, i = g("s").getField, g("i").getField
+        through = _all([s(f"u{k}") + s(f"w{k}") * i("hit") >= F.lit(-eps) * s("size") for k in range(3)])
+        meets = F.when(i("flat"), i("in_plane") & (i("lo") <= i("hi"))).otherwise(through) & (s("size") > 0)
+        return F.struct(*(F.when(meets, F.when(i("flat"), i(k)).otherwise(i("hit"))).otherwise(F.lit(miss)).alias(k) for k, miss in (("lo", INF), ("hi", -INF))))
+
+    def whole(g: Callable[[str], Column]) -> Column:
+        one = let({n: g(n) for n in names} | {"plane": let({n: g(n) for n in names[6:]}, planes)}, sides)
+        return let({"s": one}, lambda h: let({"s": h("s"), "i": let({"s": h("s")}, interval)}, ends))
+
+    out = let(dict(zip(names, [*r.o, *r.d, *(x for c in corners for x in c)], strict=True)), whole)
+    return out.getField("lo"), out.getField("hi")
 
 
 def ray_interval(r: Ray, g: Geometry) -> tuple[Column, Column]:
@@ -607,9 +655,16 @@ def _(b: Box, t: Triangle) -> Column:
     """Separating axes: the box's, the triangle's normal, and the products of axes and edges."""
     if b.dim != 3:
         raise GeometryError("box and triangle intersect in three dimensions only")
-    half = [(hi - lo) / F.lit(2.0) for lo, hi in zip(b.lo, b.hi, strict=True)]
     centre = [(hi + lo) / F.lit(2.0) for lo, hi in zip(b.lo, b.hi, strict=True)]
-    v = [sub(c, centre) for c in t.corners]
+    once = {f"h{i}": (hi - lo) / F.lit(2.0) for i, (lo, hi) in enumerate(zip(b.lo, b.hi, strict=True))}
+    once |= {f"v{j}{i}": x for j, c in enumerate(t.corners) for i, x in enumerate(sub(c, centre))}
+    return let(once, _no_separating_axis)
+
+
+def _no_separating_axis(g: Callable[[str], Column]) -> Column:
+    """Of a box around 0 with half extents h and a triangle with corners v."""
+    half = [g(f"h{i}") for i in range(3)]
+    v = [[g(f"v{j}{i}") for i in range(3)] for j in range(3)]
     edges = [sub(v[1], v[0]), sub(v[2], v[1]), sub(v[0], v[2])]
     meets = [(least([c[i] for c in v]) <= half[i]) & (greatest([c[i] for c in v]) >= -half[i]) for i in range(3)]
     n = cross(edges[0], edges[1])
@@ -679,7 +734,7 @@ def _(s: Segment, t: Triangle) -> Column:
         raise GeometryError("segment and triangle intersect in three dimensions only")
     d = sub(s.b, s.a)
     _, hi = ray_triangle(Ray(s.a, normalize(d)), t)
-    return (hi >= 0) & (hi <= norm(d))
+    return let({"hi": hi, "n": norm(d)}, lambda g: (g("hi") >= 0) & (g("hi") <= g("n")))
 
 
 @_rule(_INTERSECTS, Ellipsoid, Point)
@@ -733,20 +788,17 @@ def _(e: Ellipsoid, b: Box) -> Column:
 
 @_rule(_INTERSECTS, Ray, Box)
 def _(r: Ray, b: Box) -> Column:
-    lo, hi = ray_box(r, b)
-    return (lo <= hi) & (hi >= 0)
+    return distance(r, b) < INF
 
 
 @_rule(_INTERSECTS, Ray, Triangle)
 def _(r: Ray, t: Triangle) -> Column:
-    lo, hi = ray_triangle(r, t)
-    return (lo <= hi) & (hi >= 0)
+    return distance(r, t) < INF
 
 
 @_rule(_INTERSECTS, Ray, Sphere)
 def _(r: Ray, s: Sphere) -> Column:
-    lo, hi = ray_sphere(r, s)
-    return (lo <= hi) & (hi >= 0)
+    return distance(r, s) < INF
 
 
 # -- measures --------------------------------------------------------------------------------------------------------

@@ -10,9 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orbweave.functions import geometry as G
 from orbweave.functions.errors import GeometryError
 from orbweave.operators.components import connected_components
-from orbweave.operators.spatial import SpatialIndex, half_neighbors, nearest, points
+from orbweave.operators.spatial import SpatialIndex, boxes, half_neighbors, nearest, points, within
 from orbweave.plans.shared import materialize
 
 #: Points up to which a spanning tree is built in one task, with distances row by row (n floats at a time).
@@ -25,58 +26,80 @@ def friends_of_friends(df: DataFrame, names: Sequence[str], eps: float, id: str
     return df.select(id).join(found.withColumnRenamed("node", id), id, "left").select(id, F.coalesce("label", id).alias("label"))
 
 
-def _dense_cells(df: DataFrame, names: Sequence[str], eps: float, min_points: int, id: str) -> tuple[DataFrame, DataFrame]:
-    """Points of grid cells with a diagonal of at most eps that hold ``min_points``: (id, node), node the cell's smallest id; and the rest."""
-    h = eps / math.sqrt(len(names)) * (1 - 1e-12)
-    cell = [F.floor(F.col(n) / F.lit(h)).alias(f"__c{i}") for i, n in enumerate(names)]
-    keys = [f"__c{i}" for i in range(len(names))]
-    placed = df.select(id, *names, *cell)
-    dense = placed.groupBy(*keys).agg(F.count("*").alias("__n"), F.min(id).alias("__node")).where(F.col("__n") >= min_points)
-    return placed.join(dense, keys, "left").select(id, *names, "__node"), dense
+#: Points of a dense cell that are tried first when two cells may touch.
+WITNESSES = 8
+
 
+def _dense_links(dense: DataFrame, axes: Sequence[str], eps: float, other: DataFrame) -> DataFrame:
+    """(a, b): nodes of dense cells of which points lie within ``eps`` of each other, as far as they matter for components.
 
-def dbscan(df: DataFrame, names: Sequence[str], eps: float, min_points: int, algorithm: str = "dbscan", implementation: str = "fdbscan", id: str = "id") -> DataFrame:
+    Cells whose tight boxes are near are tried by a few points each. Of the pairs left, those that ``other`` edges and
+    the found ones connect already are skipped; the others are looked through by a semi-join that ends at a first match.
+    """
+    lo, hi = [f"lo{i}" for i in range(len(axes))], [f"hi{i}" for i in range(len(axes))]
+    cells = dense.groupBy("node").agg(*(f(c).alias(n) for i, c in enumerate(axes) for f, n in ((F.min, lo[i]), (F.max, hi[i]))))
+    cells = materialize(cells, "dense-cells")
+    near = SpatialIndex(cells, boxes(lo, hi), "node").query(cells, boxes(lo, hi), within(eps), "node", where=lambda q, v: q("node") < v("node"))
+    near = materialize(near.select(F.col("query_id").alias("na"), F.col("value_id").alias("nb")), "near-cells")
+    side = lambda df, s: df.select(F.col("node").alias(f"n{s}"), *(F.col(c).alias(f"{c}_{s}") for c in axes))
+    at = lambda s: G.Point([F.col(f"{c}_{s}") for c in axes])
+    few = dense.withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("id")))).where(F.col("place") <= WITNESSES)
+    few = materialize(few.select("node", *axes), "witnesses")
+    quick = near.join(side(few, "a"), "na").join(side(few, "b"), "nb").where(G.distance(at("a"), at("b")) <= eps).select("na", "nb").distinct()
+    found = materialize(quick.select(F.col("na").alias("a"), F.col("nb").alias("b")), "cell-links")
+    labels = connected_components(found.union(other))
+    of = lambda s: labels.select(F.col("node").alias(f"n{s}"), F.col("label").alias(f"l{s}"))
+    left = near.join(of("a"), "na", "left").join(of("b"), "nb", "left").where("la IS NULL OR lb IS NULL OR la <> lb").select("na", "nb")
+    box = cells.select(F.col("node").alias("nb"), *lo, *hi)
+    asked = left.join(side(dense, "a"), "na").join(box, "nb").where(G.distance(at("a"), G.Box([F.col(c) for c in lo], [F.col(c) for c in hi])) <= eps).drop(*lo, *hi)
+    against = side(dense, "b").withColumnRenamed("nb", "nb2")
+    slow = asked.join(against, (F.col("nb") == F.col("nb2")) & (G.distance(at("a"), at("b")) <= eps), "left_semi").select(F.col("na").alias("a"), F.col("nb").alias("b")).distinct()
+    return found.union(materialize(slow, "cell-links"))
+
+
+def dbscan(df: DataFrame, names: Sequence[str], eps: float, min_points: int, algorithm: str = "dbscan", implementation: str = "densebox", id: str = "id") -> DataFrame:
     """(id, label): the smallest id of a core point of the point's cluster, -1 for noise.
 
     A core point has ``min_points`` points within ``eps``, itself included. Core points within ``eps`` of each other
     share a cluster. Another point near core points takes the smallest of their labels, or with algorithm
     ``dbscan_star`` is noise. With ``min_points`` 2 the clusters are the components of at least two points.
 
-    implementation ``densebox`` first merges the points of each grid cell that holds ``min_points`` within a diagonal
-    of ``eps``: they are core without counting, and pairs within a cell or between the same two merged cells count
-    once for the components.
+    implementation ``densebox`` takes the points of each grid cell with a diagonal of at most ``eps`` that holds
+    ``min_points`` as core without counting and as one node of the components: no pairs are made within a cell, and
+    two such cells are joined by one pair of points. The other points are counted, linked and labelled by joins that
+    feed aggregations; only links between core points of thin cells are written. ``fdbscan`` makes no such cells, and
+    is quadratic where many points lie within ``eps``.
     """
     if eps <= 0 or min_points < 2:
         raise GeometryError("eps must be above 0 and min_points at least 2")
     if algorithm not in ("dbscan", "dbscan_star") or implementation not in ("fdbscan", "densebox"):
         raise GeometryError("algorithm is dbscan or dbscan_star, implementation fdbscan or densebox")
-    pairs = half_neighbors(df, names, eps, id)
-    if min_points == 2:
-        found = connected_components(pairs.select("a", "b"))
-        return df.select(id).join(found.withColumnRenamed("node", id), id, "left").select(id, F.coalesce("label", F.lit(-1)).cast("long").alias("label"))
-    pairs = materialize(pairs.select("a", "b"), "eps-pairs")
-    both = pairs.union(pairs.select("b", "a"))
-    degree = both.groupBy(F.col("a").alias(id)).agg(F.count("*").alias("n"))
-    core = degree.where(F.col("n") + 1 >= min_points).select(id)
-    if implementation == "densebox":
-        placed, _ = _dense_cells(df, names, eps, min_points, id)
-        placed = materialize(placed.select(id, "__node"), "dense-cells")
-        core = core.union(placed.where("__node IS NOT NULL").select(id)).distinct()
-        node = placed.select(id, F.coalesce("__node", id).alias("__node"))
-    core = materialize(core, "core")
-    of = lambda side: core.select(F.col(id).alias(side))
-    edges = pairs.join(of("a"), "a", "left_semi").join(of("b"), "b", "left_semi").select("a", "b")
+    axes = [f"x{i}" for i in range(len(names))]
+    cell = [f"c{i}" for i in range(len(names))]
+    h = eps / math.sqrt(len(names)) * (1 - 1e-12)
+    pts = df.select(F.col(id).cast("long").alias("id"), *(F.col(n).cast("double").alias(x) for n, x in zip(names, axes, strict=True)))
+    placed = pts.select("*", *(F.floor(F.col(x) / F.lit(h)).alias(c) for x, c in zip(axes, cell, strict=True)))
+    full = placed.groupBy(*cell).agg(F.count("*").alias("n"), F.min("id").alias("node")).where((F.col("n") >= min_points) & F.lit(implementation == "densebox"))
+    placed = materialize(placed.join(full.select(*cell, "node"), cell, "left").drop(*cell), "points")
+    dense, thin = placed.where("node IS NOT NULL"), placed.where("node IS NULL").drop("node")
+    at = points(*axes)
+    everywhere = SpatialIndex(placed.select("id", *axes), at, cell=2 * eps)
+    many = everywhere.query(thin, at, within(eps)).groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= min_points)
+    core = materialize(thin.join(many.select(F.col("query_id").alias("id")), "id", "left_semi"), "core")
+    edges = half_neighbors(core, axes, eps).select("a", "b")
     if implementation == "densebox":
-        for side in "ab":
-            edges = edges.join(node.select(F.col(id).alias(side), F.col("__node").alias(f"n{side}")), side)
-        edges = edges.where("na <> nb").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct()
-        edges = edges.union(placed.where("__node IS NOT NULL").select(F.col(id).alias("a"), F.col("__node").alias("b")))
-    found = connected_components(edges)
-    labels = core.join(found.withColumnRenamed("node", id), id, "left").select(id, F.coalesce("label", id).alias("label"))
+        to_cells = SpatialIndex(dense, at, cell=2 * eps).query(core, at, within(eps), keep_values=["node"])
+        edges = materialize(edges.union(to_cells.select(F.col("query_id").alias("a"), F.col("node").alias("b")).distinct()), "core-links")
+        edges = edges.union(_dense_links(dense, axes, eps, edges))
+    found = connected_components(edges).withColumnRenamed("node", "n")
+    nodes = dense.unionByName(core.withColumn("node", F.col("id")))
+    labelled = materialize(nodes.join(found, nodes["node"] == found["n"], "left").select("id", *axes, F.coalesce("label", "node").alias("label")), "core-labels")
+    labels = labelled.select("id", "label")
     if algorithm == "dbscan":
-        near = both.join(of("a"), "a", "left_anti").join(labels.withColumnRenamed(id, "b"), "b")
-        labels = labels.unionByName(near.groupBy(F.col("a").alias(id)).agg(F.min("label").alias("label")))
-    return df.select(id).join(labels, id, "left").select(id, F.coalesce("label", F.lit(-1)).cast("long").alias("label"))
+        border = thin.join(core.select("id"), "id", "left_anti")
+        near = SpatialIndex(labelled, at, cell=2 * eps).query(border, at, within(eps), keep_values=["label"])
+        labels = labels.unionByName(near.groupBy(F.col("query_id").alias("id")).agg(F.min("label").alias("label")))
+    return df.select(id).join(labels.withColumnRenamed("id", id), id, "left").select(id, F.coalesce("label", F.lit(-1)).cast("long").alias("label"))
 
 
 def cluster_sizes(labels: DataFrame, min_size: int = 1) -> DataFrame:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -96,6 +96,24 @@ def coefficients(target: np.ndarray, sources: np.ndarray, function: str, degree:
     return (pseudo_inverse(moment) @ (p.T * phi))[0]
 
 
+def batch_coefficients(target: np.ndarray, sources: np.ndarray, function: str, degree: int) -> np.ndarray:
+    """:func:`coefficients` for rows of targets (m, d) with their sources (m, k, d), at once where these determine every term well."""
+    m, k, d = sources.shape
+    x = sources - target[:, None]
+    reach = 1.1 * np.sqrt((x**2).sum(2)).max(1, initial=0.0)
+    scaled = x / np.where(reach > 0, reach, 1.0)[:, None, None]
+    phi = radial(function, np.sqrt((scaled**2).sum(2)))
+    p = basis(scaled.reshape(m * k, d), degree).reshape(m, k, -1)
+    weighted = p * phi[:, :, None]
+    w, v = np.linalg.eigh(np.einsum("mkt,mku->mtu", weighted, p))
+    well = w[:, 0] > 1e-9 * w[:, -1]
+    first = np.einsum("mt,mut->mu", v[:, 0, :] / np.where(well[:, None], w, 1.0), v)
+    out = np.einsum("mu,mku->mk", first, weighted)
+    for i in np.flatnonzero(~well):
+        out[i] = coefficients(target[i], sources[i], function, degree)
+    return out
+
+
 def basis_size(dim: int, degree: int) -> int:
     return math.comb(dim + degree, degree)
 
@@ -112,12 +130,25 @@ def mls_coefficients(
     index = SpatialIndex(sources.select(source_id, *(F.col(n).alias(f"s_{n}") for n in names)), points(*(f"s_{n}" for n in names)), source_id)
     near = index.query(targets.select(target_id, *names), points(*names), nearest(k), target_id, keep=names, keep_values=[f"s_{n}" for n in names])
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("place")
-        c = coefficients(pdf[list(names)].to_numpy(float)[0], pdf[[f"s_{n}" for n in names]].to_numpy(float), function, degree)
-        return pd.DataFrame({"target_id": pdf["query_id"], "source_id": pdf["value_id"], "coefficient": c})
-
-    return near.groupBy("query_id").applyInPandas(solve, "target_id long, source_id long, coefficient double")
+    item = F.struct("place", F.col("value_id").alias("source_id"), *(F.col(f"s_{n}").cast("double").alias(f"s_{n}") for n in names))
+    lists = near.groupBy("query_id", *(F.col(n).cast("double").alias(n) for n in names)).agg(F.array_sort(F.collect_list(item)).alias("near"))
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = batch.column("near")
+            rows, flat = near.value_lengths().to_numpy(), near.flatten()
+            ends = np.cumsum(rows)
+            target = np.stack([batch.column(n).to_numpy() for n in names], 1)
+            source = np.stack([flat.field(f"s_{n}").to_numpy() for n in names], 1)
+            out = np.empty(len(source))
+            for size in np.unique(rows).tolist():  # as many sources each
+                at = np.flatnonzero(rows == size)
+                places = (ends[at] - size)[:, None] + np.arange(size)
+                out[places] = batch_coefficients(target[at], source[places], function, degree)
+            ids = np.repeat(batch.column("query_id").to_numpy(), rows)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), flat.field("source_id").cast(pa.int64()), pa.array(out)], ["target_id", "source_id", "coefficient"])
+
+    return lists.withColumn("query_id", F.col("query_id").cast("long")).mapInArrow(solve, "target_id long, source_id long, coefficient double")
 
 
 def interpolate(coefficient: DataFrame, values: DataFrame, columns: Sequence[str], id: str = "id") -> DataFrame:

@@ -8,11 +8,16 @@ whose cells are as large as it is, so it covers at most two cells on each axis t
 levels that the other side has. Pairs meet by an equi-join on level and cell at the coarser of their levels, in the
 one cell that holds the lower corner of what their boxes share, so no pair is found twice. The exact predicate is the
 residual condition. Catalyst chooses a broadcast, hash or sort-merge join, and adaptive execution splits hot cells.
+
+A ray is cut into pieces as long as a cell on each level that the values have, and its pieces are entered in the cells
+that they cross, so it meets only values along its way.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
+import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -123,8 +128,22 @@ def _gridded(df: DataFrame, prefix: str, h: float, levels: Sequence[int], axes:
     return df
 
 
-def bucket_pairs(q: DataFrame, v: DataFrame, qbox: G.Box, vbox: G.Box, condition: Column, cell: float | None = None) -> DataFrame:
-    """Rows of ``q`` and ``v`` (disjoint column names) whose boxes meet and for which ``condition`` holds, each pair once."""
+def _computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df`` with columns that are computed once: a generator of one row, into which no later expression is merged."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
+def _ray_columns(q: DataFrame, ray: G.Ray) -> tuple[DataFrame, G.Ray]:
+    """Origin and direction as columns, so that expressions over them stay small."""
+    q = _computed(q, {f"__o{i}": x for i, x in enumerate(ray.o)} | {f"__d{i}": x for i, x in enumerate(ray.d)})
+    return q, G.Ray([F.col(f"__o{i}") for i in range(3)], [F.col(f"__d{i}") for i in range(3)])
+
+
+def bucket_pairs(q: DataFrame, v: DataFrame, qbox: G.Box, vbox: G.Box, condition: Column, cell: float | None = None, semi: bool = False) -> DataFrame:
+    """Rows of ``q`` and ``v`` (disjoint column names) whose boxes meet and for which ``condition`` holds, each pair once.
+
+    With ``semi``, rows of ``q`` that have such a partner, once for each cell in which they have one.
+    """
     axes = min(AXES, qbox.dim)
     names = [*q.columns, *v.columns]
     q, v = _boxed(q, qbox, "__q"), _boxed(v, vbox, "__v")
@@ -132,10 +151,17 @@ def bucket_pairs(q: DataFrame, v: DataFrame, qbox: G.Box, vbox: G.Box, condition
     level = lambda p: F.greatest(F.lit(0), F.least(F.lit(LEVELS), F.ceil(F.log2(F.greatest(F.col(f"{p}size"), F.lit(h)) / F.lit(h))))).cast("int")
     q, v = q.withColumn("__qlevel", level("__q")), v.withColumn("__vlevel", level("__v"))
     levels = sorted({r[0] for r in q.select("__qlevel").distinct().union(v.select("__vlevel").distinct()).collect()})  # at most LEVELS + 1
+    if semi:
+        names = names[: names.index(v.columns[0])]
     if not levels:
-        return q.join(v, F.lit(False)).select(*names)
+        return q.join(v, F.lit(False), "left_semi" if semi else "inner").select(*names)
     keys = ["level", *(f"cell{i}" for i in range(axes))]
-    met = _gridded(q, "__q", h, levels, axes).join(_gridded(v, "__v", h, levels, axes), keys)
+    left, right = _gridded(q, "__q", h, levels, axes), _gridded(v, "__v", h, levels, axes)
+    if semi:
+        right = right.select(*(F.col(c).alias(f"__r_{c}") if c in keys else F.col(c) for c in right.columns))
+        same = [F.col(k) == F.col(f"__r_{k}") for k in keys]
+        return left.join(right, G._all([*same, F.col("level") == F.greatest("__qlevel", "__vlevel")]) & condition, "left_semi").select(*names)
+    met = left.join(right, keys)
     size = F.lit(h) * F.pow(F.lit(2.0), F.col("level"))
     once = [F.floor(F.greatest(F.col(f"__qlo{i}"), F.col(f"__vlo{i}")) / size) == F.col(f"cell{i}") for i in range(axes)]
     touch = [(F.col(f"__qlo{i}") <= F.col(f"__vhi{i}")) & (F.col(f"__vlo{i}") <= F.col(f"__qhi{i}")) for i in range(axes)]
@@ -177,12 +203,21 @@ class SpatialIndex:
         q, qc = _side(queries, "q_")
         v, vc = _side(self.df, "v_")
         qg, vg = shape(qc), self.shape(vc)
-        if isinstance(qg, G.Ray):  # its direction as columns, so that expressions over it stay small
-            q = q.withColumns({f"__o{i}": x for i, x in enumerate(qg.o)} | {f"__d{i}": x for i, x in enumerate(qg.d)})
-            qg = G.Ray([F.col(f"__o{i}") for i in range(3)], [F.col(f"__d{i}") for i in range(3)])
+        if isinstance(qg, G.Ray):
+            q, qg = _ray_columns(q, qg)
         extra = where(qc, vc) if where else F.lit(True)
         base = [qc(id).alias("query_id"), vc(self.id).alias("value_id")]
         kept = [qc(c).alias(c) for c in keep] + [vc(c).alias(c) for c in keep_values]
+        along = isinstance(qg, G.Ray) and self.strategy == "grid" and metric is None and predicate.kind in ("intersects", "ordered", "nearest")
+        if along:
+            hits = self._along(q, v, qg, vg, qc, vc, extra)
+            if predicate.kind == "intersects":
+                return self._limited(hits.select(*base, *kept), max_results)
+            place = F.row_number().over(Window.partitionBy(qc(id)).orderBy("distance", vc(self.id)))
+            hits = hits.withColumn("place", place)
+            if predicate.kind == "nearest":
+                hits = hits.where(F.col("place") <= (qc(predicate.k) if isinstance(predicate.k, str) else F.lit(int(predicate.k))))
+            return self._limited(hits.select(*base, "distance", "place", *kept), max_results)
         if predicate.kind == "nearest":
             out = self._nearest(q, v, qg, vg, qc, vc, id, predicate.k, extra, metric, metric_bound).select(*base, "distance", "place", *kept)
         else:
@@ -192,28 +227,81 @@ class SpatialIndex:
                 condition, around = (metric or G.distance)(qg, vg) <= radius, G.bounds(G.grow(qg, radius * PAD))
             else:
                 condition = (G.distance(qg, vg) < G.INF) if predicate.kind == "ordered" and isinstance(qg, G.Ray) else G.intersects(qg, vg)
-                q, around = self._ray_bounds(q, qg) if isinstance(qg, G.Ray) and self.strategy == "grid" else (q, None if isinstance(qg, G.Ray) else G.bounds(qg))
+                around = None if isinstance(qg, G.Ray) else G.bounds(qg)
             out = self._pairs(q, v, around, G.bounds(vg), condition & extra).select(*base, *measure, *kept)
             if predicate.kind == "ordered":
                 out = out.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "value_id")))
+        return self._limited(out, max_results)
+
+    def _limited(self, out: DataFrame, max_results: int | None) -> DataFrame:
         return at_most(out, max_results) if max_results is not None else out
 
+    def exists(self, queries: DataFrame, shape: Shape, radius: float | None = None, id: str = "id", where: Callable[[Getter, Getter], Column] | None = None) -> DataFrame:
+        """(query_id) of the queries that intersect a value, or with ``radius`` have one within it.
+
+        A semi-join over the cells, which leaves a query's cell at its first match; no pairs are made.
+        """
+        q, qc = _side(queries, "q_")
+        v, vc = _side(self.df, "v_")
+        qg, vg = shape(qc), self.shape(vc)
+        condition = (G.intersects(qg, vg) if radius is None else G.distance(qg, vg) <= radius) & (where(qc, vc) if where else F.lit(True))
+        if self.strategy == "brute":
+            met = q.join(v, condition, "left_semi")
+        else:
+            qbox = G.bounds(qg if radius is None else G.grow(qg, F.lit(float(radius)) * PAD))
+            met = bucket_pairs(q, v, qbox, G.bounds(vg), condition, self.cell, semi=True)
+        return met.select(qc(id).alias("query_id")).distinct()
+
+    def ray_hits(self, rays: DataFrame, shape: Shape, id: str = "id", keep: Sequence[str] = (), keep_values: Sequence[str] = ()) -> DataFrame:
+        """(query_id, value_id, distance, length): where each ray enters the values that it meets, and how far it goes inside."""
+        q, qc = _side(rays, "q_")
+        v, vc = _side(self.df, "v_")
+        q, ray = _ray_columns(q, shape(qc))
+        hits = self._along(q, v, ray, self.shape(vc), qc, vc, F.lit(True))
+        return hits.select(qc(id).alias("query_id"), vc(self.id).alias("value_id"), "distance", (F.col("__out") - F.col("distance")).alias("length"), *(qc(c).alias(c) for c in keep), *(vc(c).alias(c) for c in keep_values))
+
     def _pairs(self, q: DataFrame, v: DataFrame, qbox: G.Box, vbox: G.Box, condition: Column) -> DataFrame:
         if self.strategy == "brute":
             return q.crossJoin(v).where(condition)
         return bucket_pairs(q, v, qbox, vbox, condition, self.cell)
 
-    def _ray_bounds(self, q: DataFrame, ray: G.Ray) -> tuple[DataFrame, G.Box]:
-        """The box of the part of a ray inside the scene; empty for a ray that misses it."""
-        r = self.bounds().first()
-        scene = G.Box.of([r[f"lo_{i}"] for i in range(3)], [r[f"hi_{i}"] for i in range(3)])
-        lo, hi = G.ray_box(ray, scene)
-        q = q.withColumns({"__enter": lo, "__leave": hi})
-        q = q.withColumn("__miss", (F.col("__enter") > F.col("__leave")) | (F.col("__leave") < 0)).withColumn("__enter", F.greatest("__enter", F.lit(0.0)))
-        q = q.withColumns({f"__e{i}": ray.o[i] + ray.d[i] * F.col("__enter") for i in range(3)} | {f"__f{i}": ray.o[i] + ray.d[i] * F.col("__leave") for i in range(3)})
+    def _along(self, q: DataFrame, v: DataFrame, ray: G.Ray, vg: G.Geometry, qc: Getter, vc: Getter, extra: Column) -> DataFrame:
+        """Columns of both sides with ``distance`` to where the ray enters the value and ``__out`` where it leaves; each pair once."""
+        box = G.bounds(vg)
+        v = _boxed(v, box, "__v")
+        r = v.agg(F.count("*"), F.percentile_approx("__vsize", 0.5), *(f(f"__v{side}{i}") for side, f in (("lo", F.min), ("hi", F.max)) for i in range(3))).first()
+        if not r[0]:
+            return q.join(v, F.lit(False)).withColumns({"distance": F.lit(0.0), "__out": F.lit(0.0)})
+        lo, hi = r[2:5], r[5:8]
+        h = (self.cell or max(r[1], max(y - x for x, y in zip(lo, hi, strict=True)) / r[0] ** (1 / 3)) or 1.0) * PAD
+        v = v.withColumn("level", F.greatest(F.lit(0), F.least(F.lit(LEVELS), F.ceil(F.log2(F.greatest(F.col("__vsize"), F.lit(h)) / F.lit(h))))).cast("int"))
+        levels = sorted(x[0] for x in v.select("level").distinct().collect())  # at most LEVELS + 1
+        size = F.lit(h) * F.pow(F.lit(2.0), F.col("level"))
+        cells = lambda df, p: functools.reduce(lambda d, i: d.withColumn(f"cell{i}", F.explode(F.sequence(F.floor(F.col(f"{p}lo{i}") / size), F.floor(F.col(f"{p}hi{i}") / size)))), range(3), df)
+        # The part of each ray inside the scene, cut into pieces of a cell's length on each level.
+        q = _computed(q, dict(zip(("__enter", "__leave"), G.ray_box(ray, G.Box.of(lo, hi)), strict=True)))
+        q = q.where("__enter <= __leave AND __leave >= 0").withColumn("__enter", F.greatest("__enter", F.lit(0.0)))
+        q = q.withColumn("__leave", F.when(F.col("__leave") == G.INF, F.col("__enter")).otherwise(F.col("__leave")))  # no direction
+        q = q.withColumn("level", F.explode(F.array(*map(F.lit, levels)))).withColumn("__step", size)
+        q = q.withColumn("__last", F.greatest(F.ceil((F.col("__leave") - F.col("__enter")) / F.col("__step")), F.lit(1)) - 1)
+        q = q.withColumn("__piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__last"))))
+        a = F.col("__enter") + F.col("__piece") * F.col("__step")
+        q = q.withColumns({"__a": a, "__b": F.least("__leave", a + F.col("__step"))})
         pad = F.lit(1e-9) * (F.lit(1.0) + G.norm(ray.o) + F.abs("__leave"))
-        at = [(F.least(f"__e{i}", f"__f{i}") - pad, F.greatest(f"__e{i}", f"__f{i}") + pad) for i in range(3)]
-        return q, G.Box([F.when(F.col("__miss"), F.lit(G.INF)).otherwise(a) for a, _ in at], [F.when(F.col("__miss"), F.lit(-G.INF)).otherwise(b) for _, b in at])
+        ends = lambda i: [ray.o[i] + ray.d[i] * F.col(x) for x in ("__a", "__b")]
+        q = _computed(q, {f"__qlo{i}": F.least(*ends(i)) - pad for i in range(3)} | {f"__qhi{i}": F.greatest(*ends(i)) + pad for i in range(3)})
+        met = cells(q, "__q").join(cells(v, "__v"), ["level", "cell0", "cell1", "cell2"])
+        touch = [(F.col(f"__qlo{i}") <= F.col(f"__vhi{i}")) & (F.col(f"__vlo{i}") <= F.col(f"__qhi{i}")) for i in range(3)]
+        once = [F.floor(F.greatest(f"__qlo{i}", f"__vlo{i}") / size) == F.col(f"cell{i}") for i in range(3)]
+        met = met.where(G._all([*touch, *once]) & extra)
+        # The piece that holds the entry into the value's box; then the value itself.
+        around = G.Box([F.col(f"__vlo{i}") for i in range(3)], [F.col(f"__vhi{i}") for i in range(3)])
+        met = _computed(met, dict(zip(("__in", "__out"), G.ray_box(ray, around), strict=True)))
+        own = F.least(F.floor((F.greatest("__in", "__enter") - F.col("__enter")) / F.col("__step")), F.col("__last"))
+        met = met.where((F.col("__in") <= F.col("__out")) & (F.col("__out") >= 0)).where(own == F.col("__piece"))
+        if not isinstance(vg, G.Box):
+            met = _computed(met.drop("__in", "__out"), dict(zip(("__in", "__out"), G.ray_interval(ray, vg), strict=True))).where("__in <= __out AND __out >= 0")
+        return met.withColumn("distance", F.greatest("__in", F.lit(0.0)))
 
     def _nearest(self, q, v, qg, vg, qc, vc, id, k, extra, metric, metric_bound) -> DataFrame:
         measured = (metric or G.distance)(qg, vg)
@@ -222,7 +310,7 @@ class SpatialIndex:
         place = F.row_number().over(Window.partitionBy(qc(id)).orderBy("distance", vc(self.id)))
         ranked = lambda pairs: pairs.withColumn("distance", measured).where(F.col("distance") < G.INF).withColumn("place", place).where((F.col("place") <= most) & (F.col("place") <= limit))
         asked = q.where(limit >= 1)
-        if self.strategy == "brute" or most < 1 or isinstance(qg, G.Ray) or (metric is not None and not metric_bound):
+        if self.strategy == "brute" or most < 1 or isinstance(qg, G.Ray) or (metric is not None and not metric_bound):  # rays: only by a metric of one's own
             return ranked(asked.crossJoin(v).where(extra))
         bounded = self._reach(asked, v, qg, vg, qc, id, measured, limit, most, extra)
         factor = PAD / (metric_bound if metric is not None else 1.0)
@@ -311,10 +399,37 @@ def offsets(counted: DataFrame, block: int = 1 << 16) -> DataFrame:
     return placed.withColumn("__inside", inside).join(before.select("__block", "__before"), "__block").select("query_id", "n", (F.col("__before") + F.col("__inside")).alias("offset"))
 
 
-def to_counts(crs: DataFrame) -> DataFrame:
-    """Counts from offsets that end with the total (query_id, offset): the difference to the next."""
-    w = Window.orderBy("query_id")
-    return crs.withColumn("n", F.lead("offset").over(w) - F.col("offset")).where("n IS NOT NULL")
+def to_counts(crs: DataFrame, block: int = 1 << 16) -> DataFrame:
+    """Counts from offsets that end with the total (query_id, offset): the difference to the next.
+
+    The next row of a block's last one is the first of the next block; no window holds all queries.
+    """
+    placed = crs.withColumn("__block", F.floor(F.col("query_id") / F.lit(block)))
+    first = placed.groupBy("__block").agg(F.min(F.struct("query_id", "offset"))["offset"].alias("__first"))
+    coarse = first.withColumn("__coarse", F.floor(F.col("__block") / F.lit(block)))
+    heads = coarse.groupBy("__coarse").agg(F.min(F.struct("__block", "__first"))["__first"].alias("__head"))
+    heads = heads.withColumn("__head", F.lead("__head").over(Window.orderBy("__coarse")))  # one row for each block ** 2 ids
+    after = F.lead("__first").over(Window.partitionBy("__coarse").orderBy("__block"))
+    first = coarse.join(heads, "__coarse").select("__block", F.coalesce(after, "__head").alias("__after"))
+    inside = F.lead("offset").over(Window.partitionBy("__block").orderBy("query_id"))
+    out = placed.withColumn("__next", inside).join(first, "__block").withColumn("n", F.coalesce("__next", "__after") - F.col("offset"))
+    return out.where("n IS NOT NULL").drop("__block", "__next", "__after")
+
+
+def bounded_counts(df: DataFrame, names: Sequence[str], radius: float, most: int, id: str = "id") -> DataFrame:
+    """(id, n): how many points lie within ``radius`` of each point, itself included, up to ``most``.
+
+    Points of a grid cell whose diagonal is within the radius and that holds ``most`` points need no pairs; only the
+    others are counted.
+    """
+    h = radius / math.sqrt(len(names)) * (1 - 1e-12)
+    cell = [f"__c{i}" for i in range(len(names))]
+    placed = df.select(id, *names, *(F.floor(F.col(n) / F.lit(h)).alias(c) for n, c in zip(names, cell, strict=True)))
+    full = placed.groupBy(*cell).agg(F.count("*").alias("__n")).where(F.col("__n") >= most).select(*cell)
+    settled = placed.join(full, cell, "left_semi").select(id, F.lit(most).cast("long").alias("n"))
+    others = placed.join(full, cell, "left_anti").select(id, *names)
+    found = SpatialIndex(df.select(id, *names), points(*names), id, cell=2 * radius).query(others, points(*names), within(radius), id)
+    return settled.unionByName(found.groupBy(F.col("query_id").alias(id)).agg(F.least(F.count("*"), F.lit(most)).alias("n")))
 
 
 def to_crs(results: DataFrame, queries: DataFrame, id: str = "id", order: Sequence[str] = ("value_id",)) -> DataFrame:
@@ -347,9 +462,47 @@ def without_match(queries: DataFrame, results: DataFrame, id: str = "id") -> Dat
     return queries.join(results.select(F.col("query_id").alias(id)), id, "left_anti")
 
 
+def sort_by_key(df: DataFrame, key: Column | str, ascending: bool = True) -> DataFrame:
+    """(index, key, place): rows of (index, ...) in order of ``key`` and index, with their place from 0, over range partitions."""
+    key = F.col(key) if isinstance(key, str) else key
+    keyed = df.select("index", key.alias("key"))
+    order = [F.col("key").asc() if ascending else F.col("key").desc(), F.col("index").asc()]
+    return attach_indices(keyed.repartitionByRange(*order).sortWithinPartitions(*order), "place")
+
+
+def apply_permutation(permutation: DataFrame, values: DataFrame) -> DataFrame:
+    """(place, ...): at each place of ``permutation`` (index, place) the values of its index; ``values`` has an index."""
+    return permutation.select("index", "place").join(values, "index").drop("index")
+
+
+def insertion_points(sorted_values: DataFrame, queries: DataFrame, value: str = "value", id: str = "id") -> DataFrame:
+    """(query_id, lower, upper): how many of the values are below each query's value, and how many aren't above it.
+
+    Equal values are counted first; running totals go over blocks of the values' range, so no task holds all of them.
+    """
+    blocks = 256
+    r = sorted_values.agg(F.min(value), F.max(value)).first()
+    low, high = (float(r[0]), float(r[1])) if r[0] is not None else (0.0, 0.0)
+    wide = (high - low) / blocks or 1.0
+    block = lambda c: F.greatest(F.lit(-1), F.least(F.lit(blocks), F.floor((c.cast("double") - low) / F.lit(wide)))).cast("int")
+    known = sorted_values.groupBy(F.col(value).alias("x")).agg(F.count("*").alias("n")).select("x", "n", F.lit(None).cast("long").alias("q"))
+    asked = queries.select(F.col(value).alias("x"), F.lit(0).cast("long").alias("n"), F.col(id).cast("long").alias("q"))
+    both = known.unionByName(asked).withColumn("__block", block(F.col("x")))
+    before = both.groupBy("__block").agg(F.sum("n").alias("__n"))  # one row a block
+    before = before.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    w = Window.partitionBy("__block").orderBy("x")
+    below = F.coalesce(F.sum("n").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(0))
+    same = F.sum("n").over(Window.partitionBy("__block", "x"))
+    out = both.withColumns({"__upto": below, "__same": same}).where("q IS NOT NULL").join(F.broadcast(before.select("__block", "__before")), "__block")
+    return out.select(F.col("q").alias("query_id"), (F.col("__before") + F.col("__upto") - F.col("__same")).alias("lower"), (F.col("__before") + F.col("__upto")).alias("upper"))
+
+
 def attach_indices(df: DataFrame, name: str = "index") -> DataFrame:
-    """``df`` with contiguous numbers from 0 in its present order; only the counts of partitions reach the driver."""
-    marked = df.withColumn("__m", F.monotonically_increasing_id())
+    """``df`` with contiguous numbers from 0 in its present order; only the counts of partitions reach the driver.
+
+    The rows are numbered in a written table, so one evaluation gives both the counts and the numbers.
+    """
+    marked = materialize(df.withColumn("__m", F.monotonically_increasing_id()), "indexed")
     part = F.shiftright("__m", 33)
     sizes = {r["p"]: r["n"] for r in marked.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
     starts, total = {}, 0
@@ -368,20 +521,32 @@ def along_curve(df: DataFrame, code: Column, partitions: int | None = None) -> D
     return out.sortWithinPartitions("__code").drop("__code")
 
 
+def pair_forces(df: DataFrame, names: Sequence[str], cutoff: float, sigma: float = 1.0, epsilon: float = 1.0, least: float = 0.0, id: str = "id") -> DataFrame:
+    """(id, energy, force_<axis>): half the Lennard-Jones energy of each point's pairs, and the force on it.
+
+    Each pair farther apart than ``least`` and up to ``cutoff`` is found once and counted at both ends, with opposite forces.
+    """
+    half = half_neighbors(df, names, cutoff, id).where(F.col("distance") > F.lit(float(least)))
+    at = lambda side: df.select(F.col(id).alias(side), *(F.col(n).cast("double").alias(f"{side}_{n}") for n in names))
+    met = half.join(at("a"), "a").join(at("b"), "b")
+    square = F.col("distance") * F.col("distance")
+    met = met.withColumn("s", F.pow(F.try_divide(F.lit(float(sigma) ** 2), square), F.lit(3.0)))
+    pull = F.try_divide(F.lit(24.0 * epsilon) * (F.lit(2.0) * F.col("s") * F.col("s") - F.col("s")), square)
+    met = met.withColumns({"energy": F.lit(2.0 * epsilon) * (F.col("s") * F.col("s") - F.col("s")), "pull": pull})
+    ends = [F.struct(F.col(x).alias("id"), "energy", *((F.col("pull") * (F.col(f"{x}_{n}") - F.col(f"{y}_{n}"))).alias(n) for n in names)) for x, y in (("a", "b"), ("b", "a"))]
+    each = met.select(F.explode(F.array(*ends)).alias("e")).select("e.*")
+    return each.groupBy(F.col("id").alias(id)).agg(F.sum("energy").alias("energy"), *(F.sum(n).alias(f"force_{n}") for n in names))
+
+
 def energy_deposit(index: SpatialIndex, rays: DataFrame, shape: Shape, start: float = 1.0, gain: bool = True, id: str = "id") -> DataFrame:
     """(value_id, deposit): what rays of energy ``start`` leave in the values that they cross, in the order of crossing.
 
     Crossing a length L deposits energy * (1 - exp(-L)), which the ray gains, or loses with ``gain`` off. The product
     of the factors before a crossing is a running sum of logarithms.
     """
-    q, qc = _side(rays, "q_")
-    hits = index.query(rays, shape, ordered_intersects(), id, keep_values=[c for c in index.df.columns if c != index.id], keep=())
-    q = q.select(qc(id).alias("query_id"), *(x.alias(f"__o{i}") for i, x in enumerate(shape(qc).o)), *(x.alias(f"__d{i}") for i, x in enumerate(shape(qc).d)))
-    met = hits.join(q, "query_id")
-    ray = G.Ray([F.col(f"__o{i}") for i in range(3)], [F.col(f"__d{i}") for i in range(3)])
-    met = met.withColumn("__length", G.overlap_distance(ray, index.shape(F.col))[0])
-    factor = F.lit(2.0) - F.exp(-F.col("__length")) if gain else F.exp(-F.col("__length"))
-    before = Window.partitionBy("query_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    met = index.ray_hits(rays, shape, id)
+    factor = F.lit(2.0) - F.exp(-F.col("length")) if gain else F.exp(-F.col("length"))
+    before = Window.partitionBy("query_id").orderBy("distance", "value_id").rowsBetween(Window.unboundedPreceding, -1)
     energy = F.exp(F.coalesce(F.sum(F.ln(factor)).over(before), F.lit(0.0))) * start
-    met = met.withColumn("__deposit", energy * (F.lit(1.0) - F.exp(-F.col("__length"))))
+    met = met.withColumn("__deposit", energy * (F.lit(1.0) - F.exp(-F.col("length"))))
     return met.groupBy("value_id").agg(F.sum("__deposit").alias("deposit"))
