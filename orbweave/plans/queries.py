@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from orbweave.functions import geometry as G
 from orbweave.functions.morton import morton32, morton64
-from orbweave.operators import cluster, interpolation, spatial, vectors
+from orbweave.operators import cluster, spatial, vectors
 from orbweave.operators.spatial import SpatialIndex, intersects, nearest, ordered_intersects, within
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -254,11 +254,6 @@ def ellipsoid_segment(spark, sf_dir):
     return _join(spark, sf_dir, lambda c: G.Segment.of([c("e7"), c("e8")], [c("e9"), c("e10")]), ELLIPSOID, intersects())
 
 
-@query(None)
-def ellipsoid_box(spark, sf_dir):
-    return _join(spark, sf_dir, ELLIPSOID, lambda c: G.Box.of([c("e7"), c("e8")], [c("e7") + F.lit(0.5) * F.abs(c("e9")), c("e8") + F.lit(0.5) * F.abs(c("e10"))]), intersects())
-
-
 def _kdop_bounds(alias: str) -> list[tuple[str, str]]:
     corners = [at(alias, i, i + 1, i + 2) for i in (1, 4, 7)]
     out = []
@@ -283,16 +278,6 @@ def kdop_kdop(spark, sf_dir):
     return _join(spark, sf_dir, k, k, intersects())
 
 
-@query(None)
-def box_triangle(spark, sf_dir):
-    return _join(spark, sf_dir, BOX, TRIANGLE, intersects())
-
-
-@query(None)
-def segment_triangle(spark, sf_dir):
-    return _join(spark, sf_dir, lambda c: G.Segment.of([c(n) for n in _e(10, 11, 12)], [c(n) for n in _e(13, 14, 15)]), TRIANGLE, intersects())
-
-
 # -- distances ---------------------------------------------------------------------------------------------------------------------
 
 
@@ -345,11 +330,6 @@ def centroids(spark, sf_dir):
     return _measured(spark, sf_dir, box_x=x(BOX, 0), triangle_x=x(TRIANGLE, 0), tet_y=x(TET, 1), segment_x=x(SEGMENT3, 0), sphere_x=x(SPHERE, 0))
 
 
-@query(each("b.e4 <> 0 AND b.e5 <> 0 AND b.e6 <> 0 AS box_valid, b.e10 IS NOT NULL AS sphere_valid, TRUE AS equal_self"))
-def validity(spark, sf_dir):
-    return _measured(spark, sf_dir, box_valid=lambda c: G.is_valid(BOX(c)), sphere_valid=lambda c: G.is_valid(SPHERE(c)), equal_self=lambda c: G.equals(BOX(c), BOX(c)))
-
-
 # -- nearest ---------------------------------------------------------------------------------------------------------------------------
 
 
@@ -425,13 +405,13 @@ def ray_energy(spark, sf_dir):
 @query(f" SELECT id FROM e a WHERE EXISTS (SELECT 1 FROM e b WHERE b.id <> a.id AND {d(A3, B3)} <= 0.03)")
 def semi_within(spark, sf_dir):
     t = values(spark, sf_dir)
-    return spatial.with_match(t, _join(spark, sf_dir, P3, P3, within(0.03), where=lambda q, v: q("id") != v("id"))).select("id")
+    return SpatialIndex(t, P3).exists(t, P3, 0.03, where=lambda q, v: q("id") != v("id")).select(F.col("query_id").alias("id"))
 
 
 @query(f" SELECT id FROM e a WHERE NOT EXISTS (SELECT 1 FROM e b WHERE b.id <> a.id AND {d(A3, B3)} <= 0.03)")
 def anti_within(spark, sf_dir):
     t = values(spark, sf_dir)
-    return spatial.without_match(t, _join(spark, sf_dir, P3, P3, within(0.03), where=lambda q, v: q("id") != v("id"))).select("id")
+    return spatial.without_match(t, SpatialIndex(t, P3).exists(t, P3, 0.03, where=lambda q, v: q("id") != v("id"))).select("id")
 
 
 @query(f" SELECT a.id query_id, b.id value_id FROM e a JOIN e b ON {d(A3, B3)} <= 0.08 QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY b.id) <= 3")
@@ -494,7 +474,7 @@ def friends_of_friends(spark, sf_dir):
 
 @query(_dbscan_sql(0.05, 5))
 def dbscan(spark, sf_dir):
-    return cluster.dbscan(values(spark, sf_dir), _e(1, 2, 3), 0.05, 5)
+    return cluster.dbscan(values(spark, sf_dir), _e(1, 2, 3), 0.05, 5, implementation="fdbscan")
 
 
 @query(_dbscan_sql(0.05, 5))
@@ -527,34 +507,9 @@ def reachability_tree(spark, sf_dir):
     return cluster.spanning_tree(values(spark, sf_dir), _e(1, 2, 3), 5)
 
 
-@query(None)
-def single_linkage(spark, sf_dir):
-    return cluster.dendrogram(emst(spark, sf_dir))
-
-
-@query(None)
-def hdbscan(spark, sf_dir):
-    return cluster.hdbscan(values(spark, sf_dir), _e(1, 2, 3), 5)
-
-
-@query(" SELECT 0::BIGINT core_noise, 0::BIGINT split_core, 0::BIGINT stray_label, 0::BIGINT wrong_border, 0::BIGINT merged_label")
-def dbscan_verified(spark, sf_dir):
-    """The verifier finds no violation."""
-    return cluster.verify_dbscan(values(spark, sf_dir), dbscan(spark, sf_dir), _e(1, 2, 3), 0.05, 5)
-
-
 # -- interpolation, forces ------------------------------------------------------------------------------------------------------------------------
 
 
-@query(None)
-def mls_interpolate(spark, sf_dir):
-    """A linear field is reproduced at other points."""
-    t = values(spark, sf_dir)
-    sources, targets = t.select("id", "e1", "e2", (F.lit(2.0) * F.col("e1") - F.col("e2") + 1.0).alias("f")), t.select("id", F.col("e3").alias("e1"), F.col("e4").alias("e2"))
-    coefficient = interpolation.mls_coefficients(sources, targets, ["e1", "e2"], "wendland2", 1, 6)
-    return interpolation.interpolate(coefficient, sources, ["f"])
-
-
 _LJ = f", p AS (SELECT a.id, b.e1 - a.e1 dx, {d(A3, B3)} r FROM e a JOIN e b ON a.id <> b.id AND {d(A3, B3)} <= 0.1 AND {d(A3, B3)} > 0), q AS (SELECT id, dx, r, 0.0001 / (r * r) s FROM p)"
 
 
@@ -574,3 +529,6 @@ def events_within(spark, sf_dir):
     t = t.select(F.col("event_id").alias("id"), (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(3600000000.0)).alias("t"), F.col("value").alias("v"))
     shape = spatial.points("t", "v")
     return SpatialIndex(t, shape).query(t, shape, within(0.5)).groupBy("query_id").agg(F.count("*").alias("n"))
+
+
+from orbweave.plans import queries_more  # noqa: E402, F401 (registers the rest)
