@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from orbweave.functions.errors import GeometryError
 from orbweave.operators import cluster as C
@@ -106,3 +107,17 @@ def test_dendrogram(spark):
     grid = C.hdbscan(flat(spark, list(itertools.product(range(4), range(4)))), XY, 5).collect()
     counts = np.bincount([r["parent"] for r in grid if r["parent"] >= 0])
     assert counts.tolist() == [2] * 15
+
+
+def test_dense_cells_make_no_pairs_and_agree(spark, monkeypatch):
+    monkeypatch.setattr(C, "WITNESSES", 1)
+    r = random.Random(5)
+    rows = [(r.gauss(0, 0.02) + x, r.gauss(0, 0.02) + y) for x, y in ((0, 0), (0.12, 0), (0.12, 0.13), (1, 1)) for _ in range(60)] + [(r.random() * 2, r.random() * 2) for _ in range(60)]
+    df = flat(spark, rows)
+    for eps in (0.03, 0.06, 0.1):
+        for algorithm in ("dbscan", "dbscan_star"):
+            a, b = (labels(C.dbscan(df, XY, eps, 4, algorithm, i)) for i in ("fdbscan", "densebox"))
+            assert a == b
+    same = spark.range(30_000).select("id", F.lit(1.0).alias("x"), F.lit(2.0).alias("y")).union(spark.createDataFrame([(40_000, 1.0, 2.5)], "id long, x double, y double"))
+    got = C.dbscan(same, XY, 0.4, 5).groupBy("label").count().collect()
+    assert {x["label"]: x["count"] for x in got} == {0: 30_000, -1: 1}

@@ -48,3 +48,15 @@ def test_basis_and_functions():
         assert I.radial(name, np.array([1.0, 1.5, -3])) == pytest.approx([0] * 3, abs=1e-9) and (I.radial(name, x) >= 0).all()
     with pytest.raises(GeometryError):
         I.radial("other", x)
+
+
+def test_batches_equal_single_targets():
+    r = np.random.default_rng(2)
+    target, sources = r.normal(size=(40, 2)), r.normal(size=(40, 9, 2))
+    sources[::5, :, 1] = 0  # on a line, so some terms can't be told apart
+    sources[1::7, 1:] = sources[1::7, :1]
+    target[::5, 1] = 0
+    for degree in (0, 1, 2):
+        got = I.batch_coefficients(target, sources, "wendland4", degree)
+        for i in range(40):
+            assert got[i] == pytest.approx(I.coefficients(target[i], sources[i], "wendland4", degree), abs=1e-6)

@@ -156,3 +156,51 @@ def test_nearest_vectors_of_equal_values(spark):
         assert [(r["query_id"], r["value_id"], r["distance"]) for r in got] == [(q, lo + i, 0.0) for q, lo in ((7, 0), (290, 280)) for i in range(4)]
     few = nearest_vectors(v.where("id = 3"), v.where("id < 2"), 4, value_blocks=3).orderBy("place").collect()
     assert [r["value_id"] for r in few] == [0, 1]
+
+
+def test_rays_meet_all_shapes_as_brute_force_says(spark):
+    r = random.Random(11)
+    rows = [(i, *(r.uniform(-2, 2) for _ in range(9)), r.random() ** 3) for i in range(150)] + [(150 + i, *[float(i)] * 9, 0.0) for i in range(3)]
+    v = spark.createDataFrame(rows, "id long, " + ", ".join(f"a{i} double" for i in range(9)) + ", r double")
+    rays = spark.createDataFrame([(i, *(r.uniform(-3, 3) for _ in range(3)), *(r.choice([0.0, r.uniform(-1, 1)]) for _ in range(3))) for i in range(60)] + [(60, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0)], BOXES)
+    ray = lambda c: G.Ray.of([c(n) for n in XYZ], [c(n) for n in "uvw"])
+    box = lambda c: G.Box.of([F.least(c(f"a{i}"), c(f"a{i + 3}")) for i in range(3)], [F.greatest(c(f"a{i}"), c(f"a{i + 3}")) for i in range(3)])
+    sphere = lambda c: G.Sphere.of([c("a0"), c("a1"), c("a2")], c("r"))
+    triangle = lambda c: G.Triangle.of(*([c(f"a{i + j}") for j in range(3)] for i in (0, 3, 6)))
+    for shape in (box, sphere, triangle):
+        for predicate, more in ((S.intersects(), []), (S.ordered_intersects(), ["place"]), (S.nearest(2), ["place"])):
+            grid, brute = (hits(S.SpatialIndex(v, shape, strategy=s).query(rays, ray, predicate), *more) for s in ("grid", "brute"))
+            assert grid == brute
+    assert S.SpatialIndex(v.limit(0), box).query(rays, ray, S.intersects()).count() == 0
+
+
+def test_exists_and_bounded_counts(spark):
+    r = random.Random(12)
+    rows = [(r.random() ** 3, r.random(), r.random()) for _ in range(150)] + [(5.0, 5.0, 5.0)] * 40 + [(9.0, 9.0, 9.0)]
+    v = cloud(spark, rows)
+    near = {i: sum(sum((x - y) ** 2 for x, y in zip(a, b, strict=True)) ** 0.5 <= 0.2 for b in rows) for i, a in enumerate(rows)}
+    assert {x["id"]: x["n"] for x in S.bounded_counts(v, XYZ, 0.2, 4).collect()} == {i: min(n, 4) for i, n in near.items()}
+    for strategy in ("grid", "brute"):
+        found = S.SpatialIndex(v, P3, strategy=strategy).exists(v, P3, 0.2, where=lambda a, b: a("id") != b("id"))
+        assert sorted(x[0] for x in found.collect()) == [i for i, n in near.items() if n > 1]
+
+
+def test_permutations_and_insertion_points(spark):
+    xs = [5.0, 1.0, 1.0, 9.0, -2.0, 5.0]
+    df = spark.createDataFrame(list(enumerate(xs)), "index long, x double")
+    place = S.sort_by_key(df, "x")
+    assert [r["index"] for r in place.orderBy("place").collect()] == [4, 1, 2, 0, 5, 3]
+    assert [r["index"] for r in S.sort_by_key(df, "x", ascending=False).orderBy("place").collect()] == [3, 0, 5, 1, 2, 4]
+    assert [r["x"] for r in S.apply_permutation(place, df).orderBy("place").collect()] == sorted(xs)
+    asked = spark.createDataFrame(list(enumerate([-5.0, 1.0, 3.0, 5.0, 10.0])), "id long, value double")
+    got = {r["query_id"]: (r["lower"], r["upper"]) for r in S.insertion_points(df.withColumnRenamed("x", "value"), asked).collect()}
+    assert got == {0: (0, 0), 1: (1, 3), 2: (3, 3), 3: (3, 5), 4: (6, 6)}
+    none = S.insertion_points(df.limit(0).withColumnRenamed("x", "value"), asked).collect()
+    assert len(none) == 5 and all((r["lower"], r["upper"]) == (0, 0) for r in none)
+
+
+def test_pair_forces_are_opposite(spark):
+    got = {r["id"]: r for r in S.pair_forces(cloud(spark, [(0, 0, 0), (1.5, 0, 0), (9, 9, 9)]), XYZ, 3.0).collect()}
+    s = (1 / 1.5**2) ** 3
+    assert got[0]["energy"] == got[1]["energy"] == pytest.approx(2 * (s * s - s)) and 2 not in got
+    assert got[0]["force_x"] == -got[1]["force_x"] == pytest.approx(24 * (2 * s * s - s) / 1.5**2 * -1.5)
