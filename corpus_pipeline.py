@@ -1,6 +1,7 @@
 """A training corpus from raw documents: language ID, line dedup, near-duplicate removal, mixing, tokens.
 
 Each stage gets the documents that its predecessor kept, as a table; all but the last return the columns of documents.
+Columns beyond those are left behind, whatever their names. An empty table gives an empty one in every stage.
 """
 
 from __future__ import annotations
@@ -9,19 +10,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbweave.llm import bpe, langid, line_dedup, mixing, ngram_join
-from orbweave.plans.shared import materialize
+from orbweave.plans.shared import drop_table, materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told apart clearly, with that language; without letters or on a narrow margin they go."""
+    """Documents whose language is told apart clearly, with that language; without letters or on a narrow margin they go.
+
+    So null and empty texts go, and all documents if no row has a language to learn from. Repeated rows and rows
+    without doc_id are judged alike by their texts, as whole as they are long.
+    """
     found = langid.identify(docs.select(*COLUMNS), langid.fit(docs)).where("NOT rejected")
     return found.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines of templates that recur; what is left empty goes."""
+    """Documents without the lines of templates that recur; what is left empty goes.
+
+    A null or empty text that has lost no line stays. Copies of a whole text are one text here and stay for the next
+    stage; rows without doc_id come first where it is decided which line of a template stays.
+    """
     kept = line_dedup.drop_recurring_lines(docs.select(*COLUMNS)).where("lines_dropped = 0 OR trim(text) <> ''")
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
@@ -39,12 +48,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated or left out so that the sources have their target weights, in a global shuffle."""
+    """Documents repeated or left out so that the sources have their target weights, in a global shuffle.
+
+    Rows of one doc_id have one count, and so have all rows without one; a null source counts with those that the
+    weights don't name. Texts don't matter.
+    """
     return mixing.mix(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian unsigned 32-bit), and the hashes of the ids and of the text decoded from them."""
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit), and the hashes of the ids and of the text decoded from them.
+
+    Every row is kept; a null text counts as empty and has no tokens.
+    """
     out = bpe.encode_documents(docs)
     return out.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), "decoded_sha256")
 
@@ -64,7 +80,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = materialize(docs, f"stage-{name}")
-    return docs
+        out = stage(spark, docs, sf_dir)
+        if i == len(STAGES) - 1:
+            return out  # reads what the stage before has written
+        before, docs = docs, materialize(out, f"stage-{name}")
+        drop_table(before)

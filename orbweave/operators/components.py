@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.plans.shared import materialize, splittable_join
+from orbweave.plans.shared import drop_table, materialize, splittable_join
 
 #: Edges that one task may hold; beyond it, star rounds over the whole cluster shrink the table first.
 LOCAL_EDGES = 500_000
@@ -59,7 +59,8 @@ def connected_components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> Da
     loops = edges.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("label"))
     left = edges.where("a <> b")
     while (n := left.count()) > local_edges:
-        left = materialize(_star(_star(left, True), False), "stars")
+        before, left = left, materialize(_star(_star(left, True), False), "stars")
+        drop_table(before)
         # Done when only stars are left: no node that others point to points on itself.
         if splittable_join(left.withColumnRenamed("a", "node"), left.select(F.col("b").alias("node")).distinct(), "node", "left_semi").isEmpty() and left.groupBy("a").count().where("count > 1").isEmpty():
             break
@@ -75,4 +76,7 @@ def connected_components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> Da
                 yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(label, pa.int64())], ["node", "label"])
 
         out = left.select("a", "b").repartition(1).mapInArrow(run, "node long, label long")
-    return materialize(out.union(loops.join(out, "node", "left_anti")), "components")
+    found = materialize(out.union(loops.join(out, "node", "left_anti")), "components")
+    for table in (edges, left):
+        drop_table(table)
+    return found

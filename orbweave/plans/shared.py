@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,23 +27,27 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Where the table of a DataFrame that :func:`materialize` returned lies.
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
 
 
 def drop_table(df: DataFrame) -> None:
-    """Delete the files of a table that :func:`materialize` returned, once nothing will read it again."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    root = shared_dir(spark)
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/" in folder.removeprefix(root):
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete the table that :func:`materialize` returned as ``df``, once nothing will read it again."""
+    path = _PATHS.pop(df, None)
+    if path is not None:
+        spark = df.sparkSession
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def splittable_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
