@@ -41,10 +41,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows without doc_id link with nothing and all stay as documents of their own. Rows that share a doc_id are one
     document of the join and stay or go together. Of rows that repeat both doc_id and text, one stays.
     """
-    labels = ngram_join.components(docs)
-    first = labels.where("doc_id = component_id").select("doc_id").distinct()
+    ngram_join.release(spark)  # what the stage before has shuffled
     docs = docs.select(*COLUMNS)
-    return docs.join(first, "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL")).dropDuplicates(["doc_id", "text"])
+    labels = materialize(ngram_join.components(docs), "components").where("doc_id IS NOT NULL")
+    gone = labels.where("doc_id <> component_id").select("doc_id").distinct()
+    again = labels.groupBy("doc_id").count().where("count > 1").select("doc_id").join(gone, "doc_id", "left_anti")
+    gone, again = materialize(gone, "dropped-ids"), materialize(again, "repeated-ids")
+    marked = ngram_join.small(materialize(gone.unionByName(again), "marked-ids"))
+    # Texts are compared only where an id stands in several rows, or none.
+    alone = docs.where("doc_id IS NOT NULL").join(marked, "doc_id", "left_anti")
+    others = docs.where("doc_id IS NULL").unionByName(docs.join(ngram_join.small(again), "doc_id", "left_semi"))
+    return alone.unionByName(others.dropDuplicates(["doc_id", "text"]))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
