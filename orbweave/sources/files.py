@@ -91,14 +91,17 @@ def write_labels(labels: DataFrame, path: str, id: str = "id") -> None:
     """Labels in order of id as one binary file ``[n, labels...]`` of 4-byte integers, through the file system of ``path``.
 
     One file takes one sequential writer: the driver streams the sorted labels part by part. For large clouds write
-    Parquet.
+    Parquet. Labels, or a number of rows, that don't fit into 4 bytes are an error, and then no file is made.
     """
+    n, least, most = labels.agg(F.count("*"), F.coalesce(F.min("label"), F.lit(0)), F.coalesce(F.max("label"), F.lit(0))).first()
+    if min(least, 0) < -(1 << 31) or max(n, most) >= 1 << 31:
+        raise GeometryError("labels and their number must fit into 4 bytes")
     spark = labels.sparkSession
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
     try:
-        out.write(bytearray(np.array([labels.count()], "<i4").tobytes()))
+        out.write(bytearray(np.array([n], "<i4").tobytes()))
         held: list[int] = []
         for r in labels.orderBy(id).select("label").toLocalIterator():
             held.append(r["label"])

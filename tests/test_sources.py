@@ -32,6 +32,9 @@ def test_other_files(spark, tmp_path):
     files.write_labels(labels, str(tmp_path / "labels.bin"))
     assert np.frombuffer((tmp_path / "labels.bin").read_bytes(), "<i4").tolist() == [10] + [i % 3 - 1 for i in range(10)]
     assert sorted(map(tuple, files.read_labels(spark, str(tmp_path / "labels.bin")).collect())) == [(i, i % 3 - 1) for i in range(10)]
+    with pytest.raises(GeometryError):
+        files.write_labels(spark.createDataFrame([(0, 1 << 31)], "id long, label long"), str(tmp_path / "large.bin"))
+    assert not (tmp_path / "large.bin").exists()
 
 
 def test_generators(spark):
