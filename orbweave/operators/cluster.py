@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 from orbweave.functions import geometry as G
 from orbweave.functions.errors import GeometryError
 from orbweave.operators.components import connected_components
-from orbweave.operators.spatial import SpatialIndex, boxes, half_neighbors, nearest, points, within
+from orbweave.operators.spatial import PAD, SpatialIndex, boxes, bucket_pairs, half_neighbors, nearest, points, within
 from orbweave.plans.shared import materialize
 
 #: Points up to which a spanning tree is built in one task, with distances row by row (n floats at a time).
 LOCAL_POINTS = 5_000
+#: Halvings of the cells in a search between components, after which the pairs that are left are measured as they are.
+HALVINGS = 60
 
 
 def friends_of_friends(df: DataFrame, names: Sequence[str], eps: float, id: str = "id") -> DataFrame:
@@ -183,8 +185,9 @@ def spanning_tree(df: DataFrame, names: Sequence[str], k: int = 1, id: str = "id
 
     Equal weights are ordered by (smaller id, larger id). Up to ``local_points`` points are solved in one task of
     bounded size. Beyond, Boruvka rounds over the cluster: each component takes its best edge to another one, found
-    among its points' nearest neighbours; points whose neighbours all belong to their own component bound the edge
-    from below, and look at more neighbours where the bound does not settle it.
+    among its points' nearest neighbours. Where these settle no component, the best edges are searched for between
+    cells of different components, so points of one component aren't compared with each other however far the next one
+    is. Points at one place (with ``k`` of them if k is above 1) are tied to the smallest of their ids beforehand.
     """
     pts = df.select(F.col(id).cast("long").alias("id"), *(F.col(n).cast("double").alias(n) for n in names))
     pts = pts.join(core_distances(pts, names, k), "id") if k > 1 else pts.withColumn("core", F.lit(0.0))
@@ -204,7 +207,12 @@ def spanning_tree(df: DataFrame, names: Sequence[str], k: int = 1, id: str = "id
             yield pa.RecordBatch.from_arrays([pa.array([int(ids[order][e[i]]) for e in edges], pa.int64()) for i in range(2)] + [pa.array([e[2] for e in edges], pa.float64())], ["source", "target", "weight"])
 
         return pts.repartition(1).mapInArrow(run, "source long, target long, weight double")
-    return _boruvka(pts, names, n, max(8, k))
+    # The smallest edges: weight 0, from the smallest id of a place, which then stands for all of them.
+    same = pts.groupBy(*names).agg(F.min("id").alias("source"), F.count("*").alias("n"), F.max("core").alias("high")).where("n > 1 AND high = 0").select(*names, "source")
+    tied = pts.join(same, list(names)).where("id <> source").select("source", F.col("id").alias("target"), F.lit(0.0).alias("weight"))
+    tied = materialize(tied, "tied")
+    rest = materialize(pts.join(tied.select(F.col("target").alias("id")), "id", "left_anti"), "points")
+    return _boruvka(rest, names, rest.count(), max(8, k)).unionByName(tied)
 
 
 def _weight() -> Column:
@@ -220,6 +228,79 @@ def _neighbour_lists(pts: DataFrame, asked: DataFrame, names: Sequence[str], k:
     return found.select("a", "b", _weight().alias("weight"), F.max("distance").over(Window.partitionBy("a")).alias("far"), F.count("*").over(Window.partitionBy("a")).alias("listed"))
 
 
+def _clumps(pts: DataFrame, names: Sequence[str], size: float, parent: float | None = None) -> DataFrame:
+    """Points of one component in one cell, as (key, box, least core, count), with the key they had in cells of ``parent``."""
+    rows = pts.withColumn("key", _cell(names, size))
+    if parent is not None:
+        rows = rows.withColumn("parent", _cell(names, parent))
+    ends = [f(n).alias(f"{side}_{n}") for n in names for side, f in (("lo", F.min), ("hi", F.max))]
+    return rows.groupBy("key", *(["parent"] if parent is not None else [])).agg(*ends, F.min("core").alias("core"), F.count("*").alias("n"))
+
+
+def _cell(names: Sequence[str], size: float) -> Column:
+    return F.struct("label", *(F.floor(F.col(n) / size).alias(f"c{i}") for i, n in enumerate(names)))
+
+
+def _renamed(df: DataFrame, prefix: str) -> DataFrame:
+    return df.select(*(F.col(c).alias(prefix + c) for c in df.columns))
+
+
+def _spans(names: Sequence[str]) -> tuple[Column, Column]:
+    """Bounds of the least weight between the points of the clumps a and b."""
+    low, high = F.greatest("a_core", "b_core"), F.greatest("a_core", "b_core")
+    box = lambda p: G.Box([F.col(f"{p}lo_{n}") for n in names], [F.col(f"{p}hi_{n}") for n in names])
+    a, b = box("a_"), box("b_")
+    gaps = [F.greatest(F.lit(0.0), y - z, w - x) for y, x, w, z in zip(a.lo, a.hi, b.lo, b.hi, strict=True)]
+    across = [F.greatest(x - w, z - y) for y, x, w, z in zip(a.lo, a.hi, b.lo, b.hi, strict=True)]
+    return F.greatest(low, G.norm(gaps)), F.greatest(high, G.norm(across))
+
+
+def _closest_others(pts: DataFrame, state: DataFrame, names: Sequence[str]) -> DataFrame | None:
+    """(la, e): the best edges of those components of which the bound is within four times the least bound.
+
+    ``pts`` have their component as label; the bound is the best edge in ``state`` or that between first points. Cells
+    of different components pair up where their boxes are within the bound, and halve, which lowers the bounds, until
+    few pairs of points are left. None where no component has a distance to another one.
+    """
+    pts = materialize(pts, "labelled")
+    first = materialize(pts.groupBy("label").agg(F.min(F.struct("id", *names, "core")).alias("p")).select("label", "p.*"), "first")
+    known = first.join(state.select(F.col("la").alias("label"), F.col("e.weight").alias("bound")), "label", "left")
+    index = SpatialIndex(first.withColumnRenamed("core", "core_b"), points(*names))
+    found = index.query(known.where("bound IS NULL").withColumnRenamed("core", "core_a"), points(*names), nearest(1), keep=["label", "core_a"], keep_values=["core_b"], where=lambda q, v: q("id") != v("id"))
+    bound = materialize(known.where("bound IS NOT NULL").select("label", "bound").unionByName(found.select("label", _weight().alias("bound"))), "bounds")
+    least, n = bound.agg(F.min("bound")).first()[0], pts.count()
+    if least is None:
+        return None
+    bound = bound.where(F.col("bound") <= 4 * least).select(F.col("label").alias("la"), "bound")
+    size = 2.0 ** math.ceil(math.log2(4 * least)) if least > 0 else 1.0
+
+    cells = materialize(_clumps(pts, names, size), "clumps")
+    a, b = _renamed(cells, "a_").join(bound, F.col("a_key.label") == F.col("la")), _renamed(cells, "b_")
+    box = lambda p: G.Box([F.col(f"{p}lo_{n}") for n in names], [F.col(f"{p}hi_{n}") for n in names])
+    low, high = _spans(names)
+    pairs = bucket_pairs(a, b, G.grow(box("a_"), F.col("bound") * PAD), box("b_"), F.col("a_key.label") != F.col("b_key.label"))
+    for halving in range(HALVINGS):
+        pairs = pairs.select("la", "bound", "a_key", "b_key", "a_n", "b_n", low.alias("low"), high.alias("high")).where(F.col("low") <= F.col("bound") * PAD)
+        pairs = materialize(pairs, "clump-pairs")
+        lowest = pairs.groupBy("la").agg(F.least(F.min("bound"), F.min("high")).alias("bound"))
+        pairs = pairs.drop("bound").join(lowest, "la").where(F.col("low") <= F.col("bound") * PAD)
+        pairs = materialize(pairs.select("la", "bound", "a_key", "b_key", "a_n", "b_n"), "clump-pairs")
+        if (pairs.agg(F.sum(F.col("a_n") * F.col("b_n"))).first()[0] or 0) <= max(10_000, 8 * n) or halving == HALVINGS - 1:
+            break
+        alive = pairs.select(F.col("a_key").alias("parent")).union(pairs.select("b_key")).distinct()
+        cells = materialize(_clumps(pts, names, size / 2, size).join(alive, "parent", "left_semi"), "clumps")
+        kept = pairs.select("la", "bound", F.col("a_key").alias("a_parent"), F.col("b_key").alias("b_parent"))
+        pairs = kept.join(_renamed(cells, "a_"), "a_parent").join(_renamed(cells, "b_"), "b_parent")
+        size /= 2
+    keyed = _renamed(pts.withColumn("key", _cell(names, size)), "_")
+    side = lambda p: keyed.select(*(F.col(f"_{c}").alias(f"{p}_{c}") for c in ("key", "id", *names)), F.col("_core").alias(f"core_{p}"))
+    met = pairs.select("la", "a_key", "b_key").join(side("a"), "a_key").join(side("b"), "b_key")
+    at = lambda p: G.Point([F.col(f"{p}_{n}") for n in names])
+    met = met.withColumn("distance", G.distance(at("a"), at("b"))).withColumn("weight", _weight())
+    edge = F.struct("weight", F.least("a_id", "b_id").alias("lo"), F.greatest("a_id", "b_id").alias("hi"))
+    return materialize(met.groupBy("la").agg(F.min(edge).alias("e")), "best")
+
+
 def _boruvka(pts: DataFrame, names: Sequence[str], n: int, k: int) -> DataFrame:
     tree: DataFrame | None = None
     labels = materialize(pts.select("id", F.col("id").alias("label")), "labels")
@@ -232,17 +313,11 @@ def _boruvka(pts: DataFrame, names: Sequence[str], n: int, k: int) -> DataFrame:
         # Nothing that is not listed is nearer than `far`; a full list leaves nothing out.
         bound = met.groupBy("la").agg(F.min(F.when(F.col("listed") < n - 1, F.col("far"))).alias("far"))
         state = materialize(labels.select(F.col("label").alias("la")).distinct().join(bound, "la", "left").join(best, "la", "left"), "best")
-        sure = state.where("e IS NOT NULL AND (far IS NULL OR e.weight < far)")
+        sure = state.where("e IS NOT NULL AND (far IS NULL OR e.weight < far)").select("la", "e")
         if sure.isEmpty():
-            # Longer lists for the points that keep a component from being sure.
-            short = met.join(state.select("la", "e"), "la").where("listed < " + str(n - 1)).where("e IS NULL OR far <= e.weight").groupBy("a").agg(F.max("listed").alias("listed"))
-            longest = short.agg(F.max("listed")).first()[0]
-            if longest is None:
+            sure = _closest_others(pts.join(labels, "id"), state, names)
+            if sure is None:
                 return tree if tree is not None else pts.sparkSession.createDataFrame([], "source long, target long, weight double")
-            asked = pts.join(short.select(F.col("a").alias("id")), "id", "left_semi")
-            more = _neighbour_lists(pts, asked, names, min(2 * longest, n - 1))
-            lists = materialize(lists.join(short.select("a"), "a", "left_anti").unionByName(more), "neighbours")
-            continue
         chosen = materialize(sure.select(F.col("e.lo").alias("source"), F.col("e.hi").alias("target"), F.col("e.weight").alias("weight")).distinct(), "tree")
         tree = chosen if tree is None else tree.unionByName(chosen)
         ends = chosen.join(labels.select(F.col("id").alias("source"), F.col("label").alias("a")), "source").join(labels.select(F.col("id").alias("target"), F.col("label").alias("b")), "target")

@@ -97,6 +97,18 @@ def test_tree_edges_and_rounds(spark):
     assert C.spanning_tree(flat(spark, [(0, 0)]), XY).count() == 0
 
 
+@pytest.mark.parametrize("k", [1, 3])
+def test_tree_between_far_clusters(spark, monkeypatch, k):
+    """Lists of neighbours keep their first length, and edges equal those of one task, repeated places included."""
+    lengths, lists = [], C._neighbour_lists
+    monkeypatch.setattr(C, "_neighbour_lists", lambda p, a, names, k: lengths.append(k) or lists(p, a, names, k))
+    r = random.Random(8)
+    pts = [(x + r.random(), y + r.random()) for x, y in ((0, 0), (50, 3), (400, 0)) for _ in range(70)] + [(7.0, 7.0)] * 40 + [(900.0, 1.0), (900.0, 1.0)]
+    a, b = (sorted(map(tuple, C.spanning_tree(flat(spark, pts), XY, k, local_points=n).collect())) for n in (10**6, 5))
+    assert a == b and len(a) == len(pts) - 1 and lengths == [8]
+    assert sorted(map(tuple, C.spanning_tree(flat(spark, [(1, 2)] * 4), XY, k, local_points=1).collect())) == [(0, i, 0.0) for i in (1, 2, 3)]
+
+
 def test_dendrogram(spark):
     def parents(edges):
         rows = C.dendrogram(spark.createDataFrame(edges, "source long, target long, weight double")).orderBy("node").collect()
