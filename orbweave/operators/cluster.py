@@ -14,7 +14,7 @@ from orbweave.functions import geometry as G
 from orbweave.functions.errors import GeometryError
 from orbweave.operators.components import connected_components
 from orbweave.operators.spatial import PAD, SpatialIndex, boxes, bucket_pairs, half_neighbors, nearest, points, within
-from orbweave.plans.shared import materialize
+from orbweave.plans.shared import drop_table, materialize
 
 #: Points up to which a spanning tree is built in one task, with distances row by row (n floats at a time).
 LOCAL_POINTS = 5_000
@@ -262,33 +262,39 @@ def _closest_others(pts: DataFrame, state: DataFrame, names: Sequence[str]) -> D
     of different components pair up where their boxes are within the bound, and halve, which lowers the bounds, until
     few pairs of points are left. None where no component has a distance to another one.
     """
-    pts = materialize(pts, "labelled")
-    first = materialize(pts.groupBy("label").agg(F.min(F.struct("id", *names, "core")).alias("p")).select("label", "p.*"), "first")
+    tables: list[DataFrame] = []
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        tables.append(materialize(df, name))
+        return tables[-1]
+
+    pts = written(pts, "labelled")
+    first = written(pts.groupBy("label").agg(F.min(F.struct("id", *names, "core")).alias("p")).select("label", "p.*"), "first")
     known = first.join(state.select(F.col("la").alias("label"), F.col("e.weight").alias("bound")), "label", "left")
     index = SpatialIndex(first.withColumnRenamed("core", "core_b"), points(*names))
     found = index.query(known.where("bound IS NULL").withColumnRenamed("core", "core_a"), points(*names), nearest(1), keep=["label", "core_a"], keep_values=["core_b"], where=lambda q, v: q("id") != v("id"))
-    bound = materialize(known.where("bound IS NOT NULL").select("label", "bound").unionByName(found.select("label", _weight().alias("bound"))), "bounds")
+    bound = written(known.where("bound IS NOT NULL").select("label", "bound").unionByName(found.select("label", _weight().alias("bound"))), "bounds")
     least, n = bound.agg(F.min("bound")).first()[0], pts.count()
     if least is None:
         return None
     bound = bound.where(F.col("bound") <= 4 * least).select(F.col("label").alias("la"), "bound")
     size = 2.0 ** math.ceil(math.log2(4 * least)) if least > 0 else 1.0
 
-    cells = materialize(_clumps(pts, names, size), "clumps")
+    cells = written(_clumps(pts, names, size), "clumps")
     a, b = _renamed(cells, "a_").join(bound, F.col("a_key.label") == F.col("la")), _renamed(cells, "b_")
     box = lambda p: G.Box([F.col(f"{p}lo_{n}") for n in names], [F.col(f"{p}hi_{n}") for n in names])
     low, high = _spans(names)
     pairs = bucket_pairs(a, b, G.grow(box("a_"), F.col("bound") * PAD), box("b_"), F.col("a_key.label") != F.col("b_key.label"))
     for halving in range(HALVINGS):
         pairs = pairs.select("la", "bound", "a_key", "b_key", "a_n", "b_n", low.alias("low"), high.alias("high")).where(F.col("low") <= F.col("bound") * PAD)
-        pairs = materialize(pairs, "clump-pairs")
+        pairs = written(pairs, "clump-pairs")
         lowest = pairs.groupBy("la").agg(F.least(F.min("bound"), F.min("high")).alias("bound"))
         pairs = pairs.drop("bound").join(lowest, "la").where(F.col("low") <= F.col("bound") * PAD)
-        pairs = materialize(pairs.select("la", "bound", "a_key", "b_key", "a_n", "b_n"), "clump-pairs")
+        pairs = written(pairs.select("la", "bound", "a_key", "b_key", "a_n", "b_n"), "clump-pairs")
         if (pairs.agg(F.sum(F.col("a_n") * F.col("b_n"))).first()[0] or 0) <= max(10_000, 8 * n) or halving == HALVINGS - 1:
             break
         alive = pairs.select(F.col("a_key").alias("parent")).union(pairs.select("b_key")).distinct()
-        cells = materialize(_clumps(pts, names, size / 2, size).join(alive, "parent", "left_semi"), "clumps")
+        cells = written(_clumps(pts, names, size / 2, size).join(alive, "parent", "left_semi"), "clumps")
         kept = pairs.select("la", "bound", F.col("a_key").alias("a_parent"), F.col("b_key").alias("b_parent"))
         pairs = kept.join(_renamed(cells, "a_"), "a_parent").join(_renamed(cells, "b_"), "b_parent")
         size /= 2
@@ -298,7 +304,10 @@ def _closest_others(pts: DataFrame, state: DataFrame, names: Sequence[str]) -> D
     at = lambda p: G.Point([F.col(f"{p}_{n}") for n in names])
     met = met.withColumn("distance", G.distance(at("a"), at("b"))).withColumn("weight", _weight())
     edge = F.struct("weight", F.least("a_id", "b_id").alias("lo"), F.greatest("a_id", "b_id").alias("hi"))
-    return materialize(met.groupBy("la").agg(F.min(edge).alias("e")), "best")
+    out = materialize(met.groupBy("la").agg(F.min(edge).alias("e")), "best")
+    for t in tables:
+        drop_table(t)
+    return out
 
 
 def _boruvka(pts: DataFrame, names: Sequence[str], n: int, k: int) -> DataFrame:
