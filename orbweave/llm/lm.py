@@ -43,6 +43,8 @@ HELD = 1 << 16
 #: Parameters are summed in blocks of so many.
 PART = 8192
 SEED = 20240311
+#: Logits whose exponentials are taken as they are: sums of IN_CLASS of them stay within 32-bit floats.
+FAR = 60
 #: Words that are scored at once.
 AT_ONCE = 1 << 12
 #: Words whose counts are broadcast for scoring, and distinct words that a task counts before it sends them on.
@@ -53,7 +55,7 @@ OFFSETS = [*range(-REACH, 0), *range(1, REACH + 1)]
 
 @dataclass
 class Network:
-    """All parameters are views of one flat float32 array."""
+    """All parameters are views of one flat float32 array; biases are the last rows of the outputs' matrices."""
 
     flat: np.ndarray
 
@@ -63,100 +65,114 @@ class Network:
             n = int(np.prod(shape))
             setattr(self, name, self.flat[at : at + n].reshape(shape))
             at += n
+        self.of_class, self.class_bias = self.upper[:HIDDEN], self.upper[HIDDEN]
+        self.of_member, self.member_bias = self.lower[:, :HIDDEN], self.lower[:, HIDDEN]
 
-    def hidden(self, near: np.ndarray) -> np.ndarray:
-        """For rows of neighbours' places (VOCABULARY is padding)."""
-        total = self.bias
-        for k in range(len(OFFSETS)):
-            total = total + self.vector[near[:, k]] * self.scale[k]
-        return np.tanh(total)
+    def hidden(self, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For rows of neighbours' places (VOCABULARY is padding): the neighbours' vectors, and the layer with a last column of ones."""
+        seen = self.vector.take(near.T, 0)
+        total = np.einsum("knh,kh->nh", seen, self.scale)
+        total += self.bias
+        out = np.ones((len(near), HIDDEN + 1), np.float32)
+        out[:, :HIDDEN] = np.tanh(total, out=total)
+        return seen, out
 
     def log_probability(self, near: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Log-probability of each place (class * IN_CLASS + member) given its neighbours."""
-        h = self.hidden(near)
-        group, member = place // IN_CLASS, place % IN_CLASS
-        out = _log_softmax_at(h @ self.of_class + self.class_bias, group)
-        order = np.argsort(group, kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            rows = order[cuts[c] : cuts[c + 1]]
-            if len(rows):
-                out[rows] += _log_softmax_at(h[rows] @ self.of_member[c] + self.member_bias[c], member[rows])
+        order, group, some = _by_class(place)
+        _, h = self.hidden(near[order])
+        own = _log_softmax_at(h @ self.upper, group)
+        x = np.empty((len(place), IN_CLASS), np.float32)
+        for c, i, j in some:
+            np.dot(h[i:j], self.lower[c], out=x[i:j])
+        own += _log_softmax_at(x, place[order] % IN_CLASS)
+        out = np.empty(len(place), np.float32)
+        out[order] = own
         return out
 
     def step(self, near: np.ndarray, place: np.ndarray, rate: float) -> None:
         """One step of stochastic gradient ascent."""
         n, rate = len(place), np.float32(rate)
-        # Rows in order of class, so that each class is a slice.
-        order = np.argsort((place // IN_CLASS).astype(np.uint8), kind="stable")
-        near, place, row = near[order], place[order], np.arange(n)
-        group, member = place // IN_CLASS, place % IN_CLASS
-        cuts = np.searchsorted(group, np.arange(CLASSES + 1)).tolist()
-        some = [(c, cuts[c], cuts[c + 1]) for c in range(CLASSES) if cuts[c] < cuts[c + 1]]
-        seen = [self.vector[near[:, k]] for k in range(len(OFFSETS))]
-        total = seen[0] * self.scale[0]
-        for k in range(1, len(OFFSETS)):
-            total += seen[k] * self.scale[k]
-        total += self.bias
-        h = np.tanh(total, out=total)
-        error = h @ self.of_class
-        error += self.class_bias
-        np.negative(_softmax(error), out=error)
+        order, group, some = _by_class(place)
+        near, row, each = near[order], np.arange(n), np.ones(n, np.float32)
+        seen, h = self.hidden(near)
+        error = _minus_softmax(h @ self.upper)
         error[row, group] += 1
         back = error @ self.of_class.T
-        self.of_class += rate / np.float32(n) * (h.T @ error)
-        self.class_bias += rate / np.float32(n) * error.sum(0)
+        self.upper += rate / np.float32(n) * (h.T @ error)
         error = np.empty((n, IN_CLASS), np.float32)
         for c, i, j in some:
-            np.dot(h[i:j], self.of_member[c], out=error[i:j])
-            error[i:j] += self.member_bias[c]
-        np.negative(_softmax(error), out=error)
-        error[row, member] += 1
+            np.dot(h[i:j], self.lower[c], out=error[i:j])
+        error = _minus_softmax(error)
+        error[row, place[order] % IN_CLASS] += 1
+        more, change = np.empty((n, HIDDEN), np.float32), np.zeros(self.lower.shape, np.float32)
+        size = np.zeros(CLASSES, np.float32)
         for c, i, j in some:
-            own, part = error[i:j], rate / np.float32(j - i)
-            back[i:j] += own @ self.of_member[c].T
-            self.of_member[c] += part * (h[i:j].T @ own)
-            self.member_bias[c] += part * own.sum(0)
+            size[c] = j - i
+            np.dot(error[i:j], self.of_member[c].T, out=more[i:j])
+        error *= (rate / size[group])[:, None]
+        for c, i, j in some:
+            np.dot(h[i:j].T, error[i:j], out=change[c])
+        back += more
+        self.lower += change
+        h = h[:, :HIDDEN]
         back *= 1 - h * h
-        self.bias += rate / np.float32(n) * back.sum(0)
-        # The four neighbours of a word at once: gradients of equal vectors are summed first.
+        self.bias += rate / np.float32(n) * (each @ back)
+        change = back * (self.scale * (rate / np.float32(8)))[:, None]
+        self.scale += rate / np.float32(n) * np.einsum("knh,nh->kh", seen, back)
+        # The four neighbours of a word at once: gradients of equal vectors are summed first, two columns as one complex number.
         flat = near.T.ravel()
         by = np.argsort(flat.astype(np.uint16), kind="stable")
-        node = flat[by]
+        node, change = flat[by], change.reshape(-1, HIDDEN).take(by, 0)
         first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
-        change = np.empty((len(OFFSETS), n, HIDDEN), np.float32)
-        for k in range(len(OFFSETS)):
-            np.multiply(back, self.scale[k] * (rate / np.float32(8)), out=change[k])
-            seen[k] *= back
-            self.scale[k] += rate / np.float32(n) * seen[k].sum(0)
-        self.vector[node[first]] += np.add.reduceat(change.reshape(-1, HIDDEN)[by], first)
+        self.vector[node[first]] += np.add.reduceat(change.view(np.complex64), first).view(np.float32)
 
 
 SHAPES = {
     "vector": (VOCABULARY + 1, HIDDEN), "scale": (len(OFFSETS), HIDDEN), "bias": (HIDDEN,),
-    "of_class": (HIDDEN, CLASSES), "class_bias": (CLASSES,), "of_member": (CLASSES, HIDDEN, IN_CLASS), "member_bias": (CLASSES, IN_CLASS),
+    "upper": (HIDDEN + 1, CLASSES), "lower": (CLASSES, HIDDEN + 1, IN_CLASS),
 }
 SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
+def _by_class(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """An order of the rows in which each class is a slice, the classes in it, and (class, begin, end) of each that occurs."""
+    group = place // IN_CLASS
+    order = np.argsort(group.astype(np.uint8), kind="stable")
+    group = group[order]
+    cuts = np.searchsorted(group, np.arange(CLASSES + 1)).tolist()
+    return order, group, [(c, cuts[c], cuts[c + 1]) for c in range(CLASSES) if cuts[c] < cuts[c + 1]]
+
+
+def _bounded(x: np.ndarray) -> np.ndarray:
+    """Rows shifted in place to a maximum of 0, unless all exponentials are far from the limits of 32 bits anyway."""
+    if not (x.size and -FAR < x.min() and x.max() < FAR):
+        x -= x.max(1, keepdims=True)
+    return x
+
+
+def _sums(x: np.ndarray) -> np.ndarray:
+    return x @ np.ones(x.shape[1], np.float32)
+
+
+def _minus_softmax(x: np.ndarray) -> np.ndarray:
     """Row by row, in place."""
-    x -= x.max(1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(1, keepdims=True)
+    np.exp(_bounded(x), out=x)
+    x *= (-1 / _sums(x))[:, None]
     return x
 
 
 def _log_softmax_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The logarithm of each row's softmax at one place."""
-    x = x - x.max(1, keepdims=True)
-    own = x[np.arange(len(x)), at]
-    return own - np.log(np.exp(x, out=x).sum(1))
+    """The logarithm of each row's softmax at one place; overwrites x."""
+    own = _bounded(x)[np.arange(len(x)), at]
+    return own - np.log(_sums(np.exp(x, out=x)))
 
 
 def beginning(counts: np.ndarray, place: np.ndarray) -> Network:
     """Small random vectors; biases give each bucket its share of all words."""
-    net = Network(np.random.default_rng(SEED).normal(0, 0.1, SIZE).astype(np.float32))
+    drawn = np.random.default_rng(SEED).normal(0, 0.1, SIZE).astype(np.float32)
+    net = Network(drawn.copy())
+    net.of_member[:] = drawn[SIZE - net.lower.size :][: net.of_member.size].reshape(net.of_member.shape)
     net.scale[:] = 1
     net.bias[:] = 0
     share = np.empty(VOCABULARY)

@@ -1,8 +1,11 @@
 """BPE, audio columns, language ID and the language model."""
 
 import hashlib
+import multiprocessing
 import random
+import time
 import zlib
+from concurrent.futures import ProcessPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -289,6 +292,75 @@ def test_a_step_follows_the_gradient():
         at += size
 
 
+def plain_step(net, near, place, rate):
+    """One step with shifted softmaxes, each class and bias by itself, and all gradients of a vector added one by one in order."""
+
+    def softmax(x):
+        e = np.exp(x - x.max(1, keepdims=True))
+        return e / e.sum(1, keepdims=True)
+
+    n, rate, row = len(place), np.float32(rate), np.arange(len(place))
+    group, member = place // lm.IN_CLASS, place % lm.IN_CLASS
+    seen = [net.vector[near[:, k]] for k in range(len(lm.OFFSETS))]
+    h = np.tanh(sum(seen[k] * net.scale[k] for k in range(len(lm.OFFSETS))) + net.bias)
+    error = -softmax(h @ net.of_class + net.class_bias)
+    error[row, group] += 1
+    back = error @ net.of_class.T
+    net.of_class += rate / n * (h.T @ error)
+    net.class_bias += rate / n * error.sum(0)
+    for c in np.unique(group):
+        at = np.flatnonzero(group == c)
+        error = -softmax(h[at] @ net.of_member[c] + net.member_bias[c])
+        error[np.arange(len(at)), member[at]] += 1
+        back[at] += error @ net.of_member[c].T
+        net.of_member[c] += rate / len(at) * (h[at].T @ error)
+        net.member_bias[c] += rate / len(at) * error.sum(0)
+    back *= 1 - h * h
+    net.bias += rate / n * back.sum(0)
+    for k in range(len(lm.OFFSETS)):
+        np.add.at(net.vector, near[:, k], back * net.scale[k] * (rate / 8))
+    for k in range(len(lm.OFFSETS)):
+        net.scale[k] += rate / n * (seen[k] * back).sum(0)
+
+
+def steps_and_plain_steps():
+    """The parameters before, after steps, and after plain steps, and the least CPU seconds of a step and of a plain one."""
+    r = np.random.default_rng(6)
+    counts = np.ones(lm.VOCABULARY)
+    start = lm.beginning(counts, lm.places(counts)).flat
+    net, plain, took = lm.Network(start.copy()), lm.Network(start.copy()), []
+    for _ in range(40):
+        words = (lm.VOCABULARY * r.random(lm.BATCH + 4) ** 3).astype(np.int64)  # few frequent places, many rare ones
+        near, place = lm.neighbours(words, np.array([0, 500, len(words)]))[: lm.BATCH], words[: lm.BATCH]
+        times = [time.thread_time()]
+        for step in (net.step, lambda *args: plain_step(plain, *args)):
+            step(near, place, lm.RATE)
+            times.append(time.thread_time())
+        took.append(np.diff(times))
+    return start, net.flat, plain.flat, np.min(took, 0)
+
+
+def test_steps_equal_the_plain_form_in_less_time(monkeypatch):
+    monkeypatch.setenv("OMP_NUM_THREADS", "1")  # as in Spark's workers
+    with ProcessPoolExecutor(1, multiprocessing.get_context("spawn")) as pool:
+        start, got, want, (own, slow) = pool.submit(steps_and_plain_steps).result()
+    assert np.allclose(got, want, atol=1e-3) and np.abs(got - start).max() > 0.1
+    assert own < 0.45 * slow, f"{own:.5f} and {slow:.5f} CPU seconds a step"
+
+
+def test_far_logits_are_shifted():
+    r = np.random.default_rng(7)
+    net = lm.Network(r.normal(0, 8, lm.SIZE).astype(np.float32))
+    place, near = r.integers(0, lm.VOCABULARY, 100), r.integers(0, lm.VOCABULARY + 1, (100, len(lm.OFFSETS)))
+    assert np.abs(net.hidden(near)[1] @ net.upper).max() > lm.FAR
+    want = [slow_log_probability(net, near[i], place[i]) for i in range(100)]
+    assert np.allclose(net.log_probability(near, place), want, rtol=1e-4, atol=1e-2)
+    plain = lm.Network(net.flat.copy())
+    net.step(near, place, 0.1)
+    plain_step(plain, near, place, 0.1)
+    assert np.isfinite(net.flat).all() and np.allclose(net.flat, plain.flat, atol=1e-2)
+
+
 def test_words_split_the_probability_of_their_bucket(spark, monkeypatch):
     monkeypatch.setattr(lm, "HEAD", 5)
     texts = [" ".join(f"word{j % 97}" for j in range(i, 3 * i)) for i in range(60)] + [f"rare{i} word1" for i in range(6000)] + [None, ""]
