@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orbweave.llm import bpe, chat, hard_negatives, langid, line_dedup, lm, media, mixing, ngram_join, spotsigs, warc
+from orbweave.llm import bpe, chat, collocations, hard_negatives, langid, line_dedup, lm, media, mixing, ngram_join, quality, spotsigs, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_quotes": chat.op9_quotes,
     "op10_mix": mixing.op10_mix,
+    "op11_quality": quality.op11_quality,
+    "op12_collocations": collocations.op12_collocations,
     "op13_hard_negatives": hard_negatives.op13_hard_negatives,
     "spotsigs_near_duplicates": spotsigs.spotsigs_near_duplicates,
 }
@@ -26,6 +28,7 @@ ORACLES: dict[str, str] = {
     "op8_line_dedup": line_dedup.ORACLE,
     "op9_quotes": chat.ORACLE,
     "op10_mix": mixing.ORACLE,
+    "op12_collocations": collocations.ORACLE,
     "op13_hard_negatives": hard_negatives.ORACLE,
     "spotsigs_near_duplicates": spotsigs.NEAR_ORACLE,
 }
