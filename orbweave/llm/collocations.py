@@ -9,7 +9,7 @@ slot is kept: whether it reaches ``min_count``. An n-gram with a cleared bit in
 bit may be due to others (an overestimate). Second pass: the n-grams with set bits, counted exactly within a block of
 texts, are summed as strings by Spark, so every count is exact and nothing frequent is lost. The number of slots
 follows the bytes of text up to MAX_SLOTS; beyond, more rare n-grams survive into the second pass, which stays whole.
-The bits (at most ROWS * MAX_SLOTS / 8 bytes, 16 MB) are the only broadcast.
+The bits (at most ROWS * MAX_SLOTS / 8 bytes, 8 MB) are the only broadcast.
 
 Scores and drops are joins and aggregations over the frequent phrases: a candidate is cut after each word and meets
 the counts of both parts; the lowest floor(scale * a^2 / (l * r)), in decimals of 38 digits (exact up to 10^15
@@ -36,9 +36,9 @@ from orbweave.llm import shingles
 from orbweave.plans.shared import drop_table, materialize
 
 #: Rows of the sketch; least and most slots of a row; slots of a shard.
-ROWS, MIN_SLOTS, MAX_SLOTS, SHARD = 2, 1 << 18, 1 << 26, 1 << 18
+ROWS, MIN_SLOTS, MAX_SLOTS, SHARD = 2, 1 << 18, 1 << 25, 1 << 18
 #: Bytes of text that are counted together (a longer text is a block of its own).
-BLOCK_BYTES, PART_BYTES = 1 << 23, 1 << 19
+BLOCK_BYTES, PART_BYTES = 1 << 21, 1 << 18
 #: A language's candidates are ranked in so many groups before the groups' best are ranked together.
 SPREAD = 16
 
@@ -165,6 +165,7 @@ def frequent_slots(docs: DataFrame, slots: int, min_count: int, max_words: int)
                     used = used or len(rows) > 0
                     for i, at in enumerate(slots_of(rows, hashes, language, slots)):
                         add(sketch[i], at, counts)
+            pa.default_memory_pool().release_unused()
         press = zstandard.ZstdCompressor(level=1)
         for i in range(ROWS if used else 0):
             for at in range(0, slots, shard):
@@ -203,7 +204,7 @@ def counted_phrases(docs: DataFrame, min_count: int = 10, max_words: int = 3, sl
     if slots is None:
         size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         slots = min(MAX_SLOTS, max(MIN_SLOTS, 1 << (size // 4).bit_length()))
-    bits = spark.sparkContext.broadcast(frequent_slots(docs, slots, min_count, max_words))  # at most 16 MB
+    bits = spark.sparkContext.broadcast(frequent_slots(docs, slots, min_count, max_words))  # at most 8 MB
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = bits.value
@@ -225,6 +226,7 @@ def counted_phrases(docs: DataFrame, min_count: int = 10, max_words: int = 3, sl
                             parts = [strings.take(pa.array(rows[some, j])) for j in range(rows.shape[1])]
                             phrase = pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string())) if len(parts) > 1 else parts[0]
                             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array(np.full(len(some), rows.shape[1], np.int32)), phrase.cast(pa.string()), pa.array(counts[some].astype(np.int64))], names)
+            pa.default_memory_pool().release_unused()
 
     found = docs.mapInArrow(count, "lang string, words int, phrase string, a long")
     return found.groupBy("lang", "words", "phrase").agg(F.sum("a").alias("a")).where((F.col("a") >= min_count) | (F.col("words") == 0))
