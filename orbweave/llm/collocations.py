@@ -56,7 +56,7 @@ def _split(raw: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     """Word bytes one after another, the words' lengths, and the piece of each word, for lower-cased texts."""
     inside = _INSIDE[raw]
     step = np.diff(inside.astype(np.int8), prepend=0, append=0)
-    cut = edges[(edges > 0) & (edges < len(raw))]
+    cut = np.unique(edges[(edges > 0) & (edges < len(raw))])
     cut = cut[inside[cut] & inside[cut - 1]]  # a text begins right after another one's last word
     start, end = np.flatnonzero(step > 0), np.flatnonzero(step < 0)
     if len(cut):

@@ -111,7 +111,8 @@ class BallTree:
         middle = a.astype(float) @ self.centres.T
         reach = length[:, None] * self.radii
         slack = 1e-9 * (np.sqrt((self.centres**2).sum(1)) * length[:, None] + reach) + 1e-6
-        upper, lower = middle + reach + slack, middle - reach - slack
+        # Clipped as scores are.
+        upper, lower = np.maximum(middle + reach + slack, LEAST), np.minimum(middle - reach - slack, MOST)
 
         def needed(node: int, who: np.ndarray) -> np.ndarray:
             floor = np.maximum(low[who], best[who, :, k - 1]).astype(float)
