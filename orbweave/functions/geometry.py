@@ -551,7 +551,11 @@ def ray_sphere(r: Ray, s: Sphere) -> tuple[Column, Column]:
 def ray_triangle(r: Ray, t: Triangle, eps: float = 1e-12) -> tuple[Column, Column]:
     """Where the line of the ray enters and leaves the triangle: equal unless it lies in its plane; (inf, -inf) for a miss.
 
-    Along the line, the inward side of each edge is a linear function; in the plane the three give an interval.
+    Space is sheared so that the line becomes the axis along which it goes fastest. A corner then has two coordinates
+    that depend on the corner and the ray only, and an edge one signed area, whose sign turns exactly where the edge is
+    another triangle's too. The line meets the triangle where no two areas differ in sign, so it can't slip through a
+    shared edge or corner. In the triangle's plane (within ``eps``) the inward side of each edge is a linear function
+    along the line, and the three give an interval.
     """
     corners = t.corners
     names = [f"{n}{i}" for n in "odabc" for i in range(3)]
@@ -576,17 +580,41 @@ def ray_triangle(r: Ray, t: Triangle, eps: float = 1e-12) -> tuple[Column, Colum
         bound = [F.try_divide(-x, y) for x, y in zip(u, w, strict=True)]
         lo = F.greatest(*(F.when(y > 0, x).when((y == 0) & (v < 0), F.lit(INF)).otherwise(F.lit(-INF)) for v, y, x in zip(u, w, bound, strict=True)))
         hi = F.least(*(F.when(y < 0, x).when((y == 0) & (v < 0), F.lit(-INF)).otherwise(F.lit(INF)) for v, y, x in zip(u, w, bound, strict=True)))
-        return F.struct((slope * slope <= F.lit(eps) * size).alias("flat"), (height * height <= F.lit(eps) * size).alias("in_plane"), F.try_divide(height, slope).alias("hit"), lo.alias("lo"), hi.alias("hi"))
+        flat = (slope * slope <= F.lit(eps) * size) & (height * height <= F.lit(eps) * size) & (size > 0)
+        return F.struct((flat & (lo <= hi)).alias("along"), lo.alias("lo"), hi.alias("hi"))
+
+    def turned(g: Callable[[str], Column]) -> Column:
+        """Direction and corners, seen from the origin, with the axis of the fastest way last."""
+        o, d, v = got(g, "o"), got(g, "d"), [got(g, n) for n in "abc"]
+        x, y, z = (F.abs(c) for c in d)
+        first, second = (x >= y) & (x >= z), y >= z
+        pick = lambda c, k: F.when(first, c[k]).when(second, c[(k + 1) % 3]).otherwise(c[(k + 2) % 3])
+        return F.struct(*(pick(c, (k + 1) % 3).alias(f"{n}{k}") for n, c in (("d", d), *((m, sub(c, o)) for m, c in zip("abc", v, strict=True))) for k in range(3)))
+
+    def sheared(g: Callable[[str], Column]) -> Column:
+        t = g("t").getField
+        return F.struct(*((t(f"{n}{k}") - F.try_divide(t(f"d{k}"), t("d2")) * t(f"{n}2")).alias(f"{n}{k}") for n in "abc" for k in range(2)), *(F.try_divide(t(f"{n}2"), t("d2")).alias(f"{n}2") for n in "abc"))
+
+    def areas(g: Callable[[str], Column]) -> Column:
+        p = g("p").getField
+        return F.struct(*((p(f"{m}0") * p(f"{n}1") - p(f"{m}1") * p(f"{n}0")).alias(x) for x, m, n in (("u", "c", "b"), ("v", "a", "c"), ("w", "b", "a"))), *(p(f"{n}2").alias(f"{n}2") for n in "abc"))
+
+    def hits(g: Callable[[str], Column]) -> Column:
+        """Where the line meets the triangle; null for a miss."""
+        e = g("e").getField
+        u = [e(x) for x in "uvw"]
+        one_side = _all([x >= 0 for x in u]) | _all([x <= 0 for x in u])
+        return F.when(one_side, F.try_divide(u[0] * e("a2") + u[1] * e("b2") + u[2] * e("c2"), u[0] + u[1] + u[2]))
 
     def ends(g: Callable[[str], Column]) -> Column:
-        s, i = g("s").getField, g("i").getField
-        through = _all([s(f"u{k}") + s(f"w{k}") * i("hit") >= F.lit(-eps) * s("size") for k in range(3)])
-        meets = F.when(i("flat"), i("in_plane") & (i("lo") <= i("hi"))).otherwise(through) & (s("size") > 0)
-        return F.struct(*(F.when(meets, F.when(i("flat"), i(k)).otherwise(i("hit"))).otherwise(F.lit(miss)).alias(k) for k, miss in (("lo", INF), ("hi", -INF))))
+        i, hit = g("i").getField, g("hit")
+        return F.struct(*(F.when(i("along"), i(k)).otherwise(F.coalesce(hit, F.lit(miss))).alias(k) for k, miss in (("lo", INF), ("hi", -INF))))
 
     def whole(g: Callable[[str], Column]) -> Column:
-        one = let({n: g(n) for n in names} | {"plane": let({n: g(n) for n in names[6:]}, planes)}, sides)
-        return let({"s": one}, lambda h: let({"s": h("s"), "i": let({"s": h("s")}, interval)}, ends))
+        every = {n: g(n) for n in names}
+        flat = let({"s": let(every | {"plane": let({n: g(n) for n in names[6:]}, planes)}, sides)}, interval)
+        areas_ = let({"p": let({"t": let(every, turned)}, sheared)}, areas)
+        return let({"i": flat, "hit": let({"e": areas_}, hits)}, ends)
 
     out = let(dict(zip(names, [*r.o, *r.d, *(x for c in corners for x in c)], strict=True)), whole)
     return out.getField("lo"), out.getField("hi")

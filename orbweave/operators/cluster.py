@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator, Sequence
 
@@ -12,9 +13,10 @@ from pyspark.sql import functions as F
 
 from orbweave.functions import geometry as G
 from orbweave.functions.errors import GeometryError
-from orbweave.operators.components import connected_components
-from orbweave.operators.spatial import PAD, SpatialIndex, boxes, bucket_pairs, half_neighbors, nearest, points, within
-from orbweave.plans.shared import drop_table, materialize
+from orbweave.operators.components import connected_components, local_labels
+from orbweave.operators.parts import Parts
+from orbweave.operators.spatial import AXES, PAD, SpatialIndex, attach_indices, boxes, bucket_pairs, half_neighbors, nearest, points, within
+from orbweave.plans.shared import drop_table, materialize, splittable_join
 
 #: Points up to which a spanning tree is built in one task, with distances row by row (n floats at a time).
 LOCAL_POINTS = 5_000
@@ -22,12 +24,6 @@ LOCAL_POINTS = 5_000
 HALVINGS = 60
 
 
-def friends_of_friends(df: DataFrame, names: Sequence[str], eps: float, id: str = "id") -> DataFrame:
-    """(id, label): the smallest id of the component in which steps of at most ``eps`` reach."""
-    found = connected_components(half_neighbors(df, names, eps, id).select("a", "b"))
-    return df.select(id).join(found.withColumnRenamed("node", id), id, "left").select(id, F.coalesce("label", id).alias("label"))
-
-
 #: Points of a dense cell that are tried first when two cells may touch.
 WITNESSES = 8
 
@@ -70,12 +66,17 @@ def dbscan(df: DataFrame, names: Sequence[str], eps: float, min_points: int, alg
     ``min_points`` as core without counting and as one node of the components: no pairs are made within a cell, and
     two such cells are joined by one pair of points. The other points are counted, linked and labelled by joins that
     feed aggregations; only links between core points of thin cells are written. ``fdbscan`` makes no such cells, and
-    is quadratic where many points lie within ``eps``.
+    is quadratic where many points lie within ``eps``. ``halo`` cuts space into balanced parts, sends each part the
+    points within 2 eps of it, clusters the parts side by side and joins their clusters at the points that parts share:
+    what is shuffled follows the points and those near borders, not the pairs. It fits clouds whose densest places are
+    well spread; a part's task holds its points and their halo, and compares those within a cell or next to it.
     """
     if eps <= 0 or min_points < 2:
         raise GeometryError("eps must be above 0 and min_points at least 2")
-    if algorithm not in ("dbscan", "dbscan_star") or implementation not in ("fdbscan", "densebox"):
-        raise GeometryError("algorithm is dbscan or dbscan_star, implementation fdbscan or densebox")
+    if algorithm not in ("dbscan", "dbscan_star") or implementation not in ("fdbscan", "densebox", "halo"):
+        raise GeometryError("algorithm is dbscan or dbscan_star, implementation fdbscan, densebox or halo")
+    if implementation == "halo":
+        return halo_dbscan(df, names, eps, min_points, algorithm, id)
     axes = [f"x{i}" for i in range(len(names))]
     cell = [f"c{i}" for i in range(len(names))]
     h = eps / math.sqrt(len(names)) * (1 - 1e-12)
@@ -104,15 +105,152 @@ def dbscan(df: DataFrame, names: Sequence[str], eps: float, min_points: int, alg
     return df.select(id).join(labels.withColumnRenamed("id", id), id, "left").select(id, F.coalesce("label", F.lit(-1)).cast("long").alias("label"))
 
 
+#: Points of a part in ``halo``, on average; parts at most; pairs that its task compares at once.
+PART_POINTS, MOST_PARTS, PAIRS_AT_ONCE = 200_000, 4_096, 1 << 21
+
+
+class CellPairs:
+    """Pairs of rows of ``x`` within ``eps``, in batches: rows of equal and neighbouring cells of that size are compared."""
+
+    def __init__(self, x: np.ndarray, eps: float):
+        axes = min(AXES, x.shape[1])
+        cells = np.floor(x[:, :axes] / (eps * PAD))
+        key = np.zeros(len(x), np.int64)
+        steps = []
+        for a in range(axes):
+            # Cells without rows between two others count as one, so numbers stay small however far rows lie apart.
+            at, dense = np.unique(cells[:, a], return_inverse=True)
+            place = np.cumsum(np.minimum(np.diff(at, prepend=at[:1] - 1), 2).astype(np.int64))
+            steps = [s * (int(place[-1]) + 2) for s in steps] + [1]
+            key = key * (int(place[-1]) + 2) + place[dense]
+        self.steps = steps
+        self.order = np.argsort(key, kind="stable")
+        self.key, self.x, self.eps = key[self.order], x[self.order], eps
+
+    def __call__(self, asked: np.ndarray, against: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(i, j) of rows marked in ``asked`` and in ``against``; a row meets itself."""
+        one, other = np.flatnonzero(asked[self.order]), np.flatnonzero(against[self.order])
+        keys = self.key[other]
+        for move in itertools.product((-1, 0, 1), repeat=len(self.steps)):
+            want = self.key[one] + sum(m * s for m, s in zip(move, self.steps, strict=True))
+            begin, end = np.searchsorted(keys, want, "left"), np.searchsorted(keys, want, "right")
+            ends = np.cumsum(end - begin)
+            at = 0
+            while at < len(one):
+                done = int(ends[at - 1]) if at else 0
+                to = max(at + 1, int(np.searchsorted(ends, done + PAIRS_AT_ONCE, "right")))
+                size = (end - begin)[at:to]
+                i = np.repeat(one[at:to], size)
+                j = other[np.arange(size.sum()) - np.repeat(ends[at:to] - size - done, size) + np.repeat(begin[at:to], size)]
+                near = np.sqrt(((self.x[i] - self.x[j]) ** 2).sum(1)) <= self.eps
+                yield self.order[i[near]], self.order[j[near]]
+                at = to
+
+
+def cluster_part(ids: np.ndarray, x: np.ndarray, n: np.ndarray, own: np.ndarray, close: np.ndarray, shared: np.ndarray, eps: float, min_points: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(kind, id, root) of a part's rows, which are places with ``n`` points each.
+
+    The rows within eps of the part are ``close``; of these the cores are known for certain, as those within 2 eps are
+    here. A root is the smallest id of cores that are linked within the part. Kind 0: an own core and its root. 1: an
+    own border row and the root of a core near by. 2: a core that other parts know too, and its root here.
+    """
+    pairs = CellPairs(x, eps)
+    count = np.zeros(len(ids), np.int64)
+    for i, j in pairs(close, np.ones(len(ids), bool)):
+        np.add.at(count, i, n[j])
+    core = close & (count >= min_points)
+    label = np.arange(len(ids))
+    for i, j in pairs(core, core):
+        i, j = label[i], label[j]
+        apart = i != j  # labels change between the two orders of a pair, so neither is left out
+        if apart.any():
+            nodes, low = local_labels(i[apart], j[apart])
+            to = np.arange(len(ids))
+            to[nodes] = low
+            label = to[label]
+    root = np.full(len(ids), np.iinfo(np.int64).max)
+    np.minimum.at(root, label[core], ids[core])
+    root = root[label]
+    border = [np.unique(np.stack([ids[i], root[j]]), axis=1) for i, j in pairs(own & ~core, core)]
+    border = np.concatenate(border, 1) if border else np.zeros((2, 0), np.int64)
+    known = core & (shared | ~own)
+    parts = [(0, ids[own & core], root[own & core]), (1, *border), (2, ids[known], root[known])]
+    return np.concatenate([np.full(len(a), k, np.int32) for k, a, _ in parts]), np.concatenate([a for _, a, _ in parts]), np.concatenate([r for _, _, r in parts])
+
+
+def halo_dbscan(df: DataFrame, names: Sequence[str], eps: float, min_points: int, algorithm: str = "dbscan", id: str = "id", part_points: int = PART_POINTS) -> DataFrame:
+    """:func:`dbscan` by parts with halos of 2 eps; points at one place are one row with their number."""
+    axes = [f"x{i}" for i in range(len(names))]
+    pts = df.select(F.col(id).cast("long").alias("id"), *(F.col(c).cast("double").alias(x) for c, x in zip(names, axes, strict=True)))
+    pts = materialize(pts.where(G._all([(F.col(x) > -G.INF) & (F.col(x) < G.INF) for x in axes])), "points")
+    places = materialize(pts.groupBy(*axes).agg(F.min("id").alias("id"), F.count("*").alias("n")), "places")
+    total = places.count()
+    at = [F.col(x) for x in axes]
+    cut = at[:AXES]
+    parts = Parts(places, cut, G.Box(at, at), F.col("id"), most=min(MOST_PARTS, max(1, total // part_points)), sampled=1 << 16)
+    near = lambda r: parts.touching([c - F.lit(r * PAD) for c in cut], [c + F.lit(r * PAD) for c in cut])
+    copies = places.select("id", "n", *axes, parts.of(cut).alias("home"), near(2 * eps).alias("halo"), near(eps).alias("rim"))
+    copies = copies.withColumn("part", F.explode("halo")).select("part", "id", "n", *axes, (F.col("part") == F.col("home")).alias("own"), F.array_contains("rim", F.col("part")).alias("close"), (F.size("halo") > 1).alias("shared"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = None, []
+
+        def clustered() -> Iterator[pa.RecordBatch]:
+            if held:
+                t = pa.Table.from_batches(held)
+                bools = [t.column(c).to_numpy() for c in ("own", "close", "shared")]
+                out = cluster_part(t.column("id").to_numpy(), np.stack([t.column(x).to_numpy() for x in axes], 1), t.column("n").to_numpy(), *bools, eps, min_points)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["kind", "id", "root"])
+
+        for batch in batches:
+            of = batch.column("part").to_numpy()
+            starts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+            for lo, hi in itertools.pairwise(starts):
+                if hi > lo and of[lo] != part:
+                    yield from clustered()
+                    part, held = of[lo], []
+                if hi > lo:
+                    held.append(batch.slice(lo, hi - lo))
+        yield from clustered()
+
+    dealt = copies.repartition(max(1, 2 * len(parts.rows)), "part").sortWithinPartitions("part")
+    found = materialize(dealt.mapInArrow(run, "kind int, id long, root long"), "clustered")
+    links = connected_components(found.where("kind = 2").select(F.col("id").alias("a"), F.col("root").alias("b")))
+    kinds = "kind = 0" if algorithm == "dbscan_star" else "kind < 2"
+    named = splittable_join(found.where(kinds), links.withColumnRenamed("node", "root").withColumnRenamed("label", "whole"), "root", "left")
+    labels = named.groupBy("id").agg(F.min(F.coalesce("whole", "root")).alias("label"))
+    labels = materialize(labels, "place-labels")
+    here = splittable_join(places.select("id", *axes), labels, "id").select(F.struct(*axes).alias("place"), "label")
+    each = splittable_join(pts.select("id", F.struct(*axes).alias("place")), here, "place").select("id", "label")
+    for table in (found, links):
+        drop_table(table)
+    return df.select(id).join(each.withColumnRenamed("id", id), id, "left").select(id, F.coalesce("label", F.lit(-1)).cast("long").alias("label"))
+
+
+def friends_of_friends(df: DataFrame, names: Sequence[str], eps: float, id: str = "id") -> DataFrame:
+    """(id, label): the smallest id of the component in which steps of at most ``eps`` reach; a lone point is its own.
+
+    :func:`dbscan` with two points a cluster, so points of one cell are one node and no pairs are made among them.
+    """
+    found = dbscan(df, names, eps, 2, id=id)
+    return found.select(id, F.when(F.col("label") >= 0, F.col("label")).otherwise(F.col(id).cast("long")).alias("label"))
+
+
 def cluster_sizes(labels: DataFrame, min_size: int = 1) -> DataFrame:
     """(label, n) of each cluster of at least ``min_size`` points; noise is none."""
     return labels.where("label >= 0").groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") >= min_size)
 
 
 def cluster_members(labels: DataFrame, min_size: int = 1, id: str = "id") -> DataFrame:
-    """(label, id, place): the points of each cluster of at least ``min_size`` in order of id, as one row each."""
-    kept = labels.join(cluster_sizes(labels, min_size).select("label"), "label", "left_semi")
-    return kept.select("label", id, (F.row_number().over(Window.partitionBy("label").orderBy(id)) - 1).alias("place"))
+    """(label, id, place): the points of each cluster of at least ``min_size`` in order of id, as one row each.
+
+    Points are numbered over range partitions by (label, id), and a place counts from its cluster's first number, so
+    the largest cluster spreads over many tasks.
+    """
+    kept = splittable_join(labels.select("label", id), cluster_sizes(labels, min_size).select("label"), "label")
+    numbered = attach_indices(kept.repartitionByRange("label", id).sortWithinPartitions("label", id), "__n")
+    first = numbered.groupBy("label").agg(F.min("__n").alias("__first"))
+    return splittable_join(numbered, first, "label").select("label", id, (F.col("__n") - F.col("__first")).alias("place"))
 
 
 def verify_dbscan(df: DataFrame, labels: DataFrame, names: Sequence[str], eps: float, min_points: int, algorithm: str = "dbscan", id: str = "id") -> DataFrame:
@@ -365,11 +503,87 @@ def link(source: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[np
     return parents, weight[order]
 
 
-def dendrogram(edges: DataFrame) -> DataFrame:
+def merge_in_order(rank: np.ndarray, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes and their parents where edges between the nodes ``u`` and ``v`` join them in order of rank.
+
+    An edge is the parent of what the two components that it joins are called: a node by its own name, a larger one by
+    the rank of its last edge. What nothing joins here gets no parent.
+    """
+    nodes, flat = np.unique(np.concatenate([u, v]), return_inverse=True)
+    name, root = nodes.tolist(), list(range(len(nodes)))
+    order = np.argsort(rank, kind="stable")
+    ends = flat.reshape(2, -1)[:, order].T.tolist()
+    child, parent = [], np.repeat(rank[order], 2)
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for e, (a, b) in zip(rank[order].tolist(), ends, strict=True):
+        a, b = find(a), find(b)
+        child += [name[a], name[b]]
+        root[max(a, b)] = min(a, b)
+        name[min(a, b)] = e
+    return np.array(child, np.int64), parent
+
+
+def _contracted(edges: DataFrame, n: int, local_edges: int) -> DataFrame:
+    """(node, parent) of all nodes but the root, from ``n`` edges (rank, u, v) between nodes that aren't ranks yet.
+
+    The ranks are halved again and again, all parts of a round at once. In each part the components of the lighter half
+    are shrunk to one node, the last edge of the component, which is what the heavier half joins. A node so stands in
+    one part only, and after the last round every part has at most ``local_edges`` edges and is merged by itself.
+    """
+    rounds = max(0, math.ceil(math.log2(max(1, n / local_edges))))
+    for i in range(rounds):
+        half = local_edges << (rounds - 1 - i)
+        heavy = F.floor(F.col("rank") / half) % 2 == 1
+        light = edges.where(~heavy)
+        part = connected_components(light.select(F.col("u").alias("a"), F.col("v").alias("b")), local_edges)
+        last = splittable_join(light.select(F.col("u").alias("node"), "rank"), part, "node").groupBy("label").agg(F.max("rank").alias("name"))
+        named = materialize(part.join(last, "label").select("node", "name"), "shrunk")
+        drop_table(part)
+        joined = edges.where(heavy)
+        for end in ("u", "v"):
+            joined = splittable_join(joined.withColumnRenamed(end, "node"), named, "node", "left").withColumn(end, F.coalesce("name", "node")).drop("node", "name")
+        before, edges = edges, materialize(light.unionByName(joined), "contracted")
+        drop_table(named)
+        if i:
+            drop_table(before)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def merged() -> Iterator[pa.RecordBatch]:
+            if held:
+                child, parent = merge_in_order(*(np.concatenate([h[k] for h in held]) for k in range(3)))
+                yield pa.RecordBatch.from_arrays([pa.array(child), pa.array(parent)], ["node", "parent"])
+
+        for batch in batches:
+            part, *rows = (batch.column(c).to_numpy() for c in ("part", "rank", "u", "v"))
+            for some in np.split(np.arange(len(part)), np.flatnonzero(np.diff(part)) + 1):
+                if len(some) and part[some[0]] != at:
+                    yield from merged()
+                    at, held = part[some[0]], []
+                held.append([r[some] for r in rows])
+        yield from merged()
+
+    parts = edges.withColumn("part", F.floor(F.col("rank") / local_edges))
+    return parts.repartition("part").sortWithinPartitions("part").mapInArrow(run, "node long, parent long")
+
+
+#: Edges of a spanning tree that one task merges in order.
+MERGED_EDGES = 500_000
+
+
+def dendrogram(edges: DataFrame, local_edges: int = MERGED_EDGES) -> DataFrame:
     """(node, kind, vertex, parent, height) of the single-linkage tree over a spanning tree (source, target, weight).
 
-    Merging in order of weight is a sequential process; one task goes through the edges, three numbers each. Edges
-    are nodes 0 to n - 2 by height, vertices (in order of their ids) follow; the root's parent is -1.
+    Edges are nodes 0 to n - 2 by (height, source, target), vertices (in order of their ids) follow; the root's parent
+    is -1. Up to ``local_edges`` edges one task merges them in order. Beyond, the tree is contracted by rounds over the
+    cluster until its parts are that small, and the parts are merged side by side; the result is the same.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -386,9 +600,24 @@ def dendrogram(edges: DataFrame) -> DataFrame:
             pa.array(parents), pa.array(heights.tolist() + [0.0] * (m + 1), pa.float64()),
         ], ["node", "kind", "vertex", "parent", "height"])
 
-    return edges.select("source", "target", "weight").repartition(1).mapInArrow(run, "node long, kind string, vertex long, parent long, height double")
-
-
-def hdbscan(df: DataFrame, names: Sequence[str], min_points: int, id: str = "id") -> DataFrame:
+    edges = edges.select(F.col("source").cast("long").alias("source"), F.col("target").cast("long").alias("target"), F.col("weight").cast("double").alias("weight"))
+    edges = materialize(edges, "tree-edges")
+    n = edges.count()
+    if n <= local_edges:
+        return edges.repartition(1).mapInArrow(run, "node long, kind string, vertex long, parent long, height double")
+    order = ["weight", "source", "target"]
+    ranked = materialize(attach_indices(edges.repartitionByRange(*order).sortWithinPartitions(*order), "rank"), "ranked-edges")
+    ids = edges.select(F.col("source").alias("id")).union(edges.select("target")).distinct()
+    vertices = materialize(attach_indices(ids.repartitionByRange("id").sortWithinPartitions("id"), "place").select("id", (F.col("place") + n).alias("node")), "vertices")
+    ends = ranked.select("rank", "source", "target")
+    for end, name in (("source", "u"), ("target", "v")):
+        ends = splittable_join(ends.withColumnRenamed(end, "id"), vertices, "id").withColumnRenamed("node", name).drop("id")
+    parents = _contracted(materialize(ends, "numbered-edges"), n, max(1, local_edges))
+    nodes = ranked.select(F.col("rank").alias("node"), F.lit("edge").alias("kind"), F.lit(None).cast("long").alias("vertex"), F.col("weight").alias("height"))
+    nodes = nodes.unionByName(vertices.select("node", F.lit("vertex").alias("kind"), F.col("id").alias("vertex"), F.lit(0.0).alias("height")))
+    return nodes.join(parents, "node", "left").select("node", "kind", "vertex", F.coalesce("parent", F.lit(-1)).cast("long").alias("parent"), "height")
+
+
+def hdbscan(df: DataFrame, names: Sequence[str], min_points: int, id: str = "id", local_points: int = LOCAL_POINTS, local_edges: int = MERGED_EDGES) -> DataFrame:
     """The hierarchy of :func:`dendrogram` over the mutual reachability spanning tree."""
-    return dendrogram(spanning_tree(df, names, min_points, id))
+    return dendrogram(spanning_tree(df, names, min_points, id, local_points), local_edges)

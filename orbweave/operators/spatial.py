@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from orbweave.functions import geometry as G
 from orbweave.functions.errors import GeometryError, LimitExceeded
-from orbweave.plans.shared import materialize
+from orbweave.operators.parts import MOST, Parts, box_gap
+from orbweave.plans.shared import materialize, splittable_join
 
 Getter = Callable[[str], Column]
 Shape = Callable[[Getter], G.Geometry]
@@ -192,13 +193,16 @@ class SpatialIndex:
 
     def query(
         self, queries: DataFrame, shape: Shape, predicate: Predicate, id: str = "id", keep: Sequence[str] = (), keep_values: Sequence[str] = (),
-        where: Callable[[Getter, Getter], Column] | None = None, metric: Metric | None = None, metric_bound: float | None = None, max_results: int | None = None,
+        where: Callable[[Getter, Getter], Column] | None = None, metric: Metric | None = None, metric_bound: float | None = None,
+        metric_box: Callable[[G.Geometry, G.Box], Column] | None = None, max_results: int | None = None,
     ) -> DataFrame:
         """(query_id, value_id) and, where the predicate measures it, ``distance`` and ``place`` (from 1).
 
         ``keep`` and ``keep_values`` name columns of either side to carry along. ``where`` is a further condition on
         a pair, before any ranking. ``metric`` replaces the distance; if it is at least ``metric_bound`` times the
-        Euclidean one, nearest queries still use the grid. ``max_results`` raises if a query has more results.
+        Euclidean one, nearest queries still use the grid. For other metrics ``metric_box`` gives a lower bound of the
+        metric from a query to all values within a box, by which balanced parts are searched best first; without
+        either all pairs are compared. ``max_results`` raises if a query has more results.
         """
         q, qc = _side(queries, "q_")
         v, vc = _side(self.df, "v_")
@@ -219,7 +223,7 @@ class SpatialIndex:
                 hits = hits.where(F.col("place") <= (qc(predicate.k) if isinstance(predicate.k, str) else F.lit(int(predicate.k))))
             return self._limited(hits.select(*base, "distance", "place", *kept), max_results)
         if predicate.kind == "nearest":
-            out = self._nearest(q, v, qg, vg, qc, vc, id, predicate.k, extra, metric, metric_bound).select(*base, "distance", "place", *kept)
+            out = self._nearest(q, v, qg, vg, qc, vc, id, predicate.k, where(qc, vc) if where else None, metric, metric_bound, metric_box).select(*base, "distance", "place", *kept)
         else:
             measure = [] if predicate.kind == "intersects" else [(metric or G.distance)(qg, vg).alias("distance")]
             if predicate.kind == "within":
@@ -279,7 +283,8 @@ class SpatialIndex:
         size = F.lit(h) * F.pow(F.lit(2.0), F.col("level"))
         cells = lambda df, p: functools.reduce(lambda d, i: d.withColumn(f"cell{i}", F.explode(F.sequence(F.floor(F.col(f"{p}lo{i}") / size), F.floor(F.col(f"{p}hi{i}") / size)))), range(3), df)
         # The part of each ray inside the scene, cut into pieces of a cell's length on each level.
-        q = _computed(q, dict(zip(("__enter", "__leave"), G.ray_box(ray, G.Box.of(lo, hi)), strict=True)))
+        trifle = 1e-9 * (1 + max(map(abs, (*lo, *hi))))  # a ray through a corner of everything must not be rounded away
+        q = _computed(q, dict(zip(("__enter", "__leave"), G.ray_box(ray, G.Box.of([x - trifle for x in lo], [x + trifle for x in hi])), strict=True)))
         q = q.where("__enter <= __leave AND __leave >= 0").withColumn("__enter", F.greatest("__enter", F.lit(0.0)))
         q = q.withColumn("__leave", F.when(F.col("__leave") == G.INF, F.col("__enter")).otherwise(F.col("__leave")))  # no direction
         q = q.withColumn("level", F.explode(F.array(*map(F.lit, levels)))).withColumn("__step", size)
@@ -295,7 +300,8 @@ class SpatialIndex:
         once = [F.floor(F.greatest(f"__qlo{i}", f"__vlo{i}") / size) == F.col(f"cell{i}") for i in range(3)]
         met = met.where(G._all([*touch, *once]) & extra)
         # The piece that holds the entry into the value's box; then the value itself.
-        around = G.Box([F.col(f"__vlo{i}") for i in range(3)], [F.col(f"__vhi{i}") for i in range(3)])
+        wider = F.lit(0.0) if isinstance(vg, G.Box) else pad / 2  # the value decides by itself, so its box may err on the large side
+        around = G.Box([F.col(f"__vlo{i}") - wider for i in range(3)], [F.col(f"__vhi{i}") + wider for i in range(3)])
         met = _computed(met, dict(zip(("__in", "__out"), G.ray_box(ray, around), strict=True)))
         own = F.least(F.floor((F.greatest("__in", "__enter") - F.col("__enter")) / F.col("__step")), F.col("__last"))
         met = met.where((F.col("__in") <= F.col("__out")) & (F.col("__out") >= 0)).where(own == F.col("__piece"))
@@ -303,59 +309,103 @@ class SpatialIndex:
             met = _computed(met.drop("__in", "__out"), dict(zip(("__in", "__out"), G.ray_interval(ray, vg), strict=True))).where("__in <= __out AND __out >= 0")
         return met.withColumn("distance", F.greatest("__in", F.lit(0.0)))
 
-    def _nearest(self, q, v, qg, vg, qc, vc, id, k, extra, metric, metric_bound) -> DataFrame:
+    def _nearest(self, q, v, qg, vg, qc, vc, id, k, where, metric, metric_bound, metric_box) -> DataFrame:
+        """Two rounds: a distance within which a query has its k values for certain, then all values within it.
+
+        Queries among the values take the second round over the grid. Those apart from them, or whose ``where`` left too
+        few values near by, take it over balanced parts: only parts whose box is within the bound are looked into.
+        """
         measured = (metric or G.distance)(qg, vg)
+        extra = where if where is not None else F.lit(True)
         limit = qc(k) if isinstance(k, str) else F.lit(int(k))
         most = int(q.agg(F.max(qc(k))).first()[0] or 0) if isinstance(k, str) else int(k)
         place = F.row_number().over(Window.partitionBy(qc(id)).orderBy("distance", vc(self.id)))
-        ranked = lambda pairs: pairs.withColumn("distance", measured).where(F.col("distance") < G.INF).withColumn("place", place).where((F.col("place") <= most) & (F.col("place") <= limit))
+        names = [*q.columns, *v.columns]
+        ranked = lambda pairs: pairs.select(*names, measured.alias("distance")).where(F.col("distance") < G.INF).withColumn("place", place).where((F.col("place") <= most) & (F.col("place") <= limit))
         asked = q.where(limit >= 1)
-        if self.strategy == "brute" or most < 1 or isinstance(qg, G.Ray) or (metric is not None and not metric_bound):  # rays: only by a metric of one's own
+        unbounded = metric is not None and not metric_bound and metric_box is None
+        if self.strategy == "brute" or most < 1 or isinstance(qg, G.Ray) or unbounded:  # rays: only by a metric of one's own
             return ranked(asked.crossJoin(v).where(extra))
-        bounded = self._reach(asked, v, qg, vg, qc, id, measured, limit, most, extra)
-        factor = PAD / (metric_bound if metric is not None else 1.0)
-        near = bounded.where("__reach IS NOT NULL")
-        around = G.bounds(G.grow(G.bounds(qg), F.col("__reach") * F.lit(factor)))
-        found = bucket_pairs(near, v, around, G.bounds(vg), extra & (measured <= F.col("__reach"))).drop("__reach")
-        # Queries with fewer values in all than they ask for take every one.
-        rest = bounded.where("__reach IS NULL").drop("__reach").crossJoin(v).where(extra)
-        return ranked(found.unionByName(rest))
-
-    def _reach(self, q, v, qg, vg, qc, id, measured, limit, most, extra) -> DataFrame:
+        centre = G.centroid(vg).at[: min(AXES, qg.dim)]
+        at = G.centroid(qg).at[: len(centre)]
+        r = v.agg(F.count("*"), F.approx_count_distinct(F.xxhash64(*centre)), *(f(c) for c in centre for f in (F.min, F.max))).first()
+        n, low, high = r[0], r[2::2], r[3::2]
+        if not n or any(x is None or not -G.INF < x < G.INF for x in (*low, *high)):
+            v = v.where(G._all([(c > -G.INF) & (c < G.INF) for c in centre]))
+            if not n or v.isEmpty():
+                return ranked(asked.join(v, F.lit(False)))
+            r = v.agg(F.count("*"), F.approx_count_distinct(F.xxhash64(*centre)), *(f(c) for c in centre for f in (F.min, F.max))).first()
+            n, low, high = r[0], r[2::2], r[3::2]
+        if where is None and isinstance(vg, G.Point) and n > 4 * most * r[1]:
+            # Many values at the same places: of each place only the first ids can be among the nearest.
+            first = F.row_number().over(Window.partitionBy(*vg.at).orderBy(vc(self.id)))
+            v = v.withColumn("__first", first).where(F.col("__first") <= most).drop("__first")
+        around = G.bounds(qg)
+        if metric_box is not None:
+            away = lambda b: metric_box(qg, b)
+        else:
+            away = lambda b: box_gap(around, b) * F.lit((metric_bound if metric is not None else 1.0) / PAD)
+        parts = functools.cache(lambda: Parts(v, centre, G.bounds(vg), vc(self.id), most=min(MOST, max(1, n // max(32, 4 * most)))))
+        out, left = None, asked
+        if metric_box is None:
+            bounded = self._reach(asked, v, centre, at, low, high, n, qc, id, measured, limit, most, extra)
+            factor = PAD / (metric_bound if metric is not None else 1.0)
+            apart = G.norm([x - F.greatest(F.lit(lo), F.least(F.lit(hi), x)) for x, lo, hi in zip(at, low, high, strict=True)]) * 4 > F.col("__reach") * F.lit(factor)
+            near, far, left = bounded.where(~apart), bounded.where(apart), bounded.where("__reach IS NULL").drop("__reach")
+            out = bucket_pairs(near, v, G.bounds(G.grow(around, F.col("__reach") * F.lit(factor))), G.bounds(vg), extra & (measured <= F.col("__reach"))).select(*names)
+            if not far.isEmpty():
+                found = parts().meet(far, parts().within(away, F.col("__reach"))).where(extra & (measured <= F.col("__reach")))
+                out = out.unionByName(found.select(*names))
+            if left.isEmpty():
+                return ranked(out)
+        # Best parts first: what has its k values after a few parts needs only those within the bound that they give.
+        rest = None
+        for m in (8, 64):
+            if m >= len(parts().rows) or most > n:
+                break
+            best = parts().meet(left, parts().nearest(away, m)).where(extra).withColumn("__d", measured).where(F.col("__d") < G.INF)
+            rank = F.row_number().over(Window.partitionBy(qc(id)).orderBy("__d"))
+            best = best.withColumn("__rank", rank).where((F.col("__rank") <= most) & (F.col("__rank") == limit)).select(qc(id).alias("__id"), F.col("__d").alias("__reach"))
+            tried = materialize(left.join(best, qc(id) == F.col("__id"), "left").drop("__id"), "reach")
+            done, left = tried.where("__reach IS NOT NULL"), tried.where("__reach IS NULL").drop("__reach")
+            found = parts().meet(done, parts().within(away, F.col("__reach"))).where(extra & (measured <= F.col("__reach"))).select(*names)
+            rest = found if rest is None else rest.unionByName(found)
+        # What still lacks values may need any of them: there are too few, or ``where`` passes few.
+        found = parts().meet(left, parts().all()).where(extra).select(*names)
+        for some in (rest, out):
+            found = found if some is None else found.unionByName(some)
+        return ranked(found)
+
+    def _reach(self, q, v, centre, at, low, high, n, qc, id, measured, limit, most, extra) -> DataFrame:
         """``q`` with a distance within which it has enough values: the k-th smallest among some near ones.
 
-        The values near a query are those whose centres lie in the cells around its own. Of a cell only a few values
-        are taken, as any k of them give a bound. The cell size starts at k values a cell and grows fourfold for the
-        queries that still lack some.
+        The values near a query are those whose centres lie in the cells around its own, or for a query outside all
+        values around the nearest place of their box. Of a cell only a few values are taken, as any k of them give a
+        bound. The cell size starts at k values a cell and grows fourfold for the queries that still lack some.
         """
-        axes = min(AXES, qg.dim)
-        centre, at = G.centroid(vg).at[:axes], G.centroid(qg).at[:axes]
-        r = v.agg(F.count("*"), *(F.max(c) - F.min(c) for c in centre)).first()
-        n, span = r[0], [x or 0.0 for x in r[1:]]
-        widest = max(span, default=0.0)
+        span = [y - x for x, y in zip(low, high, strict=True)]
+        widest = max(span)
+        at = [F.greatest(F.lit(lo), F.least(F.lit(hi), x)) for x, lo, hi in zip(at, low, high, strict=True)]
         out, left = None, q
-        if n >= 1 and widest > 0:
-            h = max(widest / max(1.0, (n / most) ** (1 / sum(x > widest * 1e-3 for x in span))), widest * 1e-6)
-            while h < widest * 4:
-                cells = [f"__c{i}" for i in range(axes)]
-                some = v.withColumns({c: F.floor(x / F.lit(h)) for c, x in zip(cells, centre, strict=True)})
-                few = F.row_number().over(Window.partitionBy(*cells).orderBy(F.xxhash64("v_" + self.id)))
-                some = some.withColumn("__few", few).where(F.col("__few") <= 4 * most).drop("__few")
-                asked = left
-                for c, x in zip(cells, at, strict=True):
-                    asked = asked.withColumn(c, F.explode(F.sequence(F.floor(x / F.lit(h)) - 1, F.floor(x / F.lit(h)) + 1)))
-                best = asked.join(some, cells).where(extra).withColumn("__d", measured).where(F.col("__d") < G.INF)
-                rank = F.row_number().over(Window.partitionBy(qc(id)).orderBy("__d"))
-                best = best.withColumn("__rank", rank).where((F.col("__rank") <= most) & (F.col("__rank") == limit)).select(qc(id).alias("__id"), F.col("__d").alias("__reach"))
-                tried = materialize(left.join(best, qc(id) == F.col("__id"), "left").drop("__id"), "reach")
-                done = tried.where("__reach IS NOT NULL")
-                out = done if out is None else out.unionByName(done)
-                left = tried.where("__reach IS NULL").drop("__reach")
-                if left.isEmpty():
-                    return out
-                h *= 4
-        missing = left.withColumn("__reach", F.lit(None).cast("double"))
-        return missing if out is None else out.unionByName(missing)
+        h = max(widest / max(1.0, (n / most) ** (1 / sum(x > widest * 1e-3 for x in span))), widest * 1e-6) if widest > 0 else 1.0
+        while True:
+            cells = [f"__c{i}" for i in range(len(centre))]
+            some = v.withColumns({c: F.floor(x / F.lit(h)) for c, x in zip(cells, centre, strict=True)})
+            few = F.row_number().over(Window.partitionBy(*cells).orderBy(F.xxhash64("v_" + self.id)))
+            some = some.withColumn("__few", few).where(F.col("__few") <= 4 * most).drop("__few")
+            asked = left
+            for c, x in zip(cells, at, strict=True):
+                asked = asked.withColumn(c, F.explode(F.sequence(F.floor(x / F.lit(h)) - 1, F.floor(x / F.lit(h)) + 1)))
+            best = asked.join(some, cells).where(extra).withColumn("__d", measured).where(F.col("__d") < G.INF)
+            rank = F.row_number().over(Window.partitionBy(qc(id)).orderBy("__d"))
+            best = best.withColumn("__rank", rank).where((F.col("__rank") <= most) & (F.col("__rank") == limit)).select(qc(id).alias("__id"), F.col("__d").alias("__reach"))
+            tried = materialize(left.join(best, qc(id) == F.col("__id"), "left").drop("__id"), "reach")
+            done = tried.where("__reach IS NOT NULL")
+            out = done if out is None else out.unionByName(done)
+            left = tried.where("__reach IS NULL").drop("__reach")
+            h *= 4
+            if h >= widest * 4 or left.isEmpty():
+                return out.unionByName(left.withColumn("__reach", F.lit(None).cast("double")))
 
 
 # -- lists of neighbours -----------------------------------------------------------------------------------------------
@@ -387,33 +437,55 @@ def counts(results: DataFrame, queries: DataFrame, id: str = "id") -> DataFrame:
     return queries.select(F.col(id).alias("query_id")).join(n, "query_id", "left").select("query_id", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
-def offsets(counted: DataFrame, block: int = 1 << 16) -> DataFrame:
+def _in_ranges(df: DataFrame, name: str, order: str, rows: int | None = None) -> DataFrame:
+    """``df``, written in ranges of ``order`` that hold about equally many rows (``rows`` if given), with the range as ``__p``.
+
+    Borders come from Spark's sample of the column, so it doesn't matter how its values are spread. Rows of one value
+    are in one range; callers see to it that there are few.
+    """
+    parts = [max(1, min(100_000, -(-df.count() // rows)))] if rows else []
+    return materialize(df.repartitionByRange(*parts, order).withColumn("__p", F.spark_partition_id()), name)
+
+
+def _of_range(numbers: dict[int, int | None]) -> Column:
+    """The number of a row's range: a literal of one entry a range."""
+    table = F.split(F.lit(",".join("" if (x := numbers.get(p)) is None else str(x) for p in range(max(numbers, default=0) + 1))), ",")
+    return F.expr("CAST(NULL AS BIGINT)") if not numbers else F.nullif(F.element_at(table, F.col("__p") + 1), F.lit("")).cast("bigint")
+
+
+def _sum_up_to(ranged: DataFrame, order: str, n: str, name: str) -> DataFrame:
+    """``ranged`` with the sum of ``n`` up to and with each row; totals of ranges first, then sums within each range."""
+    totals = {r["__p"]: r["t"] for r in ranged.groupBy("__p").agg(F.sum(n).alias("t")).collect()}  # one row a range
+    before, total = {}, 0
+    for p in sorted(totals):
+        before[p], total = total, total + (totals[p] or 0)
+    inside = F.sum(n).over(Window.partitionBy("__p").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return ranged.withColumn(name, inside + _of_range(before))
+
+
+def offsets(counted: DataFrame, block: int | None = None) -> DataFrame:
     """(query_id, n, offset): the running total before each query, in order of query_id.
 
-    Totals run over blocks of ids first and within each block then, so no task holds all queries.
+    Totals run over ranges of ids first and within each range then; ranges hold about equally many queries (``block``
+    if given) however sparse the ids are, so no task holds all queries.
     """
-    placed = counted.withColumn("__block", F.floor(F.col("query_id") / F.lit(block)))
-    whole = placed.groupBy("__block").agg(F.sum("n").alias("__n"))
-    before = whole.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = F.coalesce(F.sum("n").over(Window.partitionBy("__block").orderBy("query_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return placed.withColumn("__inside", inside).join(before.select("__block", "__before"), "__block").select("query_id", "n", (F.col("__before") + F.col("__inside")).alias("offset"))
+    ranged = _in_ranges(counted.select("query_id", "n"), "counted", "query_id", block)
+    return _sum_up_to(ranged, "query_id", "n", "__upto").select("query_id", "n", (F.col("__upto") - F.col("n")).alias("offset"))
 
 
-def to_counts(crs: DataFrame, block: int = 1 << 16) -> DataFrame:
+def to_counts(crs: DataFrame, block: int | None = None) -> DataFrame:
     """Counts from offsets that end with the total (query_id, offset): the difference to the next.
 
-    The next row of a block's last one is the first of the next block; no window holds all queries.
+    The next row of a range's last one is the first of the next range; ranges hold about equally many rows (``block``
+    if given).
     """
-    placed = crs.withColumn("__block", F.floor(F.col("query_id") / F.lit(block)))
-    first = placed.groupBy("__block").agg(F.min(F.struct("query_id", "offset"))["offset"].alias("__first"))
-    coarse = first.withColumn("__coarse", F.floor(F.col("__block") / F.lit(block)))
-    heads = coarse.groupBy("__coarse").agg(F.min(F.struct("__block", "__first"))["__first"].alias("__head"))
-    heads = heads.withColumn("__head", F.lead("__head").over(Window.orderBy("__coarse")))  # one row for each block ** 2 ids
-    after = F.lead("__first").over(Window.partitionBy("__coarse").orderBy("__block"))
-    first = coarse.join(heads, "__coarse").select("__block", F.coalesce(after, "__head").alias("__after"))
-    inside = F.lead("offset").over(Window.partitionBy("__block").orderBy("query_id"))
-    out = placed.withColumn("__next", inside).join(first, "__block").withColumn("n", F.coalesce("__next", "__after") - F.col("offset"))
-    return out.where("n IS NOT NULL").drop("__block", "__next", "__after")
+    ranged = _in_ranges(crs, "offsets", "query_id", block)
+    first = {r["__p"]: r["m"]["offset"] for r in ranged.groupBy("__p").agg(F.min(F.struct("query_id", "offset")).alias("m")).collect()}  # one row a range
+    order = sorted(first)
+    after = {p: first[q] for p, q in itertools.pairwise(order)} | {p: None for p in order[-1:]}
+    inside = F.lead("offset").over(Window.partitionBy("__p").orderBy("query_id"))
+    out = ranged.withColumn("n", F.coalesce(inside, _of_range(after)) - F.col("offset"))
+    return out.where("n IS NOT NULL").drop("__p")
 
 
 def bounded_counts(df: DataFrame, names: Sequence[str], radius: float, most: int, id: str = "id") -> DataFrame:
@@ -475,26 +547,18 @@ def apply_permutation(permutation: DataFrame, values: DataFrame) -> DataFrame:
     return permutation.select("index", "place").join(values, "index").drop("index")
 
 
-def insertion_points(sorted_values: DataFrame, queries: DataFrame, value: str = "value", id: str = "id") -> DataFrame:
+def insertion_points(sorted_values: DataFrame, queries: DataFrame, value: str = "value", id: str = "id", block: int | None = None) -> DataFrame:
     """(query_id, lower, upper): how many of the values are below each query's value, and how many aren't above it.
 
-    Equal values are counted first; running totals go over blocks of the values' range, so no task holds all of them.
+    Equal values are counted first, and equal queries ask once; both sides are merged in ranges of about equally many
+    different values (``block`` if given), whatever outliers there are, so no task holds all of them.
     """
-    blocks = 256
-    r = sorted_values.agg(F.min(value), F.max(value)).first()
-    low, high = (float(r[0]), float(r[1])) if r[0] is not None else (0.0, 0.0)
-    wide = (high - low) / blocks or 1.0
-    block = lambda c: F.greatest(F.lit(-1), F.least(F.lit(blocks), F.floor((c.cast("double") - low) / F.lit(wide)))).cast("int")
-    known = sorted_values.groupBy(F.col(value).alias("x")).agg(F.count("*").alias("n")).select("x", "n", F.lit(None).cast("long").alias("q"))
-    asked = queries.select(F.col(value).alias("x"), F.lit(0).cast("long").alias("n"), F.col(id).cast("long").alias("q"))
-    both = known.unionByName(asked).withColumn("__block", block(F.col("x")))
-    before = both.groupBy("__block").agg(F.sum("n").alias("__n"))  # one row a block
-    before = before.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    w = Window.partitionBy("__block").orderBy("x")
-    below = F.coalesce(F.sum("n").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(0))
-    same = F.sum("n").over(Window.partitionBy("__block", "x"))
-    out = both.withColumns({"__upto": below, "__same": same}).where("q IS NOT NULL").join(F.broadcast(before.select("__block", "__before")), "__block")
-    return out.select(F.col("q").alias("query_id"), (F.col("__before") + F.col("__upto") - F.col("__same")).alias("lower"), (F.col("__before") + F.col("__upto")).alias("upper"))
+    known = sorted_values.groupBy(F.col(value).alias("x")).agg(F.count("*").alias("n"))
+    asked = queries.select(F.col(value).alias("x"), F.lit(0).cast("long").alias("n"))
+    merged = known.unionByName(asked).where("x IS NOT NULL").groupBy("x").agg(F.sum("n").alias("n"))
+    found = _sum_up_to(_in_ranges(merged, "merged", "x", block), "x", "n", "upper")
+    met = splittable_join(queries.select(F.col(id).cast("long").alias("query_id"), F.col(value).alias("x")), found.select("x", "n", "upper"), "x")
+    return met.select("query_id", (F.col("upper") - F.col("n")).alias("lower"), "upper")
 
 
 def attach_indices(df: DataFrame, name: str = "index") -> DataFrame:

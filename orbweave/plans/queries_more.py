@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from orbweave.functions import geometry as G
 from orbweave.operators import cluster, interpolation, spatial
 from orbweave.operators.grid import CartesianGrid, near_parts
 from orbweave.operators.spatial import SpatialIndex, intersects, nearest, ordered_intersects, within
-from orbweave.plans.queries import A3, ALO, AHI, B3, BOX, HI, LO, P3, RAY, SPHERE, TET, TRIANGLE, _closest_sql, _cross, _dot, _e, _form, _join, _kdop_bounds, _measured, _side_sql, _vec, at, clamp, d, each, emst, pairs, query, ranked, reachability_tree, values
+from orbweave.plans.queries import A3, ALO, AHI, B3, BOX, HI, LO, P3, RAY, SPHERE, TET, TRIANGLE, _closest_sql, _cross, _dbscan_sql, _dot, _e, _form, _join, _kdop_bounds, _measured, _side_sql, _vec, at, clamp, d, each, emst, pairs, query, ranked, reachability_tree, values
 from orbweave.sources import generators
 
 # -- pairs of geometries -----------------------------------------------------------------------------------------------
@@ -105,6 +107,17 @@ def ray_triangle_ordered(spark, sf_dir):
     return _join(spark, sf_dir, RAY, lambda c: TRIANGLE(c), ordered_intersects()).withColumn("distance", F.round("distance", 6))
 
 
+@query(" SELECT id, true hit FROM e")
+def rays_at_shared_sides(spark, sf_dir):
+    """Whether rays at a point of the side that two triangles share hit one of them; none may slip through."""
+    t = values(spark, sf_dir)
+    p, q, r = ([F.col(f"e{i + k}") for k in range(3)] for i in (4, 7, 10))
+    s = [x + y - z for x, y, z in zip(p, q, r, strict=True)]
+    f = F.lit(0.25) + F.lit(0.5) * F.abs(F.col("e13")) / (F.lit(1.0) + F.abs(F.col("e13")))
+    ray = G.Ray.of(_e(1, 2, 3), [x + f * (y - x) - F.col(f"e{k}") for k, x, y in zip((1, 2, 3), p, q, strict=True)])
+    return t.select("id", (G.intersects(ray, G.Triangle.of(p, q, r)) | G.intersects(ray, G.Triangle.of(q, p, s))).alias("hit"))
+
+
 _OC = _vec(at("b", 7, 8, 9), A3)
 
 
@@ -215,6 +228,30 @@ def limited_within(spark, sf_dir):
     return _join(spark, sf_dir, P3, P3, within(0.05), max_results=1000).select("query_id", "value_id")
 
 
+_AFAR = [f"({k}::DOUBLE + {f}::DOUBLE * a.e{i})" for i, (k, f) in zip((1, 2, 3), ((100, 40), (0, 5), (-3, 1)), strict=True)]
+
+
+@query(ranked(d(_AFAR, B3), "5"))
+def knn_far(spark, sf_dir):
+    """Queries a hundred units from all values: only the parts within the bound are looked into."""
+    t = values(spark, sf_dir)
+    q = t.select("id", *(F.expr(x.replace("a.", "").replace("::DOUBLE", "D")).alias(f"e{i}") for i, x in zip((1, 2, 3), _AFAR, strict=True)))
+    return SpatialIndex(t, P3).query(q, P3, nearest(5))
+
+
+@query(ranked(d(A3, B3), "4", "b.id % 53 = a.id % 53"))
+def knn_where_few(spark, sf_dir):
+    """A condition that one value in 53 passes, so samples of cells give no bound."""
+    return _join(spark, sf_dir, P3, P3, nearest(4), where=lambda q, v: v("id") % 53 == q("id") % 53)
+
+
+@query(ranked(f"sqrt({d(A3, B3)})", "3"))
+def knn_root_metric(spark, sf_dir):
+    """A metric that no factor of the distance bounds, but a box does."""
+    root = lambda p, q: F.sqrt(G.distance(p, q))
+    return _join(spark, sf_dir, P3, P3, nearest(3), metric=root, metric_box=root)
+
+
 @query(f" SELECT a.id, least(count(*), 6) n FROM e a, e b WHERE {d(A3, B3)} <= 0.08 GROUP BY a.id")
 def bounded_counts(spark, sf_dir):
     return spatial.bounded_counts(values(spark, sf_dir), _e(1, 2, 3), 0.08, 6)
@@ -275,14 +312,39 @@ def indexed(spark, sf_dir):
     return spatial.attach_indices(values(spark, sf_dir).select("id").orderBy("id"))
 
 
-@query(" SELECT unnest(range(5, 1005)) AS \"value\" FROM (SELECT count(*) FROM e)")
+@query(" SELECT unnest(range(5, 5 + (SELECT count(*) FROM e))) AS \"value\"")
 def counted_up(spark, sf_dir):
-    return generators.iota(spark, 1000, 5)
+    """As many numbers as there are rows, from 5 up."""
+    return generators.iota(spark, values(spark, sf_dir).count(), 5)
+
+
+_SIDE = "SELECT ceil(cbrt(count(*) / 4.0::DOUBLE - 0.001::DOUBLE))::BIGINT s FROM e"
 
 
-@query(" SELECT (x + 4 * y + 16 * z + 64 * p)::BIGINT id, p part, (x + 4 * (p % 2))::DOUBLE x, y::DOUBLE y, (z + 4 * (p // 2))::DOUBLE z FROM (SELECT unnest(range(4)) x FROM (SELECT count(*) FROM e)), range(4) r(y), range(4) s(z), range(4) t(p)")
+@query(f", s AS ({_SIDE}), p AS (SELECT id, label, s, id // (s * s * s) part, id % (s * s * s) i FROM e, s) SELECT id, part, (i % s + s * (part % 2))::DOUBLE x, (i // s % s)::DOUBLE y, (i // (s * s) + s * (part // 2))::DOUBLE z, label FROM p WHERE part < 4")
 def lattice_points(spark, sf_dir):
-    return generators.lattice(spark, 4, parts=(2, 1, 2))
+    """Each row at the place of its id in a lattice of four parts that has room for all of them."""
+    t = values(spark, sf_dir)
+    side = math.ceil((t.count() / 4.0 - 0.001) ** (1 / 3))
+    at = generators.lattice(spark, side, parts=(2, 1, 2))
+    return at.join(t.select("id", "label"), "id").select("id", F.col("part").cast("long").alias("part"), "x", "y", "z", "label")
+
+
+_SPARSE = "((id * 7919) % 1009) * 9000000000000 + id"
+
+
+@query(f", c AS (SELECT {_SPARSE} query_id, id % 7 n FROM e) SELECT query_id, n, (sum(n) OVER (ORDER BY query_id) - n)::BIGINT AS \"offset\" FROM c")
+def offsets_of_sparse_ids(spark, sf_dir):
+    """Offsets over ids that lie far apart, in ranges of about 64 of them."""
+    return spatial.offsets(values(spark, sf_dir).select(F.expr(_SPARSE).alias("query_id"), (F.col("id") % 7).alias("n")), block=64)
+
+
+@query(" , v AS (SELECT CASE WHEN id % 500 = 0 THEN 1e12 WHEN id % 3 = 0 THEN 0.25 ELSE e1 END x FROM e) SELECT a.id query_id, count(*) FILTER (v.x < a.e2) AS \"lower\", count(*) FILTER (v.x <= a.e2) AS \"upper\" FROM e a, v GROUP BY a.id")
+def insertion_points_skewed(spark, sf_dir):
+    """A third of the values equal, and outliers that stretch their range a trillionfold."""
+    t = values(spark, sf_dir)
+    x = F.when(F.col("id") % 500 == 0, F.lit(1e12)).when(F.col("id") % 3 == 0, F.lit(0.25)).otherwise(F.col("e1"))
+    return spatial.insertion_points(t.select(x.alias("value")), t.select("id", F.col("e2").alias("value")), block=100)
 
 
 @query(f" SELECT a.id, round(sum(24::DOUBLE * (2 * power(0.0001 / {d(A3, B3)} ** 2, 6) - power(0.0001 / {d(A3, B3)} ** 2, 3)) / {d(A3, B3)} ** 2 * (a.e1 - b.e1)), 3) fx, round(sum(4 * (power(0.0001 / {d(A3, B3)} ** 2, 6) - power(0.0001 / {d(A3, B3)} ** 2, 3))) / 2, 4) energy FROM e a JOIN e b ON a.id <> b.id AND {d(A3, B3)} <= 0.1 AND {d(A3, B3)} > 0.01 GROUP BY a.id")
@@ -329,6 +391,24 @@ def single_linkage(spark, sf_dir):
     return cluster.dendrogram(emst(spark, sf_dir))
 
 
+@query(_dendrogram_sql(1))
+def single_linkage_rounds(spark, sf_dir):
+    """The hierarchy by contraction over the cluster, in parts of 60 edges."""
+    return cluster.dendrogram(emst(spark, sf_dir), local_edges=60)
+
+
+@query(_dbscan_sql(0.05, 5))
+def dbscan_halo(spark, sf_dir):
+    """Parts of about 60 points with halos, clustered side by side."""
+    return cluster.halo_dbscan(values(spark, sf_dir), _e(1, 2, 3), 0.05, 5, part_points=60)
+
+
+@query(f"WITH RECURSIVE o AS ({_dbscan_sql(0.05, 5)}) SELECT label, id, row_number() OVER (PARTITION BY label ORDER BY id) - 1 place FROM o WHERE label >= 0 QUALIFY count(*) OVER (PARTITION BY label) >= 3")
+def cluster_members(spark, sf_dir):
+    labels = cluster.dbscan(values(spark, sf_dir), _e(1, 2, 3), 0.05, 5)
+    return cluster.cluster_members(labels, 3)
+
+
 @query(_dendrogram_sql(5))
 def hdbscan(spark, sf_dir):
     return cluster.hdbscan(values(spark, sf_dir), _e(1, 2, 3), 5)

@@ -133,3 +133,68 @@ def test_dense_cells_make_no_pairs_and_agree(spark, monkeypatch):
     same = spark.range(30_000).select("id", F.lit(1.0).alias("x"), F.lit(2.0).alias("y")).union(spark.createDataFrame([(40_000, 1.0, 2.5)], "id long, x double, y double"))
     got = C.dbscan(same, XY, 0.4, 5).groupBy("label").count().collect()
     assert {x["label"]: x["count"] for x in got} == {0: 30_000, -1: 1}
+
+
+def tree_of(kind, n, r):
+    order = r.sample(range(n), n)
+    ends = {"path": lambda i: i - 1, "star": lambda i: 0, "random": lambda i: r.randrange(i), "broom": lambda i: i - 1 if i < n // 2 else n // 2 - 1}[kind]
+    return [(order[ends(i)] * 7, order[i] * 7) for i in range(1, n)]
+
+
+@pytest.mark.parametrize("kind, weigh", [("path", lambda r, i: r.random()), ("star", lambda r, i: float(r.randrange(3))), ("random", lambda r, i: 1.0), ("broom", lambda r, i: float(i))])
+def test_contracted_dendrogram_equals_one_task(spark, kind, weigh):
+    """Distinct, few, equal and sorted weights; parts of eight edges."""
+    r = random.Random(len(kind))
+    edges = spark.createDataFrame([(a, b, weigh(r, i)) for i, (a, b) in enumerate(tree_of(kind, 30, r))], "source long, target long, weight double")
+    one, many = (sorted(map(tuple, C.dendrogram(edges, n).select("node", "kind", F.coalesce("vertex", F.lit(-1)), "parent", "height").collect())) for n in (100, 8))
+    assert one == many and len(one) == 59
+
+
+def test_contracted_dendrogram_holds_few_edges_in_a_task(spark):
+    r = random.Random(3)
+    edges = spark.createDataFrame([(a, b, r.random()) for a, b in tree_of("random", 400, r)], "source long, target long, weight double")
+    rows = C.dendrogram(edges, 128).collect()
+    parents = {x["node"]: x["parent"] for x in rows}
+    assert np.bincount([p for p in parents.values() if p >= 0]).tolist() == [2] * 399
+    assert [n for n, p in parents.items() if p < 0] == [398]
+    heights = {x["node"]: x["height"] for x in rows}
+    assert all(heights[n] <= heights[p] for n, p in parents.items() if p >= 0)
+    assert C.dendrogram(edges.limit(0), 4).count() == 0 and C.dendrogram(edges.limit(1), 1).count() == 3
+
+
+def test_merging_a_part_names_larger_components_by_their_last_edge():
+    child, parent = C.merge_in_order(np.array([12, 10, 11]), np.array([5, 100, 101]), np.array([101, 101, 102]))
+    assert list(zip(child.tolist(), parent.tolist(), strict=True)) == [(100, 10), (101, 10), (10, 11), (102, 11), (5, 12), (11, 12)]
+
+
+def test_friends_of_friends_makes_no_pairs_of_equal_points(spark):
+    df = spark.range(3_000).select("id", F.lit(1.0).alias("x"), F.lit(2.0).alias("y")).union(spark.createDataFrame([(5_000, 9.0, 9.0)], "id long, x double, y double"))
+    assert {(x["label"], x["count"]) for x in C.friends_of_friends(df, XY, 0.5).groupBy("label").count().collect()} == {(0, 3_000), (5_000, 1)}
+
+
+@pytest.mark.parametrize("algorithm", ["dbscan", "dbscan_star"])
+def test_halo_labels_equal_those_of_global_joins(spark, algorithm):
+    """Parts of about 25 points, clusters across many of them, places held by several points."""
+    r = random.Random(9)
+    rows = [(r.gauss(x, s), r.gauss(y, s)) for x, y, s in ((0, 0, 0.1), (0.5, 0, 0.03), (0.2, 0.6, 0.2)) for _ in range(90)] + [(i / 40, 1.2) for i in range(60)] + [(0.5, 0.5)] * 20 + [(r.random(), r.random()) for _ in range(40)] + [(1e7, -3e6), (float("nan"), 0.0)]
+    df = flat(spark, rows)
+    for eps, m in ((0.03, 2), (0.11, 9)):
+        want = labels(C.dbscan(df.where("NOT isnan(x)"), XY, eps, m, algorithm, "fdbscan"))
+        got = C.halo_dbscan(df, XY, eps, m, algorithm, part_points=25)
+        assert labels(got) == [*want, -1]
+    assert C.halo_dbscan(df.limit(0), XY, 0.1, 3).count() == 0
+
+
+def test_halo_in_one_and_three_dimensions(spark):
+    r = random.Random(10)
+    df = spark.createDataFrame([(i, r.random() ** 2, r.random(), r.random()) for i in range(250)], "id long, x double, y double, z double")
+    for names, eps in ((["x"], 0.002), (["x", "y", "z"], 0.14)):
+        assert labels(C.halo_dbscan(df, names, eps, 4, part_points=12)) == labels(C.dbscan(df, names, eps, 4, implementation="fdbscan"))
+
+
+def test_halo_copies_follow_the_borders(spark):
+    df = spark.range(20_000).select("id", (F.col("id") % 200).cast("double").alias("x"), F.floor(F.col("id") / 200).cast("double").alias("y"))
+    parts = C.Parts(df, [F.col("x"), F.col("y")], C.G.Box.of(XY, XY), F.col("id"), most=16)
+    copies = df.select(F.size(parts.touching([F.col(c) - 1.0 for c in XY], [F.col(c) + 1.0 for c in XY])).alias("n")).groupBy("n").count().collect()
+    of = {x["n"]: x["count"] for x in copies}
+    assert set(of) <= {1, 2, 4} and of[1] > 16_000

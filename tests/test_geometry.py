@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 
 from orbweave.functions.errors import GeometryError
@@ -109,3 +110,32 @@ def test_what_is_refused():
         with pytest.raises(GeometryError):
             bad()
     assert [len(kdop_directions(3, k)) * 2 for k in (6, 14, 18, 26)] == [6, 14, 18, 26]
+
+
+def test_rays_do_not_slip_between_triangles(spark):
+    """Through every corner and along every side of a closed mesh, from inside; grazing rays too."""
+    from orbweave.operators.spatial import SpatialIndex, intersects
+    from orbweave.sources import generators
+
+    v, faces = generators.icosahedron()
+    v, faces = generators.subdivide(*generators.subdivide(v, faces))
+    sides = np.unique(np.sort(faces[:, [[0, 1], [1, 2], [2, 0]]].reshape(-1, 2), axis=1), axis=0)
+    r = np.random.default_rng(3)
+    through = [*v, *(v[a] * f + v[b] * (1 - f) for a, b in sides for f in (0.5, *r.random(2)))]
+    origins = [(0.0, 0.0, 0.0), (0.1, 0.2, -0.05), (0.3, -0.6, 0.55)]
+    rays = spark.createDataFrame([(i * 10 + k, *o, *map(float, p - np.array(o))) for i, p in enumerate(through) for k, o in enumerate(origins)], "id long, a double, b double, c double, d double, e double, f double")
+    triangle = lambda c: Triangle.of(*([c(f"{n}{x}") for x in "xyz"] for n in "abc"))
+    ray = lambda c: Ray.of([c(x) for x in "abc"], [c(x) for x in "def"])
+    hit = SpatialIndex(generators.sphere_mesh(spark, 2), triangle).query(rays, ray, intersects())
+    assert hit.select("query_id").distinct().count() == len(through) * len(origins)
+
+
+def test_rays_at_sides_and_corners_of_one_triangle(spark):
+    t = Triangle.of([0, 0, 0], [1, 0, 0], [0, 1, 0])
+    hits = [([0.1, 0.2, 0.3], [0, 0, -1]), ([1.1, 1.2, 1], [-1, -1, -1]), ([0, 0, -1], [0, 0, 1]), ([1, 0, -2], [0, 0, 1]), ([0, 1, -3], [0, 0, 1]), ([1, 2, 3], [0, -2, -3]), ([0.5, 0.5, -3], [0, 0, 1]), ([0.1, 0, -1], [0, 0, 1]), ([0.3, 0.3, 0], [1, 1, 0]), ([1, 0, 0], [1, 2, 3])]
+    misses = [([1, 2, 3], [1, 1, 0]), ([-1, 2, -3], [0, 0, 1]), ([-1, -1, 0], [0, 1, 0]), ([-0.1, 0, 1], [1, 0, 0]), ([0.1, 0.2, 0.3], [0, 0, 1]), ([0.2, 0.2, 0.5], [0, 0, 0])]
+    got = evaluate(spark, [intersects(Ray.of(o, d), t) for o, d in hits + misses])
+    assert got == [True] * len(hits) + [False] * len(misses)
+    whole = evaluate(spark, [x for o, d in (([0.01, 0.2, 1.0], [0, 0, 1]), ([-1, 2, 0], [1, -1, 0]), ([-1, 2, 0], [-1, 1, 0]), ([0.5, 0.5, 0], [-1, 1, 0])) for x in ray_triangle(Ray.of(o, d), t)])
+    root = math.sqrt(2)
+    assert whole == pytest.approx([-1, -1, root, 2 * root, -2 * root, -root, -root / 2, root / 2])

@@ -1,6 +1,7 @@
 """Joins, run for each strategy; compared as sets within a query."""
 
 import itertools
+import math
 import random
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from orbweave.functions import geometry as G
 from orbweave.functions.errors import GeometryError, LimitExceeded
 from orbweave.operators import spatial as S
+from orbweave.operators.parts import Parts, box_gap
 from orbweave.operators.vectors import nearest_vectors
 
 XYZ = ("x", "y", "z")
@@ -204,3 +206,61 @@ def test_pair_forces_are_opposite(spark):
     s = (1 / 1.5**2) ** 3
     assert got[0]["energy"] == got[1]["energy"] == pytest.approx(2 * (s * s - s)) and 2 not in got
     assert got[0]["force_x"] == -got[1]["force_x"] == pytest.approx(24 * (2 * s * s - s) / 1.5**2 * -1.5)
+
+
+def brute_nearest(v, q, k, keep=lambda a, b: True):
+    out = []
+    for i, a in enumerate(q):
+        near = sorted((math.dist(a, b), j) for j, b in enumerate(v) if keep(i, j))[:k]
+        out += [(i, j, place + 1) for place, (_, j) in enumerate(near)]
+    return sorted(out)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+r7 = random.Random(7)
+CLOUD = [tuple(r7.random() for _ in range(3)) for _ in range(400)]
+FAR = [(1000 + 3 * r7.random(), 500 * r7.random(), -r7.random()) for _ in range(60)]
+CASES = {
+    "far queries": (CLOUD, FAR, None), "equal values": ([(1.0, 2.0, 3.0)] * 400, CLOUD[:60], None), "one value and equal ones": ([(9.0, 9.0, 9.0), *[(1.0, 2.0, 3.0)] * 300], CLOUD[:40] + FAR[:20], None),
+    "a where that passes none": (CLOUD, CLOUD[:60], lambda q, v: q("id") < F.lit(-1)), "a where that passes few": (CLOUD, CLOUD[:60] + FAR[:20], lambda q, v: v("id") % 97 == q("id") % 97), "more than there are": (CLOUD[:6], FAR[:10] + CLOUD[:9], None),
+}
+
+
+@pytest.mark.parametrize("case", CASES)
+def test_nearest_apart_from_the_values_makes_no_cross_join(spark, case):
+    v, q, where = CASES[case]
+    keep = {"a where that passes none": lambda i, j: False, "a where that passes few": lambda i, j: j % 97 == i % 97}.get(case, lambda i, j: True)
+    k = 9 if case == "more than there are" else 4
+    found = S.SpatialIndex(cloud(spark, v), P3).query(cloud(spark, q), P3, S.nearest(k), where=where)
+    assert "Cartesian" not in plan_of(found) and "NestedLoop" not in plan_of(found)
+    assert hits(found, "place") == brute_nearest(v, q, k, keep)
+
+
+def test_nearest_looks_into_few_parts_from_afar(spark):
+    values = cloud(spark, CLOUD)
+    parts = Parts(values, [F.col(c) for c in XYZ], G.Box.of(XYZ, XYZ), F.col("id"), most=64)
+    sizes = [n for _, n, _, _ in parts.rows]
+    assert sum(sizes) == 400 and max(sizes) <= 3 * 400 / len(sizes)
+    away = lambda b: box_gap(G.Box([F.lit(50.0)] * 3, [F.lit(50.0)] * 3), b)
+    reach = min(math.dist((50, 50, 50), p) for p in CLOUD)
+    near = spark.range(1).select(parts.within(away, F.lit(reach)).alias("p"), parts.nearest(away, 3).alias("m")).first()
+    assert 1 <= len(near["p"]) <= 4 and near["m"][0] in near["p"]
+
+
+def test_nearest_of_many_equal_values_keeps_few_of_each_place(spark):
+    n = 20_000
+    v = spark.range(n).select("id", *(F.lit(x).alias(c) for c, x in zip(XYZ, (1.0, 2.0, 3.0), strict=True))).union(cloud(spark, CLOUD[:50]).withColumn("id", F.col("id") + n))
+    q = spark.range(n).select("id", *(F.lit(x).alias(c) for c, x in zip(XYZ, (1.0, 2.0, 3.0), strict=True)))
+    found = S.SpatialIndex(v, P3).query(q, P3, S.nearest(3)).groupBy("value_id").count().collect()
+    assert {(r["value_id"], r["count"]) for r in found} == {(0, n), (1, n), (2, n)}
+
+
+def test_metrics_without_a_factor_search_parts_best_first(spark):
+    """The square root of a distance has no factor to it, but a bound over a box."""
+    metric = lambda a, b: F.sqrt(G.distance(a, b))
+    found = S.SpatialIndex(cloud(spark, CLOUD), P3).query(cloud(spark, CLOUD[:40] + FAR[:10]), P3, S.nearest(3), metric=metric, metric_box=lambda a, b: F.sqrt(G.distance(a, b)))
+    assert "Cartesian" not in plan_of(found) and "NestedLoop" not in plan_of(found)
+    assert hits(found, "place") == brute_nearest(CLOUD, CLOUD[:40] + FAR[:10], 3)
