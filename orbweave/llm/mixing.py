@@ -10,9 +10,10 @@ Only DataFrame functions run. The counts of rows are combined before the shuffle
 row for the rest come to the driver. Thresholds enter the plan as literals, so nothing is joined and a hot source
 never meets in one task.
 
-Sources that the weights don't name, and null sources, share REST's weight. A null doc_id is seeded as an empty one;
-rows that repeat a doc_id get equal counts. Null and empty texts are repeated like others. Extra columns are kept,
-``copy`` is replaced. An empty table gives an empty table.
+Sources that the weights don't name, and null sources, share REST's weight. Rows that
+repeat a doc_id get equal counts. Rows without one draw each for itself if there are several: they are written and
+seeded by their places in that table. Either go their own ways in the shuffle. Null and empty texts are repeated like others. Extra columns
+are kept, ``copy`` is replaced. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -22,10 +23,14 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orbweave.plans.shared import materialize
+
 REST = "*"
 #: Production weights: the twenty named sources alike; all others together as one.
 WEIGHTS = {f"src{i}": 1.0 for i in range(20)} | {REST: 1.0}
 STEP = 8.0
+#: Most repeated ids (8 bytes each) that are broadcast; more are joined by a shuffle that can be split.
+BROADCAST_IDS = 1_000_000
 
 
 def group_of(weights: dict[str, float]) -> Column:
@@ -51,9 +56,30 @@ def thresholds(rate: float) -> list[float]:
             return out
 
 
+def seeded(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__seed``, the doc_id, and ``__place``, both with the row's own place where several rows have no id; the latter where several share one too."""
+    seed = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    repeated = materialize(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated-ids")
+    n = repeated.count()
+    if not n:
+        return docs.withColumns({"__seed": seed, "__place": seed})
+    ids = repeated.where("doc_id IS NOT NULL")
+    ids = F.broadcast(ids) if n <= BROADCAST_IDS else ids
+    lone, none = docs.where("doc_id IS NOT NULL"), docs.where("doc_id IS NULL")
+    alone, again = lone.join(ids, "doc_id", "left_anti"), lone.join(ids, "doc_id", "left_semi")
+    if repeated.where("doc_id IS NULL").isEmpty():
+        alone = alone.unionByName(none)
+    else:
+        again = again.unionByName(none)
+    own = F.concat(seed, F.lit("/"), F.monotonically_increasing_id().cast("string"))
+    again = materialize(again.select(docs.columns), "repeated-rows").withColumn("__place", own)
+    again = again.withColumn("__seed", F.when(F.col("doc_id").isNull(), F.col("__place")).otherwise(seed))
+    return alone.withColumns({"__seed": seed, "__place": seed}).unionByName(again)
+
+
 def uniform(part: Column) -> Column:
-    """A number in [0, 1) of 32 bits from the hash of doc_id and ``part``."""
-    seed = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), part.cast("string"))
+    """A number in [0, 1) of 32 bits from the hash of the row's seed and ``part``."""
+    seed = F.concat(F.col("__seed"), F.lit(":"), part.cast("string"))
     return F.conv(F.substring(F.md5(seed), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
@@ -74,10 +100,10 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, target_rows: f
     """``docs`` with each row repeated, ``copy`` from 1 up, in a global shuffle."""
     weights = weights or WEIGHTS
     docs = docs.drop("copy")
-    repeated = docs.withColumn("__n", repetitions(rates(docs, weights, target_rows), weights)).where(F.col("__n") > 0)
+    repeated = seeded(docs).withColumn("__n", repetitions(rates(docs, weights, target_rows), weights)).where(F.col("__n") > 0)
     copies = repeated.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__n")
-    place = F.xxhash64(F.lit("shuffle"), "doc_id", "copy")
-    return copies.repartition(place).sortWithinPartitions(place)
+    place = F.xxhash64(F.lit("shuffle"), "__place", "copy")
+    return copies.repartition(place).sortWithinPartitions(place).drop("__seed", "__place")
 
 
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -150,6 +150,25 @@ def test_mix(spark):
     assert Counter(r["doc_id"] for r in mixing.mix(docs, weights).collect()) == Counter({k: v for k, v in want.items() if v})
 
 
+def test_rows_without_ids_draw_one_by_one(spark):
+    """Their source has its target, and they spread over the partitions; rows that share an id spread with one count."""
+    weights = {"a": 1.0, "b": 1.0, mixing.REST: 0.0}
+    rows = [(None, "same text", "en", "a", 1)] * 3000 + [(7, f"text {i % 5}", "en", "b", 1) for i in range(3000)] + [(10_000 + i, "x", "en", "a", 1) for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = mixing.mix(docs, weights, 8000)
+    assert out.columns == [*docs.columns, "copy"]
+    got = Counter(r["source"] for r in out.collect())
+    assert abs(got["a"] - 4000) < 300 and got["b"] % 3000 == 0
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 1.5 * sum(sizes) / len(sizes)
+    alone = Counter(r["doc_id"] for r in mixing.mix(docs.where("doc_id >= 10000"), {"a": 1.0, mixing.REST: 0.0}).collect())
+    means = mixing.rates(docs.where("doc_id >= 10000"), {"a": 1.0, mixing.REST: 0.0})
+    assert means == {"a": 1.0}
+    table = mixing.thresholds(1.0)
+    want = {i: sum(c <= int(hashlib.md5(f"{i}:0".encode()).hexdigest()[:8], 16) / 2**32 for c in table) for i in range(10_000, 11_000)}
+    assert alone == Counter({i: n for i, n in want.items() if n})
+
+
 def test_pipeline(spark):
     import corpus_pipeline as cp
     from orbweave.llm import ngram_join
@@ -187,6 +206,16 @@ def test_near_duplicates_keep_rows_without_ids_and_other_texts(spark):
     assert sorted(got, key=str) == sorted({(i, t) for i, t in rows if i != 2}, key=str)
 
 
+def test_near_duplicates_judge_each_text_of_a_shared_id(spark):
+    import corpus_pipeline as cp
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(3, a), (5, a + " end"), (5, b), (6, c), (7, b + " end"), (7, a), (9, c + " end"), (9, c + " end")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((x["doc_id"], x["text"]) for x in cp.near_duplicates(spark, docs, "").collect())
+    assert got == [(3, a), (5, b), (6, c)]
+
+
 def test_stages_on_odd_tables(spark):
     import corpus_pipeline as cp
 
