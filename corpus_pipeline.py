@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbweave.llm import bpe, langid, line_dedup, mixing, ngram_join
-from orbweave.plans.shared import drop_table, materialize
+from orbweave.plans.shared import drop_table, materialize, splittable_join
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -38,26 +38,34 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group that links by shared word 5-grams.
 
-    Rows without doc_id link with nothing and all stay as documents of their own. Rows that share a doc_id are one
-    document of the join and stay or go together. Of rows that repeat both doc_id and text, one stays.
+    Rows without doc_id link with nothing and all stay as documents of their own. Rows that share a doc_id are judged
+    each by its own text, under a key of doc_id and text; a group's first document is that of the smallest doc_id. Of
+    rows that repeat both doc_id and text, or a text without doc_id, one stays.
     """
     ngram_join.release(spark)  # what the stage before has shuffled
     docs = docs.select(*COLUMNS)
-    labels = materialize(ngram_join.components(docs), "components").where("doc_id IS NOT NULL")
-    gone = labels.where("doc_id <> component_id").select("doc_id").distinct()
-    again = labels.groupBy("doc_id").count().where("count > 1").select("doc_id").join(gone, "doc_id", "left_anti")
-    gone, again = materialize(gone, "dropped-ids"), materialize(again, "repeated-ids")
-    marked = ngram_join.small(materialize(gone.unionByName(again), "marked-ids"))
-    # Texts are compared only where an id stands in several rows, or none.
-    alone = docs.where("doc_id IS NOT NULL").join(marked, "doc_id", "left_anti")
-    others = docs.where("doc_id IS NULL").unionByName(docs.join(ngram_join.small(again), "doc_id", "left_semi"))
-    return alone.unionByName(others.dropDuplicates(["doc_id", "text"]))
+    shared = materialize(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "shared-ids")
+    held = ngram_join.small(shared)
+    own = docs.where("doc_id IS NOT NULL").select("doc_id", "text").join(held, "doc_id", "left_anti").withColumn("key", F.col("doc_id"))
+    # Keys of rows that share a doc_id: hashes, which meet no other key but by a chance of 1 in 2^64 for each pair.
+    several = docs.select("doc_id", "text").join(held, "doc_id", "left_semi").withColumn("key", F.xxhash64(F.lit("key"), "doc_id", "text"))
+    texts = own.select(F.col("key").alias("doc_id"), "text").unionByName(several.select(F.col("key").alias("doc_id"), "text"))
+    labels = materialize(ngram_join.components(texts).select(F.col("doc_id").alias("key"), "component_id").distinct(), "components")
+    again = materialize(several.select("key", "doc_id").distinct(), "shared-keys")
+    named = labels.join(ngram_join.small(again), "key", "left").withColumn("doc_id", F.coalesce("doc_id", "key"))
+    # Groups of one need no comparison; of the others all but the first go.
+    first = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "key")).alias("first"), F.count("*").alias("n")).where("n > 1").select("component_id", F.col("first.key").alias("first"))
+    gone = materialize(splittable_join(named, first, "component_id").where("key <> first").select("key"), "dropped-keys")
+    gone = ngram_join.small(gone)
+    alone = docs.where("doc_id IS NOT NULL").join(held, "doc_id", "left_anti").join(gone.withColumnRenamed("key", "doc_id"), "doc_id", "left_anti")
+    kept = docs.join(held, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).withColumn("key", F.xxhash64(F.lit("key"), "doc_id", "text")).join(gone, "key", "left_anti")
+    return alone.select(*COLUMNS).unionByName(docs.where("doc_id IS NULL").dropDuplicates(["text"])).unionByName(kept.select(*COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated or left out so that the sources have their target weights, in a global shuffle.
 
-    Rows of one doc_id have one count, and so have all rows without one; a null source counts with those that the
+    Rows of one doc_id have one count; each row without one draws for itself. A null source counts with those that the
     weights don't name. Texts don't matter.
     """
     return mixing.mix(docs.select(*COLUMNS)).select(*COLUMNS)
