@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from orbweave.functions import geometry as G
 
-#: Parts at most, and centres that are sampled for their borders.
-MOST, SAMPLED = 512, 8_192
+#: Parts at most, in searches that rank all of them and in those that descend; centres that are sampled for borders.
+MOST, MOST_LEAVES, SAMPLED = 512, 4_096, 1 << 16
 
 
 def cuts(sample: np.ndarray, strips: int) -> list[list[list[float]]]:
@@ -85,9 +85,47 @@ class Parts:
     def box(self, p: Column) -> G.Box:
         return G.Box([p["lo"][i] for i in range(self.dim)], [p["hi"][i] for i in range(self.dim)])
 
+    def _tree(self) -> Column:
+        """Nested arrays of (n, lo, hi, kids): strips along the first axis, their strips along the second, ...; leaves have a part."""
+
+        def nodes(depth: int, base: int) -> list[dict]:
+            out = []
+            for strip in range(self.strips):
+                at = base * self.strips + strip
+                if depth == len(self.cuts) - 1:
+                    if at in leaves:
+                        out.append(dict(zip(("part", "n", "lo", "hi"), leaves[at], strict=True)))
+                elif kids := nodes(depth + 1, at):
+                    ends = {k: [f(x) for x in zip(*(c[k] for c in kids), strict=True)] for k, f in (("lo", min), ("hi", max))}
+                    out.append({"n": sum(c["n"] for c in kids), **ends, "kids": kids})
+            return out
+
+        leaves = {r[0]: r for r in self.rows}
+        kind = "array<struct<part:int,n:bigint,lo:array<double>,hi:array<double>>>"
+        for _ in self.cuts[1:]:
+            kind = f"array<struct<n:bigint,lo:array<double>,hi:array<double>,kids:{kind}>>"
+        return F.from_json(F.lit(json.dumps(nodes(0, 0))), kind)
+
     def within(self, away: Callable[[G.Box], Column], reach: Column) -> Column:
-        """The parts, as an array, whose box is ``away`` by ``reach`` at most."""
-        return F.transform(F.filter(self.table(), lambda p: away(self.box(p)) <= reach), lambda p: p["part"])
+        """The parts, as an array, whose box is ``away`` by ``reach`` at most; of other strips no part is tried."""
+        near = lambda nodes: F.filter(nodes, lambda p: away(self.box(p)) <= reach)
+        out = near(self._tree())
+        for _ in self.cuts[1:]:
+            out = near(F.flatten(F.transform(out, lambda p: p["kids"])))
+        return F.transform(out, lambda p: p["part"])
+
+    def good(self, away: Callable[[G.Box], Column], k: Column) -> Column:
+        """A near part with at least ``k`` values: the nearest strip that has so many, its nearest strip, ...; null if there is none."""
+
+        def first(nodes: Column) -> Column:
+            able = F.filter(nodes, lambda p: p["n"] >= k)
+            least = F.array_min(F.transform(able, lambda p: away(self.box(p))))
+            return F.get(F.filter(able, lambda p: away(self.box(p)) <= least), F.lit(0))
+
+        out = first(self._tree())
+        for _ in self.cuts[1:]:
+            out = first(out["kids"])
+        return out["part"]
 
     def nearest(self, away: Callable[[G.Box], Column], m: int) -> Column:
         """The ``m`` parts whose box is ``away`` least."""

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from orbweave.functions import geometry as G
 from orbweave.functions.errors import GeometryError, LimitExceeded
-from orbweave.operators.parts import MOST, Parts, box_gap
+from orbweave.operators.parts import MOST, MOST_LEAVES, Parts, box_gap
 from orbweave.plans.shared import materialize, splittable_join
 
 Getter = Callable[[str], Column]
@@ -345,7 +345,7 @@ class SpatialIndex:
             away = lambda b: metric_box(qg, b)
         else:
             away = lambda b: box_gap(around, b) * F.lit((metric_bound if metric is not None else 1.0) / PAD)
-        parts = functools.cache(lambda: Parts(v, centre, G.bounds(vg), vc(self.id), most=min(MOST, max(1, n // max(32, 4 * most)))))
+        parts = functools.cache(lambda largest=MOST: Parts(v, centre, G.bounds(vg), vc(self.id), most=min(largest, max(1, n // max(32, 4 * most)))))
         out, left = None, asked
         if metric_box is None:
             bounded = self._reach(asked, v, centre, at, low, high, n, qc, id, measured, limit, most, extra)
@@ -354,7 +354,13 @@ class SpatialIndex:
             near, far, left = bounded.where(~apart), bounded.where(apart), bounded.where("__reach IS NULL").drop("__reach")
             out = bucket_pairs(near, v, G.bounds(G.grow(around, F.col("__reach") * F.lit(factor))), G.bounds(vg), extra & (measured <= F.col("__reach"))).select(*names)
             if not far.isEmpty():
-                found = parts().meet(far, parts().within(away, F.col("__reach"))).where(extra & (measured <= F.col("__reach")))
+                # A near part with enough values gives a sharper bound than samples of cells.
+                leaves = parts(MOST_LEAVES)
+                one = leaves.meet(far.drop("__reach"), F.array(leaves.good(away, limit))).where(extra).withColumn("__d", measured)
+                rank = F.row_number().over(Window.partitionBy(qc(id)).orderBy("__d"))
+                one = one.withColumn("__rank", rank).where((F.col("__rank") <= most) & (F.col("__rank") == limit)).select(qc(id).alias("__id"), "__d")
+                far = materialize(far.join(one, qc(id) == F.col("__id"), "left").withColumn("__reach", F.least("__reach", "__d")).drop("__id", "__d"), "reach")
+                found = leaves.meet(far, leaves.within(away, F.col("__reach"))).where(extra & (measured <= F.col("__reach")))
                 out = out.unionByName(found.select(*names))
             if left.isEmpty():
                 return ranked(out)

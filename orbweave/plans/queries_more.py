@@ -399,8 +399,9 @@ def single_linkage_rounds(spark, sf_dir):
 
 @query(_dbscan_sql(0.05, 5))
 def dbscan_halo(spark, sf_dir):
-    """Parts of about 60 points with halos, clustered side by side."""
-    return cluster.halo_dbscan(values(spark, sf_dir), _e(1, 2, 3), 0.05, 5, part_points=60)
+    """Eight parts with halos, clustered side by side."""
+    t = values(spark, sf_dir)
+    return cluster.halo_dbscan(t, _e(1, 2, 3), 0.05, 5, part_points=max(1, t.count() // 8))
 
 
 @query(f"WITH RECURSIVE o AS ({_dbscan_sql(0.05, 5)}) SELECT label, id, row_number() OVER (PARTITION BY label ORDER BY id) - 1 place FROM o WHERE label >= 0 QUALIFY count(*) OVER (PARTITION BY label) >= 3")

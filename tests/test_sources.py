@@ -84,3 +84,46 @@ def test_streams(spark, tmp_path):
     assert sorted((r["cell_0"], r["n"]) for r in spark.sql("select * from counted").collect()) == [(0, 1), (1, 1)]
     with pytest.raises(GeometryError):
         within_stream(stream(), values, ("x",), 0)
+
+
+def test_binary_files_are_read_in_ranges(spark, tmp_path):
+    x = np.random.default_rng(2).random((1000, 3)).astype("<f4")
+    path = str(tmp_path / "p.bin")
+    (tmp_path / "p.bin").write_bytes(np.array([1000, 3], "<i4").tobytes() + x.tobytes())
+    df = files.read_points(spark, path, binary=True, rows_at_once=150)
+    assert df.rdd.getNumPartitions() == 7
+    rows = df.orderBy("id").collect()
+    assert [r["id"] for r in rows] == list(range(1000)) and np.allclose([r[1:] for r in rows], x)
+    assert files.read_points(spark, "file://" + path, binary=True, max_points=301, rank=1, ranks=2, rows_at_once=50).agg({"id": "min"}).first()[0] == 150
+    assert files.read_points(spark, path, binary=True, max_points=0).count() == 0
+
+
+def test_a_sparse_file_of_gigabytes_is_planned_in_many_tasks(spark, tmp_path):
+    path = tmp_path / "big.bin"
+    n = 450_000_000
+    with open(path, "wb") as f:
+        f.write(np.array([n, 3], "<i4").tobytes())
+        f.truncate(8 + 12 * n)  # 5.4 GB, of which nothing is stored
+    df = files.read_points(spark, str(path), binary=True)
+    assert df.rdd.getNumPartitions() == -(-n // files.ROWS_AT_ONCE)
+    last = files.read_points(spark, str(path), binary=True, rank=n // 1000 - 1, ranks=n // 1000)
+    assert last.count() == 1000 and last.agg({"id": "max"}).first()[0] == n - 1
+
+
+@pytest.mark.parametrize("per_line", [3, 6, 5])
+def test_text_is_read_in_splits(spark, tmp_path, per_line):
+    """Whole points on each line, or points across lines, in splits of a few hundred bytes."""
+    x = np.random.default_rng(3).random((200, 3))
+    flat = [repr(float(v)) for v in x.ravel()]
+    lines = ["  200", "3", "", *("\t".join(flat[i : i + per_line]) for i in range(0, 600, per_line))]
+    (tmp_path / "p.txt").write_text("\n".join(lines) + "\n")
+    was = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        assert spark.read.text(str(tmp_path / "p.txt")).rdd.getNumPartitions() > 4
+        rows = files.read_points(spark, str(tmp_path / "p.txt"), max_points=190).orderBy("id").collect()
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert [r["id"] for r in rows] == list(range(190)) and np.allclose([r[1:] for r in rows], x[:190])

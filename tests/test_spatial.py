@@ -246,8 +246,9 @@ def test_nearest_looks_into_few_parts_from_afar(spark):
     assert sum(sizes) == 400 and max(sizes) <= 3 * 400 / len(sizes)
     away = lambda b: box_gap(G.Box([F.lit(50.0)] * 3, [F.lit(50.0)] * 3), b)
     reach = min(math.dist((50, 50, 50), p) for p in CLOUD)
-    near = spark.range(1).select(parts.within(away, F.lit(reach)).alias("p"), parts.nearest(away, 3).alias("m")).first()
-    assert 1 <= len(near["p"]) <= 4 and near["m"][0] in near["p"]
+    near = spark.range(1).select(parts.within(away, F.lit(reach)).alias("p"), parts.nearest(away, 3).alias("m"), parts.good(away, F.lit(5)).alias("g"), parts.good(away, F.lit(500)).alias("none"), parts.within(away, F.lit(1e9)).alias("all")).first()
+    assert 1 <= len(near["p"]) <= 4 and near["m"][0] in near["p"] and near["none"] is None and sorted(near["all"]) == [p for p, *_ in parts.rows]
+    assert {p: n for p, n, _, _ in parts.rows}[near["g"]] >= 5
 
 
 def test_nearest_of_many_equal_values_keeps_few_of_each_place(spark):
