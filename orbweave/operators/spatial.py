@@ -21,11 +21,12 @@ import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orbweave.functions import geometry as G
 from orbweave.functions.errors import GeometryError, LimitExceeded
+from orbweave.functions.morton import morton64
 from orbweave.operators.parts import MOST, MOST_LEAVES, Parts, box_gap
 from orbweave.plans.shared import materialize, splittable_join
 
@@ -591,6 +592,49 @@ def along_curve(df: DataFrame, code: Column, partitions: int | None = None) -> D
     return out.sortWithinPartitions("__code").drop("__code")
 
 
+class StoredIndex(SpatialIndex):
+    """Values written once along a Morton curve with their boxes, to be queried many times.
+
+    Near values share files and row groups, whose statistics bound the boxes, so a query whose geometries lie in a small
+    region reads only the files and row groups there: the region enters the scan as a filter that Parquet is pruned by.
+    Nearest queries and rays, which have no region, read the whole table.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, shape: Shape, id: str = "id", cell: float | None = None):
+        self.table = spark.read.parquet(path)
+        self.axes = sum(c.startswith("__lo") for c in self.table.columns)
+        super().__init__(self.table.drop(*self._ends()), shape, id, "grid", cell)
+
+    def _ends(self) -> list[str]:
+        return [f"__{side}{i}" for side in ("lo", "hi") for i in range(self.axes)]
+
+    @staticmethod
+    def write(df: DataFrame, shape: Shape, path: str, partitions: int | None = None, group_bytes: int = 8 << 20) -> None:
+        """Write ``df`` as Parquet, in ``partitions`` files (Spark's number if not given) of row groups of ``group_bytes``."""
+        box = G.bounds(shape(F.col))
+        whole = extent(df, shape).first()
+        scene = G.Box.of(*([0.0 if whole[f"lo_{i}"] > whole[f"hi_{i}"] else whole[f"{side}_{i}"] for i in range(box.dim)] for side in ("lo", "hi")))
+        code = morton64(G.centroid(shape(F.col)), scene)
+        ends = {f"__{side}{i}": c for side, cs in (("lo", box.lo), ("hi", box.hi)) for i, c in enumerate(cs[:AXES])}
+        along_curve(df.withColumns(ends), code, partitions).write.option("parquet.block.size", group_bytes).option("compression", "zstd").parquet(path)
+
+    def inside(self, lo: Sequence[float], hi: Sequence[float]) -> DataFrame:
+        """The values whose box meets the box ``lo`` to ``hi``."""
+        meets = [(F.col(f"__lo{i}") <= F.lit(float(y))) & (F.col(f"__hi{i}") >= F.lit(float(x))) for i, (x, y) in enumerate(zip(lo[: self.axes], hi[: self.axes], strict=True))]
+        return self.table.where(G._all(meets)).drop(*self._ends())
+
+    def query(self, queries: DataFrame, shape: Shape, predicate: Predicate, *args, **more) -> DataFrame:
+        g = shape(F.col)
+        if predicate.kind == "nearest" or isinstance(g, G.Ray) or more.get("metric") is not None:
+            return super().query(queries, shape, predicate, *args, **more)
+        reach = F.lit(0.0) if predicate.kind != "within" else (F.col(predicate.radius) if isinstance(predicate.radius, str) else F.lit(float(predicate.radius)))
+        box = G.bounds(g)
+        r = queries.agg(*(F.min(x - reach * PAD) for x in box.lo[: self.axes]), *(F.max(x + reach * PAD) for x in box.hi[: self.axes])).first()
+        lo, hi = list(r)[: self.axes], list(r)[self.axes :]
+        values = self.inside(lo, hi) if all(x is not None for x in r) else self.df.limit(0)
+        return SpatialIndex(values, self.shape, self.id, "grid", self.cell).query(queries, shape, predicate, *args, **more)
+
+
 def pair_forces(df: DataFrame, names: Sequence[str], cutoff: float, sigma: float = 1.0, epsilon: float = 1.0, least: float = 0.0, id: str = "id") -> DataFrame:
     """(id, energy, force_<axis>): half the Lennard-Jones energy of each point's pairs, and the force on it.
 

@@ -11,6 +11,7 @@ from orbweave.operators import cluster, interpolation, spatial
 from orbweave.operators.grid import CartesianGrid, near_parts
 from orbweave.operators.spatial import SpatialIndex, intersects, nearest, ordered_intersects, within
 from orbweave.plans.queries import A3, ALO, AHI, B3, BOX, HI, LO, P3, RAY, SPHERE, TET, TRIANGLE, _closest_sql, _cross, _dbscan_sql, _dot, _e, _form, _join, _kdop_bounds, _measured, _side_sql, _vec, at, clamp, d, each, emst, pairs, query, ranked, reachability_tree, values
+from orbweave.plans.shared import new_path
 from orbweave.sources import generators
 
 # -- pairs of geometries -----------------------------------------------------------------------------------------------
@@ -228,6 +229,15 @@ def limited_within(spark, sf_dir):
     return _join(spark, sf_dir, P3, P3, within(0.05), max_results=1000).select("query_id", "value_id")
 
 
+@query(pairs(f"{d(A3, B3)} <= 0.05 AND a.e1 > 0.15", f", {d(A3, B3)} distance"))
+def stored_within(spark, sf_dir):
+    """Values written once along a curve; the queries of one side of the scene read the row groups there."""
+    t = values(spark, sf_dir)
+    path = new_path(spark, "stored-index")
+    spatial.StoredIndex.write(t.select("id", *_e(1, 2, 3)), P3, path, partitions=8)
+    return spatial.StoredIndex(spark, path, P3).query(t.where("e1 > 0.15"), P3, within(0.05))
+
+
 _AFAR = [f"({k}::DOUBLE + {f}::DOUBLE * a.e{i})" for i, (k, f) in zip((1, 2, 3), ((100, 40), (0, 5), (-3, 1)), strict=True)]
 
 

@@ -265,3 +265,21 @@ def test_metrics_without_a_factor_search_parts_best_first(spark):
     found = S.SpatialIndex(cloud(spark, CLOUD), P3).query(cloud(spark, CLOUD[:40] + FAR[:10]), P3, S.nearest(3), metric=metric, metric_box=lambda a, b: F.sqrt(G.distance(a, b)))
     assert "Cartesian" not in plan_of(found) and "NestedLoop" not in plan_of(found)
     assert hits(found, "place") == brute_nearest(CLOUD, CLOUD[:40] + FAR[:10], 3)
+
+
+def test_a_stored_index_reads_what_a_small_region_needs(spark, tmp_path):
+    r = random.Random(21)
+    v = cloud(spark, [(r.random(), r.random(), r.random()) for _ in range(4000)])
+    path = str(tmp_path / "index")
+    S.StoredIndex.write(v, P3, path, partitions=64)
+    stored, plain = S.StoredIndex(spark, path, P3), S.SpatialIndex(v, P3)
+    q = cloud(spark, [(0.2 + r.random() / 20, 0.7 + r.random() / 20, 0.1) for _ in range(30)])
+    for predicate in (S.within(0.06), S.intersects(), S.nearest(3)):
+        assert hits(stored.query(q, P3, predicate)) == hits(plain.query(q, P3, predicate))
+    some = stored.inside((0.2, 0.7, 0.1), (0.25, 0.75, 0.15))
+    some.collect()
+    scan = some._jdf.queryExecution().executedPlan().collectLeaves().head()
+    assert scan.metrics().apply("numOutputRows").value() < 4000 / 8
+    assert stored.query(q.limit(0), P3, S.within(1)).count() == 0
+    S.StoredIndex.write(v.limit(0), P3, str(tmp_path / "none"))
+    assert S.StoredIndex(spark, str(tmp_path / "none"), P3).query(q, P3, S.within(1)).count() == 0
