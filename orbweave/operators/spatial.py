@@ -238,6 +238,11 @@ class SpatialIndex:
                 out = out.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "value_id")))
         return self._limited(out, max_results)
 
+    def checked(self, queries: DataFrame, shape: Shape, most: int, radius: float | None = None, id: str = "id") -> DataFrame:
+        """``queries``; raises LimitExceeded if one has more than ``most`` matches, which the search stops at."""
+        at_most(self.some(queries, shape, most + 1, radius, id), most)
+        return queries
+
     def _limited(self, out: DataFrame, max_results: int | None) -> DataFrame:
         return at_most(out, max_results) if max_results is not None else out
 
@@ -257,6 +262,38 @@ class SpatialIndex:
             met = bucket_pairs(q, v, qbox, G.bounds(vg), condition, self.cell, semi=True)
         return met.select(qc(id).alias("query_id")).distinct()
 
+    def some(self, queries: DataFrame, shape: Shape, n: int, radius: float | None = None, id: str = "id", where: Callable[[Getter, Getter], Column] | None = None) -> DataFrame:
+        """(query_id, value_id): ``n`` of a query's matches, whichever are found first, or all if it has fewer.
+
+        Matches are values that intersect it, or with ``radius`` lie within that. The search goes in rounds: the first
+        looks at a few values of each cell only, later ones at more of them, for queries that still lack matches. A query
+        among thousands of matches so stops after a few dozen candidates.
+        """
+        if n < 1:
+            raise GeometryError("n must be at least 1")
+        q, qc = _side(queries, "q_")
+        v, vc = _side(self.df, "v_")
+        qg, vg = shape(qc), self.shape(vc)
+        condition = (G.intersects(qg, vg) if radius is None else G.distance(qg, vg) <= radius) & (where(qc, vc) if where else F.lit(True))
+        qbox, vbox = G.bounds(qg if radius is None else G.grow(qg, F.lit(float(radius)) * PAD)), G.bounds(vg)
+        h = self.cell or radius or _typical((_boxed(v, vbox, "__v"), "__v"))
+        cells = [F.floor(c / F.lit(h)) for c in G.centroid(vg).at[: min(AXES, vg.dim)]]
+        place = F.row_number().over(Window.partitionBy(*cells).orderBy(F.xxhash64(vc(self.id))))
+        v = materialize(v.withColumn("__turn", place), "turns")
+        out, left, seen = None, q, 0
+        for most in (*(4 * n * 16**k for k in range(2)), None):
+            turn = v.where((F.col("__turn") > seen) & (F.col("__turn") <= most if most else F.lit(True))).drop("__turn")
+            found = bucket_pairs(left, turn, qbox, vbox, condition, self.cell).select(qc(id).alias("query_id"), vc(self.id).alias("value_id"))
+            found = first_matches(found if out is None else out.unionByName(found), n)
+            if most is None:
+                return found
+            out = materialize(found, "some-matches")
+            full = out.groupBy("query_id").agg(F.count("*").alias("__n")).where(F.col("__n") >= n).select("query_id")
+            left = materialize(left.join(full, qc(id) == F.col("query_id"), "left_anti"), "lacking")
+            if left.isEmpty():
+                return out
+            seen = most
+
     def ray_hits(self, rays: DataFrame, shape: Shape, id: str = "id", keep: Sequence[str] = (), keep_values: Sequence[str] = ()) -> DataFrame:
         """(query_id, value_id, distance, length): where each ray enters the values that it meets, and how far it goes inside."""
         q, qc = _side(rays, "q_")

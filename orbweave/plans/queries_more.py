@@ -262,6 +262,13 @@ def knn_root_metric(spark, sf_dir):
     return _join(spark, sf_dir, P3, P3, nearest(3), metric=root, metric_box=root)
 
 
+@query(f" SELECT a.id query_id, least(count(*), 3) n FROM e a, e b WHERE {d(A3, B3)} <= 0.1 GROUP BY a.id")
+def some_within(spark, sf_dir):
+    """Three matches of each point, or all if it has fewer, by a search that stops there; how many it found."""
+    t = values(spark, sf_dir)
+    return SpatialIndex(t, P3).some(t, P3, 3, 0.1).groupBy("query_id").agg(F.count("*").alias("n"))
+
+
 @query(f" SELECT a.id, least(count(*), 6) n FROM e a, e b WHERE {d(A3, B3)} <= 0.08 GROUP BY a.id")
 def bounded_counts(spark, sf_dir):
     return spatial.bounded_counts(values(spark, sf_dir), _e(1, 2, 3), 0.08, 6)

@@ -283,3 +283,24 @@ def test_a_stored_index_reads_what_a_small_region_needs(spark, tmp_path):
     assert stored.query(q.limit(0), P3, S.within(1)).count() == 0
     S.StoredIndex.write(v.limit(0), P3, str(tmp_path / "none"))
     assert S.StoredIndex(spark, str(tmp_path / "none"), P3).query(q, P3, S.within(1)).count() == 0
+
+
+def test_some_matches_stop_early(spark, monkeypatch):
+    r = random.Random(22)
+    rows = [(r.random(), r.random(), r.random()) for _ in range(300)] + [(0.5, 0.5, 0.5)] * 200
+    v, q = cloud(spark, rows), [(r.random(), r.random(), r.random()) for _ in range(60)]
+    for n in (1, 3):
+        got = hits(S.SpatialIndex(v, P3).some(cloud(spark, q), P3, n, 0.15))
+        count = {i: sum(math.dist(a, b) <= 0.15 for b in rows) for i, a in enumerate(q)}
+        assert all(math.dist(q[i], rows[j]) <= 0.15 for i, j in got)
+        assert {i: sum(a == i for a, _ in got) for i in count} == {i: min(n, c) for i, c in count.items()}
+    rounds, pairs = [], S.bucket_pairs
+    monkeypatch.setattr(S, "bucket_pairs", lambda a, b, *more: rounds.append(b.count()) or pairs(a, b, *more))
+    same = spark.range(100_000).select("id", *(F.lit(x).alias(c) for c, x in zip(XYZ, (1.0, 2.0, 3.0), strict=True)))
+    assert S.SpatialIndex(same, P3).some(same, P3, 1, 0.5).count() == 100_000
+    assert rounds == [4], "one round over four values"
+    with pytest.raises(LimitExceeded):
+        S.SpatialIndex(same, P3).checked(same.limit(5), P3, 2, 0.5)
+    assert S.SpatialIndex(v, P3).checked(cloud(spark, q), P3, 500, 0.1).count() == 60
+    with pytest.raises(GeometryError):
+        S.SpatialIndex(v, P3).some(v, P3, 0, 0.1)
