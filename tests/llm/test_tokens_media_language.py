@@ -377,3 +377,29 @@ def test_words_split_the_probability_of_their_bucket(spark, monkeypatch):
         word = np.concatenate([np.zeros(0, np.uint64), *(w for _, w, _ in lm.blocks(pa.array([text], pa.string())))])
         more = sum(np.log(n[int(w)] / counts[b]) for w, b in zip(word.view(np.int64), lm.buckets(word), strict=True))
         assert r["log_likelihood"] == pytest.approx(plain[r["doc_id"]]["log_likelihood"] + more, abs=0.002 * len(word) + 0.002)
+
+
+def test_language_id_equals_plain_compression(spark):
+    """All rows against zstandard used directly with the same samples."""
+    import zstandard
+
+    r = random.Random(14)
+    stock = {"en": "the of and to in is that it was for".split(), "de": "der die und den von das mit ist des im".split(), "fr": "le la les et des en un du une que".split()}
+    rows = [(i, " ".join(r.choice(stock[k]) + r.choice(["", "", "ing", "ung", "eau"]) for _ in range(r.randrange(1, 60))), k, "s", 0) for i, k in enumerate(r.choice(list(stock)) for _ in range(150))]
+    docs = spark.createDataFrame(rows + [(900 + i, t, None, "s", 0) for i, t in enumerate(ODD)], SCHEMA)
+    samples = langid.fit(docs)
+    got = {x["doc_id"]: x for x in langid.identify(docs, samples).collect()}
+
+    def size(text, sample):
+        content = zstandard.ZstdCompressionDict(sample, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=content, write_content_size=False, write_checksum=False, write_dict_id=False).compress(text.lower().encode()))
+
+    for i, text, *_ in [*rows, *((900 + i, t) for i, t in enumerate(ODD))]:
+        if not text or not any(c.isalpha() for c in text):
+            assert got[i]["lang_pred"] == "und" and got[i]["score"] == 0 and got[i]["rejected"]
+            continue
+        sizes = {k: size(text, s) for k, s in samples.items()}
+        order = sorted(sizes, key=lambda k: (sizes[k], k))
+        margin = 1 - sizes[order[0]] / sizes[order[1]]
+        assert got[i]["lang_pred"] == order[0] and got[i]["margin"] == pytest.approx(margin) and got[i]["rejected"] == (margin < langid.MIN_MARGIN)
+        assert got[i]["score"] == pytest.approx(min(1, 0.5 + 2 * margin))
