@@ -15,7 +15,7 @@ from orbweave.functions import geometry as G
 from orbweave.functions.errors import GeometryError
 from orbweave.operators.components import connected_components, local_labels
 from orbweave.operators.parts import Parts
-from orbweave.operators.spatial import AXES, PAD, SpatialIndex, attach_indices, boxes, bucket_pairs, half_neighbors, nearest, points, within
+from orbweave.operators.spatial import AXES, PAD, SpatialIndex, attach_indices, bounded_counts, boxes, bucket_pairs, half_neighbors, nearest, points, within
 from orbweave.plans.shared import drop_table, materialize, splittable_join
 
 #: Points up to which a spanning tree is built in one task, with distances row by row (n floats at a time).
@@ -256,26 +256,33 @@ def cluster_members(labels: DataFrame, min_size: int = 1, id: str = "id") -> Dat
 def verify_dbscan(df: DataFrame, labels: DataFrame, names: Sequence[str], eps: float, min_points: int, algorithm: str = "dbscan", id: str = "id") -> DataFrame:
     """One row with the numbers of violations: core points that are noise; neighbouring core points with different
     labels; points without core neighbours that have a label; border points whose label none of their core neighbours
-    has (or that are noise); labels that hold several components."""
-    pairs = half_neighbors(df, names, eps, id).select("a", "b")
-    both = pairs.union(pairs.select("b", "a"))
-    n = both.groupBy(F.col("a").alias(id)).agg((F.count("*") + 1).alias("n"))
-    state = materialize(labels.select(id, "label").join(n, id, "left").select(id, "label", (F.coalesce("n", F.lit(1)) >= min_points).alias("core")), "verify")
-    a = state.select(F.col(id).alias("a"), F.col("label").alias("la"), F.col("core").alias("ca"))
-    b = state.select(F.col(id).alias("b"), F.col("label").alias("lb"), F.col("core").alias("cb"))
-    met = materialize(both.join(a, "a").join(b, "b"), "verify")
-    single = min_points == 2
-    lone = F.lit(not single)  # with two points a core point always has a core neighbour
-    core_noise = state.where(F.col("core") & (F.col("label") < 0) & lone).count() if not single else met.where("la < 0").select("a").distinct().count()
-    split = met.where("ca AND cb AND la <> lb").count()
-    touched = met.where("cb").groupBy("a").agg(F.max((F.col("la") == F.col("lb")).cast("int")).alias("shares"))
-    border = state.where("NOT core").join(touched.withColumnRenamed("a", id), id, "left")
-    stray = border.where("shares IS NULL AND label >= 0").count()
-    wrong = border.where(F.col("shares").isNotNull() & ((F.col("label") >= 0) if algorithm == "dbscan_star" else (F.col("shares") == 0))).count()
-    comp = connected_components(met.where("ca AND cb").select("a", "b"))
-    parts = state.where("core").join(comp.withColumnRenamed("label", "part").withColumnRenamed("node", id), id, "left").select("label", F.coalesce("part", id).alias("part"))
-    merged = parts.where("label >= 0").groupBy("label").agg(F.countDistinct("part").alias("n")).where("n > 1").count()
-    return df.sparkSession.createDataFrame([(core_noise, split, stray, wrong, merged)], "core_noise long, split_core long, stray_label long, wrong_border long, merged_label long")
+    has (or that are noise); labels that hold several components.
+
+    No pairs are written: points of one place and label are one row with their number, a row's core neighbours are
+    aggregated to whether one shares its label and how many don't, and components come from :func:`halo_dbscan`.
+    """
+    at = points(*names)
+    counted = bounded_counts(df, names, eps, min_points, id).where(F.col("n") >= min_points).select(id, F.lit(True).alias("core"))
+    state = df.select(id, *names).join(labels.select(id, "label"), id).join(counted, id, "left").withColumn("core", F.coalesce("core", F.lit(False)))
+    state = materialize(state, "verify")
+    groups = state.groupBy(*names, "label", "core").agg(F.min(id).alias("id"), F.count("*").alias("n"))
+    groups = materialize(groups, "verify-places")
+    cores = groups.where("core").select("id", *names, F.col("label").alias("lb"), F.col("n").alias("nb"))
+    met = SpatialIndex(cores, at, cell=2 * eps).query(groups, at, within(eps), keep=["label"], keep_values=["lb", "nb"])
+    met = met.groupBy(F.col("query_id").alias("id")).agg(F.max((F.col("label") == F.col("lb")).cast("int")).alias("shares"), F.sum(F.when(F.col("label") != F.col("lb"), F.col("nb")).otherwise(0)).alias("others"))
+    met = groups.join(met, "id", "left")
+    fault = F.col("label") >= 0 if algorithm == "dbscan_star" else F.col("shares") == 0
+    sums = {
+        "core_noise": F.when(F.col("core") & (F.col("label") < 0), F.col("n")),
+        "split_core": F.when(F.col("core"), F.col("n") * F.col("others")),
+        "stray_label": F.when(~F.col("core") & F.col("shares").isNull() & (F.col("label") >= 0), F.col("n")),
+        "wrong_border": F.when(~F.col("core") & F.col("shares").isNotNull() & fault, F.col("n")),
+    }
+    found = met.agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(n) for n, c in sums.items())).first()
+    parts = halo_dbscan(df, names, eps, min_points, "dbscan_star", id).withColumnRenamed("label", "part")
+    kept = state.where("core AND label >= 0").select(id, "label").join(parts, id)
+    merged = kept.groupBy("label").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").count()
+    return df.sparkSession.createDataFrame([(*found, merged)], "core_noise long, split_core long, stray_label long, wrong_border long, merged_label long")
 
 
 # -- distances to neighbours ---------------------------------------------------------------------------------------------

@@ -198,3 +198,13 @@ def test_halo_copies_follow_the_borders(spark):
     copies = df.select(F.size(parts.touching([F.col(c) - 1.0 for c in XY], [F.col(c) + 1.0 for c in XY])).alias("n")).groupBy("n").count().collect()
     of = {x["n"]: x["count"] for x in copies}
     assert set(of) <= {1, 2, 4} and of[1] > 16_000
+
+
+def test_verifier_writes_no_pairs_of_equal_points(spark):
+    """20,000 points at one place, of which a few have a wrong label: the pairs of different labels are counted, not made."""
+    n = 20_000
+    df = spark.range(n).select("id", F.lit(1.0).alias("x"), F.lit(2.0).alias("y"))
+    good = df.select("id", F.lit(0).cast("long").alias("label"))
+    assert list(C.verify_dbscan(df, good, XY, 0.5, 5).first()) == [0] * 5
+    bad = good.withColumn("label", F.when(F.col("id") < 3, F.lit(7)).when(F.col("id") == 9, F.lit(-1)).otherwise(F.col("label")))
+    assert list(C.verify_dbscan(df, bad, XY, 0.5, 5).first()) == [1, 2 * (3 * (n - 4) + (n - 4) + 3), 0, 0, 0]
