@@ -118,9 +118,8 @@ class Parts:
         """A near part with at least ``k`` values: the nearest strip that has so many, its nearest strip, ...; null if there is none."""
 
         def first(nodes: Column) -> Column:
-            able = F.filter(nodes, lambda p: p["n"] >= k)
-            least = F.array_min(F.transform(able, lambda p: away(self.box(p))))
-            return F.get(F.filter(able, lambda p: away(self.box(p)) <= least), F.lit(0))
+            # ``nodes`` stands here once: what a lambda repeats is computed again for each element.
+            return F.array_min(F.transform(nodes, lambda p: F.when(p["n"] >= k, F.struct(away(self.box(p)).alias("d"), p.alias("p")))))["p"]
 
         out = first(self._tree())
         for _ in self.cuts[1:]:
