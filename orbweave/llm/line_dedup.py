@@ -8,11 +8,13 @@ it has no digit. Other lines are templates of their own.
 
 A template recurs if it stands in as many texts as TIERS asks for its length, or LEAF_DOCS if its leaf generalised it.
 Its first line (lowest doc_id, then position) stays, all others are dropped. Equal texts are one text here: a line
-recurs in different texts, and copies of a whole text are treated alike. Lines of which more than half of the tokens
-are variable are never dropped.
+recurs in different texts, and copies of a whole text are treated alike, unless ``copies`` is set: then each document
+counts, and only the first copy keeps its lines. Lines of which VARIABLE_SHARE of the tokens or more are variable are
+never dropped: by default those without any fixed token, which a table of numbers is made of. All of these are
+parameters of :func:`drop_recurring_lines`.
 
 Only DataFrame functions run. Lines are grouped by 64-bit hashes of their template within leaves (token count and a
-64-bit hash of the lead), and texts are told apart by 64-bit hashes, so what is shuffled for a line doesn't depend on
+64-bit hash of the lead), and texts are told apart by 96 bits of two hashes, so what is shuffled for a line doesn't depend on
 its length. Texts are counted for each template after a first aggregation by template and text. Tokens are only
 compared for leaves that have several templates and enough texts, over distinct templates. Joins back are ones that
 adaptive execution can split, so a line that stands in a third of all documents does not meet in one task.
@@ -33,6 +35,8 @@ from orbweave.plans.shared import materialize, splittable_join
 
 #: (least tokens, least texts): long lines recur from two texts on, very short ones from a hundred.
 TIERS = ((20, 2), (5, 10), (1, 100))
+#: Share of variable tokens from which on a line is never dropped.
+VARIABLE_SHARE = 1.0
 #: Leading tokens of which each is a level of the tree.
 DEPTH = 3
 #: Texts, and share of a leaf's texts, in which a fixed token holds its position; share of positions that are fixed.
@@ -45,6 +49,8 @@ BROADCAST_TEMPLATES = 100_000
 VARIABLE = r"(?<![^ \t\r\f])[^ \t\r\f0-9]*+[0-9][^ \t\r\f]*"
 MISSING = -(1 << 63)
 LEAF = ["tokens", "lead"]
+#: What tells texts (or, with ``copies``, documents) apart.
+TEXT = ["h", "g"]
 
 
 def generalised(line: Column) -> Column:
@@ -59,13 +65,18 @@ def _tokens(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1
 
 
-def template_lines(docs: DataFrame) -> DataFrame:
-    """A row for each line that may recur: doc_id d, text h, position, and its way down the tree."""
-    lines = docs.where(F.col("text").isNotNull()).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(MISSING)).alias("d"), F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+def _text(copies: bool) -> list[Column]:
+    of = ["text", "doc_id"] if copies else ["text"]
+    return [F.xxhash64(*of).alias("h"), F.hash(*of).alias("g")]
+
+
+def template_lines(docs: DataFrame, variable_share: float = VARIABLE_SHARE, copies: bool = False) -> DataFrame:
+    """A row for each line that may recur: doc_id d, text h and g, position, and its way down the tree."""
+    lines = docs.where(F.col("text").isNotNull()).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(MISSING)).alias("d"), *_text(copies), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     lines = lines.withColumn("t", generalised(F.col("line"))).where("t <> ''").withColumn("tokens", _tokens(F.col("t")))
     fields = F.when(F.col("t").contains("<*>"), F.size(F.filter(F.split("t", " "), lambda x: x == "<*>"))).otherwise(0)
-    lines = lines.where(fields * 2 <= F.col("tokens"))
-    return lines.select("d", "h", "pos", "tokens", F.xxhash64(F.substring_index("t", " ", DEPTH)).alias("lead"), F.xxhash64("t").alias("template"), "t")
+    lines = lines.where(fields < F.lit(float(variable_share)) * F.col("tokens"))
+    return lines.select("d", *TEXT, "pos", "tokens", F.xxhash64(F.substring_index("t", " ", DEPTH)).alias("lead"), F.xxhash64("t").alias("template"), "t")
 
 
 def _small(table: DataFrame, name: str) -> DataFrame:
@@ -76,8 +87,8 @@ def _small(table: DataFrame, name: str) -> DataFrame:
 
 def _counted(lines: DataFrame, *keys: str) -> DataFrame:
     """For each group of lines the number of texts, and its first line."""
-    by_text = lines.groupBy(*keys, "h").agg(F.min("d").alias("d"), F.min("pos").alias("pos"))
-    return by_text.groupBy(*keys).agg(F.count("*").alias("docs"), F.min(F.struct("d", "h", "pos")).alias("first"))
+    by_text = lines.groupBy(*keys, *TEXT).agg(F.min("d").alias("d"), F.min("pos").alias("pos"))
+    return by_text.groupBy(*keys).agg(F.count("*").alias("docs"), F.min(F.struct("d", *TEXT, "pos")).alias("first"))
 
 
 def leaf_templates(lines: DataFrame, templates: DataFrame) -> DataFrame:
@@ -85,7 +96,7 @@ def leaf_templates(lines: DataFrame, templates: DataFrame) -> DataFrame:
     leaves = templates.where(F.col("tokens") > DEPTH).groupBy(*LEAF).agg(F.sum("docs").alias("n"), F.count("*").alias("k")).where((F.col("k") > 1) & (F.col("n") >= LEAF_DOCS))
     some = _small(templates.join(leaves.select(*LEAF, "n"), LEAF).select(*LEAF, "template", "docs", "n", "first"), "leaf-lines")
     # The tokens of each distinct template, from its first line.
-    text = lines.join(some, [*LEAF, "template"]).where("d = first.d AND h = first.h AND pos = first.pos").dropDuplicates([*LEAF, "template"])
+    text = lines.join(some, [*LEAF, "template"]).where("d = first.d AND h = first.h AND g = first.g AND pos = first.pos").dropDuplicates([*LEAF, "template"])
     token = text.select(*LEAF, "template", "docs", "n", F.posexplode(F.split("t", " ")).alias("p", "token")).where((F.col("p") >= DEPTH) & (F.col("token") != "<*>"))
     place = [*LEAF, "p", "token"]
     fixed = token.groupBy(*place, "n").agg(F.sum("docs").alias("held")).where((F.col("held") >= LEAF_DOCS) & (F.col("held") >= F.lit(LEAF_SHARE) * F.col("n")))
@@ -96,27 +107,27 @@ def leaf_templates(lines: DataFrame, templates: DataFrame) -> DataFrame:
     return shapes.select(*LEAF, "template", F.xxhash64("parts").alias("shape"))
 
 
-def recurring(lines: DataFrame) -> DataFrame:
+def recurring(lines: DataFrame, tiers: tuple[tuple[int, int], ...] = TIERS) -> DataFrame:
     """(tokens, lead, template, first): the templates that recur, with the first line of what they are generalised to."""
     templates = materialize(_counted(lines, *LEAF, "template"), "templates")
     shapes = _small(leaf_templates(lines, templates), "leaf-templates")
     wide = _counted(lines.join(shapes, [*LEAF, "template"]), *LEAF, "shape").where(F.col("docs") >= LEAF_DOCS)
     wide = shapes.join(wide, [*LEAF, "shape"]).select(*LEAF, "template", F.col("first").alias("wide"))
-    often = reduce(lambda a, b: a | b, ((F.col("tokens") >= least) & (F.col("docs") >= docs) for least, docs in TIERS))
+    often = reduce(lambda a, b: a | b, ((F.col("tokens") >= least) & (F.col("docs") >= docs) for least, docs in tiers))
     found = templates.join(wide, [*LEAF, "template"], "left").where(often | F.col("wide").isNotNull())
     return _small(found.select(*LEAF, "template", F.coalesce("wide", "first").alias("first")), "recurring")
 
 
-def drop_recurring_lines(docs: DataFrame) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, tiers: tuple[tuple[int, int], ...] = TIERS, variable_share: float = VARIABLE_SHARE, copies: bool = False) -> DataFrame:
     """``docs`` with text without the dropped lines, and lines_dropped."""
     docs = docs.drop("lines_dropped")
-    lines = materialize(template_lines(docs), "template-lines")
+    lines = materialize(template_lines(docs, variable_share, copies), "template-lines")
     key = F.xxhash64("template", *LEAF)
-    found = recurring(lines)
+    found = recurring(lines, tiers)
     hits = lines.withColumn("k", key).join(found.withColumn("k", key), [*LEAF, "template", "k"])
-    gone = hits.where("NOT (h = first.h AND pos = first.pos)")
-    drops = gone.groupBy(F.col("h").alias("__h")).agg(F.collect_set("pos").alias("__drop"))
-    joined = splittable_join(docs.withColumn("__h", F.xxhash64("text")), drops, "__h", "left")
+    gone = hits.where("NOT (h = first.h AND g = first.g AND pos = first.pos)")
+    drops = gone.groupBy(F.struct(*TEXT).alias("__text")).agg(F.collect_set("pos").alias("__drop"))
+    joined = splittable_join(docs.withColumn("__text", F.struct(*_text(copies))), drops, "__text", "left")
     kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__drop", i))
     out = joined.withColumn("lines_dropped", F.when(F.col("text").isNull() | F.col("__drop").isNull(), 0).otherwise(F.size("__drop")))
     return out.withColumn("text", F.when(F.col("lines_dropped") > 0, F.array_join(kept, "\n")).otherwise(F.col("text"))).select(*docs.columns, "lines_dropped")
@@ -133,7 +144,7 @@ s AS (SELECT d, string_split(text, chr(10)) a FROM d),
 e AS (SELECT d, unnest(a) line, unnest(range(len(a))) pos FROM s),
 t AS (SELECT d, pos, trim(regexp_replace(regexp_replace(line, '[^ \t\r\f0-9]*[0-9][^ \t\r\f]*', '<*>', 'g'), '[ \t\r\f]+', ' ', 'g'), ' ') t FROM e),
 l AS (SELECT d, pos, t, string_split(t, ' ') a FROM t WHERE t <> ''),
-c AS (SELECT d, pos, t, len(a) tokens, array_to_string(a[1:{DEPTH}], ' ') lead FROM l WHERE 2 * len([x FOR x IN a IF x = '<*>']) <= len(a)),
+c AS (SELECT d, pos, t, len(a) tokens, array_to_string(a[1:{DEPTH}], ' ') lead FROM l WHERE len([x FOR x IN a IF x = '<*>']) < {VARIABLE_SHARE}::DOUBLE * len(a)),
 r AS (SELECT t, tokens, lead, count(DISTINCT d) docs, min((d, pos)) first FROM c GROUP BY t, tokens, lead),
 f AS (SELECT tokens, lead, sum(docs) n FROM r WHERE tokens > {DEPTH} GROUP BY tokens, lead HAVING count(*) > 1 AND sum(docs) >= {LEAF_DOCS}),
 k AS (SELECT r.t, tokens, lead, docs, n, unnest(string_split(r.t, ' ')) token, unnest(range(tokens)) p FROM r JOIN f USING (tokens, lead)),

@@ -105,8 +105,8 @@ def test_join_without_rows_or_ids(spark):
 # -- lines -------------------------------------------------------------------------------------------------------------------
 
 
-def drop_by_hand(rows):
-    """The same rule over dictionaries."""
+def drop_by_hand(rows, tiers=line_dedup.TIERS, variable_share=line_dedup.VARIABLE_SHARE, copies=False):
+    """The same rule over dictionaries; a text is told by itself, or with ``copies`` by itself and its doc_id."""
     import re
     from collections import Counter, defaultdict
 
@@ -115,14 +115,15 @@ def drop_by_hand(rows):
 
     key = lambda d: (d is not None, d or 0)
     owner = {}
+    own = lambda d, text: (text, d if copies else None)
     for d, text in rows:
         if text is not None:
-            owner[text] = min(owner.get(text, key(d)), key(d))
+            owner[own(d, text)] = min(owner.get(own(d, text), key(d)), key(d))
     where, leaves = defaultdict(list), defaultdict(list)
     for text in sorted(owner, key=owner.get):
-        for p, line in enumerate(text.split("\n")):
+        for p, line in enumerate(text[0].split("\n")):
             t = template(line)
-            if t and 2 * t.count("<*>") <= len(t):
+            if t and t.count("<*>") < variable_share * len(t):
                 where[t].append((text, p))
     texts_of = lambda at: len({x for x, _ in at})
     for t in where:
@@ -147,7 +148,7 @@ def drop_by_hand(rows):
     gone = defaultdict(set)
     for t, at in where.items():
         first = wide.get(shape.get(t))
-        if first is None and any(len(t) >= least and texts_of(at) >= docs for least, docs in line_dedup.TIERS):
+        if first is None and any(len(t) >= least and texts_of(at) >= docs for least, docs in tiers):
             first = at[0]
         if first is not None:
             for x, p in at:
@@ -155,7 +156,7 @@ def drop_by_hand(rows):
                     gone[x].add(p)
     out = []
     for d, x in rows:
-        lost = gone.get(x, ())
+        lost = gone.get(own(d, x), ())
         out.append((d, "\n".join(line for p, line in enumerate(x.split("\n")) if p not in lost) if lost else x, len(lost)))
     return sorted(out, key=str)
 
@@ -187,7 +188,20 @@ def test_lines(spark):
     assert "passage of more than" in texts[5] and "passage of more than" not in texts[6]
     assert texts[100] == texts[1], "copies of a whole text are treated alike"
     assert sum("Yes it is" in (t or "") for t in texts.values()) == 1 and all("same lead" in texts[i] for i in range(40))
-    assert all("1 2 3 4 5 a" in texts[300 + i] for i in range(110)), "mostly variable"
+    assert sum("1 2 3 4 5 a" in texts[300 + i] for i in range(110)) == 1, "mostly variable, but a template"
+
+
+@pytest.mark.parametrize("how", [{}, {"tiers": ((1, 2),)}, {"variable_share": 0.5}, {"copies": True}, {"tiers": ((1, 2),), "copies": True}])
+def test_what_recurs_is_a_parameter(spark, how):
+    rows = [(i, f"{i} {i + 1} {i * 7} total x\n{i} {i + 2}\nown line {'abcdefgh'[i % 8]}{'ijklmno'[i % 7]}{'pqrstuvwxyz'[i % 11]}\n{'a short one' if i in (3, 8) else ''}") for i in range(300)]
+    rows += [(1000 + i, "the same text as in all these copies\nof which there are fifty") for i in range(50)]
+    got = sorted((tuple(x) for x in line_dedup.drop_recurring_lines(spark.createDataFrame(rows, SCHEMA), **how).select("doc_id", "text", "lines_dropped").collect()), key=str)
+    assert got == drop_by_hand(rows, **how)
+    texts = {d: t for d, t, _ in got}
+    assert sum("total x" in t for t in texts.values()) == (300 if how.get("variable_share") else 1)
+    assert all(f"{i} {i + 2}" in texts[i] for i in range(300)), "a row of numbers has no fixed token"
+    assert ("a short one" in texts[8]) == ("tiers" not in how) and "a short one" in texts[3]
+    assert sum("same text" in t for t in texts.values()) == (1 if how.get("copies") else 50)
 
 
 def test_lines_without_rows_and_with_clashing_columns(spark):
