@@ -52,8 +52,9 @@ def fit(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> dict[str, bytes]:
     if not used:
         return {}
     wanted = lambda r: DRAWN if r["short"] else max(1, sample_bytes // SAMPLE_TEXT)
-    share = lambda r: max(1, int(1e6 * min(1.0, wanted(r) / max(1, r["n"]))))
-    chosen = reduce(lambda a, b: a | b, ((F.col("lang") == r["lang"]) & (F.col("short") == r["short"]) & (F.pmod("h", F.lit(1_000_000)) < share(r)) for r in used))
+    # 63 bits of the hash against the share that is wanted, so the draw has a bound for any number of texts.
+    limit = lambda r: min((1 << 63) - 1, int((1 << 63) * min(1.0, wanted(r) / max(1, r["n"]))))
+    chosen = reduce(lambda a, b: a | b, ((F.col("lang") == r["lang"]) & (F.col("short") == r["short"]) & (F.shiftrightunsigned("h", 1) <= limit(r)) for r in used))
     # Equal texts are drawn once; their number has a bound in each language, whatever repeats.
     rows = learn.where(chosen).select("lang", "h", F.substring("text", 1, SAMPLE_TEXT).alias("text")).groupBy("lang", "h").agg(F.min("text").alias("text")).collect()
     out = {}
