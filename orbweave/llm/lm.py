@@ -12,7 +12,8 @@ beginning on every word of each of its documents, in order of that hash. The cop
 words that they saw. Groups depend on the rows alone, so the result doesn't depend on files or partitions. What is
 gathered is one copy of the parameters for each group, so it grows with the corpus; they are summed block by block,
 FAN_IN at a time, so no task and not the driver gets more than a bounded part. The averaged parameters have a fixed size and are broadcast for scoring. The table of
-word counts grows with the vocabulary: the HEAD most frequent words are broadcast, all others are joined.
+word counts grows with the vocabulary: the HEAD most frequent words are broadcast, one for each slot of their leading
+bits, all others are joined.
 
 Null and empty texts have no words: score 0 and a null mean. A null doc_id stays null. Repeated rows get equal
 scores, but for the rounding of 32-bit floats in blocks (0.001 a word). A text of one word is predicted from the padding alone. Very long texts are scored whole, in blocks. Extra
@@ -48,7 +49,9 @@ FAR = 60
 #: Words that are scored at once.
 AT_ONCE = 1 << 12
 #: Words whose counts are broadcast for scoring, and distinct words that a task counts before it sends them on.
-HEAD, COUNTED = 1 << 16, 1 << 20
+HEAD, COUNTED = 1 << 18, 1 << 20
+#: Leading bits of a word that tell its slot in the table of broadcast counts.
+SLOT_BITS = 20
 
 OFFSETS = [*range(-REACH, 0), *range(1, REACH + 1)]
 
@@ -187,18 +190,12 @@ def buckets(word: np.ndarray) -> np.ndarray:
     return (word >> U(20)).astype(np.int64) % VOCABULARY
 
 
-def bucket_counts(docs: DataFrame) -> np.ndarray:
-    """How many words of all texts fall into each bucket."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(VOCABULARY, np.int64)
-        for batch in batches:
-            for _, word, _ in blocks(batch.column(0)):
-                total += np.bincount(buckets(word), minlength=VOCABULARY)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(VOCABULARY)), pa.array(total)], ["bucket", "n"])
-
+def bucket_counts(docs: DataFrame, words: DataFrame | None = None) -> np.ndarray:
+    """How many words of all texts fall into each bucket; ``words`` are their counts (see ``word_counts``) where those exist already."""
+    bucket = F.shiftrightunsigned("word", 20) % VOCABULARY
     out = np.zeros(VOCABULARY, np.int64)
-    for r in docs.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # VOCABULARY rows
+    counted = word_counts(docs) if words is None else words
+    for r in counted.groupBy(bucket.alias("bucket")).agg(F.sum("n").alias("n")).collect():  # VOCABULARY rows
         out[r["bucket"]] = r["n"]
     return out
 
@@ -311,7 +308,7 @@ def score(docs: DataFrame, net: Network, place: np.ndarray, counts: np.ndarray |
     With ``counts`` of buckets and ``words`` (see ``word_counts``), probabilities are those of words, a word that wasn't
     counted being taken as seen once; otherwise they are those of buckets.
     """
-    head, share = [], np.zeros(VOCABULARY)
+    head, share = None, np.zeros(VOCABULARY)
     if words is not None:
         words = words.withColumn("level", F.floor(F.log2(F.col("n").cast("double")) * 16))
         lowest, sum_ = 1 << 20, 0
@@ -320,16 +317,19 @@ def score(docs: DataFrame, net: Network, place: np.ndarray, counts: np.ndarray |
             if sum_ > HEAD:
                 break
             lowest = r["level"]
-        head = words.where(F.col("level") >= lowest).collect()  # at most HEAD rows
+        head = words.where(F.col("level") >= lowest).select("word", "n").toArrow()  # at most HEAD rows
         share = np.round(-np.log(np.maximum(counts, 1)), 3)
-    known = np.array([r["word"] for r in head], np.int64).view(np.uint64)
-    order = np.argsort(known)
-    gain = np.round(np.log(np.array([r["n"] for r in head], float)), 3)[order]
-    shipped = docs.sparkSession.sparkContext.broadcast((net.flat, place, share, known[order], gain))
+    known, often = (head.column(k).to_numpy() if head else np.zeros(0, np.int64) for k in ("word", "n"))
+    order = np.lexsort((known, often))  # the most frequent word of a slot stays; the others are joined
+    known, often = known.view(np.uint64)[order], often[order]
+    slots, gain = ~(np.arange(1 << SLOT_BITS, dtype=np.uint64) << U(64 - SLOT_BITS)), np.zeros(1 << SLOT_BITS)
+    slots[known >> U(64 - SLOT_BITS)] = known
+    gain[known >> U(64 - SLOT_BITS)] = np.round(np.log(often.astype(float)), 3)
+    shipped = docs.sparkSession.sparkContext.broadcast((net.flat, place, share, slots, gain))
     split = words is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, place, share, known, gain = shipped.value
+        flat, place, share, slots, gain = shipped.value
         net, row = Network(flat), TaskContext.get().partitionId() << 40
         for batch in batches:
             sizes, sums, others, other_sizes = [], [], [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
@@ -341,11 +341,9 @@ def score(docs: DataFrame, net: Network, place: np.ndarray, counts: np.ndarray |
                 # Rounded, so that a document's score doesn't depend on what shares its block.
                 each = np.round(np.concatenate([np.zeros(0), *each]), 3) + share[bucket]
                 if split:
-                    found = np.zeros(len(word), bool)
-                    if len(known):
-                        at = np.minimum(np.searchsorted(known, word), len(known) - 1)
-                        found = known[at] == word
-                        each += np.where(found, gain[at], 0)
+                    at = (word >> U(64 - SLOT_BITS)).astype(np.int64)
+                    found = slots[at] == word
+                    each += np.where(found, gain[at], 0)
                     others.append(word[~found])
                     other_sizes.append(np.diff(np.concatenate([[0], np.cumsum(~found)])[bounds]))
                 total = np.concatenate([[0.0], np.cumsum(each)])
@@ -375,6 +373,7 @@ def fit(docs: DataFrame, counts: np.ndarray | None = None, words_a_copy: int = W
 
 def op4_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    counts = bucket_counts(docs)
+    words = word_counts(docs)
+    counts = bucket_counts(docs, words)
     net, place = fit(docs, counts)
-    return score(docs, net, place, counts, word_counts(docs))
+    return score(docs, net, place, counts, words)
