@@ -4,8 +4,10 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from orbweave.functions import arrays
 from orbweave.functions import geometry as G
 from orbweave.operators import blocks
 from orbweave.operators import spatial as S
@@ -100,3 +102,45 @@ def test_nearest_by_brute_force_keeps_few_rows_of_a_block(spark, monkeypatch):
         got.setdefault(r["query_id"], []).append(r["value_id"])
     assert got == want
     assert made and made[0].count() == 4 * len(places) * 3  # one block, not all pairs
+
+
+@pytest.fixture(scope="module")
+def skewed(spark):
+    """A dense centre in a wide cloud, and many values at one place."""
+    r = random.Random(9)
+    rows = [(i, *(r.gauss(0, 0.01 if i % 3 else 3.0) for _ in range(3)), i % 6) for i in range(3000)] + [(3000 + i, 1.0, 1.0, 1.0, 2) for i in range(60)]
+    return spark.createDataFrame(rows, "id long, x double, y double, z double, k int").repartition(3)
+
+
+NEAREST = {
+    "five": (lambda c: G.Point.of(c("x"), c("y"), c("z")), 5, {}),
+    "others": (lambda c: G.Point.of(c("x"), c("y"), c("z")), 4, {"where": lambda q, v: q("id") != v("id")}),
+    "column": (lambda c: G.Point.of(c("x"), c("y"), c("z")), "k", {}),
+    "metric": (lambda c: G.Point.of(c("x"), c("y")), 3, {"metric": lambda p, q: arrays.abs(p.at[0] - q.at[0]) + arrays.abs(p.at[1] - q.at[1]), "metric_bound": 0.99}),
+    "boxes": (lambda c: G.Box.of([c("x"), c("y")], [c("x") + F.lit(0.1), c("y") + F.lit(0.2)]), 2, {}),
+}
+
+
+@pytest.mark.parametrize("case", NEAREST)
+def test_nearest_by_leaves(skewed, monkeypatch, case):
+    shape, k, more = NEAREST[case]
+    met = []
+
+    def meeting(q, *rest, f=blocks._meet_leaves):
+        met.append(q.count())
+        return f(q, *rest)
+
+    monkeypatch.setattr(blocks, "_meet_leaves", meeting)
+    monkeypatch.setattr(blocks, "ROWS", 100)
+    monkeypatch.setattr(blocks, "LEAF", 24)
+    asked = skewed.where("id % 5 = 0 OR id > 3050")
+    got = {(r["query_id"], r["place"]): r["value_id"] for r in S.SpatialIndex(skewed, shape).query(asked, shape, S.nearest(k), **more).collect()}
+    assert len(met) == 2 and (case == "boxes" or met[1] < 40 * met[0])  # few leaves a query, unless most values are at distance 0
+    q, v = ({n: asked[n].alias(f"{p}_{n}") for n in asked.columns} for p in "qv")
+    a, b = asked.select(*q.values()), skewed.select(*v.values())
+    get = [lambda n, p=p: F.col(f"{p}_{n}") for p in "qv"]
+    d = more.get("metric", G.distance)(shape(get[0]), shape(get[1]))
+    pairs = a.crossJoin(b).where(more["where"](*get) if "where" in more else F.lit(True)).withColumn("d", d)
+    place = F.row_number().over(Window.partitionBy("q_id").orderBy("d", "v_id"))
+    want = pairs.withColumn("p", place).where(F.col("p") <= (F.col(f"q_{k}") if isinstance(k, str) else k))
+    assert got == {(r["q_id"], r["p"]): r["v_id"] for r in want.select("q_id", "p", "v_id").collect()}
