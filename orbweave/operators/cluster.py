@@ -65,8 +65,8 @@ def dbscan(df: DataFrame, names: Sequence[str], eps: float, min_points: int, alg
     implementation ``densebox`` takes the points of each grid cell with a diagonal of at most ``eps`` that holds
     ``min_points`` as core without counting and as one node of the components: no pairs are made within a cell, and
     two such cells are joined by one pair of points. The other points are counted, linked and labelled by joins that
-    feed aggregations; only links between core points of thin cells are written. ``fdbscan`` makes no such cells, and
-    is quadratic where many points lie within ``eps``. ``halo`` cuts space into balanced parts, sends each part the
+    feed aggregations; only links between core points of thin cells are written. ``fdbscan`` counts first, up to
+    ``min_points``, and takes the core points of each such cell, however few, as one node; it writes no links of points. ``halo`` cuts space into balanced parts, sends each part the
     points within 2 eps of it, clusters the parts side by side and joins their clusters at the points that parts share:
     what is shuffled follows the points and those near borders, not the pairs. It fits clouds whose densest places are
     well spread; a part's task holds its points and their halo, and compares those within a cell or next to it.
@@ -87,15 +87,22 @@ def dbscan(df: DataFrame, names: Sequence[str], eps: float, min_points: int, alg
     dense, thin = placed.where("node IS NOT NULL"), placed.where("node IS NULL").drop("node")
     at = points(*axes)
     everywhere = SpatialIndex(placed.select("id", *axes), at, cell=2 * eps)
-    many = everywhere.query(thin, at, within(eps)).groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= min_points)
-    core = materialize(thin.join(many.select(F.col("query_id").alias("id")), "id", "left_semi"), "core")
-    edges = half_neighbors(core, axes, eps).select("a", "b")
-    if implementation == "densebox":
+    if implementation == "fdbscan":
+        many = bounded_counts(thin, axes, eps, min_points).where(F.col("n") >= min_points).select("id")
+        core = materialize(thin.join(many, "id", "left_semi"), "core")
+        celled = core.select("*", *(F.floor(F.col(x) / F.lit(h)).alias(c) for x, c in zip(axes, cell, strict=True)))
+        dense = materialize(celled.join(celled.groupBy(*cell).agg(F.min("id").alias("node")), cell).select("id", *axes, "node"), "core-cells")
+        edges = _dense_links(dense, axes, eps, df.sparkSession.createDataFrame([], "a long, b long"))
+        nodes = dense
+    else:
+        many = everywhere.query(thin, at, within(eps)).groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= min_points)
+        core = materialize(thin.join(many.select(F.col("query_id").alias("id")), "id", "left_semi"), "core")
+        edges = half_neighbors(core, axes, eps).select("a", "b")
         to_cells = SpatialIndex(dense, at, cell=2 * eps).query(core, at, within(eps), keep_values=["node"])
         edges = materialize(edges.union(to_cells.select(F.col("query_id").alias("a"), F.col("node").alias("b")).distinct()), "core-links")
         edges = edges.union(_dense_links(dense, axes, eps, edges))
+        nodes = dense.unionByName(core.withColumn("node", F.col("id")))
     found = connected_components(edges).withColumnRenamed("node", "n")
-    nodes = dense.unionByName(core.withColumn("node", F.col("id")))
     labelled = materialize(nodes.join(found, nodes["node"] == found["n"], "left").select("id", *axes, F.coalesce("label", "node").alias("label")), "core-labels")
     labels = labelled.select("id", "label")
     if algorithm == "dbscan":
@@ -146,28 +153,66 @@ class CellPairs:
                 yield self.order[i[near]], self.order[j[near]]
                 at = to
 
+    def mixed(self, rows: np.ndarray, label: np.ndarray) -> np.ndarray:
+        """Which of ``rows`` have rows of another label in their own or a neighbouring cell."""
+        known = rows[self.order]
+        keys, cell = np.unique(self.key[known], return_inverse=True)
+        ends = [np.full(len(keys) + 1, x) for x in (len(label), -1)]
+        for f, end in zip((np.minimum, np.maximum), ends, strict=True):
+            f.at(end, cell, label[self.order][known])
+        low, high = (e[:-1].copy() for e in ends)
+        for move in itertools.product((-1, 0, 1), repeat=len(self.steps)):
+            want = keys + sum(m * s for m, s in zip(move, self.steps, strict=True))
+            to = np.searchsorted(keys, want)
+            to[(to < len(keys)) & (keys[np.minimum(to, len(keys) - 1)] != want)] = len(keys)
+            low, high = np.minimum(low, ends[0][to]), np.maximum(high, ends[1][to])
+        out = np.zeros(len(rows), bool)
+        out[self.order[known]] = (low != high)[cell]
+        return out
+
 
 def cluster_part(ids: np.ndarray, x: np.ndarray, n: np.ndarray, own: np.ndarray, close: np.ndarray, shared: np.ndarray, eps: float, min_points: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(kind, id, root) of a part's rows, which are places with ``n`` points each.
 
     The rows within eps of the part are ``close``; of these the cores are known for certain, as those within 2 eps are
-    here. A root is the smallest id of cores that are linked within the part. Kind 0: an own core and its root. 1: an
+    here. Rows of a cell with a diagonal of ``eps`` are within it of each other: they are core without being compared if
+    the cell has ``min_points``, and its cores are linked; cells are linked by a few rows each, and by all rows only where
+    that leaves neighbours apart. A root is the smallest id of cores that are linked within the part. Kind 0: an own core and its root. 1: an
     own border row and the root of a core near by. 2: a core that other parts know too, and its root here.
     """
     pairs = CellPairs(x, eps)
     count = np.zeros(len(ids), np.int64)
-    for i, j in pairs(close, np.ones(len(ids), bool)):
+    _, cell = np.unique(np.floor(x / (eps / math.sqrt(x.shape[1]) * (1 - 1e-12))), axis=0, return_inverse=True)
+    cell = cell.reshape(-1)
+    sure = (np.bincount(cell, n) >= min_points)[cell]
+    for i, j in pairs(close & ~sure, np.ones(len(ids), bool)):
         np.add.at(count, i, n[j])
-    core = close & (count >= min_points)
+    core = close & (sure | (count >= min_points))
     label = np.arange(len(ids))
-    for i, j in pairs(core, core):
-        i, j = label[i], label[j]
-        apart = i != j  # labels change between the two orders of a pair, so neither is left out
-        if apart.any():
-            nodes, low = local_labels(i[apart], j[apart])
-            to = np.arange(len(ids))
-            to[nodes] = low
-            label = to[label]
+    at = np.flatnonzero(core)
+    at = at[np.argsort(cell[at], kind="stable")]
+    starts = np.flatnonzero(np.r_[True, cell[at[1:]] != cell[at[:-1]]]) if len(at) else at
+    size = np.diff(np.r_[starts, len(at)])
+    label[at] = np.repeat(at[starts], size)
+    few = np.zeros(len(ids), bool)
+    few[at[np.arange(len(at)) - np.repeat(starts, size) < WITNESSES]] = True
+
+    def link(asked: np.ndarray, against: np.ndarray, label: np.ndarray) -> np.ndarray:
+        for i, j in pairs(asked, against):
+            i, j = label[i], label[j]
+            apart = i != j  # labels change between the two orders of a pair, so neither is left out
+            if apart.any():
+                nodes, low = local_labels(i[apart], j[apart])
+                to = np.arange(len(ids))
+                to[nodes] = low
+                label = to[label]
+        return label
+
+    label = link(few, few, label)
+    if len(at):
+        mixed = pairs.mixed(core, label)
+        largest = np.bincount(label[at]).argmax()
+        label = link(mixed & (label != largest), mixed, label)
     root = np.full(len(ids), np.iinfo(np.int64).max)
     np.minimum.at(root, label[core], ids[core])
     root = root[label]

@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 
 import numpy as np
@@ -208,3 +209,43 @@ def test_verifier_writes_no_pairs_of_equal_points(spark):
     assert list(C.verify_dbscan(df, good, XY, 0.5, 5).first()) == [0] * 5
     bad = good.withColumn("label", F.when(F.col("id") < 3, F.lit(7)).when(F.col("id") == 9, F.lit(-1)).otherwise(F.col("label")))
     assert list(C.verify_dbscan(df, bad, XY, 0.5, 5).first()) == [1, 2 * (3 * (n - 4) + (n - 4) + 3), 0, 0, 0]
+
+
+def test_dense_points_make_no_pairs(spark, monkeypatch):
+    """Points within eps of each other are cores of their cell, in both ways of clustering, and aren't compared."""
+    r = random.Random(3)
+    rows = [(i, *(r.gauss(40.0 * (i % 3 // 2), 0.1) for _ in range(3))) for i in range(1500)] + [(1500 + i, 2.0 + 0.4 * i, 0.0, 0.0) for i in range(40)] + [(1600, 0.9, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "id long, x double, y double, z double")
+    want = {}
+    for a in rows:
+        near = [b for b in rows if math.dist(a[1:], b[1:]) <= 1.0]
+        want[a[0]] = (len(near) >= 4, [b[0] for b in near])
+    labels = {}
+    for i, (core, _) in want.items():
+        if core and i not in labels:
+            todo, labels[i] = [i], i
+            while todo:
+                for j in want[todo.pop()][1]:
+                    if want[j][0] and j not in labels:
+                        labels[j] = i
+                        todo.append(j)
+    label = {i: labels[i] if core else min((labels[j] for j in near if want[j][0]), default=-1) for i, (core, near) in want.items()}
+
+    def none(*_):
+        raise AssertionError("pairs of points")
+
+    monkeypatch.setattr(C, "half_neighbors", none)
+    found = C.dbscan(df, ["x", "y", "z"], 1.0, 4, implementation="fdbscan")
+    assert {r["id"]: r["label"] for r in found.collect()} == label
+    made = []
+
+    def counted(self, *sides, f=C.CellPairs.__call__):
+        for i, j in f(self, *sides):
+            made.append(len(i))
+            yield i, j
+
+    monkeypatch.setattr(C.CellPairs, "__call__", counted)
+    ids, x, yes = np.array([r[0] for r in rows]), np.array([r[1:] for r in rows]), np.ones(len(rows), bool)
+    kind, own, root = C.cluster_part(ids, x, np.ones(len(rows), np.int64), yes, yes, ~yes, 1.0, 4)
+    assert dict(zip(own[kind == 0].tolist(), root[kind == 0].tolist(), strict=True)) == labels
+    assert sum(made) < 200_000  # of 1.25 million pairs
