@@ -801,18 +801,19 @@ class StoredIndex(SpatialIndex):
 def pair_forces(df: DataFrame, names: Sequence[str], cutoff: float, sigma: float = 1.0, epsilon: float = 1.0, least: float = 0.0, id: str = "id") -> DataFrame:
     """(id, energy, force_<axis>): half the Lennard-Jones energy of each point's pairs, and the force on it.
 
-    Each pair farther apart than ``least`` and up to ``cutoff`` is found once and counted at both ends, with opposite forces.
+    Each point sums over its own pairs, farther apart than ``least`` and up to ``cutoff``, as they are found; coordinates
+    come with the pairs, which are neither joined again nor written.
     """
-    half = half_neighbors(df, names, cutoff, id).where(F.col("distance") > F.lit(float(least)))
-    at = lambda side: df.select(F.col(id).alias(side), *(F.col(n).cast("double").alias(f"{side}_{n}") for n in names))
-    met = half.join(at("a"), "a").join(at("b"), "b")
+    own, other = (df.select(F.col(id).alias("id"), *(F.col(n).cast("double").alias(f"{side}_{n}") for n in names)) for side in "ab")
+    a, b = ([f"{side}_{n}" for n in names] for side in "ab")
+    met = SpatialIndex(other, points(*b), cell=2 * cutoff).query(own, points(*a), within(cutoff), keep=a, keep_values=b, where=lambda q, v: q("id") != v("id"))
+    met = met.where(F.col("distance") > F.lit(float(least)))
     square = F.col("distance") * F.col("distance")
     met = met.withColumn("s", F.pow(F.try_divide(F.lit(float(sigma) ** 2), square), F.lit(3.0)))
     pull = F.try_divide(F.lit(24.0 * epsilon) * (F.lit(2.0) * F.col("s") * F.col("s") - F.col("s")), square)
     met = met.withColumns({"energy": F.lit(2.0 * epsilon) * (F.col("s") * F.col("s") - F.col("s")), "pull": pull})
-    ends = [F.struct(F.col(x).alias("id"), "energy", *((F.col("pull") * (F.col(f"{x}_{n}") - F.col(f"{y}_{n}"))).alias(n) for n in names)) for x, y in (("a", "b"), ("b", "a"))]
-    each = met.select(F.explode(F.array(*ends)).alias("e")).select("e.*")
-    return each.groupBy(F.col("id").alias(id)).agg(F.sum("energy").alias("energy"), *(F.sum(n).alias(f"force_{n}") for n in names))
+    forces = [F.sum(F.col("pull") * (F.col(x) - F.col(y))).alias(f"force_{n}") for n, x, y in zip(names, a, b, strict=True)]
+    return met.groupBy(F.col("query_id").alias(id)).agg(F.sum("energy").alias("energy"), *forces)
 
 
 def energy_deposit(index: SpatialIndex, rays: DataFrame, shape: Shape, start: float = 1.0, gain: bool = True, id: str = "id") -> DataFrame:
