@@ -43,7 +43,7 @@ PAD = 1 + 1e-9
 #: Levels beyond the first.
 LEVELS = 40
 #: A grid of at most so many cells sorts out little, so blocks of rows are compared instead.
-COARSE = 4096
+COARSE = 1 << 15
 #: Grid axes at most; further dimensions are left to the exact predicate.
 AXES = 3
 

@@ -1,6 +1,7 @@
 """Joins by blocks of rows give what joins over columns give, whatever the coordinates."""
 
 import itertools
+import math
 import random
 
 import pytest
@@ -144,3 +145,32 @@ def test_nearest_by_leaves(skewed, monkeypatch, case):
     place = F.row_number().over(Window.partitionBy("q_id").orderBy("d", "v_id"))
     want = pairs.withColumn("p", place).where(F.col("p") <= (F.col(f"q_{k}") if isinstance(k, str) else k))
     assert got == {(r["q_id"], r["p"]): r["v_id"] for r in want.select("q_id", "p", "v_id").collect()}
+
+
+def test_small_spheres_by_blocks(spark, monkeypatch):
+    """A grid of 8,000 cells still makes several rows of each sphere, so blocks are compared."""
+    r = random.Random(2)
+    df = spark.createDataFrame([(i, *(r.random() for _ in range(3)), 0.025) for i in range(400)], "id long, x double, y double, z double, r double")
+    calls = []
+    monkeypatch.setattr(blocks, "block_pairs", lambda *a, f=blocks.block_pairs, **k: calls.append(1) or f(*a, **k))
+    rows = df.collect()
+    got = {tuple(p) for p in S.SpatialIndex(df, S.spheres(["x", "y", "z"], "r")).query(df, S.spheres(["x", "y", "z"], "r"), S.intersects()).collect()}
+    assert calls and got == {(a["id"], b["id"]) for a in rows for b in rows if math.dist(a[1:4], b[1:4]) <= a["r"] + b["r"]}
+
+
+def test_forces_without_a_second_join(spark, monkeypatch):
+    """Coordinates come with the pairs; forces are those of all pairs."""
+    r = random.Random(4)
+    rows = [(i, *(r.random() for _ in range(3))) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, x double, y double, z double")
+    got = S.pair_forces(df, ["x", "y", "z"], 0.3, sigma=0.1, least=0.05)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = {}
+    for a, b in itertools.permutations(rows, 2):
+        d = math.dist(a[1:], b[1:])
+        if 0.05 < d <= 0.3:
+            s = (0.01 / d**2) ** 3
+            e, f = want.get(a[0], (0.0, 0.0))
+            want[a[0]] = e + 2 * (s * s - s), f + 24 * (2 * s * s - s) / d**2 * (a[1] - b[1])
+    got = {x["id"]: (x["energy"], x["force_x"]) for x in got.collect()}
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], rel=1e-9, abs=1e-9) for i in want)
