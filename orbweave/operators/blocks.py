@@ -28,6 +28,8 @@ from orbweave.plans.shared import materialize
 
 #: Rows of a block at most, parts of a side at most, and what a task evaluates at a time: pairs of boxes, pairs of rows.
 ROWS, PARTS, BOXES, PAIRS = 1 << 16, 512, 1 << 17, 1 << 14
+#: Points of a tile on average.
+TILE = 128
 #: Larger coordinates, whose products could overflow, aren't compared on arrays.
 HUGE = 1e40
 #: Geometries whose predicates are compared on arrays.
@@ -74,13 +76,19 @@ def regular(g: G.Geometry) -> Column:
 
 @dataclasses.dataclass(frozen=True)
 class Asked:
-    """What holds for a pair: ``kind`` intersects, within (a number, or with None a column of the queries, which comes after all coordinates), ray or nearest."""
+    """What holds for a pair: ``kind`` intersects, within (a number, or with None a column of the queries, which comes after all coordinates), ray or nearest.
+
+    With ``terms`` (points within a number, with other first carried columns and farther than ``least``) pairs are counted and
+    their terms added up for each query and block, and not returned. A term is computed from the distance and the places.
+    """
 
     kind: str
     radius: float | None = None
     measured: bool = False
     first: int | None = None
     every: bool = False
+    least: float = -1.0
+    terms: dict[str, Callable] | None = None
 
 
 class _Side:
@@ -131,8 +139,9 @@ def block_pairs(q: DataFrame, v: DataFrame, qg: G.Geometry, vg: G.Geometry, qbox
             numbers[-1] = radius.cast("double")
         kept = [F.col(n) if s == t else F.lit(None).cast(d.schema[n].dataType).alias(n) for t, d in enumerate((q, v)) for n in names[t]]
         out.append(pair.select("__pair", F.lit(1 - s).alias("__side"), F.array(*numbers).alias("__g"), F.array(*box.lo, *box.hi).alias("__b"), *kept))
-    fields = [T.StructField(n, d.schema[n].dataType) for d, own in ((q, names[0]), (v, names[1])) for n in own]
-    measures = ["distance", "__out"] if asked.kind == "ray" else ["distance"] if asked.measured else []
+    fields = [T.StructField(n, d.schema[n].dataType) for d, own in ((q, names[0]), (v, names[1] if asked.terms is None else [])) for n in own]
+    fields += [T.StructField("__n", T.LongType())] if asked.terms is not None else []
+    measures = [*asked.terms] if asked.terms is not None else ["distance", "__out"] if asked.kind == "ray" else ["distance"] if asked.measured else []
     schema = T.StructType([*fields, *(T.StructField(n, T.DoubleType()) for n in measures)])
     shapes = [numbered(g, iter(range(1000))) for g in (qg, vg)]
     dealt = out[0].unionByName(out[1]).repartition(max(1, min(TASKS, int(meet.sum()))), "__pair").sortWithinPartitions("__pair", "__side")
@@ -144,7 +153,7 @@ def _compare(shapes, width, axes, names, measures, asked) -> Callable[[Iterator[
         t = pa.Table.from_batches(held).combine_chunks()
         first = int((t.column("__side").to_numpy() == 0).sum())  # the values come before the queries
         if 0 < first < t.num_rows:
-            yield from _pairs(t.slice(first), t.slice(0, first), shapes, width, axes, names, measures, asked)
+            yield from (_pairs if asked.terms is None else _sums)(t.slice(first), t.slice(0, first), shapes, width, axes, names, measures, asked)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, at = [], None
@@ -165,35 +174,24 @@ def _compare(shapes, width, axes, names, measures, asked) -> Callable[[Iterator[
     return run
 
 
+def _parts(q: pa.Table, v: pa.Table, name: str, n: int) -> list[list[np.ndarray]]:
+    """The ``n`` numbers that both sides' rows have in the column ``name``, each as an array."""
+    return [[np.ascontiguousarray(x) for x in t.column(name).chunk(0).flatten().to_numpy().reshape(-1, n).T] for t in (q, v)]
+
+
 def _pairs(q: pa.Table, v: pa.Table, shapes, width, axes, names, measures, asked) -> Iterator[pa.RecordBatch]:
     """Results of one block of queries and one of values, piece by piece."""
-    parts = lambda name, n: ([np.ascontiguousarray(x) for x in t.column(name).chunk(0).flatten().to_numpy().reshape(-1, n).T] for t in (q, v))
-    (qn, vn), (qb, vb) = parts("__g", width), parts("__b", 2 * axes)
+    (qn, vn), (qb, vb) = _parts(q, v, "__g", width), _parts(q, v, "__b", 2 * axes)
     qt, vt = q.select(names[0]).combine_chunks(), v.select(names[1]).combine_chunks()
-    ids = vt.column(0).to_numpy() if asked.first else None
-    step = max(1, BOXES // v.num_rows)
+    if asked.kind != "nearest" and not asked.every and all(isinstance(x, G.Point) for x in shapes):
+        found = _by_tiles(qn, vn, qb, vb, axes, shapes, asked, bool(measures))
+    else:
+        found = _by_rows(qn, vn, qb, vb, axes, shapes, asked, len(measures), vt.column(0).to_numpy() if asked.first else None)
     made, size = [], 0
     with arrays.numbers():
-        for start in range(0, q.num_rows, step):
-            rows = slice(start, start + step)
-            i, j = _candidates(rows, qn, vn, qb, vb, axes, shapes, asked)
-            i = i + start
-            found = []
-            for k in range(0, len(i), PAIRS):
-                a, b = i[k : k + PAIRS], j[k : k + PAIRS]
-                hit, values = _holds(a, b, qn, vn, shapes, asked, len(measures))
-                found.append((a[hit], b[hit], *(x[hit] + 0.0 for x in values)))
-            if not found:
-                continue
-            found = [np.concatenate(x) for x in zip(*found, strict=True)]
-            if asked.first and len(found[0]):
-                order = np.lexsort((ids[found[1]], found[2], found[0]))
-                found = [x[order] for x in found]
-                starts = np.flatnonzero(np.r_[True, found[0][1:] != found[0][:-1]])
-                place = np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)]))
-                found = [x[place < asked.first] for x in found]
-            made.append(found)
-            size += len(found[0])
+        for some in found:
+            made.append(some)
+            size += len(some[0])
             if size >= 1 << 16:
                 yield _batch(made, qt, vt, names, measures)
                 made, size = [], 0
@@ -201,6 +199,90 @@ def _pairs(q: pa.Table, v: pa.Table, shapes, width, axes, names, measures, asked
         yield _batch(made, qt, vt, names, measures)
 
 
+def _by_rows(qn, vn, qb, vb, axes, shapes, asked, measures, ids) -> Iterator[list[np.ndarray]]:
+    """(row of the queries, of the values, measures) of pairs that match, some queries after others, each with all values."""
+    step = max(1, BOXES // len(vn[0]))
+    for start in range(0, len(qn[0]), step):
+        i, j = _candidates(slice(start, start + step), qn, vn, qb, vb, axes, shapes, asked)
+        i = i + start
+        found = []
+        for k in range(0, len(i), PAIRS):
+            a, b = i[k : k + PAIRS], j[k : k + PAIRS]
+            hit, values = _holds(a, b, qn, vn, shapes, asked, measures > 0)
+            found.append((a[hit], b[hit], *(x[hit] + 0.0 for x in values)))
+        if not found:
+            continue
+        found = [np.concatenate(x) for x in zip(*found, strict=True)]
+        if asked.first and len(found[0]):
+            order = np.lexsort((ids[found[1]], found[2], found[0]))
+            found = [x[order] for x in found]
+            starts = np.flatnonzero(np.r_[True, found[0][1:] != found[0][:-1]])
+            place = np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)]))
+            found = [x[place < asked.first] for x in found]
+        yield found
+
+
+def _tiles(b: list[np.ndarray], axes: int, most: int) -> tuple[np.ndarray, list[slice], np.ndarray, np.ndarray]:
+    """An order of the rows by which those near each other come together, its slices of about ``most`` rows, and the boxes of these."""
+    n = len(b[0])
+    strips = max(1, round((n / most) ** (1 / axes)))
+    group, order = np.zeros(n, np.int64), np.arange(n)
+    for k in range(axes):
+        order = np.lexsort((b[k] + b[axes + k], group))
+        sizes = np.bincount(group)
+        starts = np.repeat(np.cumsum(sizes) - sizes, sizes)
+        own = group[order]
+        group[order] = own * strips + (np.arange(n) - starts) * strips // np.repeat(sizes, sizes)
+    order = np.argsort(group, kind="stable")
+    ends = [*np.flatnonzero(np.diff(group[order], prepend=-1)).tolist(), n]
+    slices = [slice(i, j) for a, z in zip(ends, ends[1:], strict=False) for i, j in ((k, min(z, k + 2 * most)) for k in range(a, z, 2 * most))]
+    sides = [np.array([[f(x[order[s]]) for x in b[at : at + axes]] for s in slices]) for f, at in ((np.min, 0), (np.max, axes))]
+    return order, slices, *sides
+
+
+def _by_tiles(qn, vn, qb, vb, axes, shapes, asked, measured) -> Iterator[list[np.ndarray]]:
+    """As :func:`_by_rows` for points, by tiles of near rows: those that are apart are left out."""
+    for some, other, hit, values in _near_tiles(qn, vn, qb, vb, axes, shapes, asked, measured):
+        flat = np.flatnonzero(hit)
+        if len(flat):
+            i, j = np.divmod(flat, hit.shape[1])
+            yield [some[i], other[j], *(x.ravel()[flat] + 0.0 for x in values)]
+
+
+def _near_tiles(qn, vn, qb, vb, axes, shapes, asked, measured) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """For each two tiles that are near: their rows on both sides, which of all their pairs match, and the pairs' measures."""
+    (qo, qs, qlo, qhi), (vo, vs, vlo, vhi) = _tiles(qb, axes, TILE), _tiles(vb, axes, TILE)
+    trifle = 1e-15 * max(np.abs(x).max() for x in (qlo, qhi, vlo, vhi))  # boxes are rounded
+    qlo, qhi = qlo - trifle, qhi + trifle
+    qn, vn = [x[qo] for x in qn], [x[vo] for x in vn]
+    for k, some in enumerate(qs):
+        for other in np.flatnonzero(((qlo[k] <= vhi) & (vlo <= qhi[k])).all(1)):
+            yield qo[some], vo[vs[other]], *_holds((some, None), (None, vs[other]), qn, vn, shapes, asked, measured)
+
+
+def _sums(q: pa.Table, v: pa.Table, shapes, width, axes, names, measures, asked) -> Iterator[pa.RecordBatch]:
+    """For each query of a block how many values of another match, and the sums of its pairs' terms; null where all of them are."""
+    (qn, vn), (qb, vb) = _parts(q, v, "__g", width), _parts(q, v, "__b", 2 * axes)
+    qid, vid = q.column(names[0][0]).to_numpy(), v.column(names[1][0]).to_numpy()
+    n, known, total = np.zeros(len(qid), np.int64), np.zeros((len(measures), len(qid)), np.int64), np.zeros((len(measures), len(qid)))
+    with arrays.numbers():
+        for some, other, hit, (d,) in _near_tiles(qn, vn, qb, vb, axes, shapes, asked, True):
+            hit = hit & (d > asked.least) & (qid[some][:, None] != vid[other][None])
+            count = np.count_nonzero(hit, axis=1)
+            n[some] += count
+            row = np.repeat(np.arange(len(some)), count)
+            own = lambda k: arrays.Numbers(qn[k][some[row]])  # noqa: B023, E731
+            its = lambda k: arrays.Numbers(vn[k][other[np.nonzero(hit)[1]]])  # noqa: B023, E731
+            for t, f in enumerate(asked.terms.values()):
+                x = arrays.plain(f(arrays.Numbers(d[hit]), own, its))
+                total[t, some] += np.bincount(row, x.v if x.null is None else np.where(x.null, 0.0, x.v), len(some))
+                known[t, some] += count if x.null is None else np.bincount(row[~x.null], minlength=len(some))
+    some = np.flatnonzero(n)
+    columns = [q.column(c).combine_chunks().take(pa.array(some)) for c in names[0]]
+    sums = [pa.array(x[some], mask=k[some] == 0) for x, k in zip(total, known, strict=True)]
+    yield pa.RecordBatch.from_arrays([*(c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns), pa.array(n[some]), *sums], names=[*names[0], "__n", *measures])
+
+
 def _batch(made, qt: pa.Table, vt: pa.Table, names, measures) -> pa.RecordBatch:
     a, b, *values = (np.concatenate(x) for x in zip(*made, strict=True))
     columns = [t.column(n).chunk(0).take(pa.array(at)) for t, at, own in ((qt, a, names[0]), (vt, b, names[1])) for n in own]
@@ -209,19 +291,20 @@ def _batch(made, qt: pa.Table, vt: pa.Table, names, measures) -> pa.RecordBatch:
 
 def _candidates(rows: slice, qn, vn, qb, vb, axes: int, shapes, asked: Asked) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (from the first of ``rows``) that may match: whose boxes meet, whose ray meets the box, or that are among the nearest."""
-    wide = lambda: (filled(shapes[0], lambda k: arrays.Numbers(qn[k][rows][:, None])), filled(shapes[1], lambda k: arrays.Numbers(vn[k][None])))
+    wide = (rows, None), (None, slice(None))
+    if asked.kind in ("nearest", "ray"):
+        qg, vg = (filled(g, lambda k, n=n, at=at: arrays.Numbers(n[k][at])) for g, n, at in zip(shapes, (qn, vn), wide, strict=True))
     if asked.kind == "nearest":
-        d = G.distance(*wide())
+        d = G.distance(qg, vg)
         d = d.v if d.null is None else np.where(d.null, np.inf, d.v)
         k = min(asked.first, d.shape[1]) - 1
         return np.nonzero(d <= np.partition(d, k, axis=1)[:, k : k + 1])
     if asked.kind == "ray":
-        ray, _ = wide()
-        pad = 1e-9 * (1 + max(np.abs(x).max(initial=0) for x in vb) + sum(np.abs(x.v).max(initial=0) for x in ray.o))
-        lo, hi = G.ray_box(ray, G.Box([arrays.Numbers(x[None] - pad) for x in vb[:axes]], [arrays.Numbers(x[None] + pad) for x in vb[axes:]]))
+        pad = 1e-9 * (1 + max(np.abs(x).max(initial=0) for x in vb) + sum(np.abs(x.v).max(initial=0) for x in qg.o))
+        lo, hi = G.ray_box(qg, G.Box([arrays.Numbers(x[None] - pad) for x in vb[:axes]], [arrays.Numbers(x[None] + pad) for x in vb[axes:]]))
         meet = (lo.v <= hi.v) & (hi.v >= 0)
     elif asked.every or all(isinstance(x, G.Point) for x in shapes):
-        meet = _test(*wide(), None if asked.kind != "within" else qn[-1][rows][:, None], asked).true()
+        meet, _ = _holds(*wide, qn, vn, shapes, asked, False)
     else:
         meet = None
         for k in range(axes):
@@ -230,24 +313,21 @@ def _candidates(rows: slice, qn, vn, qb, vb, axes: int, shapes, asked: Asked) ->
     return np.divmod(np.flatnonzero(meet), meet.shape[1])
 
 
-def _test(qg: G.Geometry, vg: G.Geometry, radius: np.ndarray | None, asked: Asked) -> arrays.Numbers:
-    if asked.kind == "intersects":
-        return G.intersects(qg, vg)
-    d = G.distance(qg, vg)
-    if asked.kind == "nearest":
-        return d < G.INF
-    return d <= (asked.radius if asked.radius is not None else arrays.Numbers(radius))
-
-
-def _holds(a: np.ndarray, b: np.ndarray, qn, vn, shapes, asked: Asked, measures: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Which pairs match, and their measures."""
+def _holds(a, b, qn, vn, shapes, asked: Asked, measured: bool = True) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Which pairs of rows ``a`` of the queries and ``b`` of the values match, and their measures."""
     qg = filled(shapes[0], lambda k: arrays.Numbers(qn[k][a]))
     vg = filled(shapes[1], lambda k: arrays.Numbers(vn[k][b]))
     if asked.kind == "ray":
         lo, hi = G.ray_interval(qg, vg)
         return ((lo <= hi) & (hi >= 0)).true(), [np.maximum(lo.v, 0.0), hi.v]
-    hit = np.broadcast_to(_test(qg, vg, qn[-1][a] if asked.kind == "within" else None, asked).true(), a.shape)
-    return hit, [G.distance(qg, vg).v] if measures else []
+    if asked.kind == "intersects":
+        hit, values = G.intersects(qg, vg), [G.distance(qg, vg).v] if measured else []
+    else:
+        d = G.distance(qg, vg)
+        hit = d < G.INF if asked.kind == "nearest" else d <= (asked.radius if asked.radius is not None else arrays.Numbers(qn[-1][a]))
+        values = [d.v] if measured else []
+    shape = np.broadcast_shapes(*(np.shape(n[0][at]) for n, at in ((qn, a), (vn, b))))
+    return np.broadcast_to(hit.true(), shape), values
 
 
 # -- nearest values ------------------------------------------------------------------------------------------------------

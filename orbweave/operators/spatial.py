@@ -798,22 +798,53 @@ class StoredIndex(SpatialIndex):
         return SpatialIndex(values, self.shape, self.id, "grid", self.cell).query(queries, shape, predicate, *args, **more)
 
 
-def pair_forces(df: DataFrame, names: Sequence[str], cutoff: float, sigma: float = 1.0, epsilon: float = 1.0, least: float = 0.0, id: str = "id") -> DataFrame:
-    """(id, energy, force_<axis>): half the Lennard-Jones energy of each point's pairs, and the force on it.
+def pair_sums(df: DataFrame, names: Sequence[str], radius: float, terms: dict[str, Callable], least: float = 0.0, id: str = "id") -> DataFrame:
+    """(id, n, each term): for each point with others farther than ``least`` and within ``radius``, how many, and sums over them.
 
-    Each point sums over its own pairs, farther apart than ``least`` and up to ``cutoff``, as they are found; coordinates
-    come with the pairs, which are neither joined again nor written.
+    ``terms`` maps a name to a function of the distance and of the coordinates of the point and the other one (functions of
+    the axis), written in :mod:`arrays`. Where blocks are compared, a task adds up the pairs of two blocks as it finds them,
+    so that rows grow with the points and blocks and not with the pairs.
     """
-    own, other = (df.select(F.col(id).alias("id"), *(F.col(n).cast("double").alias(f"{side}_{n}") for n in names)) for side in "ab")
+    own, other = (df.select(F.col(id).alias(f"{side}_id"), *(F.col(n).cast("double").alias(f"{side}_{n}") for n in names)) for side in "ab")
     a, b = ([f"{side}_{n}" for n in names] for side in "ab")
-    met = SpatialIndex(other, points(*b), cell=2 * cutoff).query(own, points(*a), within(cutoff), keep=a, keep_values=b, where=lambda q, v: q("id") != v("id"))
+    axes, numeric = min(AXES, len(names)), own.schema["a_id"].dataType.typeName() in blocks.NUMERIC
+    place, value = G.Point.of(*map(F.col, a)), G.Point.of(*map(F.col, b))
+    fit = blocks.regular(place) & F.col("a_id").isNotNull()
+    r = own.agg(F.count("*"), F.count_if(fit), *(F.max(x) - F.min(x) for x in a[:axes])).first()
+    if numeric and r[0] and r[0] == r[1] and math.prod(max(1.0, x / (2 * radius)) for x in r[2:]) <= COARSE:
+        box = lambda g: G.Box(G.bounds(g).lo[:axes], G.bounds(g).hi[:axes])
+        asked = blocks.Asked("within", float(radius), True, least=float(least), terms=terms)
+        met = blocks.block_pairs(own, other, place, value, box(G.grow(place, F.lit(float(radius)) * PAD)), box(value), F.col("a_id"), F.col("b_id"), [["a_id"], ["b_id"]], asked, [r[0], r[0]])
+        return met.groupBy(F.col("a_id").alias(id)).agg(F.sum("__n").alias("n"), *(F.sum(t).alias(t) for t in terms))
+    met = SpatialIndex(other, points(*b), "b_id", cell=2 * radius).query(own, points(*a), within(radius), "a_id", keep=a, keep_values=b, where=lambda q, v: q("a_id") != v("b_id"))
     met = met.where(F.col("distance") > F.lit(float(least)))
-    square = F.col("distance") * F.col("distance")
-    met = met.withColumn("s", F.pow(F.try_divide(F.lit(float(sigma) ** 2), square), F.lit(3.0)))
-    pull = F.try_divide(F.lit(24.0 * epsilon) * (F.lit(2.0) * F.col("s") * F.col("s") - F.col("s")), square)
-    met = met.withColumns({"energy": F.lit(2.0 * epsilon) * (F.col("s") * F.col("s") - F.col("s")), "pull": pull})
-    forces = [F.sum(F.col("pull") * (F.col(x) - F.col(y))).alias(f"force_{n}") for n, x, y in zip(names, a, b, strict=True)]
-    return met.groupBy(F.col("query_id").alias(id)).agg(F.sum("energy").alias("energy"), *forces)
+    summed = [F.sum(f(F.col("distance"), lambda k: F.col(a[k]), lambda k: F.col(b[k]))).alias(t) for t, f in terms.items()]
+    return met.groupBy(F.col("query_id").alias(id)).agg(F.count("*").alias("n"), *summed)
+
+
+def pair_forces(df: DataFrame, names: Sequence[str], cutoff: float, sigma: float = 1.0, epsilon: float = 1.0, least: float = 0.0, id: str = "id") -> DataFrame:
+    """(id, energy, force_<axis>): half the Lennard-Jones energy of each point's pairs, and the force on it.
+
+    Each point sums over its own pairs, farther apart than ``least`` and up to ``cutoff``, as they are found.
+    """
+
+    def third(d):
+        s = arrays.try_divide(arrays.lit(float(sigma) ** 2), d * d)
+        return s * s * s
+
+    def energy(d, a, b):
+        s = third(d)
+        return arrays.lit(2.0 * epsilon) * (s * s - s)
+
+    def force(k: int) -> Callable:
+        def f(d, a, b):
+            s = third(d)
+            return arrays.try_divide(arrays.lit(24.0 * epsilon) * (arrays.lit(2.0) * s * s - s), d * d) * (a(k) - b(k))
+
+        return f
+
+    terms = {"energy": energy} | {f"force_{n}": force(k) for k, n in enumerate(names)}
+    return pair_sums(df, names, cutoff, terms, least, id).drop("n")
 
 
 def energy_deposit(index: SpatialIndex, rays: DataFrame, shape: Shape, start: float = 1.0, gain: bool = True, id: str = "id") -> DataFrame:

@@ -517,9 +517,12 @@ _LJ = f", p AS (SELECT a.id, b.e1 - a.e1 dx, {d(A3, B3)} r FROM e a JOIN e b ON
 @query(_LJ + " SELECT id, round(sum(4 * (s * s * s * s * s * s - s * s * s)) / 2, 4) energy, count(*) n FROM q GROUP BY id")
 def pair_energy(spark, sf_dir):
     """Half the Lennard-Jones energy of each point with its neighbours, for a size of 0.01."""
-    near = spatial.full_neighbors(values(spark, sf_dir), _e(1, 2, 3), 0.1).where("distance > 0")
-    s = F.lit(0.0001) / (F.col("distance") * F.col("distance"))
-    return near.withColumn("s", s).groupBy(F.col("a").alias("id")).agg(F.round(F.sum(F.expr("4 * (s * s * s * s * s * s - s * s * s)")) / 2, 4).alias("energy"), F.count("*").alias("n"))
+
+    def energy(r, a, b):
+        s = arrays.lit(0.0001) / (r * r)
+        return arrays.lit(4.0) * (s * s * s * s * s * s - s * s * s)
+
+    return spatial.pair_sums(values(spark, sf_dir), _e(1, 2, 3), 0.1, {"energy": energy}).select("id", F.round(F.col("energy") / 2, 4).alias("energy"), "n")
 
 
 @query("""WITH p AS (SELECT event_id id, user_id u, epoch_us(ts) / 3600000000::DOUBLE t, value v FROM events WHERE value IS NOT NULL AND ts IS NOT NULL),

@@ -174,3 +174,25 @@ def test_forces_without_a_second_join(spark, monkeypatch):
             want[a[0]] = e + 2 * (s * s - s), f + 24 * (2 * s * s - s) / d**2 * (a[1] - b[1])
     got = {x["id"]: (x["energy"], x["force_x"]) for x in got.collect()}
     assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], rel=1e-9, abs=1e-9) for i in want)
+
+
+def test_sums_of_pairs_are_made_in_blocks(spark, monkeypatch):
+    """A row for each point and block, not for each pair; the sums are those of all pairs."""
+    monkeypatch.setattr(blocks, "TILE", 16)
+    r = random.Random(6)
+    rows = [(i, *(r.random() for _ in range(3))) for i in range(600)] + [(600 + i, 0.5, 0.5, 0.5) for i in range(3)]
+    df = spark.createDataFrame(rows, "id long, x double, y double, z double").repartition(3)
+    made = []
+    monkeypatch.setattr(blocks, "block_pairs", lambda *a, f=blocks.block_pairs, **k: made.append(f(*a, **k)) or made[-1])
+    terms = {"inverse": lambda d, a, b: arrays.try_divide(arrays.lit(1.0), d), "shift": lambda d, a, b: a(1) - b(1)}
+    got = {x["id"]: tuple(x)[1:] for x in S.pair_sums(df, ["x", "y", "z"], 0.3, terms).collect()}
+    want = {}
+    for a, b in itertools.permutations(rows, 2):
+        if 0 < (d := math.dist(a[1:], b[1:])) <= 0.3:
+            n, i, s = want.get(a[0], (0, 0.0, 0.0))
+            want[a[0]] = n + 1, i + 1 / d, s + a[2] - b[2]
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], rel=1e-9, abs=1e-9) for i in want)
+    assert made and made[0].count() < sum(n for n, _, _ in want.values()) / 10
+    monkeypatch.setattr(S, "COARSE", -1)
+    plain = {x["id"]: tuple(x)[1:] for x in S.pair_sums(df, ["x", "y", "z"], 0.3, terms).collect()}
+    assert len(made) == 1 and plain.keys() == got.keys() and all(plain[i] == pytest.approx(got[i], rel=1e-9, abs=1e-9) for i in got)
