@@ -123,7 +123,8 @@ def block_pairs(q: DataFrame, v: DataFrame, qg: G.Geometry, vg: G.Geometry, qbox
     many values of a query and block by distance and the first carried column of the values.
     """
     names = [list(dict.fromkeys(c)) for c in carried]
-    sides = [_Side(q, qbox, qid, rows[0]), _Side(v, vbox, vid, rows[1])]
+    # Each block of values returns ``first`` values of a query, so for nearest ones there are as few as hold them.
+    sides = [_Side(q, qbox, qid, rows[0]), _Side(v, vbox, vid, rows[1], max(1, rows[1] // ROWS) if asked.kind == "nearest" else None)]
     meet = _meeting(*sides, asked.every)
     geometry = [leaves(qg), leaves(vg)]
     width, axes = max(map(len, geometry)) + (radius is not None), len(qbox.lo)

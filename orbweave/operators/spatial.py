@@ -478,10 +478,10 @@ class SpatialIndex:
         if self.strategy == "brute" or most < 1 or isinstance(qg, G.Ray) or unbounded:  # rays: only by a metric of one's own
             if where is None and metric is None and most >= 1 and not isinstance(qg, G.Ray) and _integral(v, "v_" + self.id):
                 # Of each block of values only the first can be among the nearest.
-                need = [list(q.columns), ["v_" + self.id, *(c for c in v.columns if c != "v_" + self.id)]]
+                need = _needs(None, ["q_" + id, *("q_" + n for n in keep), *(["q_" + k] if isinstance(k, str) else [])], ["v_" + self.id, *("v_" + n for n in keep_values)])
                 near = self._by_blocks(asked, v, qg, vg, G.bounds(qg), need, blocks.Asked("nearest", measured=True, first=most), F.lit(True), extra, (qc(id), vc(self.id)), None, [measured.alias("distance")])
                 if near is not None:
-                    return ranked(near)
+                    return near.where(F.col("distance") < G.INF).withColumn("place", place).where((F.col("place") <= most) & (F.col("place") <= limit))
             return ranked(asked.crossJoin(v).where(extra))
         centre = G.centroid(vg).at[: min(AXES, qg.dim)]
         at = G.centroid(qg).at[: len(centre)]

@@ -196,3 +196,19 @@ def test_sums_of_pairs_are_made_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(S, "COARSE", -1)
     plain = {x["id"]: tuple(x)[1:] for x in S.pair_sums(df, ["x", "y", "z"], 0.3, terms).collect()}
     assert len(made) == 1 and plain.keys() == got.keys() and all(plain[i] == pytest.approx(got[i], rel=1e-9, abs=1e-9) for i in got)
+
+
+def test_nearest_by_brute_force_carries_few_columns_and_rows(spark, monkeypatch):
+    """What blocks return are ids and distances, k of a query and block of values, of which there are few."""
+    r = random.Random(8)
+    df = spark.createDataFrame([(i, *(r.random() for _ in range(3)), "x" * 50) for i in range(2000)], "id long, x double, y double, z double, t string")
+    made = []
+    monkeypatch.setattr(blocks, "block_pairs", lambda *a, f=blocks.block_pairs, **k: made.append(f(*a, **k)) or made[-1])
+    shape = S.points("x", "y", "z")
+    found = S.SpatialIndex(df, shape, strategy="brute").query(df, shape, S.nearest(3), keep=["x"])
+    got = {(n["query_id"], n["place"]): (n["value_id"], n["x"]) for n in found.collect()}
+    rows = df.collect()
+    for a in rows[::100]:
+        order = sorted((math.dist(a[1:4], b[1:4]), b["id"]) for b in rows)
+        assert [got[a["id"], p] for p in (1, 2, 3)] == [(j, a["x"]) for _, j in order[:3]]
+    assert made[0].columns == ["q_id", "q_x", "v_id", "distance"] and made[0].count() == 3 * len(rows) == len(got)
