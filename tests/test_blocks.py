@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -212,3 +213,45 @@ def test_nearest_by_brute_force_carries_few_columns_and_rows(spark, monkeypatch)
         order = sorted((math.dist(a[1:4], b[1:4]), b["id"]) for b in rows)
         assert [got[a["id"], p] for p in (1, 2, 3)] == [(j, a["x"]) for _, j in order[:3]]
     assert made[0].columns == ["q_id", "q_x", "v_id", "distance"] and made[0].count() == 3 * len(rows) == len(got)
+
+
+SIEVED = {
+    "ray_triangle": (G.Ray, G.Triangle, "ray", None), "segment_triangle": (G.Segment, G.Triangle, "intersects", None), "triangle_segment": (G.Triangle, G.Segment, "intersects", None),
+    "point_tetrahedron": (G.Point, G.Tetrahedron, "intersects", None), "sphere_triangle": (G.Sphere, G.Triangle, "intersects", None), "point_triangle": (G.Point, G.Triangle, "within", 0.2),
+    "triangle_point": (G.Triangle, G.Point, "within", 0.2),
+}
+
+
+@pytest.mark.parametrize("lattice", [False, True], ids=["anywhere", "lattice"])
+@pytest.mark.parametrize("case", SIEVED)
+def test_sieves_leave_out_only_what_does_not_match(monkeypatch, case, lattice):
+    """The predicate on all pairs finds the same, and is asked for few pairs only; on a lattice shapes touch and degenerate."""
+    *kinds, kind, radius = SIEVED[case]
+    r = np.random.default_rng(3)
+    n, parts = 300, {G.Ray: 2, G.Segment: 2, G.Point: 1, G.Sphere: 1, G.Triangle: 3, G.Tetrahedron: 4}
+    sides, shapes, boxes = [], [], []
+    for k in kinds:
+        vectors = r.integers(-2, 3, (parts[k], 3, n)).astype(float) if lattice else r.normal(0, 1, (parts[k], 3, n)) + 100.0
+        if k is G.Ray:
+            vectors[1] = r.integers(-1, 2, (3, n)) if lattice else r.normal(0, 1, (3, n))
+            vectors[1] /= np.maximum(np.sqrt((vectors[1] ** 2).sum(0)), 1e-9)
+        size = [np.abs(r.integers(0, 2, n) if lattice else r.normal(0, 0.3, n)).astype(float)] if k is G.Sphere else []
+        places = iter(range(100))
+        vs = [[blocks._Place(next(places)) for _ in range(3)] for _ in vectors]
+        shapes.append(k(vs[0], blocks._Place(next(places))) if k is G.Sphere else k(*vs))
+        sides.append([x for v in vectors for x in v] + size)
+        ends = vectors[:1] if k is G.Ray else vectors
+        grown = (size[0] if size else 0.0) + (radius or 0.0) * (len(boxes) == 0) + 1e-9
+        boxes.append([*(ends.min(0) - grown), *(ends.max(0) + grown)])
+    asked = blocks.Asked(kind, radius, measured=kind != "intersects", every=kind == "ray")
+    with arrays.numbers():
+        hit, _ = blocks._holds((slice(None), None), (None, slice(None)), *sides, shapes, asked, asked.measured)
+        (qlo, qhi), (vlo, vhi) = ((np.array(b[:3]), np.array(b[3:])) for b in boxes)
+        if not asked.every:  # a flat tetrahedron has no side on which a point is outside, so boxes decide first
+            hit = hit & ((qlo[:, :, None] <= vhi[:, None]) & (vlo[:, None] <= qhi[:, :, None])).all(0)
+        tried = []
+        monkeypatch.setattr(blocks, "_holds", lambda a, b, *rest, f=blocks._holds: tried.append(len(a)) or f(a, b, *rest))
+        found = list(blocks._in_tiles(*sides, *boxes, 3, shapes, asked, asked.measured))
+    got = [p for f in found for p in zip(f[0].tolist(), f[1].tolist(), strict=True)]
+    assert len(got) == len(set(got)) and set(got) == set(zip(*(x.tolist() for x in np.nonzero(hit)), strict=True)) and got
+    assert lattice or sum(tried) < 1.5 * len(got) + 100
