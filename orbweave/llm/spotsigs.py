@@ -21,6 +21,7 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -213,10 +214,33 @@ def similar(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return joined.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "node", "doc_id")).alias("component_id")), links
 
 
+def possible(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs (a, b) without those that can't reach THRESHOLD, by 256 bits a set: loses no link.
+
+    A signature's first byte is its bit. Each bit that only one of two sets has is a signature that the other lacks, which
+    bounds what they share, so far fewer pairs fetch whole fingerprints.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = np.zeros((batch.num_rows, 256), bool)
+            for row, fingerprint in zip(bits, batch.column("fingerprint").to_pylist(), strict=True):
+                row[np.frombuffer(bytes.fromhex(fingerprint), np.uint8)[:: DIGITS // 2]] = True
+            words = np.packbits(bits, axis=1).view("<i8")
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n"), *(pa.array(np.ascontiguousarray(x)) for x in words.T)], ["doc_id", "n", "m0", "m1", "m2", "m3"])
+
+    marks = reps.select("doc_id", F.col("n").cast("long").alias("n"), "fingerprint").mapInArrow(run, "doc_id long, n long, m0 long, m1 long, m2 long, m3 long")
+    for side in "ab":
+        pairs = splittable_join(pairs, marks.select(F.col("doc_id").alias(side), *(F.col(c).alias(side + c) for c in ("n", "m0", "m1", "m2", "m3"))), side)
+    alone = lambda x, y: sum(F.bit_count(F.col(f"{x}m{i}").bitwiseAND(F.bitwise_not(F.col(f"{y}m{i}")))) for i in range(4))
+    shared = F.least(F.col("an") - alone("a", "b"), F.col("bn") - alone("b", "a"))
+    return pairs.where(shared * (1 + THRESHOLD) >= (F.col("an") + F.col("bn")) * THRESHOLD - 1e-6).select("a", "b")
+
+
 def _alike(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """The pairs (a, b) that reach THRESHOLD, with their likeness."""
     of = lambda side: reps.select(F.col("doc_id").alias(side), F.col("fingerprint").alias(f"f{side}"))
-    met = splittable_join(splittable_join(pairs, of("a"), "a"), of("b"), "b").select("a", "b", "fa", "fb")
+    met = splittable_join(splittable_join(possible(pairs, reps), of("a"), "a"), of("b"), "b").select("a", "b", "fa", "fb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

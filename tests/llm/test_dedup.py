@@ -370,3 +370,16 @@ def test_sketches_blocks_and_small_tries_lose_nothing(spark, monkeypatch):
     assert sorted(tuple(x) for x in ngram_join.components_and_links(docs).collect()) == want
     members, n = ngram_join.brute_force(rows), {i: len(x) for i, x in zip([i for i, _ in rows], shingles.gram_sets([t for _, t in rows], 5), strict=True)}
     assert [(i, n[i], members[i][1]) for i, *_ in want] == [x[:3] for x in want]
+
+
+def test_spotsigs_compares_few_fingerprints_and_loses_no_link(spark):
+    """Of all pairs of sets, those left by their bits hold every link and few others; full bits leave all pairs."""
+    r = random.Random(12)
+    sets = [sorted({hashlib.md5(f"{i}-{j}".encode()).hexdigest()[: spotsigs.DIGITS] for j in range(r.randint(1, 120))}) for i in range(20)]
+    sets += [sorted({*s[: len(s) - r.randint(0, len(s) // 6)], hashlib.md5(str(i).encode()).hexdigest()[: spotsigs.DIGITS]}) for i, s in enumerate(sets)]
+    sets += [sorted({hashlib.md5(f"{i}.{j}".encode()).hexdigest()[: spotsigs.DIGITS] for j in range(6000)}) for i in range(2)]
+    reps = spark.createDataFrame([(i, spotsigs.to_hex(s), len(s)) for i, s in enumerate(sets)], "doc_id long, fingerprint string, n long")
+    every = [(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets))]
+    left = {tuple(x) for x in spotsigs.possible(spark.createDataFrame(every, "a long, b long"), reps).collect()}
+    want = {(a, b) for a, b in every if spotsigs.jaccard(sets[a], sets[b]) >= spotsigs.THRESHOLD}
+    assert want and want <= left and len(left) < len(want) + 10 and (40, 41) in left
