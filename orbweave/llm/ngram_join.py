@@ -33,7 +33,7 @@ from __future__ import annotations
 
 import gc
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -144,14 +144,18 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def count_table(docs: DataFrame, slots: int = SLOTS) -> np.ndarray:
-    """Count-min table (one row) of the n-grams of all texts: fixed size, whatever the corpus."""
+def word_grams(texts: pa.Array) -> Iterator[np.ndarray]:
+    return gram_sets(texts, WORDS)
+
+
+def count_table(docs: DataFrame, slots: int = SLOTS, column: str = "text", sets: Callable[[pa.Array], Iterable[np.ndarray]] = word_grams) -> np.ndarray:
+    """Count-min table (one row) of the n-grams of all texts, or of what ``sets`` makes of ``column``: fixed size, whatever the corpus."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(slots, np.int64)
         held, size, share = [], 0, 0
         for batch in batches:
-            for g in gram_sets(batch.column(0), WORDS):
+            for g in sets(batch.column(0)):
                 held.append(g)
                 size += len(g)
                 share = share or (int(g[0]) if len(g) else 0)
@@ -167,7 +171,7 @@ def count_table(docs: DataFrame, slots: int = SLOTS) -> np.ndarray:
         total = sum(np.frombuffer(zlib.decompress(c.as_buffer()), np.int64) for c in rows.column("counts"))
         return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
-    parts = docs.select("text").mapInArrow(count, "block int, share int, counts binary")
+    parts = docs.select(column).mapInArrow(count, "block int, share int, counts binary")
     for keys in (["block", "share"], ["block"]):  # in two steps, so that no task gets a row from every other
         parts = parts.groupBy(*keys).applyInArrow(add, "block int, counts binary") if keys == ["block"] else parts.groupBy(*keys).applyInArrow(lambda k, t: add(k, t).append_column("share", pa.array([k[1].as_py()], pa.int32())), "block int, counts binary, share int")
     blocks = {r["block"]: np.frombuffer(zlib.decompress(bytes(r["counts"])), np.int64) for r in parts.collect()}  # SLOTS counts
@@ -180,6 +184,18 @@ def levels(table: np.ndarray) -> np.ndarray:
     return np.where(table > noise + 6 * np.sqrt(noise) + 16, np.log2(np.maximum(table - noise, 1)).astype(np.uint8) + 1, 0).astype(np.uint8)
 
 
+def rare_first(g: np.ndarray, level: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """Of a set in order of its hashes: how many are of level 0, its prefix in the global order, and the levels of the prefix's last ones that are hot."""
+    own = level[(g & U(len(level) - 1)).astype(np.int64)]
+    order = np.argsort(own, kind="stable")[: len(g) - -(-LOW_OF * len(g) // HIGH_OF) + 1]
+    last = own[order]
+    return int((own == 0).sum()), g[order].view(np.int64), last[last >= HOT].astype(np.int64)
+
+
+def lists(parts: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in parts])]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *parts]), pa.int64()))
+
+
 SETS = "doc_id long, n_shingles long, k1 long, k2 long, rare long, s0 long, s1 long, s2 long, s3 long, early array<long>, prefix array<long>, hot array<long>"
 
 
@@ -198,23 +214,18 @@ def gram_rows(docs: DataFrame, level: np.ndarray) -> DataFrame:
                     size.append(n)
                     key.append([int(np.add.reduce(mix(g))), int(np.bitwise_xor.reduce(mix(g ^ U(0x5851F42D4C957F2D)))) if n else 0])
                     early.append(g[:EARLY].view(np.int64))
-                    own = level[(g & U(len(level) - 1)).astype(np.int64)]
-                    rare.append(int((own == 0).sum()))
                     if n:
-                        order = np.argsort(own, kind="stable")
-                        order = order[: n - -(-LOW_OF * n // HIGH_OF) + 1]
-                        prefix.append(g[order].view(np.int64))
-                        last = own[order]
-                        hot.append(last[last >= HOT].astype(np.int64))
+                        for part, x in zip((rare, prefix, hot), rare_first(g, level), strict=True):
+                            part.append(x)
                         bits.append(signature(g))
                     else:
+                        rare.append(0)
                         prefix.append(g.view(np.int64))
                         hot.append(prefix[-1])
                         bits.append(np.zeros(4, np.int64))
                 keys = np.array(key, np.uint64).reshape(-1, 2).view(np.int64)
                 sig = np.array(bits, np.int64).reshape(-1, 4)
-                lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in part])]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *part]), pa.int64())) for part in (early, prefix, hot)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(size, pa.int64()), *(pa.array(keys[:, i]) for i in range(2)), pa.array(rare, pa.int64()), *(pa.array(sig[:, i]) for i in range(4)), *lists], [x.split()[0] for x in SETS.split(", ")])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(size, pa.int64()), *(pa.array(keys[:, i]) for i in range(2)), pa.array(rare, pa.int64()), *(pa.array(sig[:, i]) for i in range(4)), *map(lists, (early, prefix, hot))], [x.split()[0] for x in SETS.split(", ")])
 
     return docs.select("doc_id", "text").mapInArrow(run, SETS)
 

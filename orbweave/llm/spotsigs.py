@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import hashlib
 import itertools
-import math
 import re
 from collections.abc import Iterator
 
@@ -42,6 +41,8 @@ CHAIN = 2
 THRESHOLD = 0.75
 #: Hexadecimal digits of a signature.
 DIGITS = 16
+#: Bytes of a signature.
+BYTES = DIGITS // 2
 #: Rank error of the doc_id quantiles: one part in so many of a partition.
 ACCURACY = 50
 MISSING = -(1 << 63)
@@ -175,41 +176,68 @@ def edit_fingerprints(docs: DataFrame, partitions: int) -> DataFrame:
     return with_next(docs, partitions).select("doc_id", "text", "guest").mapInArrow(run, PAIRS)
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, n_signatures, fingerprint."""
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id, n_signatures, the fingerprint as bytes, and its 128-bit key (k1, k2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sigs = [signatures(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(map(len, sigs), pa.int64()), pa.array(map(to_hex, sigs), pa.string())], ["doc_id", "n_signatures", "fingerprint"])
+            prints = [bytes.fromhex(to_hex(signatures(t))) for t in batch.column("text").to_pylist()]
+            keys = np.frombuffer(b"".join(_md5(p, usedforsecurity=False).digest() for p in prints), np.int64).reshape(-1, 2)
+            sizes = pa.array([len(p) // BYTES for p in prints], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), sizes, pa.array(prints, pa.binary()), *(pa.array(np.ascontiguousarray(k)) for k in keys.T)], ["doc_id", "n_signatures", "print", "k1", "k2"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_signatures long, fingerprint string")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_signatures long, print binary, k1 long, k2 long")
+
+
+def _hashes(prints: pa.Array) -> Iterator[np.ndarray]:
+    """The signatures of packed fingerprints as numbers, in order."""
+    return (np.frombuffer(p, f">u{BYTES}").astype(np.uint64) for p in prints.to_pylist())
+
+
+def _rare_first(reps: DataFrame, level: np.ndarray) -> DataFrame:
+    """The columns that ``ngram_join`` compares sets by."""
+    shipped = reps.sparkSession.sparkContext.broadcast(level)  # ngram_join.SLOTS bytes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = list(_hashes(batch.column("print")))
+            found = [ngram_join.rare_first(g, shipped.value) for g in sets]
+            rare, prefix, hot = ([x[i] for x in found] for i in range(3))
+            early = [g[: ngram_join.EARLY].view(np.int64) for g in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n"), pa.array(rare, pa.int64()), *map(ngram_join.lists, (early, prefix, hot))], ["doc_id", "n_shingles", "rare", "early", "prefix", "hot"])
+
+    return reps.select("doc_id", "n", "print").mapInArrow(run, "doc_id long, n_shingles long, rare long, early array<long>, prefix array<long>, hot array<long>")
 
 
 def similar(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Near duplicates by fingerprint: (doc_id, component_id) for each row, and the links (a, b, likeness) between representatives of equal fingerprints.
 
-    Length partition p holds sets of THRESHOLD ** -p to THRESHOLD ** -(p + 1) signatures; a set also enters the
-    partition below its own, so sets that can be similar share one. Within a partition, sets meet by the signatures of
-    their prefixes: first those next to each other, then those with different labels (see ``ngram_join``), so that a
-    large group of copies gives few pairs.
+    Sets meet by the signatures of their prefixes, rare ones first (by a count-min table of fixed size, see
+    ``ngram_join``), so that common signatures make no pairs: first those next to each other among sets of one length
+    partition (of THRESHOLD ** -p to THRESHOLD ** -(p + 1) signatures) or of two neighbouring ones, then those with
+    different labels whose lengths and places leave room for a link, so that a large group of copies gives few pairs.
+    Fingerprints are written once, and only those of pairs that their bits leave are shuffled.
     """
-    prints = materialize(fingerprints(docs), "fingerprints")
+    spark = docs.sparkSession
+    prints = materialize(packed(docs), "fingerprints")
+    keys = ["k1", "k2", "n_signatures"]
     some = prints.where("n_signatures > 0 AND doc_id IS NOT NULL")
-    reps = materialize(some.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"), F.first("n_signatures").alias("n")), "representatives")
-    sigs = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.substring(F.col("fingerprint"), (i * DIGITS + 1).cast("int"), F.lit(DIGITS)))
-    part = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(THRESHOLD)) + F.lit(1e-9))
-    need = F.ceil(F.lit(THRESHOLD) * F.col("n"))
-    inside = lambda items: F.transform(items, lambda s: F.xxhash64(s, "part"))
-    # A row for each partition that a set enters, so that places in a prefix count from its beginning.
-    sets = reps.select("doc_id", F.col("n").alias("n_shingles"), "n", F.explode(F.array(part, part - 1)).alias("part"), sigs.alias("sigs"))
-    sets = sets.select("doc_id", "n_shingles", inside(F.slice("sigs", 1, ngram_join.EARLY)).alias("early"), F.lit(0).cast("long").alias("rare"), inside(F.slice("sigs", F.lit(1), (F.col("n") - need + 1).cast("int"))).alias("prefix"), F.array().cast("array<long>").alias("hot"))
-    first = _alike(ngram_join.neighbour_pairs(sets), reps)
+    reps = materialize(some.groupBy(*keys).agg(F.min("doc_id").alias("doc_id")), "representatives")
+    level = ngram_join.levels(ngram_join.count_table(some, column="print", sets=_hashes))
+    sets = some.join(ngram_join.small(reps), [*keys, "doc_id"], "left_semi")
+    if not some.groupBy("doc_id", *keys).count().where("count > 1").isEmpty():
+        sets = sets.dropDuplicates([*keys, "doc_id"])  # rows that are there twice
+    sets = sets.select("doc_id", F.col("n_signatures").alias("n"), "print")
+    ngram_join.release(spark)
+    first = _alike(ngram_join.neighbour_pairs(_rare_first(sets, level)), sets)
     labels = connected_components(first.select("a", "b"))
-    marked = sets.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    links = first.unionByName(_alike(ngram_join.label_pairs(marked), reps))
+    ngram_join.release(spark)
+    known = ngram_join.small(materialize(labels.withColumnRenamed("node", "doc_id"), "labels"))
+    marked = _rare_first(sets, level).join(known, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    links = first.unionByName(_alike(ngram_join.label_pairs(marked), sets))
+    ngram_join.release(spark)
     labels = connected_components(links.select("a", "b"))
-    rep_of = splittable_join(prints.select("doc_id", "fingerprint"), reps.select("fingerprint", F.col("doc_id").alias("node")), "fingerprint", "left")
+    rep_of = prints.select("doc_id", *keys).join(reps.withColumnRenamed("doc_id", "node"), keys, "left").select("doc_id", "node")
     joined = splittable_join(rep_of, labels, "node", "left")
     return joined.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "node", "doc_id")).alias("component_id")), links
 
@@ -237,14 +265,17 @@ def possible(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return pairs.where(shared * (1 + THRESHOLD) >= (F.col("an") + F.col("bn")) * THRESHOLD - 1e-6).select("a", "b")
 
 
-def _alike(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs (a, b) that reach THRESHOLD, with their likeness."""
-    of = lambda side: reps.select(F.col("doc_id").alias(side), F.col("fingerprint").alias(f"f{side}"))
-    met = splittable_join(splittable_join(possible(pairs, reps), of("a"), "a"), of("b"), "b").select("a", "b", "fa", "fb")
+def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of ``sets`` (doc_id, n, print) that reach THRESHOLD, with their likeness."""
+    left = materialize(possible(materialize(pairs, "pairs"), sets.select("doc_id", "n", F.hex("print").alias("fingerprint"))), "pairs")
+    ends = materialize(left.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "pair-ends")
+    held = sets.select("doc_id", "print").join(ngram_join.small(ends), "doc_id", "left_semi")
+    of = lambda side: held.select(F.col("doc_id").alias(side), F.col("print").alias(f"f{side}"))
+    met = splittable_join(splittable_join(left, of("a"), "a"), of("b"), "b").select("a", "b", "fa", "fb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            like = [jaccard(from_hex(x), from_hex(y), THRESHOLD) for x, y in zip(batch.column("fa").to_pylist(), batch.column("fb").to_pylist(), strict=True)]
+            like = [jaccard(from_hex(x.hex()), from_hex(y.hex()), THRESHOLD) for x, y in zip(batch.column("fa").to_pylist(), batch.column("fb").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(like, pa.float64())], ["a", "b", "likeness"])
 
     return materialize(met.mapInArrow(run, "a long, b long, likeness double").where("likeness > 0"), "links")

@@ -383,3 +383,24 @@ def test_spotsigs_compares_few_fingerprints_and_loses_no_link(spark):
     left = {tuple(x) for x in spotsigs.possible(spark.createDataFrame(every, "a long, b long"), reps).collect()}
     want = {(a, b) for a, b in every if spotsigs.jaccard(sets[a], sets[b]) >= spotsigs.THRESHOLD}
     assert want and want <= left and len(left) < len(want) + 10 and (40, 41) in left
+
+
+def test_common_signatures_make_no_pairs_of_fingerprints(spark, monkeypatch):
+    """Sets of common signatures, whose hashes come first, and of others of their own: pairs by common ones would be all of them."""
+    r = random.Random(4)
+    spots = sorted({"the " + " ".join(words(r, 2)) for _ in range(9000)}, key=lambda s: hashlib.md5(s.encode()).hexdigest())
+    common, own = spots[:100], spots[100:]
+    r.shuffle(own)
+    rows = [(f, " ".join(r.sample(common, 12) + own[f * 28 : f * 28 + 28])) for f in range(300)]
+    rows += [(300 + f, rows[f][1] + " " + own[8990 - 100 - f]) for f in range(20)]
+    seen, possible = [], spotsigs.possible
+
+    def counted(pairs, reps):
+        seen.append(pairs.count())
+        return possible(pairs, reps)
+
+    monkeypatch.setattr(spotsigs, "possible", counted)
+    comp, links = spotsigs.similar(spark.createDataFrame(rows, SCHEMA))
+    assert {(x["a"], x["b"]) for x in links.collect()} == {(f, 300 + f) for f in range(20)}
+    assert {x["doc_id"]: x["component_id"] for x in comp.collect()} == {i: i - 300 if i >= 300 else i for i in range(320)}
+    assert sum(seen) < 8000, seen
