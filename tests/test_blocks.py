@@ -255,3 +255,30 @@ def test_sieves_leave_out_only_what_does_not_match(monkeypatch, case, lattice):
     got = [p for f in found for p in zip(f[0].tolist(), f[1].tolist(), strict=True)]
     assert len(got) == len(set(got)) and set(got) == set(zip(*(x.tolist() for x in np.nonzero(hit)), strict=True)) and got
     assert lattice or sum(tried) < 1.5 * len(got) + 100
+
+
+@pytest.mark.parametrize("lattice", [False, True], ids=["anywhere", "lattice"])
+@pytest.mark.parametrize("kind", [G.Box, G.Sphere])
+def test_rays_are_compared_with_few_values(monkeypatch, kind, lattice):
+    """The predicate on all pairs finds the same; rays aren't compared with each value. On a lattice rays touch boxes, and some have no direction."""
+    r = np.random.default_rng(8)
+    n = 3000 if not lattice else 400
+    place = lambda: r.integers(-3, 4, (3, n)).astype(float) if lattice else r.random((3, n)) + 100.0
+    o, d, at = place(), r.integers(-1, 2, (3, n)).astype(float) if lattice else r.normal(0, 1, (3, n)), place()
+    size = r.integers(0, 2, (3, n)).astype(float) if lattice else np.abs(r.normal(0, 0.01, (3, n)))
+    slot = lambda *k: [blocks._Place(i) for i in k]
+    shapes = [G.Ray(slot(0, 1, 2), slot(3, 4, 5)), G.Box(slot(0, 1, 2), slot(3, 4, 5)) if kind is G.Box else G.Sphere(slot(0, 1, 2), slot(3)[0])]
+    values = [*at, *(at + size)] if kind is G.Box else [*at, size[0]]
+    box = [*at, *(at + size)] if kind is G.Box else [*(at - size[0]), *(at + size[0])]
+    asked = blocks.Asked("ray", measured=True, every=True)
+    with arrays.numbers():
+        hit, measures = blocks._holds((slice(None), None), (None, slice(None)), [*o, *d], values, shapes, asked)
+        tried = []
+        for name in ("_holds", "_ray_meets"):
+            size_of = lambda x: x[0].size if isinstance(x, tuple) else x.size
+            monkeypatch.setattr(blocks, name, lambda *a, f=getattr(blocks, name): tried.append(size_of(f(*a))) or f(*a))
+        found = list(blocks._by_rows([*o, *d], values, [*o, *o], box, 3, shapes, asked, 2, None))
+    got = {(i, j): (x, y) for f in found for i, j, x, y in zip(*(x.tolist() for x in f), strict=True)}
+    assert sum(len(f[0]) for f in found) == len(got) and got
+    assert got == {(i, j): tuple(m[i, j] for m in measures) for i, j in zip(*(x.tolist() for x in np.nonzero(hit)), strict=True)}
+    assert lattice or sum(tried) < n * n / 10
