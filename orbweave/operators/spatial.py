@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import dataclasses
 import functools
+import gc
 import itertools
 import math
 from collections.abc import Callable, Sequence
@@ -44,6 +45,8 @@ PAD = 1 + 1e-9
 LEVELS = 40
 #: A grid of at most so many cells sorts out little, so blocks of rows are compared instead.
 COARSE = 1 << 15
+#: Pairs of a ray and a value in a round of energy deposit, for each row of both sides.
+ROUND = 1 << 15
 #: Grid axes at most; further dimensions are left to the exact predicate.
 AXES = 3
 
@@ -376,17 +379,29 @@ class SpatialIndex:
     def _rays_by_blocks(self, q, v, ray, vg, qc, vc, extra, need, first) -> DataFrame | None:
         """As :meth:`_along`, with the columns that are needed only, by comparing blocks; None where rays pass by most values."""
         v = _boxed(v, G.bounds(vg), "__v")
+        if (rows := self._crowded(q, v, ray, vg)) is None:
+            return None
+        box = G.Box([F.col(f"__vlo{i}") for i in range(3)], [F.col(f"__vhi{i}") for i in range(3)])
+        asked = blocks.Asked("ray", measured=True, first=first, every=True)
+        return blocks.block_pairs(q, v, ray, vg, G.Box(ray.o, ray.o), box, F.col(need[0][0]), vc(self.id), need, asked, rows).where(extra)
+
+    def _crowded(self, q: DataFrame, v: DataFrame, ray: G.Ray, vg: G.Geometry) -> list[int] | None:
+        """How many rays and values (with their boxes as columns) there are, if they are to be compared by blocks."""
         fit = [blocks.regular(ray), blocks.regular(vg)]
         n = q.agg(F.count("*"), F.count_if(fit[0])).first()
         r = v.agg(F.count("*"), F.count_if(fit[1]), F.percentile_approx("__vsize", 0.5), *(F.max(f"__vhi{i}") - F.min(f"__vlo{i}") for i in range(3))).first()
         if not n[0] or not r[0] or n[0] > n[1] or r[0] > r[1]:
             return None
         h = self.cell or max(r[2], max(r[3:]) / r[0] ** (1 / 3)) or 1.0
-        if math.prod(max(1.0, x / h) for x in r[3:]) > COARSE:
-            return None
-        box = G.Box([F.col(f"__vlo{i}") for i in range(3)], [F.col(f"__vhi{i}") for i in range(3)])
-        asked = blocks.Asked("ray", measured=True, first=first, every=True)
-        return blocks.block_pairs(q, v, ray, vg, G.Box(ray.o, ray.o), box, F.col(need[0][0]), vc(self.id), need, asked, [n[0], r[0]]).where(extra)
+        return [n[0], r[0]] if math.prod(max(1.0, x / h) for x in r[3:]) <= COARSE else None
+
+    def ray_rounds(self, rays: DataFrame, shape: Shape) -> int:
+        """In how many rounds rays had better be taken, for what a round shuffles to grow with the rows: 1 where rays pass by most values."""
+        q, qc = _side(rays, "q_")
+        v, vc = _side(self.df, "v_")
+        q, ray = _ray_columns(q, shape(qc))
+        rows = self._crowded(q, _boxed(v, G.bounds(self.shape(vc)), "__v"), ray, self.shape(vc))
+        return max(1, math.ceil(rows[0] * rows[1] / (sum(rows) * ROUND))) if rows else 1
 
     def _along(self, q: DataFrame, v: DataFrame, ray: G.Ray, vg: G.Geometry, qc: Getter, vc: Getter, extra: Column, need: Sequence[Sequence[str]], first: int | None = None) -> DataFrame:
         """The columns that are needed with ``distance`` to where the ray enters the value and ``__out`` where it leaves; each pair once.
@@ -851,8 +866,21 @@ def energy_deposit(index: SpatialIndex, rays: DataFrame, shape: Shape, start: fl
     """(value_id, deposit): what rays of energy ``start`` leave in the values that they cross, in the order of crossing.
 
     Crossing a length L deposits energy * (1 - exp(-L)), which the ray gains, or loses with ``gain`` off. The product
-    of the factors before a crossing is a running sum of logarithms.
+    of the factors before a crossing is a running sum of logarithms. Where rays cross a good part of all values, they are
+    taken in rounds, of which only sums are kept, so that the crossings that lie on disk grow with the rows.
     """
+    rounds, sums = index.ray_rounds(rays, shape), []
+    if rounds == 1:
+        return _deposits(index, rays, shape, start, gain, id)
+    for k in range(rounds):
+        some = rays.where(F.pmod(F.xxhash64(id), F.lit(rounds)) == k)
+        sums.append(materialize(_deposits(index, some, shape, start, gain, id), "deposits"))
+        gc.collect()
+        rays.sparkSession.sparkContext._jvm.System.gc()  # lets Spark drop the round's shuffle files
+    return functools.reduce(DataFrame.unionByName, sums).groupBy("value_id").agg(F.sum("deposit").alias("deposit"))
+
+
+def _deposits(index: SpatialIndex, rays: DataFrame, shape: Shape, start: float, gain: bool, id: str) -> DataFrame:
     met = index.ray_hits(rays, shape, id)
     factor = F.lit(2.0) - F.exp(-F.col("length")) if gain else F.exp(-F.col("length"))
     before = Window.partitionBy("query_id").orderBy("distance", "value_id").rowsBetween(Window.unboundedPreceding, -1)

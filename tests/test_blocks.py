@@ -282,3 +282,15 @@ def test_rays_are_compared_with_few_values(monkeypatch, kind, lattice):
     assert sum(len(f[0]) for f in found) == len(got) and got
     assert got == {(i, j): tuple(m[i, j] for m in measures) for i, j in zip(*(x.tolist() for x in np.nonzero(hit)), strict=True)}
     assert lattice or sum(tried) < n * n / 10
+
+
+def test_energy_is_deposited_in_rounds_of_rays(cloud, monkeypatch):
+    """Each ray is in one round, with all values; of a round only sums are kept."""
+    cloud = cloud.where("id < 100")
+    whole = {r["value_id"]: r["deposit"] for r in S.energy_deposit(S.SpatialIndex(cloud, BOX), cloud, RAY).collect()}
+    asked, hits = [], S.SpatialIndex.ray_hits
+    monkeypatch.setattr(S, "ROUND", cloud.count() / 5, raising=False)
+    monkeypatch.setattr(S.SpatialIndex, "ray_hits", lambda self, rays, *more: asked.append({r["id"] for r in rays.select("id").collect()}) or hits(self, rays, *more))
+    parts = {r["value_id"]: r["deposit"] for r in S.energy_deposit(S.SpatialIndex(cloud, BOX), cloud, RAY).collect()}
+    assert parts == pytest.approx(whole) and whole
+    assert len(asked) == 3 and sum(map(len, asked)) == len(set().union(*asked)) == cloud.count()
